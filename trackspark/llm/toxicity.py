@@ -1,7 +1,7 @@
 """Toxic spans by a linear-chain conditional random field over letter runs.
 
-Document labels become token labels by a lexicon: greedily the words that occur in most toxic texts not yet
-explained, and hardly in others. The field has two states, features of a word and its two neighbours (hashed)
+Document labels become token labels by a lexicon: the words that occur in enough toxic texts (copies of a
+text count once) and hardly in others, so that wrong labels and long texts teach no word. The field has two states, features of a word and its two neighbours (hashed)
 and transitions. Forward-backward marginals give spans, and their maximum and sum, calibrated on the
 labelled texts, the score of a document.
 
@@ -20,10 +20,10 @@ from .words import NOT_LETTER, Words, mix
 
 #: Labelled rows that are learned from, toxic and other, as expected by hashing; all where there are fewer.
 TOXIC_ROWS, OTHER_ROWS = 1200, 2400
-BUCKETS = 1 << 17
+BUCKETS = 1 << 20
 #: A lexicon word is in this share of the toxic texts at least, and so many times likelier there.
-SUPPORT, LIFT = 0.02, 12.0
-STEPS = 25
+SUPPORT, LIFT = 0.06, 12.0
+STEPS = 40
 SPAN = 0.5
 _WIDTH = 64
 
@@ -94,7 +94,7 @@ def features(h: np.ndarray, start: np.ndarray) -> np.ndarray:
 
 
 def lexicon(texts: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
-    """Hashes of words that mark toxic texts, found greedily."""
+    """Hashes of the words that mark toxic texts: in enough of them, and much rarer in others."""
     sets = {}
     for words, bad in zip(texts, toxic, strict=True):
         own = np.unique(words)
@@ -103,20 +103,13 @@ def lexicon(texts: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
     good = [x for (_, b), x in sets.items() if not b]
     if not bad:
         return np.zeros(0, np.uint64)
-    least, found = max(3, SUPPORT * len(bad)), []
     known, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *good]), return_counts=True)
-    while bad:
-        word, k = np.unique(np.concatenate(bad), return_counts=True)
-        at = np.minimum(np.searchsorted(known, word), max(0, len(known) - 1))
-        other = np.where(known[at] == word, n[at], 0) if len(known) else np.zeros(len(word))
-        lift = (k / len(sets)) / ((other + 0.5) / len(sets))
-        gain = np.where((k >= least) & (lift >= LIFT), k * np.log(np.maximum(lift, 1)), 0)
-        best = int(gain.argmax()) if len(gain) else 0
-        if not len(gain) or gain[best] <= 0:
-            break
-        found.append(word[best])
-        bad = [x for x in bad if word[best] not in x]
-    return np.array(found, np.uint64)
+    word, k = np.unique(np.concatenate(bad), return_counts=True)
+    at = np.searchsorted(known, word)
+    at[at == len(known)] = 0
+    other = np.where(known[at] == word, n[at], 0) if len(known) else np.zeros(len(word))
+    lift = (k / len(bad)) / ((other + 0.5) / (len(good) + 1))
+    return word[(k >= max(3, SUPPORT * len(bad))) & (lift >= LIFT)]
 
 
 def _fit_scale(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -129,14 +122,14 @@ def _fit_scale(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def summary(p: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """For each text: 1, log odds of its largest marginal, log of 1 + their sum."""
+    """For each text: 1, log odds of its largest marginal, log of 1 + the sum of those that aren't small, which length alone would add up."""
     n = np.diff(first)
     top, total = np.zeros(len(n)), np.zeros(len(n))
     if len(p):
         full = n > 0
         top[full] = np.maximum.reduceat(p, first[:-1][full])
-        total[full] = np.add.reduceat(p, first[:-1][full])
-    top = np.clip(top, 1e-4, 1 - 1e-4)
+        total[full] = np.add.reduceat(np.where(p >= 0.1, p, 0), first[:-1][full])
+    top = np.clip(top, 0.02, 0.98)
     return np.column_stack([np.ones(len(n)), np.log(top / (1 - top)), np.log1p(total)])
 
 
@@ -164,7 +157,6 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", id: str = "doc
     weights, trans = np.zeros(BUCKETS), np.zeros((2, 2))
     if not y.any() or y.all() or not len(marks):
         return weights, trans, np.array([-3.0, 0.0, 0.0]), marks
-    # Toxic texts without a lexicon word, which a wrong label or an unknown word explains, teach no token.
     sizes = [len(x) for x in texts]
     h = np.concatenate(texts)
     first = np.concatenate([[0], np.cumsum(sizes)])
