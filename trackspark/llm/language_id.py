@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .words import text_bytes
+from .words import by_size, text_bytes
 
 #: Rows of each language that are learned from, as expected by hashing; all rows where there are fewer.
 ROWS_PER_LANG = 1000
@@ -88,7 +88,7 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", id: str = "do
 
     def count(batches):
         total = {}
-        for batch in batches:
+        for batch in by_size(batches, "t"):
             gram, offsets = grams(batch.column("t"))
             for i, one in enumerate(batch.column("l").to_pylist()):
                 into = total.setdefault(one, np.zeros(GRAMS + 1, np.int64))
@@ -128,7 +128,7 @@ def predict(docs: DataFrame, model, text: str = "text") -> DataFrame:
 
     def run(batches):
         langs, code, weights = held.value
-        for batch in batches:
+        for batch in by_size(batches, text):
             column = batch.column(text)
             n = len(column)
             gram, offsets = grams(column)

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, exact_dedup, language_id, quality, token_counts, toxicity
+from . import byte_bpe, decontaminate, exact_dedup, language_id, pii, quality, token_counts, toxicity
 
 QUERIES = {
     "op1_token_counts": token_counts.query,
     "op2_language_id": language_id.query,
+    "op3_pii": pii.query,
+    "op4_decontaminate": decontaminate.query,
     "op5_toxicity": toxicity.query,
     "op6_quality": quality.query,
     "op8_byte_bpe": byte_bpe.query,

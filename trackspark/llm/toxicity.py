@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .words import NOT_LETTER, Words, mix
+from .words import NOT_LETTER, Words, by_size, mix
 
 #: Labelled rows that are learned from, toxic and other, as expected by hashing; all where there are fewer.
 TOXIC_ROWS, OTHER_ROWS = 1200, 2400
@@ -146,7 +146,7 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", id: str = "doc
     rows = docs.select(F.col(id).alias("_id"), F.col(text).alias("_t")).join(F.broadcast(chosen), "_id")
 
     def words(batches):
-        for batch in batches:
+        for batch in by_size(batches, "_t"):
             w = Words(batch.column("_t"), NOT_LETTER)
             blobs = [w.hash[w.first[i] : w.first[i + 1]].tobytes() for i in range(w.n_docs)]
             yield pa.RecordBatch.from_arrays([batch.column("_id").cast(pa.string()), batch.column("_y"), pa.array(blobs, pa.binary())], ["id", "y", "w"])
@@ -196,7 +196,7 @@ def score(docs: DataFrame, model, text: str = "text", spans: bool = True) -> Dat
 
     def run(batches):
         weights, trans, scale = held.value
-        for batch in batches:
+        for batch in by_size(batches, text):
             w = Words(batch.column(text), NOT_LETTER)
             start = np.zeros(len(w.hash), bool)
             start[w.first[:-1][w.count > 0]] = True

@@ -153,3 +153,14 @@ def shingle_sets(column, size: int = 5) -> tuple[np.ndarray, np.ndarray]:
     keep[1:] = (value[1:] != value[:-1]) | (doc[1:] != doc[:-1])
     value, doc = value[keep], doc[keep]
     return value, np.searchsorted(doc, np.arange(words.n_docs + 1))
+
+
+def by_size(batches, text: str, most: int = 2 << 20):
+    """Record batches cut to about so many bytes of text each, so that memory doesn't depend on rows in a batch."""
+    for batch in batches:
+        size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False))
+        a = 0
+        while a < batch.num_rows:
+            b = min(batch.num_rows, max(a + 1, int(np.searchsorted(size, (size[a - 1] if a else 0) + most, "right"))))
+            yield batch.slice(a, b - a)
+            a = b
