@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,3 +33,26 @@ def materialise(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark)}/t-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: A key with more than this share of all rows is heavy; there can be only 1 / HEAVY of them.
+HEAVY = 0.001
+
+
+def lookup(rows: DataFrame, key: list[str], found: DataFrame, weight: str, share: float = HEAVY) -> DataFrame:
+    """rows with found's other columns, null where no key matches. found has a row for each key at most.
+
+    weight says how many of rows have the key, so that there are 1 / share heavy keys at most. Those are
+    broadcast; rows that meet one take a salt, so that no partition of the other join holds all of a key.
+    """
+    value = [c for c in found.columns if c not in (*key, weight)]
+    most = (found.agg(F.sum(weight)).first()[0] or 0) * share
+    side = found.select(*(F.col(c).alias(f"_k_{c}") for c in key), F.struct(*value).alias("_v"), weight)
+    hot, cold = side.filter(F.col(weight) > most).drop(weight), side.filter(F.col(weight) <= most).drop(weight)
+    hot = hot.withColumnRenamed("_v", "_hot")
+    match = lambda: [F.col(c) == F.col(f"_k_{c}") for c in key]
+    out = rows.join(F.broadcast(hot), match(), "left").drop(*(f"_k_{c}" for c in key))
+    out = out.withColumn("_salt", F.when(F.col("_hot").isNull(), F.lit(0)).otherwise(F.monotonically_increasing_id() + 1))
+    out = out.join(cold.withColumn("_zero", F.lit(0).cast("bigint")), [*match(), F.col("_salt") == F.col("_zero")], "left")
+    both = F.coalesce("_hot", "_v")
+    return out.withColumns({c: both[c] for c in value}).drop("_hot", "_v", "_salt", "_zero", *(f"_k_{c}" for c in key))
