@@ -220,7 +220,7 @@ def apart_pairs(members: DataFrame) -> DataFrame:
     def compare(rows: pa.Table):
         ids, comp, n = (rows.column(c).to_numpy() for c in ("id", "component", "n"))
         part = rows.column("part").to_numpy()
-        lanes = np.column_stack([rows.column(c).to_numpy() for c in LANES])
+        lanes = np.column_stack([rows.column(c).to_numpy() for c in LANES]).view(np.uint64)  # bitwise_count takes absolute values
         own = rows.column("low")[0].as_py() == rows.column("high")[0].as_py()
         left = np.arange(len(ids)) if own else np.flatnonzero(part == rows.column("low")[0].as_py())
         right = left if own else np.flatnonzero(part == rows.column("high")[0].as_py())

@@ -19,12 +19,14 @@ from pyspark.sql import functions as F
 from .words import NOT_LETTER, Words, by_size, mix
 
 #: Labelled rows that are learned from, toxic and other, as expected by hashing; all where there are fewer.
-TOXIC_ROWS, OTHER_ROWS = 1200, 2400
+TOXIC_ROWS, OTHER_ROWS = 700, 1400
 BUCKETS = 1 << 20
 #: A lexicon word is in this share of the toxic texts at least, and so many times likelier there.
 SUPPORT, LIFT = 0.06, 12.0
 STEPS = 40
 SPAN = 0.5
+#: Tokens in the chain at a time in training, give or take a text.
+CHAIN = 1 << 17
 _WIDTH = 64
 
 
@@ -83,6 +85,16 @@ def marginals(emit: np.ndarray, start: np.ndarray, trans: np.ndarray, pairs: boo
     return p, joint.sum(axis=1).reshape(2, 2)
 
 
+def _in_parts(bias, w, f, start, trans, cuts):
+    """marginals and pair marginals of all tokens, cut where texts begin."""
+    p, pair = np.empty(len(start)), np.zeros((2, 2))
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        if a < b:
+            p[a:b], own = marginals(bias + w[0][f[0, a:b]] + w[1][f[1, a:b]] + w[2][f[2, a:b]], start[a:b], trans, pairs=True)
+            pair += own
+    return p, pair
+
+
 def features(h: np.ndarray, start: np.ndarray) -> np.ndarray:
     """Hashed features (3, n) of the word and the words before and behind it in its text."""
     before, behind = np.zeros_like(h), np.zeros_like(h)
@@ -151,8 +163,8 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", id: str = "doc
             blobs = [w.hash[w.first[i] : w.first[i + 1]].tobytes() for i in range(w.n_docs)]
             yield pa.RecordBatch.from_arrays([batch.column("_id").cast(pa.string()), batch.column("_y"), pa.array(blobs, pa.binary())], ["id", "y", "w"])
 
-    got = sorted(rows.select("_id", "_y", "_t").mapInArrow(words, "id string, y int, w binary").collect())
-    texts, y = [np.frombuffer(r["w"], np.uint64) for r in got], np.array([r["y"] == 1 for r in got], bool)
+    got = rows.select("_id", "_y", "_t").mapInArrow(words, "id string, y int, w binary").orderBy("id", "w").toArrow()
+    texts, y = [np.frombuffer(x.as_buffer(), np.uint64) for x in got.column("w")], got.column("y").to_numpy() == 1
     marks = lexicon(texts, y)
     weights, trans = np.zeros(BUCKETS), np.zeros((2, 2))
     if not y.any() or y.all() or not len(marks):
@@ -164,14 +176,16 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", id: str = "doc
     start = np.zeros(len(h), bool)
     start[first[:-1][np.array(sizes) > 0]] = True
     gold = np.isin(h, marks) & y[doc]
-    f = features(h, start)
+    f = features(h, start).astype(np.int32)
+    # Whole texts go through the chain some at a time, which bounds the driver's memory.
+    cuts = [0, *first[np.flatnonzero(np.diff(first // CHAIN)) + 1], len(h)]
     emit_seen = np.stack([np.bincount(x, gold.astype(float), BUCKETS) for x in f])
     pair_seen = np.zeros((2, 2))
     np.add.at(pair_seen, (gold[:-1][~start[1:]].astype(int), gold[1:][~start[1:]].astype(int)), 1)
     bias, total, w = np.log((gold.sum() + 1) / (len(h) + 2)), np.zeros((3, BUCKETS)), np.zeros((3, BUCKETS))
     trans_total = np.zeros((2, 2))
     for _ in range(STEPS):  # AdaGrad on the penalised log likelihood
-        p, pair = marginals(bias + w[0][f[0]] + w[1][f[1]] + w[2][f[2]], start, trans, pairs=True)
+        p, pair = _in_parts(bias, w, f, start, trans, cuts)
         grad = emit_seen - np.stack([np.bincount(x, p, BUCKETS) for x in f]) - 0.05 * w
         total += grad**2
         w += 1.2 * grad / np.sqrt(total + 1e-6)
@@ -179,7 +193,7 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", id: str = "doc
         trans_total += step**2
         trans = trans + 0.3 * step / np.sqrt(trans_total + 1e-6)
     weights = np.concatenate([[bias], w.ravel()]).astype(np.float32)
-    p, _ = marginals(bias + w[0][f[0]] + w[1][f[1]] + w[2][f[2]], start, trans)
+    p, _ = _in_parts(bias, w, f, start, trans, cuts)
     return weights, trans, _fit_scale(summary(p, first), y.astype(float)), marks
 
 
