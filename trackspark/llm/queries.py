@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, decontaminate, exact_dedup, jaccard_join, language_id, pii, quality, token_counts, toxicity
+from . import byte_bpe, decontaminate, exact_dedup, jaccard_join, language_id, line_dedup, pii, quality, token_counts, toxicity
 
 QUERIES = {
     "op1_token_counts": token_counts.query,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_decontaminate": decontaminate.query,
     "op5_toxicity": toxicity.query,
     "op6_quality": quality.query,
+    "op7_line_dedup": line_dedup.query,
     "op8_byte_bpe": byte_bpe.query,
     "op9_exact_dedup": exact_dedup.query,
     "op10_jaccard_join": jaccard_join.query,
