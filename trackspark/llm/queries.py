@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
+
 from . import byte_bpe, decontaminate, exact_dedup, jaccard_join, language_id, line_dedup, pii, quality, token_counts, toxicity
 
 QUERIES = {
+    "pipeline": corpus_pipeline.run,
     "op1_token_counts": token_counts.query,
     "op2_language_id": language_id.query,
     "op3_pii": pii.query,
