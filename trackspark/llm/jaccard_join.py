@@ -10,7 +10,7 @@ dealt by that as well. Sets below SMALL shingles join on the shingles themselves
 The order puts words that many documents have last. It steers how large buckets get, never which links are found.
 
 In a bucket, all meet its least class (linear in its size); the pairs are filtered by size and by the Hamming
-distance of 512-bit parity sketches, and verified by the exact sets. Only pairs of a bucket that these links
+distance of parity sketches of a bit or two for each shingle, and verified by the exact sets. Only pairs of a bucket that these links
 leave in different components are compared as well, in blocks, so that no link between components is lost.
 """
 
@@ -29,8 +29,8 @@ from .words import by_size, mix, shingle_sets
 #: Linked: PERCENT * size of the intersection >= NEAR * size of the union; 100 and 80 are what the blocks rely on.
 PERCENT, NEAR = 100, 80
 SMALL = 32
+#: Bits of a parity sketch at least; else the power of two at or above the number of shingles.
 SKETCH = 512
-LANES = [f"s{i}" for i in range(SKETCH // 64)]
 #: A sketch word that this share of documents has is common.
 COMMON = 0.002
 #: Documents whose words are counted at a time for that.
@@ -77,7 +77,7 @@ def prefix_size(n: np.ndarray, level: np.ndarray) -> np.ndarray:
 
 
 def _summary(value: np.ndarray, first: np.ndarray):
-    """Two hashes of each set, and its parity sketch as int64 lanes."""
+    """Two hashes of each set; its parity sketch in 64-bit lanes: all lanes, and len + 1 offsets."""
     n = np.diff(first)
     doc = np.repeat(np.arange(len(n)), n)
     a, b = np.zeros(len(n), np.uint64), np.zeros(len(n), np.uint64)
@@ -85,9 +85,11 @@ def _summary(value: np.ndarray, first: np.ndarray):
     if len(value):
         a[full] = np.bitwise_xor.reduceat(mix(value ^ _U(0x51ED270B)), first[:-1][full])
         b[full] = np.add.reduceat(mix(value + _U(0x2545F4914F6CDD1D)), first[:-1][full])
-    bits = np.bincount(doc * SKETCH + (mix(value) % _U(SKETCH)).astype(np.int64), minlength=len(n) * SKETCH) & 1
-    lanes = np.packbits(bits.astype(np.uint8).reshape(len(n), SKETCH), axis=1).view(np.int64)
-    return a, b, lanes
+    bits = np.maximum(SKETCH, 1 << np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64))
+    base = np.concatenate([[0], np.cumsum(bits)])
+    at = base[doc] + (mix(value) & (bits[doc] - 1).astype(np.uint64)).astype(np.int64)
+    odd = np.bincount(at, minlength=base[-1]).astype(np.uint8) & 1
+    return a, b, np.packbits(odd, bitorder="little").view(np.int64), base // 64
 
 
 def _key(n, a, b):
@@ -99,8 +101,8 @@ def shingle_classes(docs: DataFrame, text: str, id: str) -> DataFrame:
 
     scale is the multiple of the level's blocks with which the set has more words than it may differ in.
     """
-    kinds = [("n", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("key", pa.int64()), *((x, pa.int64()) for x in LANES), ("scale", pa.int64()), ("word", pa.int64()), ("docs", pa.int64())]
-    schema = f"`{id}` {docs.schema[id].dataType.simpleString()}, " + ", ".join(f"{k} bigint" for k, _ in kinds)
+    kinds = [("n", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("key", pa.int64()), ("lanes", pa.list_(pa.int64())), ("scale", pa.int64()), ("word", pa.int64()), ("docs", pa.int64())]
+    schema = f"`{id}` {docs.schema[id].dataType.simpleString()}, " + ", ".join(f"{k} {'array<bigint>' if k == 'lanes' else 'bigint'}" for k, _ in kinds)
     names = [id, *(k for k, _ in kinds)]
 
     def run(batches):
@@ -109,7 +111,7 @@ def shingle_classes(docs: DataFrame, text: str, id: str) -> DataFrame:
             kind = batch.schema.field(id).type
             value, first = shingle_sets(batch.column(text))
             n = np.diff(first)
-            a, b, lanes = _summary(value, first)
+            a, b, lanes, lane = _summary(value, first)
             index, level = levels(n)
             word, owner = sketch_words(value, first, index, level, 1)
             short = np.flatnonzero((np.bincount(owner, minlength=len(index)) < prefix_size(n[index], level)) & (level > 0))
@@ -120,7 +122,7 @@ def shingle_classes(docs: DataFrame, text: str, id: str) -> DataFrame:
             key = _key(n, a, b)
             own = [x.view(np.int64) for x in (a, b, key)]
             blank = pa.nulls(len(n), pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(id), pa.array(n), *map(pa.array, own), *(pa.array(np.ascontiguousarray(lanes[:, i])) for i in range(len(LANES))), pa.array(scale), blank, blank], names)
+            yield pa.RecordBatch.from_arrays([batch.column(id), pa.array(n), *map(pa.array, own), pa.ListArray.from_arrays(pa.array(lane, pa.int32()), pa.array(lanes)), pa.array(scale), blank, blank], names)
             kept.append(word)
             n_kept += len(n)
             if n_kept >= WINDOW:
@@ -149,7 +151,7 @@ def words_of(docs: DataFrame, text: str, scale: int, common: np.ndarray) -> Data
         for batch in by_size(batches, text):
             value, first = shingle_sets(batch.column(text))
             n = np.diff(first)
-            a, b, _ = _summary(value, first)
+            a, b, _, _ = _summary(value, first)
             key = _key(n, a, b)
             _, once = np.unique(key, return_index=True)
             once = once[~np.isin(key[once], seen)]
@@ -173,19 +175,27 @@ def _near(n1, n2):
     return (PERCENT * F.least(n1, n2)) >= (NEAR * F.greatest(n1, n2))
 
 
+def _folded(p, q):
+    """Lanes p, halved onto themselves where q has half as many: the sketch of the same set in half the bits."""
+    half = F.floor(F.size(p) / 2).cast("int")
+    fold = F.zip_with(F.slice(p, F.lit(1), half), F.slice(p, half + 1, half), lambda x, y: x.bitwiseXOR(y))
+    return F.when(F.size(p) > F.size(q), fold).otherwise(F.col(p))
+
+
 def _filtered(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs of keys (x, y) to pairs of class ids (a, b) that sizes and parity sketches allow."""
-    side = lambda key, to, p: classes.select(F.col("key").alias(key), F.col("id").alias(to), *(F.col(c).alias(p + c) for c in ("n", *LANES)))
-    both = pairs.join(side("x", "a", "p_"), "x").join(side("y", "b", "q_"), "y").filter("a <> b").filter(_near(F.col("p_n"), F.col("q_n")))
-    apart = sum((F.bit_count(F.col(f"p_{c}").bitwiseXOR(F.col(f"q_{c}"))) for c in LANES[1:]), F.bit_count(F.col("p_s0").bitwiseXOR(F.col("q_s0"))))
+    """Pairs of keys (x, y) to pairs of class ids (a, b) that sizes and parity sketches allow.
+
+    Sizes differ by a quarter at most, so sketches by a factor of two at most.
+    """
+    side = lambda key, to, p: classes.select(F.col("key").alias(key), F.col("id").alias(to), F.col("n").alias(f"{p}_n"), F.col("lanes").alias(f"{p}_l"))
+    both = pairs.join(side("x", "a", "p"), "x").join(side("y", "b", "q"), "y").filter("a <> b").filter(_near(F.col("p_n"), F.col("q_n")))
+    bits = F.zip_with(_folded("p_l", "q_l"), _folded("q_l", "p_l"), lambda x, y: F.bit_count(x.bitwiseXOR(y)).cast("int"))
+    apart = F.aggregate(bits, F.lit(0), lambda total, x: total + x)
     return both.filter(apart * 9 <= F.col("p_n") + F.col("q_n")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def verified(pairs: DataFrame, docs: DataFrame, text: str, id: str) -> DataFrame:
-    """Those of pairs (a, b of document ids) whose sets are linked."""
-    pairs = materialise(pairs)
-    ids = pairs.select(F.col("a").alias("i")).union(pairs.select("b")).distinct()
-    texts = materialise(docs.select(F.col(id).alias("i"), F.col(text).alias("t")).join(ids, "i", "left_semi"))
+def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Those of pairs (a, b: class ids) whose sets are linked. texts: i, t of all classes in question."""
     both = pairs.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b")
     kind = pairs.schema["a"].dataType.simpleString()
 
@@ -203,6 +213,18 @@ def verified(pairs: DataFrame, docs: DataFrame, text: str, id: str) -> DataFrame
     return both.select("a", "b", "ta", "tb").mapInArrow(run, f"a {kind}, b {kind}").distinct()
 
 
+def _square(lanes: pa.ListArray) -> np.ndarray:
+    """Lanes of all rows, each folded to the fewest that one has. Unsigned: bitwise_count takes absolute values."""
+    size = np.diff(lanes.offsets.to_numpy())
+    flat, least = lanes.flatten().to_numpy().view(np.uint64), int(size.min())
+    at = np.cumsum(size) - size
+    out = np.empty((len(size), least), np.uint64)
+    for k in np.unique(size):
+        rows = np.flatnonzero(size == k)
+        out[rows] = np.bitwise_xor.reduce(flat[at[rows, None] + np.arange(k)].reshape(len(rows), k // least, least), axis=1)
+    return out
+
+
 def apart_pairs(members: DataFrame) -> DataFrame:
     """Pairs (a, b) of class ids of one bucket, in different components, that sizes and sketches allow.
 
@@ -213,14 +235,14 @@ def apart_pairs(members: DataFrame) -> DataFrame:
     parts = F.ceil(F.count("*").over(w) / BLOCK).cast("int")
     rows = members.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    rows = rows.select("bucket", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "id", "component", "n", *LANES)
+    rows = rows.select("bucket", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "id", "component", "n", "lanes")
     group = ["bucket", "low", "high"]
     kind = members.schema["id"].dataType.simpleString()
 
     def compare(rows: pa.Table):
         ids, comp, n = (rows.column(c).to_numpy() for c in ("id", "component", "n"))
         part = rows.column("part").to_numpy()
-        lanes = np.column_stack([rows.column(c).to_numpy() for c in LANES]).view(np.uint64)  # bitwise_count takes absolute values
+        lanes = _square(rows.column("lanes").combine_chunks())
         own = rows.column("low")[0].as_py() == rows.column("high")[0].as_py()
         left = np.arange(len(ids)) if own else np.flatnonzero(part == rows.column("low")[0].as_py())
         right = left if own else np.flatnonzero(part == rows.column("high")[0].as_py())
@@ -270,21 +292,23 @@ def near_duplicates(docs: DataFrame, text: str = "text", id: str = "doc_id") ->
     often = rows.filter("word is not null").groupBy("word").agg(F.sum("docs").alias("docs")).filter(F.col("docs") >= COMMON * total)
     # A set has fewer words than shingles, so these are 1 / COMMON times the mean number of shingles at most.
     common = np.sort(often.select("word").toPandas()["word"].to_numpy(np.int64).view(np.uint64))
-    classes = sets.filter("n > 0").groupBy("key", "n", "a", "b").agg(F.min(id).alias("id"), F.count("*").alias("copies"), *(F.first(c).alias(c) for c in LANES))
+    classes = sets.filter("n > 0").groupBy("key", "n", "a", "b").agg(F.min(id).alias("id"), F.count("*").alias("copies"), F.first("lanes").alias("lanes"))
     classes = materialise(classes)
     by_word = Window.partitionBy("word").orderBy("key")
     shared = words_of(docs, text, int(scale or 1), common)
     shared = shared.select("word", "key", F.lag("key").over(by_word).alias("before"), F.first("key").over(by_word).alias("pivot"), F.max("key").over(Window.partitionBy("word")).alias("top"))
     shared = materialise(shared.filter("pivot <> top and (before is null or before <> key)").select("word", "key", "pivot"))
+    ids = shared.select("key").distinct().join(classes.select("key", "id"), "key").select(F.col("id").alias("i")).distinct()
+    texts = materialise(docs.select(F.col(id).alias("i"), F.col(text).alias("t")).join(ids, "i", "left_semi"))
     pairs = _filtered(shared.filter("key <> pivot").select(F.col("pivot").alias("x"), F.col("key").alias("y")).distinct(), classes)
-    links = materialise(verified(pairs, docs, text, id))
+    links = materialise(verified(pairs, texts))
     found = materialise(components(links))
     # Buckets of three classes or more whose classes are in different components.
-    info = classes.join(found.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"), "n", *LANES)
+    info = classes.join(found.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"), "n", "lanes")
     info = materialise(info)
     buckets = shared.join(info.select("key", "component"), "key").groupBy("word").agg(F.count("*").alias("m"), F.min("component").alias("p"), F.max("component").alias("q")).filter("m > 2 and p <> q").select("word")
-    members = shared.select("word", "key").join(buckets, "word", "left_semi").join(info, "key").select(F.col("word").alias("bucket"), "id", "component", "n", *LANES)
-    more = materialise(verified(apart_pairs(members), docs, text, id))
+    members = shared.select("word", "key").join(buckets, "word", "left_semi").join(info, "key").select(F.col("word").alias("bucket"), "id", "component", "n", "lanes")
+    more = materialise(verified(apart_pairs(members), texts))
     if not more.isEmpty():
         found = materialise(components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more)))
     place = classes.join(found.withColumnRenamed("node", "id"), "id", "left").select("key", "n", "a", "b", "copies", F.coalesce("component", "id").alias("component_id"))
