@@ -24,6 +24,8 @@ BUCKETS = 1 << 20
 #: A lexicon word is in this share of the toxic texts at least, and so many times likelier there.
 SUPPORT, LIFT = 0.06, 12.0
 STEPS = 40
+#: How much a neighbouring word counts against the word itself: rare neighbours must not explain a label away.
+NEIGHBOUR = np.array([1.0, 0.25, 0.25])
 SPAN = 0.5
 #: Tokens in the chain at a time in training, give or take a text.
 CHAIN = 1 << 17
@@ -90,7 +92,7 @@ def _in_parts(bias, w, f, start, trans, cuts):
     p, pair = np.empty(len(start)), np.zeros((2, 2))
     for a, b in zip(cuts[:-1], cuts[1:], strict=True):
         if a < b:
-            p[a:b], own = marginals(bias + w[0][f[0, a:b]] + w[1][f[1, a:b]] + w[2][f[2, a:b]], start[a:b], trans, pairs=True)
+            p[a:b], own = marginals(bias + sum(k * x[y[a:b]] for k, x, y in zip(NEIGHBOUR, w, f, strict=True)), start[a:b], trans, pairs=True)
             pair += own
     return p, pair
 
@@ -100,7 +102,7 @@ def features(h: np.ndarray, start: np.ndarray) -> np.ndarray:
     before, behind = np.zeros_like(h), np.zeros_like(h)
     before[1:], behind[:-1] = h[:-1], h[1:]
     before[start] = 0
-    behind[np.append(start[1:], True)] = 0
+    behind[:-1][start[1:]] = 0
     stack = np.stack([h, mix(before + np.uint64(1)), mix(behind + np.uint64(2))])
     return (stack % np.uint64(BUCKETS)).astype(np.int64)
 
@@ -121,7 +123,7 @@ def lexicon(texts: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
     at[at == len(known)] = 0
     other = np.where(known[at] == word, n[at], 0) if len(known) else np.zeros(len(word))
     lift = (k / len(bad)) / ((other + 0.5) / (len(good) + 1))
-    return word[(k >= max(3, SUPPORT * len(bad))) & (lift >= LIFT)]
+    return word[(k >= max(6, SUPPORT * len(bad))) & (lift >= LIFT)]
 
 
 def _fit_scale(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -186,13 +188,13 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", id: str = "doc
     trans_total = np.zeros((2, 2))
     for _ in range(STEPS):  # AdaGrad on the penalised log likelihood
         p, pair = _in_parts(bias, w, f, start, trans, cuts)
-        grad = emit_seen - np.stack([np.bincount(x, p, BUCKETS) for x in f]) - 0.05 * w
+        grad = NEIGHBOUR[:, None] * (emit_seen - np.stack([np.bincount(x, p, BUCKETS) for x in f])) - 0.05 * w
         total += grad**2
         w += 1.2 * grad / np.sqrt(total + 1e-6)
         step = (pair_seen - pair) - 0.05 * trans
         trans_total += step**2
         trans = trans + 0.3 * step / np.sqrt(trans_total + 1e-6)
-    weights = np.concatenate([[bias], w.ravel()]).astype(np.float32)
+    weights = np.concatenate([[bias], (NEIGHBOUR[:, None] * w).ravel()]).astype(np.float32)
     p, _ = _in_parts(bias, w, f, start, trans, cuts)
     return weights, trans, _fit_scale(summary(p, first), y.astype(float)), marks
 
