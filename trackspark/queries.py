@@ -11,9 +11,12 @@ from .operators import aggregate as A
 from .operators import align as J
 from .operators import edit as P
 from .operators import fusion as U
+from .operators import health as H
 from .operators import kinematics as K
 from .operators import ordered as W
 from .operators import resample as R
+from .plans.folders import work_folder
+from .sources import files
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -304,3 +307,30 @@ _add("fusion_groups", lambda df: _groups(df).groupBy("entity", "group_id").agg(F
 _add("fusion_decisions", lambda df: U.auto_combine(_groups(df)))
 _add("fusion_report", lambda df: U.fusion_report(U.auto_combine(_groups(df)), _sources(df)))
 _add("round_up", lambda df: df.select("track_id", "seq", round_up(F.col("ele") - 100, 0).alias("r")), "SELECT track_id, seq, floor(ele - 100 + 0.5) AS r FROM points", "r")
+
+# Health.
+_add("health_schema", H.schema_check, f"SELECT track_id, 'schema-parse' AS \"check\", 0 AS weight, true AS applicable, m >= 0.5 AS passed, m AS measure FROM (SELECT track_id, avg({sql_valid()}::INT) AS m FROM points GROUP BY track_id)", "measure")
+_add("health_time_order", H.time_check, """SELECT track_id, 'time-order-span' AS "check", 20 AS weight, n >= 2 AS applicable, back = 0 AND span BETWEEN 600000 AND 43200000 AS passed, span AS measure FROM (
+  SELECT track_id, count(*) AS n, sum(back) AS back, arg_max(time_ms, seq) - arg_min(time_ms, seq) AS span FROM (SELECT *, coalesce(time_ms < lag(time_ms) OVER (PARTITION BY track_id ORDER BY seq), false)::INT AS back FROM points WHERE time_ms IS NOT NULL) GROUP BY track_id)""", "measure")
+_add("health_gps_fix", H.fix_check, "SELECT track_id, 'gps-fix-quality' AS \"check\", 0 AS weight, true AS applicable, avg((hdop > 5 OR sat < 4)::INT) <= 0.1 AS passed, avg((hdop > 5 OR sat < 4)::INT) AS measure FROM points GROUP BY track_id", "measure")
+_add("health_outliers", H.outlier_check, f"SELECT track_id, 'outlier' AS \"check\", 20 AS weight, true AS applicable, avg((score > 3)::INT) <= 0.05 AS passed, avg((score > 3)::INT) AS measure FROM ({_OUT}) GROUP BY track_id", "measure")
+_add("health_checks", H.health_checks)
+_add("track_health", H.track_health)
+
+
+# Files: the demo tracks written and read again.
+def _through_csv(df: DataFrame) -> DataFrame:
+    folder = work_folder(df.sparkSession)
+    files.write_csv(df, folder)
+    got, _ = files.read_csv_track(df.sparkSession, f"{folder}/*", {"lat": "lat", "lon": "lon", "ele": "elevation_m", "time": "time_iso"})
+    return got.select("lat", "lon", "ele", "time_ms", F.col("ext_num")["hdop"].alias("hdop"), F.col("ext_num")["sat"].alias("sat"))
+
+
+def _through_gpx(df: DataFrame) -> DataFrame:
+    folder = work_folder(df.sparkSession)
+    files.write_gpx(df, folder)
+    return files.read_gpx(df.sparkSession, f"{folder}/*").select("lat", "lon", "ele", "time_ms", "hdop", "sat")
+
+
+_add("csv_round_trip", _through_csv, "SELECT lat, lon, ele, time_ms, hdop, sat FROM points", "lat lon ele time_ms hdop sat", 5)
+_add("gpx_round_trip", _through_gpx, f"SELECT lat, lon, ele, time_ms, hdop, sat FROM points WHERE {sql_valid()}", "lat lon ele time_ms hdop sat", 5)
