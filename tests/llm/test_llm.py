@@ -66,7 +66,9 @@ def test_lookup_with_heavy_key(spark):
     assert tuple(out) == (3000, 3000 - 333, sum(2 * (0 if i % 3 else i) for i in range(2000)))
 
 
-def test_components(spark):
+@pytest.mark.parametrize("few", [1 << 20, 0])
+def test_components(spark, monkeypatch, few):
+    monkeypatch.setattr(components, "FEW", few)
     edges = [(i, i + 1) for i in range(10, 40)] + [(100, i) for i in range(101, 130)] + [(7, 7), (3, 2), (2, 3)]
     got = {r["node"]: r["component"] for r in components.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
     assert got == {**{i: 10 for i in range(10, 41)}, **{i: 100 for i in range(100, 130)}, 2: 2, 3: 2}
@@ -387,6 +389,7 @@ def brute_components(texts):
 def test_jaccard_join_equals_brute_force(spark, monkeypatch, common, block):
     monkeypatch.setattr(jaccard_join, "COMMON", common)
     monkeypatch.setattr(jaccard_join, "BLOCK", block)
+    monkeypatch.setattr(jaccard_join, "LARGE", block)
     rng = random.Random(14)
     passage, texts = prose(rng, 60, 5000), [*ODD]
     for n in (4, 6, 9, 12, 30, 36, 60, 66, 130, 300):

@@ -37,6 +37,9 @@ COMMON = 0.002
 WINDOW = 4000
 #: Sets of one bucket that are compared at a time.
 BLOCK = 2048
+#: In a bucket of more than LARGE classes, PIVOTS of them meet all others before all pairs are compared, so that
+#: what is much alike is one component by then and only pairs between components are left.
+LARGE, PIVOTS = 64, 4
 _U = np.uint64
 
 
@@ -225,9 +228,11 @@ def _square(lanes: pa.ListArray) -> np.ndarray:
     return out
 
 
-def apart_pairs(members: DataFrame) -> DataFrame:
+def apart_pairs(members: DataFrame, pivots: int | None = None) -> DataFrame:
     """Pairs (a, b) of class ids of one bucket, in different components, that sizes and sketches allow.
 
+    With pivots, only pairs with so many of a block's sets, others in each bucket.
+
     members: bucket, id, component, n, lanes. A bucket is cut into blocks of BLOCK sets, and each pair of
     blocks is one group, so that a group's size is bounded; it is streamed in order, and one is held at a time.
     """
@@ -246,8 +251,11 @@ def apart_pairs(members: DataFrame) -> DataFrame:
         own = rows.column("low")[0].as_py() == rows.column("high")[0].as_py()
         left = np.arange(len(ids)) if own else np.flatnonzero(part == rows.column("low")[0].as_py())
         right = left if own else np.flatnonzero(part == rows.column("high")[0].as_py())
+        if pivots is not None:
+            seed = np.int64(rows.column("bucket")[0].as_py()).view(np.uint64)
+            left = left[np.argsort(mix(ids[left].astype(np.uint64) ^ seed))[:pivots]]
         for i in left:
-            j = right[(comp[right] != comp[i]) & (ids[right] > ids[i])] if own else right[comp[right] != comp[i]]
+            j = right[(comp[right] != comp[i]) & (ids[right] > ids[i])] if own and pivots is None else right[comp[right] != comp[i]]
             j = j[PERCENT * np.minimum(n[j], n[i]) >= NEAR * np.maximum(n[j], n[i])]
             if len(j):
                 j = j[9 * np.bitwise_count(lanes[j] ^ lanes[i]).sum(axis=1, dtype=np.int64) <= n[j] + n[i]]
@@ -278,6 +286,18 @@ def apart_pairs(members: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, f"a {kind}, b {kind}").distinct()
 
 
+def _unresolved(shared: DataFrame, classes: DataFrame, found: DataFrame) -> DataFrame:
+    """(bucket, m, id, component, n, lanes) of buckets of m classes, three or more, in different components."""
+    info = classes.join(found.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"), "n", "lanes")
+    info = materialise(info)
+    buckets = shared.join(info.select("key", "component"), "key").groupBy("word").agg(F.count("*").alias("m"), F.min("component").alias("p"), F.max("component").alias("q")).filter("m > 2 and p <> q").select("word", "m")
+    return shared.select("word", "key").join(buckets, "word").join(info, "key").select(F.col("word").alias("bucket"), "m", "id", "component", "n", "lanes")
+
+
+def _extended(found: DataFrame, links: DataFrame) -> DataFrame:
+    return materialise(components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(links)))
+
+
 def near_duplicates(docs: DataFrame, text: str = "text", id: str = "doc_id") -> DataFrame:
     """(id, n_shingles, component_id) of each document: the least id that links reach, its own included.
 
@@ -303,14 +323,14 @@ def near_duplicates(docs: DataFrame, text: str = "text", id: str = "doc_id") ->
     pairs = _filtered(shared.filter("key <> pivot").select(F.col("pivot").alias("x"), F.col("key").alias("y")).distinct(), classes)
     links = materialise(verified(pairs, texts))
     found = materialise(components(links))
-    # Buckets of three classes or more whose classes are in different components.
-    info = classes.join(found.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"), "n", "lanes")
-    info = materialise(info)
-    buckets = shared.join(info.select("key", "component"), "key").groupBy("word").agg(F.count("*").alias("m"), F.min("component").alias("p"), F.max("component").alias("q")).filter("m > 2 and p <> q").select("word")
-    members = shared.select("word", "key").join(buckets, "word", "left_semi").join(info, "key").select(F.col("word").alias("bucket"), "id", "component", "n", "lanes")
+    members = _unresolved(shared, classes, found)
+    near = materialise(verified(apart_pairs(members.filter(F.col("m") > LARGE), PIVOTS), texts))
+    if not near.isEmpty():
+        found = _extended(found, near)
+        members = _unresolved(shared, classes, found)
     more = materialise(verified(apart_pairs(members), texts))
     if not more.isEmpty():
-        found = materialise(components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more)))
+        found = _extended(found, more)
     place = classes.join(found.withColumnRenamed("node", "id"), "id", "left").select("key", "n", "a", "b", "copies", F.coalesce("component", "id").alias("component_id"))
     place = materialise(place.filter("copies > 1 or component_id is not null"))
     out = lookup(sets.select(id, "n", "key", "a", "b"), ["key", "n", "a", "b"], place, "copies")
