@@ -14,8 +14,11 @@ from .operators import fusion as U
 from .operators import health as H
 from .operators import kinematics as K
 from .operators import ordered as W
+from .operators import builtin  # noqa: F401  registers the operations
 from .operators import resample as R
+from .operators import series as S
 from .plans.folders import work_folder
+from .plans.recipes import Record, replay
 from .sources import files
 
 QUERIES: dict = {}
@@ -334,3 +337,23 @@ def _through_gpx(df: DataFrame) -> DataFrame:
 
 _add("csv_round_trip", _through_csv, "SELECT lat, lon, ele, time_ms, hdop, sat FROM points", "lat lon ele time_ms hdop sat", 5)
 _add("gpx_round_trip", _through_gpx, f"SELECT lat, lon, ele, time_ms, hdop, sat FROM points WHERE {sql_valid()}", "lat lon ele time_ms hdop sat", 5)
+
+# Views and recipes.
+_add("chart_series", lambda df: S.chart_series(df, "ele", domain=(1704068000000, 1704069000000)), "SELECT track_id, seq, x, y FROM (SELECT *, lag(i, 1, false) OVER w OR lead(i, 1, false) OVER w OR i AS keep FROM (SELECT track_id, seq, time_ms AS x, ele AS y, time_ms BETWEEN 1704068000000 AND 1704069000000 AS i FROM points WHERE time_ms IS NOT NULL AND ele IS NOT NULL) WINDOW w AS (PARTITION BY track_id ORDER BY seq)) WHERE keep", "x y", 3)
+_add("x_domain", lambda df: S.x_domain(df, "ele"), "SELECT track_id, min(ele) AS low, CASE WHEN min(ele) = max(ele) THEN max(ele) + 1 ELSE max(ele) END AS high FROM points GROUP BY track_id", "low high")
+_add("uniform_sample", lambda df: S.uniform_sample(df, 50).select("track_id", "seq"), "SELECT DISTINCT track_id, floor(k * (n - 1) / 49.0 + 0.5)::BIGINT AS seq FROM (SELECT track_id, count(*) AS n, unnest(range(0, 50)) AS k FROM points GROUP BY track_id)")
+_add("neighbourhood", lambda df: S.neighbourhood(df, df.filter("seq % 100 = 50").select("track_id", "seq"), 3).select("track_id", "center", "seq"), "SELECT p.track_id, c.seq AS center, p.seq FROM points p JOIN points c ON p.track_id = c.track_id AND c.seq % 100 = 50 AND p.seq BETWEEN c.seq - 3 AND c.seq + 3")
+_add("quality_strip", lambda df: S.quality_strip(df, W.quality_events(df), 100), f"SELECT p.track_id, floor(p.seq * least(100, p.n) / p.n)::BIGINT AS bucket, coalesce(max(h.r), 0) AS severity FROM (SELECT track_id, seq, count(*) OVER (PARTITION BY track_id) AS n FROM points) p LEFT JOIN (SELECT track_id, unnest(range(start_seq, end_seq + 1)) AS seq, CASE severity WHEN 'error' THEN 3 WHEN 'warning' THEN 2 ELSE 1 END AS r FROM ({_EVENTS})) h ON p.track_id = h.track_id AND p.seq = h.seq GROUP BY ALL")
+_add("disclosure_counts", lambda df: S.disclosure_counts(P.add_flag(R.notional_fill(df, 20000.0, 5000.0), "manual_edit", F.col("ele") > 900)), f"SELECT track_id, sum(notional) AS notional, sum(edited) AS edited FROM (SELECT track_id, 0 AS notional, coalesce(ele > 900, false)::INT AS edited FROM points UNION ALL SELECT track_id, 1, coalesce(pele + (ele - pele) * (k / (n + 1)) > 900, false)::INT FROM (SELECT *, unnest(range(1, n + 1)) AS k FROM (SELECT *, (floor((time_ms - pt) / 5000) - 1)::BIGINT AS n FROM ({_PREV}) WHERE time_ms - pt > 20000))) GROUP BY track_id")
+_add("chart_capability", S.chart_capability, "SELECT track_id, count(time_ms) > 0 AS timed, (count(ele) > 0)::INT + (count(hdop) > 0)::INT + (count(sat) > 0)::INT AS numeric, (count(ele) > 0)::INT + (count(hdop) > 0)::INT + (count(sat) > 0)::INT >= 2 AS scatter FROM points GROUP BY track_id")
+_ENU_T, _ENU_O = _ecef("lat", "lon", "coalesce(ele, oh)"), _ecef("ola", "olo", "oh")
+_add(
+    "trajectory_enu",
+    S.trajectory_enu,
+    f"""SELECT track_id, seq, -sin(radians(olo)) * dx + cos(radians(olo)) * dy AS east_m, -sin(radians(ola)) * cos(radians(olo)) * dx - sin(radians(ola)) * sin(radians(olo)) * dy + cos(radians(ola)) * dz AS north_m, cos(radians(ola)) * cos(radians(olo)) * dx + cos(radians(ola)) * sin(radians(olo)) * dy + sin(radians(ola)) * dz AS up_m FROM (
+      SELECT *, {_ENU_T[0]} - {_ENU_O[0]} AS dx, {_ENU_T[1]} - {_ENU_O[1]} AS dy, {_ENU_T[2]} - {_ENU_O[2]} AS dz FROM (SELECT *, first_value(lat) OVER w AS ola, first_value(lon) OVER w AS olo, first_value(coalesce(ele, 0)) OVER w AS oh FROM points WHERE {sql_valid()} {W_SQL}))""",
+    "east_m north_m up_m",
+    4,
+)
+_RECIPE = [Record("drop-invalid", 1, {}), Record("shift-time", 1, {"seconds": 1.5}), Record("decimate", 1, {"factor": 5})]
+_add("recipe_replay", lambda df: replay(df, _RECIPE).select("track_id", "seq", "time_ms"), f"SELECT track_id, seq, time_ms + 1500 AS time_ms FROM (SELECT *, row_number() OVER (PARTITION BY track_id ORDER BY seq) - 1 AS i, count(*) OVER (PARTITION BY track_id) AS n FROM points WHERE {sql_valid()}) WHERE i % 5 = 0 OR i = n - 1", "time_ms")
