@@ -278,6 +278,42 @@ def test_toxicity_finds_planted_words(spark):
     assert all(r["score"] < 0.3 for r in toxicity.score(docs, nothing).collect())
 
 
+def test_toxicity_learns_words_of_a_few_toxic_texts(spark):
+    """A language with 4 % of the toxic texts, whose words are too rare among all of them; and copies of one text teach nothing."""
+    rng = random.Random(14)
+    pad = lambda: ["".join(rng.choice("bdfgklmnprst") + rng.choice("aeiou") for _ in range(3)) for _ in range(30)]
+    texts, bad, rare = [], [], []
+    for i in range(600):
+        w = pad()
+        bad.append(i % 3 == 0)
+        rare.append(i % 75 == 0)
+        if bad[-1]:
+            w[rng.randrange(30)] = rng.choice(["gruslich", "Gruslich!"]) if rare[-1] else rng.choice(["nasty", "vile", "awful"])
+        texts.append(" ".join(w))
+    texts += [" ".join([*pad()[:29], "harmless"])] * 20
+    labels = spark.createDataFrame([(i, int(i >= 600 or bad[i])) for i in range(620)], "doc_id bigint, toxic int")
+    model = toxicity.train(make(spark, texts), labels)
+    known = lambda *x: np.isin(Words(pa.array([" ".join(x)]), toxicity.NOT_LETTER).hash, model[3]).tolist()
+    assert known("gruslich", "nasty", "vile", "awful", "harmless", texts[0].split()[0]) == [True] * 4 + [False] * 2
+    fresh = [" ".join([*pad(), "gruslich", *pad()]), " ".join(pad())]
+    assert [r["score"] >= 0.3 for r in toxicity.score(make(spark, fresh), model).orderBy("doc_id").collect()] == [True, False]
+
+
+def test_toxicity_shares_weight_within_word_families():
+    column = pa.array(["réeuxê réeuxvi", "Réeuxpa", "plain", None])
+    w = Words(column, toxicity.NOT_LETTER)
+    grams = toxicity.Grams(w, column)
+    v = np.zeros(toxicity.GRAMS)
+    for i in grams.id[grams.word == grams.of[0]]:
+        v[i] = 1
+    own = grams.add(v)
+    assert own[0] > own[1] > 0 and own[2] > 0 and own[3] == 0
+    # Against plain Python: one weight for each n-gram is the dot product with the expected n-grams.
+    p = np.array([0.5, 0.25, 1.0, 0.125])
+    assert np.isclose(grams.add(v) @ p, grams.seen(p) @ v)
+    assert len(grams.id) == sum(max(0, len(x.encode()) + 2 - n + 1) for x in ("réeuxê", "réeuxvi", "réeuxpa", "plain") for n in toxicity.SIZES)
+
+
 # 6
 
 

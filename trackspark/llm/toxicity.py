@@ -1,8 +1,9 @@
 """Toxic spans by a linear-chain conditional random field over letter runs.
 
-Document labels become token labels by a lexicon: the words that occur in enough toxic texts (copies of a
-text count once) and hardly in others, so that wrong labels and long texts teach no word. The field has two states, features of a word and its two neighbours (hashed)
-and transitions. Forward-backward marginals give spans, and their maximum and sum, calibrated on the
+Document labels become token labels by a lexicon, found in rounds: the words that occur in enough of the toxic
+texts that no chosen word explains yet (copies of a text count once) and hardly in others. So a language with few
+texts teaches its words too, and wrong labels and long texts teach none. The field has two states, features of a
+word, its byte n-grams and its two neighbours (hashed), and transitions. Forward-backward marginals give spans, and their maximum and sum, calibrated on the
 labelled texts, the score of a document.
 
 A batch of texts is one chain whose transitions are cut where a text begins. Its 2 x 2 products are scanned
@@ -16,16 +17,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .words import NOT_LETTER, Words, by_size, mix
+from .words import LOWER, NOT_LETTER, Words, by_size, mix, text_bytes
 
 #: Labelled rows that are learned from, toxic and other, as expected by hashing; all where there are fewer.
 TOXIC_ROWS, OTHER_ROWS = 700, 1400
 BUCKETS = 1 << 20
-#: A lexicon word is in this share of the toxic texts at least, and so many times likelier there.
-SUPPORT, LIFT = 0.06, 12.0
+#: Hashed byte n-grams of a word with a blank on either side, and their sizes.
+GRAMS, SIZES = 1 << 18, (4, 6)
+#: A lexicon word is in this share of the toxic texts not explained yet (LEAST texts at least), and so many times likelier in toxic texts.
+SUPPORT, LEAST, LIFT = 0.06, 4, 12.0
 STEPS = 40
-#: How much a neighbouring word counts against the word itself: rare neighbours must not explain a label away.
+#: How much a neighbouring word, and the n-grams of a word, count against the word itself: rare neighbours must not explain a label away.
 NEIGHBOUR = np.array([1.0, 0.25, 0.25])
+GRAM = 0.25
 SPAN = 0.5
 #: Tokens in the chain at a time in training, give or take a text.
 CHAIN = 1 << 17
@@ -87,13 +91,13 @@ def marginals(emit: np.ndarray, start: np.ndarray, trans: np.ndarray, pairs: boo
     return p, joint.sum(axis=1).reshape(2, 2)
 
 
-def _in_parts(bias, w, f, start, trans, cuts):
-    """marginals and pair marginals of all tokens, cut where texts begin."""
+def _in_parts(bias, w, f, own, start, trans, cuts):
+    """marginals and pair marginals of all tokens, cut where texts begin. own: what the n-grams of each token's word add."""
     p, pair = np.empty(len(start)), np.zeros((2, 2))
     for a, b in zip(cuts[:-1], cuts[1:], strict=True):
         if a < b:
-            p[a:b], own = marginals(bias + sum(k * x[y[a:b]] for k, x, y in zip(NEIGHBOUR, w, f, strict=True)), start[a:b], trans, pairs=True)
-            pair += own
+            p[a:b], joint = marginals(bias + own[a:b] + sum(k * x[y[a:b]] for k, x, y in zip(NEIGHBOUR, w, f, strict=True)), start[a:b], trans, pairs=True)
+            pair += joint
     return p, pair
 
 
@@ -107,8 +111,44 @@ def features(h: np.ndarray, start: np.ndarray) -> np.ndarray:
     return (stack % np.uint64(BUCKETS)).astype(np.int64)
 
 
+class Grams:
+    """Byte n-grams of the distinct words of some texts: of (distinct word of each token), id and word of each n-gram, scale (of each distinct word)."""
+
+    def __init__(self, words: Words, column):
+        data, _ = text_bytes(column)
+        _, at, self.of = np.unique(words.hash, return_index=True, return_inverse=True)
+        a, size = words.start[at], words.end[at] - words.start[at]
+        ends = np.cumsum(size + 2)
+        first = ends - size - 2
+        raw = np.full(int(ends[-1]) if len(ends) else 0, ord(" "), np.uint8)
+        to = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+        raw[to + np.repeat(first + 1, size)] = LOWER[data[to + np.repeat(a, size)]]
+        word = np.repeat(np.arange(len(at)), size + 2)
+        ids, owners = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+        for n in SIZES:
+            here = np.flatnonzero(np.arange(len(raw)) + n <= ends[word])
+            h = np.full(len(here), n, np.uint64)
+            for j in range(n):
+                h = h * np.uint64(0x100000001B3) + raw[here + j]
+            ids.append((mix(h) % np.uint64(GRAMS)).astype(np.int32))
+            owners.append(word[here])
+        self.id, self.word = np.concatenate(ids), np.concatenate(owners)
+        self.scale = GRAM / np.sqrt(np.maximum(1, np.bincount(self.word, minlength=len(at))))
+
+    def add(self, v: np.ndarray) -> np.ndarray:
+        """What weights v of the n-grams add to each token."""
+        return (self.scale * np.bincount(self.word, v[self.id], len(self.scale)))[self.of]
+
+    def seen(self, p: np.ndarray) -> np.ndarray:
+        """Expected n-grams, where p says how likely each token is."""
+        return np.bincount(self.id, (self.scale * np.bincount(self.of, p, len(self.scale)))[self.word], GRAMS)
+
+
 def lexicon(texts: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
-    """Hashes of the words that mark toxic texts: in enough of them, and much rarer in others."""
+    """Hashes of the words that mark toxic texts, in rounds: in enough of those not explained yet, and much rarer in other than toxic texts.
+
+    The lift is taken over all toxic texts, so that what is left late, of one language perhaps, teaches none of its common words.
+    """
     sets = {}
     for words, bad in zip(texts, toxic, strict=True):
         own = np.unique(words)
@@ -123,7 +163,15 @@ def lexicon(texts: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
     at[at == len(known)] = 0
     other = np.where(known[at] == word, n[at], 0) if len(known) else np.zeros(len(word))
     lift = (k / len(bad)) / ((other + 0.5) / (len(good) + 1))
-    return word[(k >= max(6, SUPPORT * len(bad))) & (lift >= LIFT)]
+    rare, found = word[lift >= LIFT], np.zeros(0, np.uint64)
+    while bad:
+        word, k = np.unique(np.concatenate(bad), return_counts=True)
+        new = word[(k >= max(LEAST, SUPPORT * len(bad))) & np.isin(word, rare)]
+        if not len(new):
+            break
+        found = np.union1d(found, new)
+        bad = [x for x in bad if not np.isin(x, new).any()]
+    return found
 
 
 def _fit_scale(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -150,7 +198,7 @@ def summary(p: np.ndarray, first: np.ndarray) -> np.ndarray:
 def train(docs: DataFrame, labels: DataFrame, text: str = "text", id: str = "doc_id", label: str = "toxic", seed: int = 3):
     """(feature weights, transitions, score weights, lexicon) from labelled rows. labels: id, label (0 or 1).
 
-    The rows are chosen by a hash of the id; their words, bounded in number of rows, are fitted on the driver.
+    The rows are chosen by a hash of the id; their texts, bounded in number of rows, are fitted on the driver.
     """
     labels = labels.filter(F.col(label).isNotNull() & F.col(id).isNotNull()).select(F.col(id).alias("_id"), F.col(label).cast("int").alias("_y"))
     n = {r[0]: r[1] for r in labels.filter("_y in (0, 1)").groupBy("_y").count().collect()}
@@ -159,43 +207,44 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", id: str = "doc
     # The chosen labels are bounded by TOXIC_ROWS + OTHER_ROWS, give or take the hash.
     rows = docs.select(F.col(id).alias("_id"), F.col(text).alias("_t")).join(F.broadcast(chosen), "_id")
 
-    def words(batches):
-        for batch in by_size(batches, "_t"):
-            w = Words(batch.column("_t"), NOT_LETTER)
-            blobs = [w.hash[w.first[i] : w.first[i + 1]].tobytes() for i in range(w.n_docs)]
-            yield pa.RecordBatch.from_arrays([batch.column("_id").cast(pa.string()), batch.column("_y"), pa.array(blobs, pa.binary())], ["id", "y", "w"])
+    got = rows.select(F.col("_id").cast("string").alias("id"), F.col("_y").alias("y"), "_t").orderBy("id", "_t").toArrow()
+    return fit(got.column("_t"), got.column("y").to_numpy() == 1)
+
 
-    got = rows.select("_id", "_y", "_t").mapInArrow(words, "id string, y int, w binary").orderBy("id", "w").toArrow()
-    texts, y = [np.frombuffer(x.as_buffer(), np.uint64) for x in got.column("w")], got.column("y").to_numpy() == 1
+def fit(column: pa.ChunkedArray, y: np.ndarray):
+    """The model from texts and whether they are toxic."""
+    words = Words(column, NOT_LETTER)
+    texts = [words.hash[a:b] for a, b in zip(words.first[:-1], words.first[1:], strict=True)]
     marks = lexicon(texts, y)
     weights, trans = np.zeros(BUCKETS), np.zeros((2, 2))
     if not y.any() or y.all() or not len(marks):
         return weights, trans, np.array([-3.0, 0.0, 0.0]), marks
-    sizes = [len(x) for x in texts]
-    h = np.concatenate(texts)
-    first = np.concatenate([[0], np.cumsum(sizes)])
-    doc = np.repeat(np.arange(len(texts)), sizes)
+    h, first, doc = words.hash, words.first, words.doc
     start = np.zeros(len(h), bool)
-    start[first[:-1][np.array(sizes) > 0]] = True
+    start[first[:-1][words.count > 0]] = True
     gold = np.isin(h, marks) & y[doc]
-    f = features(h, start).astype(np.int32)
+    f, grams = features(h, start).astype(np.int32), Grams(words, column)
     # Whole texts go through the chain some at a time, which bounds the driver's memory.
     cuts = [0, *first[np.flatnonzero(np.diff(first // CHAIN)) + 1], len(h)]
     emit_seen = np.stack([np.bincount(x, gold.astype(float), BUCKETS) for x in f])
+    gram_seen, v, v_total = grams.seen(gold.astype(float)), np.zeros(GRAMS), np.zeros(GRAMS)
     pair_seen = np.zeros((2, 2))
     np.add.at(pair_seen, (gold[:-1][~start[1:]].astype(int), gold[1:][~start[1:]].astype(int)), 1)
     bias, total, w = np.log((gold.sum() + 1) / (len(h) + 2)), np.zeros((3, BUCKETS)), np.zeros((3, BUCKETS))
     trans_total = np.zeros((2, 2))
     for _ in range(STEPS):  # AdaGrad on the penalised log likelihood
-        p, pair = _in_parts(bias, w, f, start, trans, cuts)
+        p, pair = _in_parts(bias, w, f, grams.add(v), start, trans, cuts)
         grad = NEIGHBOUR[:, None] * (emit_seen - np.stack([np.bincount(x, p, BUCKETS) for x in f])) - 0.05 * w
         total += grad**2
         w += 1.2 * grad / np.sqrt(total + 1e-6)
+        grad = gram_seen - grams.seen(p) - 0.05 * v
+        v_total += grad**2
+        v += 1.2 * grad / np.sqrt(v_total + 1e-6)
         step = (pair_seen - pair) - 0.05 * trans
         trans_total += step**2
         trans = trans + 0.3 * step / np.sqrt(trans_total + 1e-6)
-    weights = np.concatenate([[bias], (NEIGHBOUR[:, None] * w).ravel()]).astype(np.float32)
-    p, _ = _in_parts(bias, w, f, start, trans, cuts)
+    weights = np.concatenate([[bias], (NEIGHBOUR[:, None] * w).ravel(), v]).astype(np.float32)
+    p, _ = _in_parts(bias, w, f, grams.add(v), start, trans, cuts)
     return weights, trans, _fit_scale(summary(p, first), y.astype(float)), marks
 
 
@@ -207,7 +256,7 @@ def score(docs: DataFrame, model, text: str = "text", spans: bool = True) -> Dat
     """
     docs = docs.drop("score", "spans")
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "score double", *["spans array<struct<start:bigint,end:bigint,p:double>>"] * spans])
-    held = docs.sparkSession.sparkContext.broadcast(model[:3])  # bounded by BUCKETS
+    held = docs.sparkSession.sparkContext.broadcast(model[:3])  # bounded by BUCKETS and GRAMS
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("p", pa.float64())]))
 
     def run(batches):
@@ -218,7 +267,7 @@ def score(docs: DataFrame, model, text: str = "text", spans: bool = True) -> Dat
             start[w.first[:-1][w.count > 0]] = True
             if len(weights) > BUCKETS:
                 f = features(w.hash, start)
-                emit = weights[0] + weights[1:][f[0]] + weights[1 + BUCKETS :][f[1]] + weights[1 + 2 * BUCKETS :][f[2]]
+                emit = weights[0] + weights[1:][f[0]] + weights[1 + BUCKETS :][f[1]] + weights[1 + 2 * BUCKETS :][f[2]] + Grams(w, batch.column(text)).add(weights[1 + 3 * BUCKETS :])
                 p, _ = marginals(emit.astype(np.float64), start, trans)
             else:
                 p = np.zeros(len(w.hash))
