@@ -1,9 +1,11 @@
 """Edge rules and properties that the demo tracks don't reach."""
 
 import math
+from decimal import ROUND_HALF_UP, Decimal
 
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from trackspark.functions.geo import ecef, geodetic, haversine, round_up, shortest_delta
@@ -107,6 +109,82 @@ def test_groups_begin_at_the_anchor(spark):
     assert [r[0] for r in fusion.group_by_time(df, 100).orderBy("seq").select("group_id").collect()] == [0, 0, 1, 1, 2]
 
 
+FUSED = "entity string, source string, priority int, seq bigint, time_ms double, lat double, lon double, ele double, hdop double, sat double, group_id bigint"
+
+
+def plain_fusion(rows, points=(), intervals=()):
+    """The reference's autoCombine in plain Python: {(entity, group): (source, seq, skipped, confidence, reason)}."""
+    fixed = lambda x, n=2: f"{Decimal(x).quantize(Decimal(1).scaleb(-n), ROUND_HALF_UP)}"  # noqa: E731  as toFixed
+    groups, out = {}, {}
+    for r in sorted(rows, key=lambda r: (r[4], r[1], r[3])):
+        groups.setdefault((r[0], r[10]), []).append(r)
+    for (entity, group), all in groups.items():
+        mean, ranked = sum(r[4] for r in all) / len(all), []
+        for r in all:
+            score, why = r[2] * 100, [f"source priority {r[2]}"]
+            if r[8] is not None:
+                bonus = max(0, min(10, 10 - r[8]))
+                score, why = score + bonus, [*why, f"HDOP {fixed(r[8])} (+{fixed(bonus)})"]
+            if r[9] is not None:
+                bonus = min(r[9], 12) * 0.5
+                score, why = score + bonus, [*why, f"{r[9]:.0f} satellites (+{fixed(bonus)})"]
+            off = abs(r[4] - mean)
+            if off > 0:
+                score, why = score - off / 1000, [*why, f"{fixed(off, 0)} ms from group time (-{fixed(off / 1000)})"]
+            ranked.append((-score, r[1], "; ".join(why)))
+        ranked.sort(key=lambda x: x[:2])
+        source, why = ranked[0][1:]
+        sure = 1 if len(ranked) == 1 else max(0.5, min(1, 0.5 + (ranked[1][0] - ranked[0][0]) / 100))
+        span = next((x for x in intervals if x[0] == entity and x[2] <= mean <= x[3]), None)
+        exact = next((x[2] for x in points if x[:2] == (entity, group)), None)
+        if exact:
+            source, sure, why = exact, 1, f"manual point override selected source {exact}"
+        elif span and any(r[1] == span[1] for r in all):
+            source, sure, why = span[1], 1, "manual interval"
+        first = next(r for r in all if r[1] == source)
+        out[entity, group] = (source, first[3], [r[1] for r in all if r is not first], sure, why)
+    return out
+
+
+def test_fusion_equals_plain_scoring(spark):
+    rng = np.random.default_rng(4)
+    rows = []
+    for i in range(300):
+        group, k = divmod(i, 4)
+        if rng.random() < 0.8:
+            hdop, sat = (None if rng.random() < 0.2 else float(x) for x in (rng.integers(0, 60) / 4, rng.integers(0, 16)))
+            source = "ABC"[rng.integers(3)]
+            rows.append((f"E{group % 2}", source, {"A": 1, "B": 2, "C": 2}[source], i, group * 10_000.0 + 500 * int(rng.integers(0, 4)), 0.0, float(i), None, hdop, sat, group // 2))
+    groups = spark.createDataFrame(rows, FUSED)
+    intervals = [("E0", "A", 0, 150_000), ("E0", "B", 100_000, 400_000), ("E1", "A", 300_000, 500_000)]
+    points = [(r[0], r[10], r[1]) for r in rows[20:120:25]]
+    for case in ((), (points, ()), ((), intervals), (points, intervals)):
+        want, got = plain_fusion(rows, *case), fusion.auto_combine(groups, *case).collect()
+        assert len(got) == len(want)
+        for r in got:
+            source, seq, skipped, sure, why = want[r["entity"], r["group_id"]]
+            assert (r["chosen"], r["seq"], r["skipped"], r["n"]) == (source, seq, skipped, len(skipped) + 1)
+            assert math.isclose(r["confidence"], sure, abs_tol=1e-9)
+            assert r["reason"].startswith(why) if why == "manual interval" else r["reason"] == why
+    sources = spark.createDataFrame([(e, s) for e in ("E0", "E1", "E2") for s in "ABC"], "entity string, track_id string")
+    want = plain_fusion(rows)
+    report = {(r["entity"], r["source"]): r for r in fusion.fusion_report(fusion.auto_combine(groups), sources).collect()}
+    assert len(report) == 9 and tuple(report["E2", "A"])[2:] == (0, 0, 0, 0.0)
+    for (e, s), r in report.items():
+        own = [x for k, x in want.items() if k[0] == e]
+        assert (r["chosen"], r["skipped"], r["groups"]) == (sum(x[0] == s for x in own), sum(x[2].count(s) for x in own), len(own))
+        assert math.isclose(r["mean_confidence"], sum(x[3] for x in own) / max(1, len(own)))
+
+
+def test_fusion_takes_the_highest_priority_and_refuses_wrong_overrides(spark):
+    rows = [("E", "A", 1, 0, 0.0, 0.0, 0.0, None, 0.5, 12.0, 0), ("E", "B", 3, 0, 100.0, 0.0, 0.0, None, 20.0, 3.0, 0)]
+    groups = spark.createDataFrame(rows, FUSED)
+    assert tuple(fusion.auto_combine(groups).select("chosen", "confidence").first()) == ("B", 1.0)
+    for case in (([("E", 0, "C")], []), ([("E", 7, "A")], []), ([], [("E", "C", 0, 1)]), ([], [("E", "A", 1, 0)])):
+        with pytest.raises(ValueError):
+            fusion.auto_combine(groups, *case)
+
+
 def test_empty_input(spark):
     df = track(spark, [])
     assert kinematics.kinematics(df).count() == ordered.quality_events(df).count() == ordered.dedupe(df, 5).count() == 0

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from datetime import UTC, datetime, timedelta
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import is_valid
@@ -10,9 +12,9 @@ from ..plans.scan import sorted_scan
 
 
 def fusion_candidates(df: DataFrame, sources: DataFrame) -> DataFrame:
-    """(entity, source, priority, seq, time_ms, lat, lon, ele, hdop) of valid timed points of sources (track_id, entity, priority)."""
+    """(entity, source, priority, seq, time_ms, lat, lon, ele, hdop, sat) of valid timed points of sources (track_id, entity, priority)."""
     rows = df.filter(F.col("time_ms").isNotNull() & is_valid(F.col("lat"), F.col("lon")))
-    return rows.join(sources, "track_id").select("entity", F.col("track_id").alias("source"), "priority", "seq", "time_ms", "lat", "lon", "ele", "hdop")
+    return rows.join(sources, "track_id").select("entity", F.col("track_id").alias("source"), "priority", "seq", "time_ms", "lat", "lon", "ele", "hdop", "sat")
 
 
 def group_by_time(candidates: DataFrame, tolerance_ms: float) -> DataFrame:
@@ -38,22 +40,96 @@ def group_by_time(candidates: DataFrame, tolerance_ms: float) -> DataFrame:
     return rows.withColumn("group_id", (F.sum(F.col("_start").cast("int")).over(upto) - 1).cast("bigint")).drop("_start", "_o")
 
 
-def auto_combine(groups: DataFrame) -> DataFrame:
-    """(entity, group_id, chosen, seq, time_ms, lat, lon, ele, n, skipped): the best source of each group.
+def _plain(c: Column) -> Column:
+    """A number as text, whole ones without a fraction."""
+    return F.when(c == F.floor(c), F.floor(c).cast("string")).otherwise(c.cast("string"))
+
+
+def score_candidates(groups: DataFrame) -> DataFrame:
+    """Adds group_time_ms (mean), score and reason. More is better: 100 for each priority, then dilution of precision, satellites, time."""
+    rows = groups.withColumn("group_time_ms", F.avg("time_ms").over(Window.partitionBy("entity", "group_id")))
+    precise = F.greatest(F.lit(0.0), F.least(F.lit(10.0), 10 - F.col("hdop")))
+    seen = F.least(F.col("sat"), F.lit(12.0)) * 0.5
+    off = F.abs(F.col("time_ms") - F.col("group_time_ms"))
+    precise, seen = F.when(F.col("hdop").isNotNull(), precise), F.when(F.col("sat").isNotNull(), seen)
+    score = F.col("priority") * 100.0 + F.coalesce(precise, F.lit(0.0)) + F.coalesce(seen, F.lit(0.0)) - off / 1000
+    reason = F.concat_ws(
+        "; ",
+        F.concat(F.lit("source priority "), _plain(F.col("priority"))),
+        F.when(precise.isNotNull(), F.format_string("HDOP %.2f (+%.2f)", F.col("hdop").cast("double"), precise)),
+        F.when(seen.isNotNull(), F.concat(_plain(F.col("sat")), F.format_string(" satellites (+%.2f)", seen))),
+        F.when(off > 0, F.format_string("%.0f ms from group time (-%.2f)", off, off / 1000)),
+    )
+    return rows.withColumns({"score": score, "reason": reason})
+
+
+def _iso(ms: float) -> str:
+    return (datetime(1970, 1, 1, tzinfo=UTC) + timedelta(milliseconds=int(ms))).isoformat(timespec="milliseconds").replace("+00:00", "Z")
+
+
+def _check_overrides(groups: DataFrame, points: list, intervals: list, sources: DataFrame | None) -> None:
+    spark = groups.sparkSession
+    if any(not a <= b for _, _, a, b in intervals):
+        raise ValueError("An interval override needs a start at or before its end")
+    if points:
+        wrong = spark.createDataFrame(points, "entity string, group_id bigint, source string").join(groups, ["entity", "group_id", "source"], "left_anti").first()
+        if wrong:
+            raise ValueError(f"Point override of a group or source that isn't there: {tuple(wrong)}")
+    if intervals:
+        known = groups.select("entity", "source") if sources is None else sources.select("entity", F.col("track_id").alias("source"))
+        wrong = spark.createDataFrame([x[:2] for x in intervals], "entity string, source string").join(known, ["entity", "source"], "left_anti").first()
+        if wrong:
+            raise ValueError(f"Interval override of a source that isn't there: {tuple(wrong)}")
+
+
+def auto_combine(groups: DataFrame, point_overrides: list | None = None, interval_overrides: list | None = None, sources: DataFrame | None = None) -> DataFrame:
+    """(entity, group_id, group_time_ms, chosen, seq, time_ms, lat, lon, ele, hdop, sat, n, skipped, confidence, reason) of each group.
+
+    The candidate of the highest score, then of the first name, tells the source; that source's first candidate in
+    the group is the point, and skipped are the sources of all other candidates in order of time, each as often as
+    it has one. Confidence is 0.5 to 1 by the gap to the second score, 1 where there is none.
 
-    A source scores by priority (lower first), then by dilution of precision (missing last), then by name; the
-    first candidate of the chosen source in the group is the point.
+    point_overrides: (entity, group_id, source); interval_overrides: (entity, source, start_ms, end_ms), both ends
+    inside. A point override beats an interval override, that beats the score; both have confidence 1. Only the first
+    that matches counts; where an interval's source is absent from the group the score decides. Overrides of what
+    isn't there (of sources, if given) are refused.
     """
-    order = F.struct("priority", F.coalesce("hdop", F.lit(1e9)), "source", "time_ms", "seq")
-    best = groups.groupBy("entity", "group_id").agg(F.min_by(F.struct("source"), order).alias("best"), F.count("*").alias("n"), F.array_sort(F.collect_set("source")).alias("all"))
-    first = groups.groupBy("entity", "group_id", "source").agg(F.min_by(F.struct("seq", "time_ms", "lat", "lon", "ele"), F.struct("time_ms", "seq")).alias("p"))
-    out = best.join(first, ["entity", "group_id"]).filter(F.col("source") == F.col("best.source"))
-    return out.select("entity", "group_id", F.col("source").alias("chosen"), "p.*", "n", F.concat_ws(",", F.array_except("all", F.array("source"))).alias("skipped"))
+    points, intervals = list(point_overrides or []), list(interval_overrides or [])
+    _check_overrides(groups, points, intervals, sources)
+    key = ["entity", "group_id"]
+    ranked = score_candidates(groups).withColumn("_rank", F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("score"), "source", "time_ms", "seq")))
+    out = ranked.groupBy(*key).agg(
+        F.first("group_time_ms").alias("group_time_ms"),
+        F.min_by(F.struct("source", "reason", "score"), "_rank").alias("_best"),
+        F.max(F.when(F.col("_rank") == 2, F.col("score"))).alias("_second"),
+        F.array_sort(F.collect_list(F.struct("time_ms", "source", "seq", "lat", "lon", "ele", "hdop", "sat"))).alias("_all"),
+    )
+    exact: dict = {}
+    for entity, group, source in points:
+        exact.setdefault((entity, group), source)
+    spans: dict = {}
+    for entity, source, start, end in intervals:
+        spans.setdefault(entity, []).append((source, float(start), float(end), f"manual interval override ({_iso(start)} – {_iso(end)}) selected source {source}"))
+    spark = groups.sparkSession
+    # Overrides are made by hand: a row for each point, and one for each entity with its intervals in order.
+    out = out.join(F.broadcast(spark.createDataFrame([(*k, v) for k, v in exact.items()], "entity string, group_id bigint, _exact string")), key, "left")
+    out = out.join(F.broadcast(spark.createDataFrame(list(spans.items()), "entity string, _spans array<struct<source:string,start:double,end:double,reason:string>>")), "entity", "left")
+    out = out.withColumn("_span", F.get(F.filter("_spans", lambda x: (F.col("group_time_ms") >= x["start"]) & (F.col("group_time_ms") <= x["end"])), F.lit(0)))
+    out = out.withColumn("_span", F.when(F.exists("_all", lambda x: x["source"] == F.col("_span.source")), F.col("_span")))
+    out = out.withColumn("chosen", F.coalesce("_exact", "_span.source", "_best.source"))
+    out = out.withColumn("_p", F.get(F.filter("_all", lambda x: x["source"] == F.col("chosen")), F.lit(0)))
+    rest = F.filter("_all", lambda x: (x["source"] != F.col("_p.source")) | (x["seq"] != F.col("_p.seq")))
+    gap = F.greatest(F.lit(0.5), F.least(F.lit(1.0), 0.5 + (F.col("_best.score") - F.col("_second")) / 100))
+    reason = F.coalesce(F.concat(F.lit("manual point override selected source "), F.col("_exact")), F.col("_span.reason"), F.col("_best.reason"))
+    confidence = F.when(F.col("_exact").isNotNull() | F.col("_span").isNotNull() | F.col("_second").isNull(), F.lit(1.0)).otherwise(gap)
+    point = [F.col(f"_p.{c}").alias(c) for c in ("seq", "time_ms", "lat", "lon", "ele", "hdop", "sat")]
+    return out.select(*key, "group_time_ms", "chosen", *point, F.size("_all").cast("bigint").alias("n"), F.transform(rest, lambda x: x["source"]).alias("skipped"), confidence.alias("confidence"), reason.alias("reason"))
 
 
 def fusion_report(decisions: DataFrame, sources: DataFrame) -> DataFrame:
-    """(entity, source, chosen, skipped): how often, with zeros."""
+    """(entity, source, chosen, skipped, groups, mean_confidence): how often, with zeros; groups and their mean confidence are the entity's."""
     chosen = decisions.groupBy("entity", F.col("chosen").alias("source")).agg(F.count("*").alias("chosen"))
-    skipped = decisions.select("entity", F.explode(F.split("skipped", ",")).alias("source")).groupBy("entity", "source").agg(F.count("*").alias("skipped"))
-    out = sources.select("entity", F.col("track_id").alias("source")).join(chosen, ["entity", "source"], "left").join(skipped, ["entity", "source"], "left")
-    return out.fillna(0, ["chosen", "skipped"])
+    skipped = decisions.select("entity", F.explode("skipped").alias("source")).groupBy("entity", "source").agg(F.count("*").alias("skipped"))
+    whole = decisions.groupBy("entity").agg(F.count("*").alias("groups"), F.avg("confidence").alias("mean_confidence"))
+    out = sources.select("entity", F.col("track_id").alias("source")).join(chosen, ["entity", "source"], "left").join(skipped, ["entity", "source"], "left").join(whole, "entity", "left")
+    return out.fillna(0, ["chosen", "skipped", "groups", "mean_confidence"])
