@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .demo_tracks import POINTS_SQL, points, sql_bearing, sql_haversine, sql_valid
@@ -277,6 +277,28 @@ _add(
     "at_ms lat ele",
 )
 
+
+
+# The same for all tracks, each against the next: no twin, since the correlated subqueries are quadratic; held against plain Python.
+def _ring(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both sides of the pairs of each track with the next, the last with the first; the key of a pair has both names."""
+    df, one = P.drop_invalid(df), Window.partitionBy(F.lit(1)).orderBy("track_id")
+    ids = df.select("track_id").distinct()  # a row for each track
+    ids = ids.select("track_id", F.coalesce(F.lead("track_id").over(one), F.min("track_id").over(Window.partitionBy(F.lit(1)))).alias("next"))
+    pairs = ids.withColumn("pair", F.concat_ws("-", "track_id", "next"))
+    side = lambda c: df.join(pairs.select(F.col(c).alias("track_id"), "pair"), "track_id").drop("track_id").withColumnRenamed("pair", "track_id")
+    return side("track_id"), side("next")
+
+
+_ring_rel = lambda df: J.relative_position(J.align_nearest(*_ring(df), 3000))
+_add("align_nearest_all", lambda df: J.align_nearest(*_ring(df), 3000))
+_add("align_interpolated_all", lambda df: J.align_interpolated(*_ring(df), 15000).select("pair", "ref_seq", "ref_time", "tgt_seq", "tgt_after_seq", "fraction"))
+_add("relative_position_all", lambda df: _ring_rel(df).select("pair", "ref_seq", "east_m", "north_m", "up_m", "horizontal_m", "slant_m", "bearing_deg", "altitude_separation_m", "closure_mps"), digits=4)
+_add("clock_drift_all", lambda df: J.clock_drift(J.align_nearest(*_ring(df), 3000)), digits=4)
+_add("closest_approach_all", lambda df: J.closest_approach(_ring_rel(df)).select("pair", "ref_seq", "tgt_seq", "slant_m"), digits=4)
+_add("comparison_range_stats_all", lambda df: _ring_rel(df).groupBy("pair").agg(F.min("slant_m").alias("min_slant"), F.max("slant_m").alias("max_slant"), F.avg("slant_m").alias("mean_slant"), F.avg("horizontal_m").alias("mean_horizontal")), digits=4)
+_add("position_at_time_all", lambda df: J.position_at_time(P.drop_invalid(df), df.filter("time_ms is not null").select("track_id", (F.col("time_ms") + 100).alias("at_ms")), 20000.0))
+
 # Grids, gaps and fusion.
 _add(
     "resample_fixed_rate",
@@ -304,11 +326,18 @@ def _sources(df: DataFrame) -> DataFrame:
     return ids.select("track_id", F.lit("E").alias("entity"), (F.substring("track_id", 2, 1).cast("int") + 1).alias("priority"))
 
 
-_groups = lambda df: U.group_by_time(U.fusion_candidates(df, _sources(df)), 1500)
+def _all_sources(df: DataFrame) -> DataFrame:
+    """All tracks, in threes: T0 to T2 are of entity E0, and so on."""
+    number = F.substring("track_id", 2, 10).cast("int")
+    return df.select("track_id").distinct().select("track_id", F.concat(F.lit("E"), F.floor(number / 3).cast("string")).alias("entity"), (number % 3 + 1).alias("priority"))
+
+
+_groups = lambda df: U.group_by_time(U.fusion_candidates(df, _all_sources(df)), 1500)
+_add("fusion_candidates_all", lambda df: U.fusion_candidates(df, _all_sources(df)).select("entity", "source", "priority", "seq", "time_ms"))
 _add("fusion_candidates", lambda df: U.fusion_candidates(df, _sources(df)).select("entity", "source", "priority", "seq", "time_ms"), f"SELECT 'E' AS entity, track_id AS source, substr(track_id, 2, 1)::INT + 1 AS priority, seq, time_ms FROM points WHERE track_id IN ('T0', 'T1', 'T2') AND time_ms IS NOT NULL AND {sql_valid()}", "time_ms")
 _add("fusion_groups", lambda df: _groups(df).groupBy("entity", "group_id").agg(F.count("*").alias("n"), F.min("time_ms").alias("anchor")))
 _add("fusion_decisions", lambda df: U.auto_combine(_groups(df)))
-_add("fusion_report", lambda df: U.fusion_report(U.auto_combine(_groups(df)), _sources(df)))
+_add("fusion_report", lambda df: U.fusion_report(U.auto_combine(_groups(df)), _all_sources(df)))
 _add("round_up", lambda df: df.select("track_id", "seq", round_up(F.col("ele") - 100, 0).alias("r")), "SELECT track_id, seq, floor(ele - 100 + 0.5) AS r FROM points", "r")
 
 # Health.
