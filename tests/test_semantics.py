@@ -185,6 +185,74 @@ def test_fusion_takes_the_highest_priority_and_refuses_wrong_overrides(spark):
             fusion.auto_combine(groups, *case)
 
 
+def test_track_diff_pairs_by_order(spark):
+    rows = [(i / 100, 0, i, i * 1000) for i in range(40)]
+    diff = lambda after: align.track_diff_ordered(track(spark, rows), track(spark, after)).first()
+    pick = lambda r: (r["alignment"], r["unchanged"], r["modified"], r["added"], r["removed"])
+    assert pick(diff([r for i, r in enumerate(rows) if i % 10])) == ("subsequence", 36, 0, 0, 4)  # renumbered by the deletion
+    assert pick(diff([*rows[:5], (50, 0, 0, 1), (51, 0, 0, 2), *rows[5:]])) == ("subsequence", 40, 0, 2, 0)
+    assert pick(diff([(9, 9, *r[2:]) for r in rows[1:]])) == ("rebuilt", 0, 0, 0, 0)
+    shifted = diff([(r[0], r[1], None if i == 3 else r[2] + (i == 7), r[3] + 500 * (i == 9)) for i, r in enumerate(rows)])
+    assert pick(shifted) == ("index", 37, 3, 0, 0) and (shifted["position"], shifted["elevation"], shifted["time"]) == (False, True, True)
+    assert (shifted["max_position_shift_m"], shifted["max_elevation_shift_m"], shifted["max_time_shift_ms"]) == (0, 1, 500)
+    moved = diff([(r[0] + (i == 2), *r[1:]) for i, r in enumerate(rows)])
+    assert abs(moved["max_position_shift_m"] - 111195) < 1
+    long = [(i / 1000, 0, i, i) for i in range(200)]
+    ahead = align.track_diff_ordered(track(spark, long), track(spark, long[63:])).first()
+    beyond = align.track_diff_ordered(track(spark, long), track(spark, long[65:])).first()
+    assert pick(ahead) == ("subsequence", 137, 0, 0, 63) and pick(beyond)[0] == "rebuilt"
+
+
+def plain_cubic(xs, ys, x):
+    """The reference's fitMonotoneCubic and evaluateMonotoneCubic."""
+    n, d = len(xs), [(ys[i + 1] - ys[i]) / (xs[i + 1] - xs[i]) for i in range(len(xs) - 1)]
+    m = [d[0], *(0 if p == 0 or q == 0 or (p < 0) != (q < 0) else (p + q) / 2 for p, q in zip(d, d[1:])), d[-1]]
+    for k in range(n - 1):
+        if d[k] == 0:
+            m[k] = m[k + 1] = 0
+            continue
+        a, b = max(0, m[k] / d[k]), max(0, m[k + 1] / d[k])
+        m[k], m[k + 1] = (0 if m[k] / d[k] < 0 else m[k]), (0 if m[k + 1] / d[k] < 0 else m[k + 1])
+        if a * a + b * b > 9:
+            t = 3 / math.sqrt(a * a + b * b)
+            m[k], m[k + 1] = t * a * d[k], t * b * d[k]
+    if x >= xs[-1]:
+        return ys[-1]
+    k = max(i for i in range(n - 1) if xs[i] <= x)
+    h = xs[k + 1] - xs[k]
+    t = (x - xs[k]) / h
+    return (2 * t**3 - 3 * t**2 + 1) * ys[k] + (t**3 - 2 * t**2 + t) * h * m[k] + (3 * t**2 - 2 * t**3) * ys[k + 1] + (t**3 - t**2) * h * m[k + 1]
+
+
+def test_resample_by_distance_equals_plain_cubic(spark):
+    rng = np.random.default_rng(6)
+    rows, lon = [], 179.97
+    for i in range(60):
+        lon += float(rng.choice([0.0001, 0.002, 0.004]))
+        rows.append((10 + float(rng.integers(0, 5)) / 1000 * (i % 7 > 2), (lon + 180) % 360 - 180, float(rng.integers(0, 3)) * 50, i * 1000 + float(rng.integers(0, 900))))
+        if i % 9 == 0:
+            rows.append(rows[-1])  # coincides
+    df = track(spark, rows).unionByName(track(spark, [(0, 0, 0, 0), (0, 0.01, None, 5), (0, 0.02, 3, 4)], "B")).unionByName(track(spark, [(5, 5, 1, 1), (5, 5, 2, 2)], "C"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = {n: [r for r in all if r["track_id"] == n] for all in [resample.resample_by_distance(df, 500.0).orderBy("track_id", "distance_m").collect()] for n in "ABC"}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    knots = [r for i, r in enumerate(rows) if i == 0 or r != rows[i - 1]]
+    legs = spark.createDataFrame([(i, *map(float, (*p[:2], *q[:2]))) for i, (p, q) in enumerate(zip(knots, knots[1:]))], "i int, a double, b double, c double, d double")
+    xs = [0.0, *np.cumsum([r[0] for r in legs.orderBy("i").select(haversine(F.col("a"), F.col("b"), F.col("c"), F.col("d"))).collect()])]
+    want = [k * 500.0 for k in range(int(xs[-1] // 500) + 1)] + [xs[-1]]
+    assert np.allclose([r["distance_m"] for r in got["A"]], want)
+    for j, (name, close) in enumerate([("lat", 1e-9), ("lon", 1e-9), ("ele", 1e-6), ("time_ms", 1e-5)]):
+        ys = [r[j] + 360 * (j == 1 and r[1] < 0) for r in knots]
+        for r, x in zip(got["A"], want):
+            y = plain_cubic(xs, ys, x)
+            assert abs(r[name] - (y - 360 * (j == 1 and y > 180))) < close, (name, x)
+    assert all(r["flags"] == ["interpolated", "monotone_cubic"] and r["hdop"] == 1 and r["sat"] == 8 for r in got["A"])
+    assert math.isclose(got["B"][-1]["lon"], 0.02) and {(r["ele"], r["time_ms"]) for r in got["B"]} == {(None, None)}
+    assert [(r["lat"], r["ele"], r["flags"]) for r in got["C"]] == [(5.0, 1.0, [])]
+
+
 def test_empty_input(spark):
     df = track(spark, [])
     assert kinematics.kinematics(df).count() == ordered.quality_events(df).count() == ordered.dedupe(df, 5).count() == 0

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geo import haversine, lerp, lerp_lon
+from ..functions.geo import haversine, lerp, lerp_lon, shortest_delta
+from ..plans.scan import sorted_scan
 
 
 def by_time():
@@ -67,23 +70,81 @@ def notional_fill(df: DataFrame, gap_ms: float = 3000.0, sample_ms: float = 1000
     return df.select("track_id", "time_ms", "lat", "lon", "ele", "flags").unionByName(new)
 
 
+def _limited(slope: float, ahead: float, secant: float) -> tuple[float, float]:
+    """The Fritsch-Carlson limiter: slopes at both ends of a leg that keep the cubic monotone on it."""
+    if secant == 0:
+        return 0.0, 0.0
+    a, b = slope / secant, ahead / secant
+    slope, ahead, a, b = 0.0 if a < 0 else slope, 0.0 if b < 0 else ahead, max(0.0, a), max(0.0, b)
+    if a * a + b * b > 9:
+        t = 3 / math.sqrt(a * a + b * b)
+        return t * a * secant, t * b * secant
+    return slope, ahead
+
+
 def resample_by_distance(df: DataFrame, interval_m: float) -> DataFrame:
-    """(track_id, distance_m, lat, lon, ele, time_ms) each so many metres along the valid points, and the last point.
+    """(track_id, distance_m, lat, lon, ele, time_ms, and hdop, sat where df has them, flags) each so many metres along the valid points, and the last point.
 
-    Each leg explodes the marks it passes; a leg of no length passes none.
+    Monotone cubics over the distance, points that coincide with the one before left out. A channel is null
+    throughout a track that lacks it anywhere, and so is a time that falls. Slopes come from neighbouring legs; the
+    limiter runs over the legs in order. A track of one place gives that point, without flags.
     """
-    w = Window.partitionBy("track_id").orderBy("seq")
+    w, whole = Window.partitionBy("track_id").orderBy("seq"), Window.partitionBy("track_id")
+    names = ["lat", "lon", "ele", "time_ms", *(c for c in ("hdop", "sat") if c in df.columns)]
     rows = df.filter("lat between -90 and 90 and lon between -180 and 180")
-    p = F.struct("lat", "lon", "ele", "time_ms")
-    rows = rows.select("track_id", "seq", p.alias("b"), F.lag(p).over(w).alias("a"))
-    leg = F.coalesce(haversine(F.col("a.lat"), F.col("a.lon"), F.col("b.lat"), F.col("b.lon")), F.lit(0.0))
-    rows = rows.withColumn("leg", leg).withColumn("d1", F.sum("leg").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("d0", F.col("d1") - F.col("leg"))
+    before = lambda c: F.lag(c).over(w)
+    rows = rows.withColumn("_leg", haversine(before("lat"), before("lon"), F.col("lat"), F.col("lon"))).filter("_leg is null or _leg > 0")
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    turn = F.coalesce(shortest_delta(before("lon"), F.col("lon")), F.lit(0.0))
+    rows = rows.withColumn("_turn", turn).withColumns({"lon": F.first("lon").over(upto) + F.sum("_turn").over(upto), "d1": F.sum(F.coalesce("_leg", F.lit(0.0))).over(upto)})
+    rows = rows.select("track_id", "seq", "d1", *(F.col(c).cast("double").alias(f"y_{c}") for c in names))
+    rows = rows.withColumns({"d0": before("d1"), "end": F.lead("d1").over(w).isNull(), **{f"p_{c}": before(f"y_{c}") for c in names}})
+    rows = rows.withColumns({f"l_{c}": (F.col(f"y_{c}") - F.col(f"p_{c}")) / (F.col("d1") - F.col("d0")) for c in names})
+    rows = rows.withColumns({f"s_{c}": F.lead(f"l_{c}").over(w) for c in names})
+
+    def slope(c: str):
+        left, right = F.col(f"l_{c}"), F.col(f"s_{c}")
+        flat = (left == 0) | (right == 0) | ((left < 0) != (right < 0))
+        return F.when(left.isNull() | right.isNull(), F.coalesce(left, right)).when(flat, 0.0).otherwise((left + right) / 2)
+
+    rows = rows.withColumns({f"m_{c}": slope(c) for c in names})
+    rows = rows.withColumns({f"n_{c}": F.lead(f"m_{c}").over(w) for c in names})
+    has = {c: F.count(f"y_{c}").over(whole) == F.count("seq").over(whole) for c in names}
+    has["time_ms"] &= F.coalesce(F.min("l_time_ms").over(whole) >= 0, F.lit(True))
+    rows = rows.withColumns({f"h_{c}": x for c, x in has.items()} | {f"q_{c}": F.lit(None).cast("double") for c in names})
+
+    def step(rows, carry):
+        carry = carry or {c: (math.nan, None) for c in names}
+        new = {}
+        for c in names:
+            final, mine = carry[c]
+            own, past = [], []
+            for m, ahead, secant in zip(rows[f"m_{c}"].tolist(), rows[f"n_{c}"].tolist(), rows[f"s_{c}"].tolist()):
+                past.append(final)
+                m = m if mine is None else mine
+                final, mine = (m, ahead) if secant is None or math.isnan(secant) else _limited(m, ahead, secant)
+                own.append(final)
+            carry[c] = (final, mine)
+            new |= {f"m_{c}": own, f"q_{c}": past}
+        return rows.assign(**new), carry
+
+    rows = sorted_scan(rows, step)
+    first = F.col("d0").isNull()
     low, high = F.floor(F.col("d0") / interval_m) + 1, F.floor(F.col("d1") / interval_m)
-    marks = F.when(F.col("a").isNull(), F.array(F.lit(0).cast("bigint"))).when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<bigint>"))
-    out = rows.select("track_id", "a", "b", "leg", "d0", F.explode(marks).alias("k")).withColumn("distance_m", F.col("k") * float(interval_m))
-    f = F.when(F.col("a").isNull(), 1.0).otherwise((F.col("distance_m") - F.col("d0")) / F.col("leg"))
-    at = lambda c, g: F.when(F.col("a").isNull(), F.col(f"b.{c}")).otherwise(g(F.col(f"a.{c}"), F.col(f"b.{c}"), f)).alias(c)
-    return out.select("track_id", "distance_m", at("lat", lerp), at("lon", lerp_lon), at("ele", lerp), at("time_ms", lerp))
+    marks = F.when(first, F.array(F.lit(0.0))).when(low <= high, F.transform(F.sequence(low, high), lambda k: k * float(interval_m))).otherwise(F.array().cast("array<double>"))
+    marks = F.when(F.col("end") & ~first & (high * float(interval_m) != F.col("d1")), F.concat(marks, F.array("d1"))).otherwise(marks)
+    out = rows.withColumn("distance_m", F.explode(marks))
+    h = F.col("d1") - F.col("d0")
+    t = (F.col("distance_m") - F.col("d0")) / h
+
+    def at(c: str):
+        y0, y1, m0, m1 = (F.col(f"{x}_{c}") for x in "pyqm")
+        cubic = (2 * t**3 - 3 * t**2 + 1) * y0 + (t**3 - 2 * t**2 + t) * h * m0 + (3 * t**2 - 2 * t**3) * y1 + (t**3 - t**2) * h * m1
+        y = F.when(F.col(f"h_{c}"), F.when(first | (F.col("distance_m") == F.col("d1")), y1).otherwise(cubic))
+        return (F.when(y.between(-180, 180), y).otherwise(F.pmod(y + 180, F.lit(360.0)) - 180) if c == "lon" else y).alias(c)
+
+    flags = F.when(first & F.col("end"), F.array().cast("array<string>")).otherwise(F.array(F.lit("interpolated"), F.lit("monotone_cubic")))
+    return out.select("track_id", "distance_m", *map(at, names), flags.alias("flags"))
 
 
 def drop_flagged(df: DataFrame, scores: DataFrame) -> DataFrame:

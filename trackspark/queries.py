@@ -268,6 +268,8 @@ _aligned("clock_drift", lambda df: J.clock_drift(J.align_nearest(*_pair(df), 300
 _aligned("closest_approach", lambda df: J.closest_approach(_rel(df)).select("pair", "ref_seq", "tgt_seq", "slant_m"), f"SELECT pair, ref_seq, tgt_seq, slant_m FROM ({_REL}) ORDER BY slant_m, ref_seq LIMIT 1", "slant_m", 4)
 _aligned("comparison_range_stats", lambda df: _rel(df).groupBy("pair").agg(F.min("slant_m").alias("min_slant"), F.max("slant_m").alias("max_slant"), F.avg("slant_m").alias("mean_slant"), F.avg("horizontal_m").alias("mean_horizontal")), f"SELECT pair, min(slant_m) AS min_slant, max(slant_m) AS max_slant, avg(slant_m) AS mean_slant, avg(horizontal_m) AS mean_horizontal FROM ({_REL}) GROUP BY pair", "min_slant max_slant mean_slant mean_horizontal", 4)
 _add("track_diff", lambda df: J.track_diff(df, P.shift_time(P.delete_points(df, df.filter("seq % 10 = 0")), 1)), "SELECT track_id, count(*) AS n_before, count(*) FILTER (WHERE seq % 10 <> 0) AS n_after, count(*) FILTER (WHERE seq % 10 <> 0 AND time_ms IS NOT NULL) AS n_modified, max(CASE WHEN seq % 10 <> 0 AND time_ms IS NOT NULL THEN 1000.0::DOUBLE END) AS max_time_shift_ms FROM points GROUP BY track_id", "max_time_shift_ms")
+_renumbered = lambda df: df.withColumn("seq", F.row_number().over(Window.partitionBy("track_id").orderBy("seq")) - 1)
+_add("track_diff_ordered", lambda df: J.track_diff_ordered(df, _renumbered(P.delete_points(df, df.filter("seq % 10 = 0")))))
 _add(
     "position_at_time",
     lambda df: J.position_at_time(P.drop_invalid(df), df.filter("seq % 20 = 0 and time_ms is not null").select("track_id", (F.col("time_ms") + 100).alias("at_ms")), 20000.0).select("track_id", "at_ms", "lat", "ele", "derived"),
@@ -318,7 +320,8 @@ _add(
     "time_ms lat ele",
     5,
 )
-_add("resample_by_distance", lambda df: R.resample_by_distance(df, 5000.0).groupBy("track_id").agg(F.count("*").alias("n"), F.max("distance_m").alias("last_m")), f"SELECT track_id, floor(d / 5000.0)::BIGINT + 1 AS n, floor(d / 5000) * 5000 AS last_m FROM (SELECT track_id, sum(coalesce(leg, 0)) AS d FROM (SELECT track_id, {sql_haversine('lag(lat) OVER w', 'lag(lon) OVER w', 'lat', 'lon')} AS leg FROM points WHERE {sql_valid()} {W_SQL}) GROUP BY track_id)", "last_m")
+_add("resample_by_distance", lambda df: R.resample_by_distance(df, 5000.0).filter("distance_m % 5000 = 0").groupBy("track_id").agg(F.count("*").alias("n"), F.max("distance_m").alias("last_m")), f"SELECT track_id, floor(d / 5000.0)::BIGINT + 1 AS n, floor(d / 5000) * 5000 AS last_m FROM (SELECT track_id, sum(coalesce(leg, 0)) AS d FROM (SELECT track_id, {sql_haversine('lag(lat) OVER w', 'lag(lon) OVER w', 'lat', 'lon')} AS leg FROM points WHERE {sql_valid()} {W_SQL}) GROUP BY track_id)", "last_m")
+_add("resample_by_distance_points", lambda df: R.resample_by_distance(df, 5000.0))
 
 
 def _sources(df: DataFrame) -> DataFrame:
