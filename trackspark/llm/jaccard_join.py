@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .components import components
+from .sketches import apart
 from .tables import lookup, materialise
 from .words import by_size, mix, shingle_sets
 
@@ -178,13 +179,6 @@ def _near(n1, n2):
     return (PERCENT * F.least(n1, n2)) >= (NEAR * F.greatest(n1, n2))
 
 
-def _folded(p, q):
-    """Lanes p, halved onto themselves where q has half as many: the sketch of the same set in half the bits."""
-    half = F.floor(F.size(p) / 2).cast("int")
-    fold = F.zip_with(F.slice(p, F.lit(1), half), F.slice(p, half + 1, half), lambda x, y: x.bitwiseXOR(y))
-    return F.when(F.size(p) > F.size(q), fold).otherwise(F.col(p))
-
-
 def _filtered(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """Pairs of keys (x, y) to pairs of class ids (a, b) that sizes and parity sketches allow.
 
@@ -192,9 +186,7 @@ def _filtered(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """
     side = lambda key, to, p: classes.select(F.col("key").alias(key), F.col("id").alias(to), F.col("n").alias(f"{p}_n"), F.col("lanes").alias(f"{p}_l"))
     both = pairs.join(side("x", "a", "p"), "x").join(side("y", "b", "q"), "y").filter("a <> b").filter(_near(F.col("p_n"), F.col("q_n")))
-    bits = F.zip_with(_folded("p_l", "q_l"), _folded("q_l", "p_l"), lambda x, y: F.bit_count(x.bitwiseXOR(y)).cast("int"))
-    apart = F.aggregate(bits, F.lit(0), lambda total, x: total + x)
-    return both.filter(apart * 9 <= F.col("p_n") + F.col("q_n")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return both.filter(apart("p_l", "q_l") * 9 <= F.col("p_n") + F.col("q_n")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
