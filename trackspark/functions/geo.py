@@ -85,3 +85,11 @@ def lerp(a: Column, b: Column, t: Column) -> Column:
 def lerp_lon(a: Column, b: Column, t: Column) -> Column:
     """The short way round, wrapped to -180..180."""
     return wrap180(a + shortest_delta(a, b) * t)
+
+
+def enu_to_geodetic(east: Column, north: Column, up: Column, lat0: Column, lon0: Column, height0: Column) -> tuple[Column, Column, Column]:
+    """Latitude, longitude and height of a point east, north and up of an origin."""
+    sa, ca, so, co = F.sin(F.radians(lat0)), F.cos(F.radians(lat0)), F.sin(F.radians(lon0)), F.cos(F.radians(lon0))
+    x, y, z = ecef(lat0, lon0, height0)
+    out = ca * up - sa * north  # away from the earth's axis
+    return geodetic(x + co * out - so * east, y + so * out + co * east, z + ca * north + sa * up)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..demo_tracks import by_seq
@@ -66,15 +66,43 @@ def edit_points(df: DataFrame, edits: DataFrame) -> DataFrame:
     return out.withColumn("stale", stale).drop("_hit", "_moved", "_near", *(f"_e_{c}" for c in changed))
 
 
-def delete_points(df: DataFrame, gone: DataFrame) -> DataFrame:
-    """Without the points of gone (track_id, seq)."""
+def changed_count(before: DataFrame, after: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """(track_id, changed): points that differ in some of the columns that both have, paired by seq."""
+    both = [c for c in before.columns if c in after.columns and c not in ("track_id", "seq") and not dict(before.dtypes)[c].startswith("map") and (columns is None or c in columns)]
+    old = before.select("track_id", "seq", F.struct(*both).alias("_a"))
+    new = after.select("track_id", "seq", F.struct(*both).alias("_b"))
+    return old.join(new, ["track_id", "seq"], "full").groupBy("track_id").agg(F.count_if(~F.col("_a").eqNullSafe(F.col("_b"))).alias("changed"))
+
+
+def delete_points(df: DataFrame, gone: DataFrame, check: bool = False) -> DataFrame:
+    """Without the points of gone (track_id, seq). check refuses, by a job, a gone that is empty or names points that aren't there."""
+    if check:
+        lost = gone.join(df.select("track_id", "seq"), ["track_id", "seq"], "left_anti").first()
+        if lost is not None or gone.isEmpty():
+            raise ValueError("nothing to delete" if lost is None else f"no point {lost['seq']} in {lost['track_id']}")
     return df.join(gone.select("track_id", "seq").distinct(), ["track_id", "seq"], "left_anti")
 
 
 def apply_to_range(df: DataFrame, start: int, end: int, op: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """op on the points of a range of seq, the others as they were. op must keep points and columns."""
+    """op on the points of a range of seq, the others as they were. op must keep columns, and the number of points: a job of
+    a track that it changes fails."""
     inside = F.col("seq").between(min(start, end), max(start, end))
-    return op(df.filter(inside)).unionByName(df.filter(~inside))
+    out = op(df.filter(inside).withColumn("_was", F.count("*").over(Window.partitionBy("track_id"))))
+    now = F.count("*").over(Window.partitionBy("track_id"))
+    told = F.raise_error(F.concat(F.lit("the operation changed the number of points of "), F.col("track_id").cast("string"))).cast("bigint")
+    out = out.withColumn("seq", F.when(now == F.col("_was"), F.col("seq")).otherwise(told)).drop("_was")
+    return out.unionByName(df.filter(~inside))
+
+
+def index_to_time_range(df: DataFrame, start: int, end: int) -> DataFrame:
+    """(track_id, start_ms, end_ms) of the timed points in a range of seq, in either order."""
+    rows = df.filter(F.col("seq").between(min(start, end), max(start, end)) & F.col("time_ms").isNotNull())
+    return rows.groupBy("track_id").agg(F.min("time_ms").alias("start_ms"), F.max("time_ms").alias("end_ms"))
+
+
+def selected_points(df: DataFrame, start: int, end: int) -> DataFrame:
+    """Points of a range of seq, in either order, cut to the track."""
+    return df.filter(F.col("seq").between(min(start, end), max(start, end)))
 
 
 def time_to_index_range(df: DataFrame, start_ms: float, end_ms: float) -> DataFrame:
@@ -92,7 +120,10 @@ def nearest_by_time(df: DataFrame, time_ms: float) -> DataFrame:
 def table_search(df: DataFrame, text: str, columns: tuple[str, ...] = ("lat", "lon", "ele", "hdop", "sat"), rng: tuple[int, int] | None = None, flagged: DataFrame | None = None) -> DataFrame:
     """Points whose columns or ISO time contain the text, in any case; only in a range of seq, or of flagged points, if given."""
     time = F.date_format(F.timestamp_millis(F.col("time_ms").cast("bigint")), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
-    all_text = F.lower(F.concat_ws("\x1f", time, *(F.col(c).cast("string") for c in columns)))
+    kinds = dict(df.dtypes)
+    own = [F.col(c).cast("string") for c in (*columns, "name") if c in kinds]
+    maps = [F.array_join(F.transform(F.map_values(c), lambda v: v.cast("string")), "\x1f") for c in ("ext_num", "ext_str", "ext_bool") if c in kinds]
+    all_text = F.lower(F.concat_ws("\x1f", time, *own, *maps))
     out = df.filter(F.contains(all_text, F.lit(text.lower())))
     if rng is not None:
         out = out.filter(F.col("seq").between(min(rng), max(rng)))

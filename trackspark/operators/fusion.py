@@ -23,7 +23,9 @@ def group_by_time(candidates: DataFrame, tolerance_ms: float) -> DataFrame:
     Where the gap to the candidate before exceeds the tolerance a group begins in any case, so the greedy scan
     carries the anchor of one group only.
     """
-    by_time = Window.partitionBy("entity").orderBy("time_ms", "priority", "source", "seq")
+    if not tolerance_ms >= 0:
+        raise ValueError("tolerance_ms must not be negative")
+    by_time = Window.partitionBy("entity").orderBy("time_ms", "source", "seq")
     rows = candidates.withColumn("_o", F.row_number().over(by_time)).withColumn("_start", F.lit(False))
 
     def step(rows, carry):
@@ -67,6 +69,36 @@ def _iso(ms: float) -> str:
     return (datetime(1970, 1, 1, tzinfo=UTC) + timedelta(milliseconds=int(ms))).isoformat(timespec="milliseconds").replace("+00:00", "Z")
 
 
+def check_fusion(decisions: DataFrame, sources: DataFrame, tolerance_ms: float) -> DataFrame:
+    """(entity, group_id, problem) of what can't be kept of a fusion: none in one that is sound.
+
+    sources (track_id, entity), two at least for an entity and each once; decisions of groups that are there once, by
+    sources that are known, with a finite time, a reason, and a confidence from 0 to 1.
+    """
+    if not 1 <= tolerance_ms <= 86_400_000:
+        raise ValueError("tolerance_ms must be from 1 to 86400000")
+    many = sources.groupBy("entity").agg(F.count("*").alias("n"), F.countDistinct("track_id").alias("d"))
+    own = F.when(F.col("n") < 2, "fewer than two sources").when(F.col("n") != F.col("d"), "a source twice")
+    out = many.withColumn("problem", own).filter("problem is not null").select("entity", F.lit(None).cast("bigint").alias("group_id"), "problem")
+    known = sources.select("entity", F.col("track_id").alias("_s")).distinct()
+    rows = decisions.select("entity", "group_id", "group_time_ms", "chosen", "seq", "skipped", "confidence", "reason")
+    named = rows.select("entity", "group_id", F.explode(F.concat(F.array("chosen"), "skipped")).alias("_s"))
+    lost = named.join(known, ["entity", "_s"], "left_anti").select("entity", "group_id", F.lit("an unknown source").alias("problem")).distinct()
+    bad = F.when(F.col("group_time_ms").isNull() | F.isnan("group_time_ms") | (F.abs("group_time_ms") == float("inf")), "no time").when(F.col("seq").isNull() | (F.col("seq") < 0), "no point").when(~F.coalesce(F.col("confidence").between(0, 1), F.lit(False)), "a confidence outside 0 to 1").when(F.coalesce(F.trim("reason"), F.lit("")) == "", "no reason")
+    wrong = rows.withColumn("problem", bad).filter("problem is not null").select("entity", "group_id", "problem")
+    twice = rows.groupBy("entity", "group_id").count().filter("count > 1").select("entity", "group_id", F.lit("decided twice").alias("problem"))
+    return out.unionByName(lost).unionByName(wrong).unionByName(twice)
+
+
+def fused_points(decisions: DataFrame) -> DataFrame:
+    """The points that were chosen, a track for each entity, flagged fused; channels tell the group, the confidence and the source."""
+    w = Window.partitionBy("entity").orderBy("group_time_ms", "group_id")
+    return decisions.select(
+        F.col("entity").alias("track_id"), (F.row_number().over(w) - 1).cast("bigint").alias("seq"), "lat", "lon", "ele", "time_ms", F.col("seq").alias("source_record"), F.col("chosen").alias("source_segment"), F.array(F.lit("fused")).alias("flags"),
+        F.create_map(F.lit("fusion_confidence"), F.col("confidence"), F.lit("fusion_group"), F.col("group_id").cast("double")).alias("ext_num"), F.create_map(F.lit("fusion_source"), F.col("chosen"), F.lit("fusion_reason"), F.col("reason")).alias("ext_str"),
+    )
+
+
 def _check_overrides(groups: DataFrame, points: list, intervals: list, sources: DataFrame | None) -> None:
     spark = groups.sparkSession
     if any(not a <= b for _, _, a, b in intervals):

@@ -11,13 +11,13 @@ from ..demo_tracks import by_seq
 from ..functions.geo import is_valid
 from ..plans.scan import sorted_scan
 from .kinematics import movement_window, point_speeds
-from .ordered import elevation_outliers
+from .outliers import detect_outliers, turn_floor
 
 #: Fixed limits of the checks.
 MIN_VALID, FLOOR_M, MIN_COVERAGE, GROUND, TOLERANCE_M, TOLERANCE, SUSTAINED, CLIMB_START = 0.5, 304.8, 0.8, 5, 100.0, 0.15, 0.1, 0.9
-MIN_SPEED, MAX_SPEED, MAX_OUTSIDE, LEAD_IN = 10 * 0.514444, 680.7, 0.02, 0.2
+MIN_SPEED, MAX_SPEED, MAX_OUTSIDE, LEAD_IN = 5.144, 680.7, 0.02, 0.2
 MIN_SPAN_MS, MAX_SPAN_MS, MAX_FLAGGED, RADIUS_M, DWELL_MS = 600_000.0, 43_200_000.0, 0.05, 402.34, 180_000.0
-MAX_HDOP, MIN_SAT, MAX_POOR = 5.0, 4.0, 0.1
+MAX_HDOP, MIN_SAT, MAX_POOR, TURN_DPS = 5.0, 4.0, 0.1, 30.0
 
 
 def _row(df: DataFrame, check: str, weight: int, applicable, passed, measure) -> DataFrame:
@@ -49,7 +49,7 @@ def fix_check(df: DataFrame) -> DataFrame:
 
 def speed_check(df: DataFrame) -> DataFrame:
     """Inside the movement window, behind the first fifth of the track, speeds lie in the envelope."""
-    window = movement_window(df)
+    window = movement_window(df, MIN_SPEED)
     rows = point_speeds(df).withColumns({"_i": F.row_number().over(by_seq()) - 1, "_n": F.count("*").over(Window.partitionBy("track_id"))}).join(window, "track_id")
     inside = (F.col("_i") >= F.greatest("start_seq", F.floor(F.col("_n") * LEAD_IN))) & (F.col("_i") <= F.col("end_seq")) & F.col("speed_mps").isNotNull()
     bad = (F.col("speed_mps") < MIN_SPEED) | (F.col("speed_mps") > MAX_SPEED)
@@ -80,8 +80,11 @@ def altitude_check(df: DataFrame) -> DataFrame:
 
 
 def outlier_check(df: DataFrame) -> DataFrame:
-    """A twentieth at most of the evaluated points are height outliers (window 5, 3 deviations)."""
-    g = elevation_outliers(df, 5, 3.0).groupBy("track_id").agg(F.avg(F.col("outlier").cast("int")).alias("m"))
+    """A twentieth at most of the evaluated points are outliers of position, height or speed (window 5, 3 deviations).
+
+    The position floor is that of a turn of TURN_DPS at the track's top speed.
+    """
+    g = detect_outliers(df, 5, 3.0, floors=turn_floor(df, TURN_DPS, 5)).groupBy("track_id").agg(F.avg(F.col("outlier").cast("int")).alias("m"))
     g = df.select("track_id").distinct().join(g, "track_id", "left")
     return _row(g, "outlier", 20, F.col("m").isNotNull(), F.col("m") <= MAX_FLAGGED, F.col("m"))
 
@@ -91,7 +94,7 @@ def stagnant_check(df: DataFrame) -> DataFrame:
 
     The greedy anchor is a recurrence, so it is a sorted scan that carries the anchor.
     """
-    rows = df.withColumn("_i", (F.row_number().over(by_seq()) - 1).cast("bigint")).join(movement_window(df), "track_id").filter("_i between start_seq and end_seq")
+    rows = df.withColumn("_i", (F.row_number().over(by_seq()) - 1).cast("bigint")).join(movement_window(df, MIN_SPEED), "track_id").filter("_i between start_seq and end_seq")
     rows = rows.select("track_id", "seq", "lat", "lon", "time_ms", F.lit(0.0).alias("dwell"))
 
     def step(rows: pd.DataFrame, carry):

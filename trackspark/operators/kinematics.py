@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..demo_tracks import by_seq, earlier
+from ..demo_tracks import by_seq, earlier, whole_track
 from ..functions.geo import bearing, haversine, modulo, round_up, shortest_delta
 
 
-def kinematics(df: DataFrame) -> DataFrame:
+def kinematics(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Adds distance, heading, interval, frequency, speeds, acceleration and turn rate, and timestamp flags.
 
     Each point is compared with the row before, valid or not; acceleration and turn rate with the last point
@@ -41,18 +43,37 @@ def kinematics(df: DataFrame) -> DataFrame:
         "turn_rate_dps": on(shortest_delta(F.col("_last_heading"), F.col("heading_deg")) / F.col("_dt")),
         "flags": F.when(flag.isNull(), F.col("flags")).otherwise(F.array_union("flags", F.array(flag))),
     })
-    return out.drop(*(c for c in out.columns if c.startswith("_")))
+    out = out.drop(*(c for c in out.columns if c.startswith("_") and c not in keep))
+    if "stale" in out.columns:  # what was derived before is new
+        out = out.withColumn("stale", F.filter("stale", lambda c: ~c.isin(*MOTION)))
+    return out
+
+
+MOTION = ("distance_m", "heading_deg", "sample_interval_s", "sample_frequency_hz", "ground_speed_mps", "vertical_speed_mps", "horizontal_accel_mps2", "turn_rate_dps")
+
+
+def is_angular(channel: str) -> bool:
+    """Whether a channel's name tells an angle that wraps at 360."""
+    return re.match(r"(heading|bearing|course|track)(_|$)", channel, re.I) is not None
 
 
 def ensure_kinematics(df: DataFrame) -> DataFrame:
-    """kinematics, unless speed, heading, vertical speed or turn rate are there already."""
-    have = {"ground_speed_mps", "heading_deg", "vertical_speed_mps", "turn_rate_dps"} & set(df.columns)
-    return df if have else kinematics(df)
+    """kinematics for the tracks that have no value of speed, heading, vertical speed or turn rate, and some time; others as they were."""
+    have = [c for c in ("ground_speed_mps", "heading_deg", "vertical_speed_mps", "turn_rate_dps") if c in df.columns]
+    old = [c for c in MOTION if c in df.columns]
+    any_ = F.lit(False)
+    for c in have:
+        any_ |= F.col(c).isNotNull()
+    keep = F.max((any_ | F.lit(False)).cast("int")).over(whole_track()) == 1
+    marked = df.withColumns({"_k": keep | (F.count("time_ms").over(whole_track()) == 0), "_f": F.col("flags")} | {f"_o_{c}": F.col(c) for c in old})
+    out = kinematics(marked.drop(*old), keep=("_k", "_f", *(f"_o_{c}" for c in old)))
+    pick = {c: F.when(F.col("_k"), F.col(f"_o_{c}") if c in old else F.lit(None)).otherwise(F.col(c)) for c in MOTION}
+    return out.withColumns(pick | {"flags": F.when(F.col("_k"), F.col("_f")).otherwise(F.col("flags"))}).drop("_k", "_f", *(f"_o_{c}" for c in old))
 
 
 def point_speeds(df: DataFrame) -> DataFrame:
-    """Adds speed_mps: the recorded ground speed, else distance over time from the row before, if positive."""
-    recorded = F.col("ground_speed_mps") if "ground_speed_mps" in df.columns else F.lit(None).cast("double")
+    """Adds speed_mps: the recorded ground speed, else the recorded speed, else distance over time from the row before, if positive."""
+    recorded = F.coalesce(*(F.col(c) for c in ("ground_speed_mps", "speed_mps") if c in df.columns), F.lit(None).cast("double"))
     dt = F.col("time_ms") - F.lag("time_ms").over(by_seq())
     own = F.when(dt > 0, haversine(F.lag("lat").over(by_seq()), F.lag("lon").over(by_seq()), F.col("lat"), F.col("lon")) * 1000 / dt)
     return df.withColumn("speed_mps", F.coalesce(recorded, own))
@@ -113,15 +134,25 @@ def segment_track(df: DataFrame, stationary: float = 1.0, vertical: float = 1.0,
         .when(climb.isNull(), "level").when(climb >= vertical, "climb").when(climb <= -vertical, "descent").otherwise("level")
     )
     rows = _runs(df.withColumn("kind", kind), "kind")
-    short = rows.groupBy("track_id", "run").agg(F.first("kind").alias("old"), F.count("*").alias("n"))
+    edge = lambda f, c: f(c, "seq")
+    # Runs have all that their merged runs need, so that the points aren't read again.
+    runs = rows.groupBy("track_id", "run").agg(
+        F.first("kind").alias("old"), F.count("*").alias("n"), F.min("seq").alias("start_seq"), F.max("seq").alias("end_seq"), edge(F.min_by, F.struct("time_ms", "distance_m")).alias("a"), edge(F.max_by, F.struct("time_ms", "distance_m")).alias("b"),
+        F.sum("ground_speed_mps").alias("_gs"), F.count("ground_speed_mps").alias("_gn"), F.sum("vertical_speed_mps").alias("_vs"), F.count("vertical_speed_mps").alias("_vn"),
+    )
     by_run = Window.partitionBy("track_id").orderBy("run")
     pk, pn, nk, nn = (f(c).over(by_run) for f, c in ((F.lag, "old"), (F.lag, "n"), (F.lead, "old"), (F.lead, "n")))
     new = F.when((F.col("n") >= least) | (F.col("old") == "gap"), F.col("old")).when(pk.isNull(), F.coalesce(nk, "old")).when(nk.isNull() | (pn >= nn), pk).otherwise(nk)
-    short = short.withColumn("new", new).select("track_id", "run", "new")
-    rows = _runs(rows.join(short, ["track_id", "run"]).drop("kind", "run").withColumnRenamed("new", "kind"), "kind")
-    edge = lambda f, c: f(c, "seq")
-    out = rows.groupBy("track_id", "run").agg(F.first("kind").alias("kind"), F.min("seq").alias("start_seq"), F.max("seq").alias("end_seq"), F.count("*").alias("point_count"), edge(F.min_by, "time_ms").alias("start_time"), edge(F.max_by, "time_ms").alias("end_time"), edge(F.min_by, "distance_m").alias("_d0"), edge(F.max_by, "distance_m").alias("_d1"), F.avg("ground_speed_mps").alias("mean_ground_speed_mps"), F.avg("vertical_speed_mps").alias("mean_vertical_speed_mps"))
-    return out.withColumns({"duration_s": F.greatest(F.lit(0.0), (F.col("end_time") - F.col("start_time")) / 1000), "distance_m": F.greatest(F.lit(0.0), F.col("_d1") - F.col("_d0"))}).withColumn("duration_s", F.when(F.col("end_time").isNotNull() & F.col("start_time").isNotNull(), F.col("duration_s"))).drop("_d0", "_d1").withColumnRenamed("run", "segment")
+    runs = runs.withColumn("kind", new)
+    change = F.coalesce(F.col("kind") != F.lag("kind").over(by_run), F.lit(True)).cast("int")
+    runs = runs.withColumn("_c", change).withColumn("segment", F.sum("_c").over(by_run))
+    out = runs.groupBy("track_id", "segment").agg(
+        F.first("kind").alias("kind"), F.min("start_seq").alias("start_seq"), F.max("end_seq").alias("end_seq"), F.sum("n").alias("point_count"), F.min_by("a", "run").alias("a"), F.max_by("b", "run").alias("b"),
+        (F.sum("_gs") / F.nullif(F.sum("_gn"), F.lit(0))).alias("mean_ground_speed_mps"), (F.sum("_vs") / F.nullif(F.sum("_vn"), F.lit(0))).alias("mean_vertical_speed_mps"),
+    )
+    out = out.withColumns({"start_time": F.col("a.time_ms"), "end_time": F.col("b.time_ms")})
+    duration = F.when(F.col("end_time").isNotNull() & F.col("start_time").isNotNull(), F.greatest(F.lit(0.0), (F.col("end_time") - F.col("start_time")) / 1000))
+    return out.withColumns({"duration_s": duration, "distance_m": F.greatest(F.lit(0.0), F.col("b.distance_m") - F.col("a.distance_m"))}).drop("a", "b")
 
 
 def _runs(df: DataFrame, column: str) -> DataFrame:
@@ -130,9 +161,15 @@ def _runs(df: DataFrame, column: str) -> DataFrame:
     return df.withColumn("_c", change).withColumn("run", F.sum("_c").over(by_seq().rowsBetween(Window.unboundedPreceding, 0))).drop("_c")
 
 
-def median_sample_interval(df: DataFrame) -> DataFrame:
-    """(track_id, median_interval_s) over positive intervals between neighbouring rows."""
+def median_sample_interval(df: DataFrame, gap_ms: float | None = None) -> DataFrame:
+    """(track_id, median_interval_s) over positive intervals between neighbouring rows.
+
+    With gap_ms longer intervals are left out, and a track that has no other has that.
+    """
     dt = (F.col("time_ms") - F.lag("time_ms").over(by_seq())) / 1000
-    return df.select("track_id", dt.alias("dt")).filter("dt > 0").groupBy("track_id").agg(F.percentile("dt", 0.5).alias("median_interval_s"))
+    rows = df.select("track_id", dt.alias("dt"))
+    if gap_ms is None:
+        return rows.filter("dt > 0").groupBy("track_id").agg(F.percentile("dt", 0.5).alias("median_interval_s"))
+    return rows.groupBy("track_id").agg(F.coalesce(F.percentile(F.when((F.col("dt") > 0) & (F.col("dt") * 1000 <= gap_ms), F.col("dt")), 0.5), F.lit(gap_ms / 1000)).alias("median_interval_s"))
 
 

@@ -135,13 +135,29 @@ def simplify(df: DataFrame, epsilon_m: float) -> DataFrame:
     return df.groupBy("track_id").applyInPandas(run, df.schema)
 
 
-def dejitter(df: DataFrame, policy: str = "nudge") -> DataFrame:
-    """Strictly rising times over the timed rows, in closed form for whole milliseconds.
+def dejitter(df: DataFrame, policy: str = "nudge", epsilon_ms: float = 1.0) -> DataFrame:
+    """Strictly rising times over the timed rows.
 
-    drop: a row not above all before it goes. nudge: it is moved 1 ms behind the row before, and flagged
-    time_dejittered. average: it is merged into the last kept row, each value halving the weight of those before.
+    drop: a row not above all before it goes. nudge: it is moved epsilon_ms behind the row before, and flagged
+    time_dejittered; in closed form for 1 ms and whole milliseconds, else by a sorted scan. average: it is merged into
+    the last kept row, each number halving the weight of those before (longitudes as plain numbers), text and others
+    as the first has them.
     """
+    if not epsilon_ms > 0:
+        raise ValueError("epsilon_ms must be above 0")
     timed, rest = df.filter("time_ms is not null"), df.filter("time_ms is null")
+    if policy == "nudge" and epsilon_ms != 1:
+
+        def step(rows: pd.DataFrame, last):
+            out = []
+            for t in rows["time_ms"].tolist():
+                last = t if last is None or t > last else last + epsilon_ms
+                out.append(last)
+            moved = rows["time_ms"].to_numpy() != np.array(out)
+            flags = [list(dict.fromkeys([*f, "time_dejittered"])) if m else list(f) for f, m in zip(rows["flags"], moved, strict=True)]
+            return rows.assign(time_ms=out, flags=flags), last
+
+        return sorted_scan(timed, step).unionByName(rest)
     if policy == "nudge":
         i = (F.row_number().over(by_seq()) - 1).cast("double")
         out = timed.withColumn("_i", i).withColumn("_t", F.max(F.col("time_ms") - F.col("_i")).over(by_seq().rowsBetween(Window.unboundedPreceding, 0)) + F.col("_i"))
@@ -161,7 +177,7 @@ def dejitter(df: DataFrame, policy: str = "nudge") -> DataFrame:
     kept = kept.withColumn("_w", weight)
     values = [c for c, kind in df.dtypes if kind == "double" and c != "time_ms"]
     mean = lambda c: F.sum(F.col(c) * F.col("_w")) / F.sum(F.when(F.col(c).isNotNull(), F.col("_w")))
-    merged = kept.groupBy("track_id", "_g").agg(F.min("seq").alias("seq"), F.min_by("time_ms", "seq").alias("time_ms"), F.count("*").alias("_n"), F.min_by("flags", "seq").alias("flags"), *(mean(c).alias(c) for c in values))
+    merged = kept.groupBy("track_id", "_g").agg(F.min("seq").alias("seq"), F.min_by("time_ms", "seq").alias("time_ms"), F.count("*").alias("_n"), F.min_by("flags", "seq").alias("flags"), *(mean(c).alias(c) for c in values), *(F.min_by(c, "seq").alias(c) for c in df.columns if c not in ("track_id", "seq", "time_ms", "flags", *values)))
     merged = merged.withColumn("flags", F.when(F.col("_n") > 1, F.array_union("flags", F.array(F.lit("time_dejittered")))).otherwise(F.col("flags")))
     return merged.select(*df.columns).unionByName(rest)
 
@@ -174,8 +190,11 @@ def quality_events(df: DataFrame, gap_ms: float = 5000, jump_m: float = 10000, j
     """
     before = {f"_{c}": F.lag(c).over(by_seq()) for c in ("seq", "lat", "lon", "ele", "time_ms")}
     ok = is_valid(F.col("lat"), F.col("lon"))
-    flat = (~F.coalesce(F.col("ele") == F.lag("ele").over(by_seq()), F.lit(False))).cast("int")
-    out = df.withColumns(before | {"_next": F.lead("ele").over(by_seq()), "_ok": ok, "_flat": flat})
+    fresh = ~F.coalesce(F.col("ele") == F.lag("ele").over(by_seq()), F.lit(False))
+    out = df.withColumns(before | {"_next": F.lead("ele").over(by_seq()), "_ok": ok, "_i": F.row_number().over(by_seq()), "_fresh": fresh})
+    # The start of the run of equal heights that a row is in; a run ends where the next height differs.
+    start = F.last(F.when(F.col("_fresh"), F.struct("seq", "time_ms", "_i")), ignorenulls=True).over(by_seq().rowsBetween(Window.unboundedPreceding, 0))
+    out = out.withColumns({"_run": start, "_ends": ~F.coalesce(F.col("ele") == F.col("_next"), F.lit(False))})
     out = out.withColumns({"_dt": F.col("time_ms") - F.col("_time_ms"), "_was": is_valid(F.col("_lat"), F.col("_lon"))})
     out = out.withColumn("_far", haversine(F.col("_lat"), F.col("_lon"), F.col("lat"), F.col("lon")))
     up, down = F.col("ele") - F.col("_ele"), F.col("_next") - F.col("ele")
@@ -186,18 +205,17 @@ def quality_events(df: DataFrame, gap_ms: float = 5000, jump_m: float = 10000, j
         return F.when(F.coalesce(when, F.lit(False)), row)
 
     valid = F.col("_ok")
+    length = F.col("_i") - F.col("_run._i") + 1
+    flat = F.struct(F.lit("elevation-flatline").alias("kind"), F.lit("info").alias("severity"), F.col("_run.seq").alias("start_seq"), F.col("seq").alias("end_seq"), F.col("_run.time_ms").alias("start_time"), F.col("time_ms").alias("end_time"), length.cast("double").alias("measure"))
     found = F.array_compact(F.array(
+        F.when(F.col("_ends") & F.col("ele").isNotNull() & (length >= flat_run), flat),
         event(~valid, "invalid-coordinate", "error", False, F.lit(None)),
         event(valid & (F.col("_dt") == 0), "duplicate-timestamp", "warning", False, F.col("time_ms")),
         event(valid & (F.col("_dt") > gap_ms), "gap", "warning", True, F.col("_dt")),
         event(valid & F.col("_was") & F.col("_dt").between(0, jump_ms) & (F.col("_far") > jump_m), "coordinate-jump", "error", True, F.col("_far")),
         event(((up > 0) != (down > 0)) & (F.abs(up) > spike_m) & (F.abs(down) > spike_m) & (F.abs(F.col("_next") - F.col("_ele")) < spike_m), "elevation-spike", "warning", False, F.abs(up)),
     ))
-    events = out.select("track_id", F.explode(found).alias("e")).select("track_id", "e.*")
-    runs = out.withColumn("_run", F.sum("_flat").over(by_seq().rowsBetween(Window.unboundedPreceding, 0))).filter("ele is not null")
-    runs = runs.groupBy("track_id", "_run").agg(F.min("seq").alias("start_seq"), F.max("seq").alias("end_seq"), F.min_by("time_ms", "seq").alias("start_time"), F.max_by("time_ms", "seq").alias("end_time"), F.count("*").alias("n")).filter(F.col("n") >= flat_run)
-    runs = runs.select("track_id", F.lit("elevation-flatline").alias("kind"), F.lit("info").alias("severity"), "start_seq", "end_seq", "start_time", "end_time", F.col("n").cast("double").alias("measure"))
-    return events.unionByName(runs)
+    return out.select("track_id", F.explode(found).alias("e")).select("track_id", "e.*")
 
 
 def events_overlapping(events: DataFrame, start: int, end: int) -> DataFrame:
@@ -205,22 +223,12 @@ def events_overlapping(events: DataFrame, start: int, end: int) -> DataFrame:
     return events.filter((F.col("start_seq") <= b) & (F.col("end_seq") >= a))
 
 
+def events_overlapping_time(events: DataFrame, start_ms: float, end_ms: float) -> DataFrame:
+    """Events whose times, both known, meet a time range, in either order."""
+    a, b = sorted((float(start_ms), float(end_ms)))
+    return events.filter((F.col("start_time") <= b) & (F.col("end_time") >= a))
+
+
 def event_source_points(events: DataFrame) -> DataFrame:
     """(track_id, seq) that events cover."""
     return events.select("track_id", F.explode(F.sequence("start_seq", "end_seq")).alias("seq")).distinct()
-
-
-def elevation_outliers(df: DataFrame, window: int = 5, threshold: float = 6.0, floor: float = 1.0) -> DataFrame:
-    """(track_id, seq, residual, score, outlier): heights against the midpoint of the medians on either side.
-
-    Needs window rows with height on each side; the scale is the track's median absolute residual times
-    1.4826, or the floor if that is larger.
-    """
-    rows = df.filter("ele is not null")
-    before, after = by_seq().rowsBetween(-window, -1), by_seq().rowsBetween(1, window)
-    med = lambda w: F.percentile("ele", 0.5).over(w)
-    rows = rows.select("track_id", "seq", "ele", med(before).alias("a"), med(after).alias("b"), F.count("ele").over(before).alias("na"), F.count("ele").over(after).alias("nb"))
-    rows = rows.filter((F.col("na") == window) & (F.col("nb") == window)).withColumn("residual", F.abs(F.col("ele") - (F.col("a") + F.col("b")) / 2))
-    scale = rows.groupBy("track_id").agg(F.greatest(F.lit(floor), F.percentile("residual", 0.5) * 1.4826).alias("scale"))
-    out = rows.join(scale, "track_id").withColumn("score", F.col("residual") / F.col("scale"))
-    return out.select("track_id", "seq", "residual", "score", (F.col("score") > threshold).alias("outlier"))

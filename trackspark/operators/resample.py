@@ -15,28 +15,36 @@ def by_time():
     return Window.partitionBy("track_id").orderBy("time_ms")
 
 
-def resample_fixed_rate(df: DataFrame, rate_hz: float, mode: str = "linear", max_gap_ms: float | None = None) -> DataFrame:
-    """(track_id, seq, time_ms, lat, lon, ele, flags) on a grid from the first to the last time of each track.
-
-    The last point is added if it is off the grid. Each interval between neighbours explodes its own grid
-    instants, so there is no join. In an interval above max_gap_ms only its ends stay. Grid points that are
-    samples stay as they are; others are flagged interpolated. step mode keeps the left values. Points
-    without time are left out; times must rise strictly, so of equal times the first stays.
+def resample_fixed_rate(df: DataFrame, rate_hz: float, mode: str = "linear", max_gap_ms: float | None = None, duplicates: str = "refuse") -> DataFrame:
+    """df's columns on a grid from the first to the last time of each track; seq anew.
+
+    The last point is added if it is off the grid. Each interval between neighbours explodes its own grid instants, so
+    there is no join. In an interval above max_gap_ms only its ends stay. Grid points that are samples stay as they are;
+    others have the flags of both sides and interpolated. Numbers are interpolated, longitude the short way round; where
+    one side lacks a value, and for names and other columns, the left value counts, else the right one. step mode keeps
+    the left values. Points without time are left out. Equal times are refused when the job runs, or the first stays.
     """
-    if not rate_hz > 0 or mode not in ("linear", "step"):
-        raise ValueError("rate_hz must be above 0 and mode linear or step")
+    if not 0 < rate_hz <= 1000 or mode not in ("linear", "step") or duplicates not in ("refuse", "first"):
+        raise ValueError("rate_hz must be above 0 and 1000 at most, mode linear or step, duplicates refuse or first")
     delta = 1000.0 / rate_hz
-    timed = df.filter("time_ms is not null").select("track_id", "seq", "time_ms", "lat", "lon", "ele")
-    timed = timed.withColumn("_r", F.row_number().over(Window.partitionBy("track_id", "time_ms").orderBy("seq"))).filter("_r = 1").drop("_r")
+    kinds = dict(df.dtypes)
+    columns = [c for c in df.columns if c not in ("track_id", "seq", "time_ms", "flags")]
     whole = Window.partitionBy("track_id")
-    p = F.struct("time_ms", "lat", "lon", "ele")
-    rows = timed.select("track_id", p.alias("b"), F.lag(p).over(by_time()).alias("a"), F.min("time_ms").over(whole).alias("t0"), F.max("time_ms").over(whole).alias("t1"))
+    by_place = Window.partitionBy("track_id").orderBy("time_ms", "seq")
+    timed = df.filter("time_ms is not null").withColumn("_same", F.lag("time_ms").over(by_place) == F.col("time_ms"))
+    if duplicates == "first":
+        timed = timed.filter("_same is null or not _same")
+    else:
+        refused = F.raise_error(F.concat(F.lit("equal times in track "), F.col("track_id").cast("string"))).cast("double")
+        timed = timed.withColumn("time_ms", F.when(F.coalesce("_same", F.lit(False)), refused).otherwise(F.col("time_ms")))
+    flags = F.col("flags") if "flags" in df.columns else F.array().cast("array<string>")
+    p = F.struct("time_ms", *columns, flags.alias("flags"))
+    rows = timed.select("track_id", p.alias("b"), F.lag(p).over(by_place).alias("a"), F.min("time_ms").over(whole).alias("t0"), F.max("time_ms").over(whole).alias("t1"))
     n = F.floor((F.col("t1") - F.col("t0")) / delta) + 1
     low = F.greatest(F.lit(1), F.floor((F.col("a.time_ms") - F.col("t0")) / delta) - 1)
     high = F.least(n - 1, F.ceil((F.col("b.time_ms") - F.col("t0")) / delta) + 1)
     grid = F.when(F.col("a").isNull(), F.array(F.lit(0).cast("bigint"))).when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<bigint>"))
-    time = lambda k: F.least(F.col("t1"), F.col("t0") + k * delta)
-    instants = F.transform(grid, time)
+    instants = F.transform(grid, lambda k: F.least(F.col("t1"), F.col("t0") + k * delta))
     inside = F.filter(instants, lambda t: F.col("a").isNull() | ((F.col("a.time_ms") < t) & (t <= F.col("b.time_ms"))))
     last = F.when(F.col("b.time_ms") == F.col("t1"), F.array_union(inside, F.array("t1"))).otherwise(inside)
     if max_gap_ms is not None:
@@ -44,30 +52,66 @@ def resample_fixed_rate(df: DataFrame, rate_hz: float, mode: str = "linear", max
     out = rows.select("track_id", "a", "b", F.explode(last).alias("t"))
     exact = F.col("t") == F.col("b.time_ms")
     ratio = (F.col("t") - F.col("a.time_ms")) / (F.col("b.time_ms") - F.col("a.time_ms"))
-    if mode == "step":
-        value = lambda c, g: F.when(exact, F.col(f"b.{c}")).otherwise(F.col(f"a.{c}"))
-    else:
-        value = lambda c, g: F.when(exact, F.col(f"b.{c}")).otherwise(g(F.col(f"a.{c}"), F.col(f"b.{c}"), ratio))
-    flags = F.when(exact, F.array().cast("array<string>")).otherwise(F.array(F.lit("interpolated")))
-    out = out.select("track_id", F.col("t").alias("time_ms"), value("lat", lerp).alias("lat"), value("lon", lerp_lon).alias("lon"), value("ele", lerp).alias("ele"), flags.alias("flags"))
-    return out.withColumn("seq", (F.row_number().over(by_time()) - 1).cast("bigint"))
 
-
-def notional_fill(df: DataFrame, gap_ms: float = 3000.0, sample_ms: float = 1000.0) -> DataFrame:
-    """Adds evenly spaced points, flagged notional, in intervals above gap_ms between neighbouring rows.
-
-    floor(duration / sample_ms) - 1 points an interval, at times rounded to whole milliseconds, halves up.
+    def value(c: str):
+        left, right = F.col(f"a.{c}"), F.col(f"b.{c}")
+        if mode == "step":
+            return F.when(exact, right).otherwise(left).alias(c)
+        if kinds[c] == "map<string,double>":
+            both = F.map_zip_with(F.coalesce(left, F.create_map().cast(kinds[c])), F.coalesce(right, F.create_map().cast(kinds[c])), lambda _, x, y: F.when(x.isNotNull() & y.isNotNull(), lerp(x, y, ratio)).otherwise(F.coalesce(x, y)))
+            return F.when(exact, right).otherwise(both).alias(c)
+        if kinds[c].startswith("map"):
+            # The left entry of a key that both have.
+            rest = F.map_filter(right, lambda k, _: ~F.map_contains_key(left, k))
+            return F.when(exact, right).otherwise(F.when(left.isNull() | right.isNull(), F.coalesce(left, right)).otherwise(F.map_concat(left, rest))).alias(c)
+        one = F.coalesce(left, right)
+        if kinds[c] == "double":
+            one = F.when(left.isNotNull() & right.isNotNull(), (lerp_lon if c == "lon" else lerp)(left, right, ratio)).otherwise(one)
+        return F.when(exact, right).otherwise(one).alias(c)
+
+    flags = F.when(exact, F.col("b.flags")).otherwise(F.array_union(F.array_union(F.coalesce("a.flags", F.array().cast("array<string>")), F.coalesce("b.flags", F.array().cast("array<string>"))), F.array(F.lit("interpolated"))))
+    out = out.select("track_id", F.col("t").alias("time_ms"), *map(value, columns), flags.alias("flags"))
+    out = out.withColumn("seq", (F.row_number().over(by_time()) - 1).cast("bigint"))
+    return out.select(*df.columns, *(() if "flags" in df.columns else ("flags",)))
+
+
+def notional_fill(df: DataFrame, gap_ms: float = 3000.0, sample_ms: float | None = None) -> DataFrame:
+    """df with evenly spaced points, flagged notional, in intervals above gap_ms between neighbouring rows; seq anew.
+
+    floor(duration / sample) - 1 points an interval, at times rounded to whole milliseconds, halves up. The sample is
+    the track's median interval of those that are no gap, if none is given. New points have position, height where
+    both sides do, time, flags, and where df has channel maps what they come from; other columns are null.
     """
+    if not gap_ms > 0 or (sample_ms is not None and not sample_ms > 0):
+        raise ValueError("gap_ms and sample_ms must be above 0")
+    gaps = notional_gaps(df, gap_ms, sample_ms).withColumn("k", F.explode(F.sequence(F.lit(1), F.col("inserted").cast("int"))))
+    f = F.col("k") / (F.col("inserted") + 1)
+    t = F.floor(F.col("start_ms") + (F.col("end_ms") - F.col("start_ms")) * f + 0.5).cast("double")
+    kinds = dict(df.dtypes)
+    made = {
+        "track_id": F.col("track_id"), "time_ms": t, "lat": lerp(F.col("a.lat"), F.col("b.lat"), f), "lon": lerp_lon(F.col("a.lon"), F.col("b.lon"), f), "ele": lerp(F.col("a.ele"), F.col("b.ele"), f), "flags": F.array(F.lit("notional")),
+        "ext_num": F.create_map(F.lit("derived_from_gap_start"), F.col("start_ms"), F.lit("derived_from_gap_end"), F.col("end_ms")), "ext_str": F.create_map(F.lit("notional_method"), F.lit("linear_time")), "ext_bool": F.create_map(F.lit("notional"), F.lit(True)),
+    }
+    rest = [c for c in df.columns if c != "seq"]
+    new = gaps.select(*(made.get(c, F.lit(None)).cast(kinds[c]).alias(c) for c in rest), F.col("start_seq").cast("bigint").alias("_at"), F.col("k").cast("bigint").alias("_k"))
+    old = df.select(*rest, F.col("seq").cast("bigint").alias("_at"), F.lit(0).cast("bigint").alias("_k"))
+    order = Window.partitionBy("track_id").orderBy("_at", "_k")
+    return old.unionByName(new).withColumn("seq", (F.row_number().over(order) - 1).cast("bigint")).select(*df.columns)
+
+
+def notional_gaps(df: DataFrame, gap_ms: float = 3000.0, sample_ms: float | None = None) -> DataFrame:
+    """(track_id, start_seq, end_seq, start_ms, end_ms, duration_ms, inserted, sample_ms, a, b) of the intervals that notional_fill fills."""
     w = Window.partitionBy("track_id").orderBy("seq")
     p = F.struct("time_ms", "lat", "lon", "ele")
-    rows = df.select("track_id", "seq", p.alias("b"), F.lag(p).over(w).alias("a"))
+    rows = df.select("track_id", "seq", p.alias("b"), F.lag("seq").over(w).alias("start_seq"), F.lag(p).over(w).alias("a"))
     dur = F.col("b.time_ms") - F.col("a.time_ms")
-    n = (F.floor(dur / sample_ms) - 1).cast("int")
-    gaps = rows.filter(dur > gap_ms).withColumn("n", n).filter("n > 0").select("track_id", "a", "b", "n", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("k"))
-    f = F.col("k") / (F.col("n") + 1)
-    t = F.floor(F.col("a.time_ms") + (F.col("b.time_ms") - F.col("a.time_ms")) * f + 0.5).cast("double")
-    new = gaps.select("track_id", t.alias("time_ms"), lerp(F.col("a.lat"), F.col("b.lat"), f).alias("lat"), lerp_lon(F.col("a.lon"), F.col("b.lon"), f).alias("lon"), lerp(F.col("a.ele"), F.col("b.ele"), f).alias("ele"), F.array(F.lit("notional")).alias("flags"))
-    return df.select("track_id", "time_ms", "lat", "lon", "ele", "flags").unionByName(new)
+    if sample_ms is None:
+        own = F.when((dur > 0) & (dur <= gap_ms), dur)
+        rows = rows.withColumn("sample_ms", F.coalesce(F.percentile(own, 0.5).over(Window.partitionBy("track_id")), F.lit(float(gap_ms))))
+    else:
+        rows = rows.withColumn("sample_ms", F.lit(float(sample_ms)))
+    rows = rows.filter(dur > gap_ms).withColumn("inserted", (F.floor(dur / F.col("sample_ms")) - 1).cast("bigint")).filter("inserted > 0")
+    return rows.select("track_id", "start_seq", F.col("seq").alias("end_seq"), F.col("a.time_ms").alias("start_ms"), F.col("b.time_ms").alias("end_ms"), dur.alias("duration_ms"), "inserted", "sample_ms", "a", "b")
 
 
 def _limited(slope: float, ahead: float, secant: float) -> tuple[float, float]:
@@ -82,15 +126,15 @@ def _limited(slope: float, ahead: float, secant: float) -> tuple[float, float]:
     return slope, ahead
 
 
-def resample_by_distance(df: DataFrame, interval_m: float) -> DataFrame:
-    """(track_id, distance_m, lat, lon, ele, time_ms, and hdop, sat where df has them, flags) each so many metres along the valid points, and the last point.
+def resample_by_distance(df: DataFrame, interval_m: float, channels: tuple[str, ...] = ("hdop", "sat")) -> DataFrame:
+    """(track_id, distance_m, lat, lon, ele, time_ms, and channels that df has as columns, flags) each so many metres along the valid points, and the last point.
 
     Monotone cubics over the distance, points that coincide with the one before left out. A channel is null
     throughout a track that lacks it anywhere, and so is a time that falls. Slopes come from neighbouring legs; the
     limiter runs over the legs in order. A track of one place gives that point, without flags.
     """
     w, whole = Window.partitionBy("track_id").orderBy("seq"), Window.partitionBy("track_id")
-    names = ["lat", "lon", "ele", "time_ms", *(c for c in ("hdop", "sat") if c in df.columns)]
+    names = ["lat", "lon", "ele", "time_ms", *(c for c in channels if c in df.columns)]
     rows = df.filter("lat between -90 and 90 and lon between -180 and 180")
     before = lambda c: F.lag(c).over(w)
     rows = rows.withColumn("_leg", haversine(before("lat"), before("lon"), F.col("lat"), F.col("lon"))).filter("_leg is null or _leg > 0")

@@ -6,11 +6,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..demo_tracks import by_seq, whole_track
-from ..functions.geo import enu, is_valid
+from .aggregate import minmax_downsample
+from ..functions.geo import enu, is_valid, shortest_delta
 
 
-def chart_series(df: DataFrame, channel: str, x: str = "time_ms", domain: tuple[float, float] | None = None) -> DataFrame:
-    """(track_id, seq, x, y) of points that have both; in a domain, with one point beyond each end."""
+def chart_series(df: DataFrame, channel: str, x: str = "time_ms", domain: tuple[float, float] | None = None, max_samples: int | None = None) -> DataFrame:
+    """(track_id, seq, x, y) of points that have both; in a domain, with one point beyond each end; at most so many, by minmax_downsample."""
+    if max_samples is not None:
+        rows = chart_series(df, channel, x, domain)
+        return minmax_downsample(rows, "y", max_samples).join(rows.select("track_id", "seq", "x"), ["track_id", "seq"]).select("track_id", "seq", "x", "y")
     rows = df.select("track_id", "seq", F.col(x).cast("double").alias("x"), F.col(channel).cast("double").alias("y")).filter("x is not null and y is not null")
     if domain is None:
         return rows
@@ -69,3 +73,108 @@ def trajectory_enu(df: DataFrame, exaggeration: float = 1.0) -> DataFrame:
     rows = rows.withColumn("_o", first)
     e, n, u = enu(F.col("lat"), F.col("lon"), F.coalesce("ele", "_o.h"), F.col("_o.lat"), F.col("_o.lon"), F.col("_o.h"))
     return rows.select("track_id", "seq", e.alias("east_m"), n.alias("north_m"), (u * exaggeration).alias("up_m"))
+
+
+def trajectory_summary(df: DataFrame, colour: str | None = None) -> DataFrame:
+    """(track_id, n, east, north, up and, if asked for, colour ranges) of trajectory_enu rows; colour: a column of theirs."""
+    columns = ["east_m", "north_m", "up_m", *([colour] if colour else [])]
+    return df.groupBy("track_id").agg(F.count("*").alias("n"), *(f(c).alias(f"{name}_{c}") for c in columns for name, f in (("min", F.min), ("max", F.max))))
+
+
+def shared_trajectory_enu(df: DataFrame, exaggeration: float = 1.0) -> DataFrame:
+    """trajectory_enu of all tracks about one origin: the first valid point of the first track by name."""
+    rows = df.filter(is_valid(F.col("lat"), F.col("lon")))
+    first = rows.agg(F.min_by(F.struct("lat", "lon", F.coalesce("ele", F.lit(0.0)).alias("h")), F.struct("track_id", "seq")).alias("o")).first()  # one row
+    if first is None or first["o"] is None:
+        return trajectory_enu(df, exaggeration)
+    lat, lon, h = (F.lit(float(first["o"][c])) for c in ("lat", "lon", "h"))
+    e, n, u = enu(F.col("lat"), F.col("lon"), F.coalesce("ele", h), lat, lon, h)
+    return rows.select("track_id", "seq", e.alias("east_m"), n.alias("north_m"), (u * exaggeration).alias("up_m"))
+
+
+#: Metres of a degree in a plan.
+PLAN_METERS = 111320.0
+
+
+def plan_projection(df: DataFrame) -> DataFrame:
+    """(track_id, seq, east_m, north_m) of points with a finite position, about the track's first such point.
+
+    Longitudes are unwrapped in order; the cosine is that of the origin's latitude, 1e-6 at least.
+    """
+    w = by_seq()
+    fine = ~F.isnan("lat") & ~F.isnan("lon") & (F.abs("lat") < float("inf")) & (F.abs("lon") < float("inf"))
+    rows = df.filter(F.coalesce(fine, F.lit(False))).select("track_id", "seq", "lat", "lon")
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("_s", F.coalesce(shortest_delta(F.lag("lon").over(w), F.col("lon")), F.lit(0.0)))
+    rows = rows.withColumns({"_u": F.sum("_s").over(upto), "_lat": F.first("lat").over(upto)})
+    cos = F.greatest(F.cos(F.radians("_lat")), F.lit(1e-6))
+    return rows.select("track_id", "seq", (F.col("_u") * PLAN_METERS * cos).alias("east_m"), ((F.col("lat") - F.col("_lat")) * PLAN_METERS).alias("north_m"))
+
+
+def plan_frame(plan: DataFrame) -> DataFrame:
+    """(track_id, span_m, scale_bar_m) of a plan: the longer side, a metre at least, and a round length near a quarter of it."""
+    side = lambda c: F.greatest(F.max(c) - F.min(c), F.lit(1.0))
+    g = plan.groupBy("track_id").agg(F.greatest(side("east_m"), side("north_m")).alias("span_m"))
+    target = F.col("span_m") / 4
+    power = F.pow(F.lit(10.0), F.floor(F.log10(target)))
+    return g.withColumn("scale_bar_m", F.when(target < power, power).when(target < 2 * power, 2 * power).when(target < 5 * power, 5 * power).otherwise(10 * power))
+
+
+def plan_stride(df: DataFrame, n: int = 2000) -> DataFrame:
+    """Every k-th row of a track, k the rows over n rounded up, and its last; only those with a finite position."""
+    rows = df.withColumns({"_i": F.row_number().over(by_seq()) - 1, "_n": F.count("*").over(whole_track())})
+    k = F.greatest(F.lit(1), F.ceil(F.col("_n") / max(1, n)))
+    fine = F.coalesce(~F.isnan("lat") & ~F.isnan("lon") & (F.abs("lat") < float("inf")) & (F.abs("lon") < float("inf")), F.lit(False))
+    return rows.filter(fine & ((F.col("_i") % k == 0) | (F.col("_i") == F.col("_n") - 1))).drop("_i", "_n")
+
+
+def playback_lookup(df: DataFrame, fractions: DataFrame) -> DataFrame:
+    """(track_id, fraction, seq, at): the row of a track at a fraction (track_id, fraction) of its time, and the fraction of that row.
+
+    The nearest in time, the earlier if two are; where a time is missing or falls, or all are alike, the row at that
+    share of the rows, halves up.
+    """
+    w, whole = by_seq(), whole_track()
+    rows = df.select("track_id", "seq", "time_ms").withColumns({"_i": (F.row_number().over(w) - 1).cast("double"), "_n": F.count("*").over(whole), "_bad": (F.col("time_ms").isNull() | F.coalesce(F.col("time_ms") < F.lag("time_ms").over(w), F.lit(False))).cast("int")})
+    rows = rows.withColumns({"_bad": F.max("_bad").over(whole), "_a": F.min("time_ms").over(whole), "_b": F.max("time_ms").over(whole)})
+    timed = (F.col("_bad") == 0) & (F.col("_b") > F.col("_a"))
+    rows = rows.select("track_id", "seq", "_i", F.when(timed, (F.col("time_ms") - F.col("_a")) / (F.col("_b") - F.col("_a"))).otherwise(F.col("_i") / F.greatest(F.col("_n") - 1, F.lit(1))).alias("_x"), timed.alias("_timed"))
+    point = F.struct("seq", "_i", "_x")
+    have = rows.select("track_id", F.col("_x").alias("_t"), F.lit(1).alias("_side"), point.alias("p"), "_timed", F.lit(None).cast("double").alias("fraction"))
+    asked = fractions.select("track_id", F.least(F.greatest(F.coalesce(F.nanvl(F.col("fraction"), F.lit(0.0)), F.lit(0.0)), F.lit(0.0)), F.lit(1.0)).alias("_t"), F.lit(0).alias("_side"), F.lit(None).cast(have.schema["p"].dataType).alias("p"), F.lit(None).cast("boolean").alias("_timed"), F.col("fraction").cast("double").alias("fraction"))
+    both = have.unionByName(asked)
+    ahead = Window.partitionBy("track_id").orderBy(F.desc("_t"), F.desc("_side"), F.desc("p._i"))
+    behind = Window.partitionBy("track_id").orderBy("_t", "_side", "p._i")
+    so_far = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    both = both.withColumns({"_a": F.last("p", ignorenulls=True).over(so_far(behind)), "_b": F.last("p", ignorenulls=True).over(so_far(ahead)), "_how": F.max("_timed").over(whole)}).filter("_side = 0")
+    # Of rows at one share the first in order is the one at or behind the instant.
+    near = (F.col("_t") - F.col("_a._x") <= F.col("_b._x") - F.col("_t")) & F.when(F.col("_how"), F.lit(True)).otherwise(F.col("_t") - F.col("_a._x") < F.col("_b._x") - F.col("_t"))
+    pick = F.when(F.col("_b").isNull() | F.coalesce(near, F.lit(False)), F.coalesce("_a", "_b")).otherwise(F.col("_b"))
+    return both.withColumn("_p", pick).filter("_p is not null").select("track_id", "fraction", F.col("_p.seq").alias("seq"), F.col("_p._x").alias("at"))
+
+
+def shape_groups(df: DataFrame) -> DataFrame:
+    """(track_id, shape, source_feature, start_seq, end_seq, points, closed): runs of points of one source feature.
+
+    closed: four points at least, and both ends within a billionth of a degree.
+    """
+    change = (~F.col("source_feature").eqNullSafe(F.lag("source_feature").over(by_seq())) | (F.row_number().over(by_seq()) == 1)).cast("int")
+    rows = df.withColumn("_c", change).withColumn("shape", F.sum("_c").over(by_seq()))
+    g = rows.groupBy("track_id", "shape").agg(F.first("source_feature").alias("source_feature"), F.min("seq").alias("start_seq"), F.max("seq").alias("end_seq"), F.count("*").alias("points"), F.min_by(F.struct("lat", "lon"), "seq").alias("a"), F.max_by(F.struct("lat", "lon"), "seq").alias("b"))
+    near = (F.abs(F.col("a.lat") - F.col("b.lat")) < 1e-9) & (F.abs(F.col("a.lon") - F.col("b.lon")) < 1e-9)
+    return g.select("track_id", "shape", "source_feature", "start_seq", "end_seq", "points", ((F.col("points") >= 4) & near).alias("closed"))
+
+
+#: Channels that belong together in a chart.
+PRESETS = {"elevation-time": ["elevation"], "speed-time": ["ground_speed_mps", "speed_mps"], "vertical-speed": ["vertical_speed_mps"], "heading": ["heading_deg", "turn_rate_dps"], "fix-quality": ["hdop", "vdop", "pdop", "sat"]}
+
+
+def preset_channels(channels: DataFrame, preset: str) -> DataFrame:
+    """(track_id, channel, place) of a preset's channels that a track has (channels: track_id, channel); elevation always; of speeds the first only."""
+    wanted = PRESETS[preset]
+    place = F.array_position(F.array(*map(F.lit, wanted)), F.col("channel"))
+    rows = channels.select("track_id", "channel").distinct()
+    if "elevation" in wanted:
+        rows = rows.unionByName(rows.select("track_id", F.lit("elevation").alias("channel"))).distinct()
+    rows = rows.filter(F.col("channel").isin(wanted)).withColumn("place", place)
+    return rows.withColumn("_first", F.min("place").over(Window.partitionBy("track_id"))).filter("place = _first").drop("_first") if preset == "speed-time" else rows

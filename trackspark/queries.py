@@ -9,17 +9,17 @@ from .demo_tracks import POINTS_SQL, points, sql_bearing, sql_haversine, sql_val
 from .functions.geo import round_up
 from .operators import aggregate as A
 from .operators import align as J
+from .operators import compare as X
 from .operators import edit as P
 from .operators import fusion as U
 from .operators import health as H
 from .operators import kinematics as K
 from .operators import ordered as W
 from .operators import builtin  # noqa: F401  registers the operations
+from .operators import outliers as O
 from .operators import resample as R
 from .operators import series as S
-from .plans.folders import work_folder
 from .plans.recipes import Record, replay
-from .sources import files
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -39,14 +39,18 @@ def _tidy(df: DataFrame, digits: int) -> DataFrame:
     return out.select(*(_rounded(c, min(digits, 3) if c in TIMES else digits).alias(c) if kind == "double" else F.concat_ws(",", c).alias(c) if kind.startswith("array") else F.col(c) for c, kind in out.dtypes))
 
 
-def _add(name: str, run, sql: str | None = None, doubles: str = "", digits: int = 6, with_points: bool = True) -> None:
+def _with(sql: str, recursive: bool) -> str:
+    return sql.replace("WITH ", "WITH RECURSIVE ", 1) if recursive else sql
+
+
+def _add(name: str, run, sql: str | None = None, doubles: str = "", digits: int = 6, with_points: bool = True, recursive: bool = False) -> None:
     def query(spark, sf_dir: str) -> DataFrame:
         return _tidy(run(points(spark, sf_dir)), digits)
 
     QUERIES[name] = query
     if sql is not None:
         rounding = ", ".join(f"floor({c} * 1e{min(digits, 3) if c in TIMES else digits} + 0.5003) / 1e{min(digits, 3) if c in TIMES else digits} AS {c}" for c in doubles.split())
-        ORACLE_SQL[name] = f"{POINTS_SQL if with_points else ''} SELECT * {f'REPLACE ({rounding})' if rounding else ''} FROM ({sql})"
+        ORACLE_SQL[name] = f"{_with(POINTS_SQL, recursive) if with_points else ''} SELECT * {f'REPLACE ({rounding})' if rounding else ''} FROM ({sql})"
 
 
 BASE = "track_id, seq, lat, lon, ele, time_ms"
@@ -193,12 +197,26 @@ _add("quality_events", W.quality_events, _EVENTS, "start_time end_time measure",
 _add("events_overlapping", lambda df: W.events_overlapping(W.quality_events(df), 200, 100).select("track_id", "kind", "start_seq", "end_seq"), f"SELECT track_id, kind, start_seq, end_seq FROM ({_EVENTS}) WHERE start_seq <= 200 AND end_seq >= 100")
 _add("event_source_points", lambda df: W.event_source_points(W.quality_events(df)), f"SELECT DISTINCT track_id, unnest(range(start_seq, end_seq + 1)) AS seq FROM ({_EVENTS})")
 _add("event_counts", lambda df: A.event_counts(W.quality_events(df)), f"SELECT track_id, kind, count(*) AS n FROM ({_EVENTS}) GROUP BY track_id, kind")
-_OUT = """
-  SELECT track_id, seq, residual, residual / scale AS score, residual / scale > 6 AS outlier FROM (SELECT *, greatest(1.0, 1.4826 * quantile_cont(residual, 0.5) OVER (PARTITION BY track_id)) AS scale FROM (
-    SELECT track_id, seq, abs(ele - (a + b) / 2) AS residual FROM (SELECT *, quantile_cont(ele, 0.5) OVER p AS a, quantile_cont(ele, 0.5) OVER q AS b, count(*) OVER p AS na, count(*) OVER q AS nb FROM points WHERE ele IS NOT NULL
-      WINDOW p AS (PARTITION BY track_id ORDER BY seq ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING), q AS (PARTITION BY track_id ORDER BY seq ROWS BETWEEN 1 FOLLOWING AND 5 FOLLOWING)) WHERE na = 5 AND nb = 5))"""
-_add("elevation_outliers", W.elevation_outliers, _OUT, "residual score", 5)
-_add("drop_outliers", lambda df: _base(R.drop_flagged(df, W.elevation_outliers(df))), f"SELECT {BASE} FROM points WHERE (track_id, seq) NOT IN (SELECT (track_id, seq) FROM ({_OUT}) WHERE outlier)", BASE_D)
+_HALF = """PARTITION BY track_id ORDER BY seq ROWS BETWEEN"""
+_FLOOR = f"""SELECT track_id, greatest(0.0, coalesce((sqrt(pow(cx - bx, 2) + pow(cy - yb, 2)) + sqrt(pow(cx - fx, 2) + pow(cy - fy, 2)) - sqrt(pow(bx - fx, 2) + pow(yb - fy, 2))) / 2, 0)) AS floor_m FROM (
+  SELECT track_id, x[6] AS cx, y[6] AS cy, list_median(x[1:5]) AS bx, list_median(y[1:5]) AS yb, list_median(x[7:11]) AS fx, list_median(y[7:11]) AS fy FROM (
+    SELECT track_id, list_transform(range(1, 12), lambda i: v * dt * list_sum(list_transform(range(1, i + 1), lambda k: cos(k * radians(turn * dt))))) AS x, list_transform(range(1, 12), lambda i: v * dt * list_sum(list_transform(range(1, i + 1), lambda k: sin(k * radians(turn * dt))))) AS y FROM (
+      SELECT track_id, 30.0::DOUBLE AS turn, least(max(speed) FILTER (WHERE speed > 0), 680) AS v, quantile_cont(dt, 0.5) FILTER (WHERE dt > 0) AS dt FROM ({_KIN2}) GROUP BY track_id)))"""
+_med = lambda c: f"quantile_cont({c}, 0.5) OVER p AS a_{c}, quantile_cont({c}, 0.5) OVER q AS b_{c}"
+_OUT = f"""
+  SELECT track_id, seq, CASE WHEN s1 > 0 AND s1 >= coalesce(s2, 0) AND s1 >= coalesce(s3, 0) THEN 'position' WHEN s2 > 0 AND s2 >= coalesce(s3, 0) THEN 'elevation' WHEN s3 > 0 THEN 'speed' ELSE 'position' END AS channel, greatest(s1, coalesce(s2, 0), coalesce(s3, 0)) AS score FROM (
+    SELECT track_id, seq, position / greatest(1.4826 * quantile_cont(abs(position - mp), 0.5) OVER t, 1, floor_m) AS s1, abs(elevation) / greatest(1.4826 * quantile_cont(abs(elevation - me), 0.5) OVER t, 1, coalesce(step, 0)) AS s2, abs(velocity) / greatest(1.4826 * quantile_cont(abs(velocity - mv), 0.5) OVER t, 0.5) AS s3 FROM (
+      SELECT *, quantile_cont(position, 0.5) OVER t AS mp, quantile_cont(elevation, 0.5) OVER t AS me, quantile_cont(velocity, 0.5) OVER t AS mv FROM (
+        SELECT track_id, seq, step, greatest(0, ({sql_haversine("lat", "lon", "a_lat", "a_lon")} + {sql_haversine("lat", "lon", "b_lat", "b_lon")} - {sql_haversine("a_lat", "a_lon", "b_lat", "b_lon")}) / 2) AS position, ele - (a_ele + b_ele) / 2 AS elevation, speed - (a_speed + b_speed) / 2 AS velocity FROM (
+          SELECT *, count(*) OVER p AS na, count(*) OVER q AS nb, {_med("lat")}, {_med("lon")}, {_med("ele")}, {_med("speed")} FROM (
+            SELECT *, quantile_cont(CASE WHEN rise > 0 THEN rise END, 0.5) OVER (PARTITION BY track_id) AS step FROM (SELECT *, ele - lag(ele) OVER (PARTITION BY track_id ORDER BY ele) AS rise FROM ({_KIN2}) WHERE ele IS NOT NULL UNION ALL SELECT *, NULL FROM ({_KIN2}) WHERE ele IS NULL))
+          WINDOW p AS ({_HALF} 5 PRECEDING AND 1 PRECEDING), q AS ({_HALF} 1 FOLLOWING AND 5 FOLLOWING)) WHERE na = 5 AND nb = 5)
+      WINDOW t AS (PARTITION BY track_id)) JOIN ({_FLOOR}) USING (track_id) WINDOW t AS (PARTITION BY track_id))"""
+_floored = lambda df: O.turn_floor(df, 30.0, 5, 680.0)
+_add("turn_floor", _floored, _FLOOR, "floor_m", 4)
+_add("detect_outliers", lambda df: O.detect_outliers(df, floors=_floored(df)), f"SELECT *, score > 3 AS outlier FROM ({_OUT})", "score", 4)
+_add("drop_outliers", lambda df: _base(O.drop_outliers(df, reconstruct=False)), f"SELECT {BASE} FROM points WHERE (track_id, seq) NOT IN (SELECT (track_id, seq) FROM ({_OUT}) WHERE score > 3)", BASE_D)
+_add("elevation_outliers", lambda df: O.detect_outliers(df, threshold=6.0, channels=("elevation",)).select("track_id", "seq", "outlier"))
 
 # Statistics.
 _add("bounds", A.bounds, f"SELECT track_id, min(lat) FILTER (WHERE {sql_valid()}) AS min_lat, min(lon) FILTER (WHERE {sql_valid()}) AS min_lon, max(lat) FILTER (WHERE {sql_valid()}) AS max_lat, max(lon) FILTER (WHERE {sql_valid()}) AS max_lon FROM points GROUP BY track_id", "min_lat min_lon max_lat max_lon")
@@ -206,14 +224,15 @@ _STATS = f"""
   SELECT *, CASE WHEN duration_ms > 0 AND with_time > 1 THEN (with_time - 1) / (duration_ms / 1000) END AS sample_rate_hz FROM (
     SELECT track_id, count(*) AS points, count(*) FILTER (WHERE ok) AS valid, count(ele) AS with_ele, count(time_ms) AS with_time, coalesce(sum(d), 0) AS distance_m, arg_max(time_ms, seq) - arg_min(time_ms, seq) AS duration_ms,
       min(ele) AS ele_min, max(ele) AS ele_max, sum(greatest(rise, 0)) FILTER (WHERE rise IS NOT NULL) AS gain_m, sum(greatest(-rise, 0)) FILTER (WHERE rise IS NOT NULL) AS loss_m,
-      min(d / dt) FILTER (WHERE dt > 0) AS speed_min, max(d / dt) FILTER (WHERE dt > 0) AS speed_max, avg(d / dt) FILTER (WHERE dt > 0) AS speed_mean, coalesce(bool_and(time_ms >= t), true) AS monotonic, count(*) FILTER (WHERE d = 0) AS duplicate_coords FROM (
+      min(d / dt) FILTER (WHERE dt > 0) AS speed_min, max(d / dt) FILTER (WHERE dt > 0) AS speed_max, avg(d / dt) FILTER (WHERE dt > 0) AS speed_mean, coalesce(bool_and(time_ms >= t), true) AS monotonic, count(*) FILTER (WHERE d = 0) AS duplicate_coords,
+      0::BIGINT AS with_name, count(*) FILTER (WHERE NOT ok) AS invalid, min(lat) FILTER (WHERE ok) AS min_lat, min(lon) FILTER (WHERE ok) AS min_lon, max(lat) FILTER (WHERE ok) AS max_lat, max(lon) FILTER (WHERE ok) AS max_lon, arg_min(time_ms, seq) AS start_time, arg_max(time_ms, seq) AS end_time FROM (
       SELECT *, CASE WHEN ok THEN {sql_haversine("p.lat", "p.lon", "q.lat", "q.lon")} END AS d, (time_ms - p.t) / 1000 AS dt, ele - e AS rise FROM (
         SELECT *, {{'lat': lat, 'lon': lon}} AS q, {sql_valid()} AS ok, last_value(CASE WHEN {sql_valid()} THEN {{'lat': lat, 'lon': lon, 't': time_ms}} END IGNORE NULLS) OVER w AS p, last_value(ele IGNORE NULLS) OVER w AS e, last_value(time_ms IGNORE NULLS) OVER w AS t FROM points
         WINDOW w AS (PARTITION BY track_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))) GROUP BY track_id)"""
-_STATS_D = "distance_m duration_ms ele_min ele_max gain_m loss_m speed_min speed_max speed_mean sample_rate_hz"
+_STATS_D = "min_lat min_lon max_lat max_lon start_time end_time distance_m duration_ms ele_min ele_max gain_m loss_m speed_min speed_max speed_mean sample_rate_hz"
 _add("track_stats", A.track_stats, _STATS, _STATS_D, 4)
-_add("channel_stats", A.channel_stats, "SELECT track_id, channel, count(v) AS n, min(v) AS min, max(v) AS max, avg(v) AS mean, stddev_samp(v) AS stddev FROM (SELECT track_id, unnest(['hdop', 'sat', 'ele']) AS channel, unnest([hdop, sat, ele]) AS v FROM points) GROUP BY track_id, channel", "min max mean stddev")
-_add("range_statistics", lambda df: A.range_statistics(df, 100, 400), f"SELECT track_id, count(*) AS points, coalesce(sum(d), 0) AS distance_m, arg_max_null(time_ms, seq) - arg_min_null(time_ms, seq) AS duration_ms, avg(hdop) AS mean_hdop, avg(ele) AS mean_ele FROM (SELECT *, {sql_haversine('lag(lat) OVER w', 'lag(lon) OVER w', 'lat', 'lon')} AS d FROM points WHERE seq BETWEEN 100 AND 400 {W_SQL}) GROUP BY track_id", "distance_m duration_ms mean_hdop mean_ele", 4)
+_add("channel_stats", A.channel_stats, "SELECT track_id, channel, count(v) AS count, count(v) AS n, min(v) AS min, max(v) AS max, avg(v) AS mean, stddev_samp(v) AS stddev, CASE channel WHEN 'hdop' THEN 'DOP' WHEN 'sat' THEN 'sats' END AS unit FROM (SELECT track_id, unnest(['hdop', 'sat', 'ele']) AS channel, unnest([hdop, sat, ele]) AS v FROM points) GROUP BY track_id, channel", "min max mean stddev")
+_add("range_statistics", lambda df: A.range_statistics(df, 100, 400), f"SELECT track_id, count(*) AS points, coalesce(sum(d), 0) AS distance_m, arg_max_null(time_ms, seq) - arg_min_null(time_ms, seq) AS duration_ms, count(hdop) AS count_hdop, min(hdop) AS min_hdop, max(hdop) AS max_hdop, avg(hdop) AS mean_hdop, count(ele) AS count_ele, min(ele) AS min_ele, max(ele) AS max_ele, avg(ele) AS mean_ele FROM (SELECT *, {sql_haversine('lag(lat) OVER w', 'lag(lon) OVER w', 'lat', 'lon')} AS d FROM points WHERE seq BETWEEN 100 AND 400 {W_SQL}) GROUP BY track_id", "distance_m duration_ms min_hdop max_hdop mean_hdop min_ele max_ele mean_ele", 4)
 _add("distribution_stats", lambda df: A.distribution_stats(df, "ele"), "SELECT track_id, count(*) AS n, min(ele) AS min, quantile_cont(ele, 0.5) AS median, quantile_cont(ele, 0.95) AS p95, max(ele) AS max, avg(ele) AS mean, coalesce(stddev_samp(ele), 0) AS stddev FROM points WHERE ele IS NOT NULL GROUP BY track_id", "min median p95 max mean stddev")
 _add("histogram", lambda df: A.histogram(df, "ele"), "SELECT track_id, bin, a + bin * w AS low, a + (bin + 1) * w AS high, count(*) AS n FROM (SELECT *, least(19, floor((v - a) / w)::INT) AS bin FROM (SELECT *, CASE WHEN a = b THEN 1 ELSE (b - a) / 20 END AS w FROM (SELECT track_id, ele AS v, min(ele) OVER t AS a, max(ele) OVER t AS b FROM points WHERE ele IS NOT NULL WINDOW t AS (PARTITION BY track_id)))) GROUP BY track_id, bin, a, w", "low high")
 _add(
@@ -227,27 +246,58 @@ _add(
 _add("flag_counts", lambda df: A.flag_counts(K.kinematics(df)), f"SELECT track_id, flags AS flag, count(*) AS n FROM ({_KIN3}) WHERE flags <> '' GROUP BY track_id, flags")
 _add("time_extent", A.time_extent, "SELECT min(time_ms) AS earliest, max(time_ms) AS latest FROM points", "earliest latest")
 _add("fingerprint", A.fingerprint)
-_add("operation_preview", lambda df: A.operation_preview(df, W.decimate(df, 2)).select("track_id", "points_before", "points_after", "destructive"), "SELECT track_id, count(*) AS points_before, count(*) FILTER (WHERE seq % 2 = 0 OR seq = n) AS points_after, count(*) FILTER (WHERE seq % 2 = 0 OR seq = n) < count(*) AS destructive FROM (SELECT *, max(seq) OVER (PARTITION BY track_id) AS n FROM points) GROUP BY track_id")
+_SIDE = lambda src, n: f"SELECT track_id, points AS points_{n}, distance_m AS distance_{n}, duration_ms AS duration_{n}, [min_lat, min_lon, max_lat, max_lon] AS b_{n} FROM ({_STATS.replace('FROM points', 'FROM ' + src)})"
+_HALVED = "(SELECT p.* FROM points p JOIN (SELECT track_id, max(seq) AS last FROM points GROUP BY track_id) USING (track_id) WHERE seq % 2 = 0 OR seq = last)"
+_N_EVENTS = lambda src, n: f"SELECT track_id, count(*) AS events_{n} FROM ({_EVENTS.replace('FROM points', 'FROM ' + src).replace('seq - 1', 'pseq').replace('SELECT *, lag(lat)', 'SELECT *, lag(seq) OVER w AS pseq, lag(lat)')}) GROUP BY track_id"
+_add(
+    "operation_preview",
+    lambda df: A.operation_preview(df, W.decimate(df, 2), (100, 400)),
+    f"""SELECT a.track_id, points_before, distance_before, duration_before, coalesce(events_before, 0) AS events_before, in_range_before, points_after, distance_after, duration_after, coalesce(events_after, 0) AS events_after, in_range_after, b_before IS DISTINCT FROM b_after AS bounds_changed, points_after < points_before AS destructive
+      FROM ({_SIDE("points", "before")}) a JOIN ({_SIDE(_HALVED, "after")}) b USING (track_id) LEFT JOIN ({_N_EVENTS("points", "before")}) c USING (track_id) LEFT JOIN ({_N_EVENTS(_HALVED, "after")}) d USING (track_id)
+      JOIN (SELECT track_id, count(*) FILTER (WHERE seq BETWEEN 100 AND 400) AS in_range_before, count(*) FILTER (WHERE seq BETWEEN 100 AND 400 AND (seq % 2 = 0 OR seq = last)) AS in_range_after FROM (SELECT *, max(seq) OVER (PARTITION BY track_id) AS last FROM points) GROUP BY track_id) e USING (track_id)""",
+    "distance_before distance_after duration_before duration_after",
+    3,
+)
 _add("stride_sample", lambda df: A.stride_sample(df, 100).select("track_id", "seq"), "SELECT track_id, seq FROM (SELECT *, count(*) OVER (PARTITION BY track_id) AS n FROM points) WHERE seq % greatest(1, ceil((n - 1) / 99.0))::BIGINT = 0 OR seq = n - 1")
-_add("minmax_downsample", lambda df: A.minmax_downsample(df, "ele", 50), "SELECT DISTINCT track_id, unnest([arg_min(seq, (ele, seq)), arg_max(seq, (ele, -seq))]) AS seq, unnest([min(ele), max(ele)]) AS ele FROM (SELECT *, ((row_number() OVER (PARTITION BY track_id ORDER BY seq) - 1) * 50 // count(*) OVER (PARTITION BY track_id)) AS b FROM points WHERE ele IS NOT NULL) GROUP BY track_id, b", "ele")
-_add("path_segments", lambda df: A.path_segments(df, 20000).select("track_id", "seq", "segment"), f"SELECT track_id, seq, sum(c) OVER w AS segment FROM (SELECT *, coalesce(time_ms - lag(time_ms) OVER w > 20000, false)::INT AS c FROM points WHERE {sql_valid()} {W_SQL}) {W_SQL}")
-
-# Alignment: T0 against T1.
-_pair = lambda df: (J.one_sided(P.drop_invalid(df), "T0", "p"), J.one_sided(P.drop_invalid(df), "T1", "p"))
-_SIDES = f"r AS (SELECT * FROM points WHERE track_id = 'T0' AND time_ms IS NOT NULL AND {sql_valid()}), t AS (SELECT * FROM points WHERE track_id = 'T1' AND time_ms IS NOT NULL AND {sql_valid()})"
-_NEAR = f"""SELECT 'p' AS pair, seq AS ref_seq, x.seq AS tgt_seq, time_ms AS ref_time, x.t AS tgt_time, x.t - time_ms AS delta_ms, lat, lon, ele, x.lat AS tlat, x.lon AS tlon, x.ele AS tele FROM (
-  SELECT r.*, (SELECT arg_min({{'seq': t.seq, 't': t.time_ms, 'lat': t.lat, 'lon': t.lon, 'ele': t.ele}}, (abs(t.time_ms - r.time_ms), t.time_ms, CASE WHEN t.time_ms < r.time_ms THEN -t.seq ELSE t.seq END)) FROM t) AS x FROM r) WHERE abs(x.t - time_ms) <= 3000"""
+_add("minmax_downsample", lambda df: A.minmax_downsample(df, "ele", 50), """
+  SELECT DISTINCT track_id, seq, ele FROM (SELECT track_id, unnest([lo.seq, hi.seq]) AS seq, unnest([lo.ele, hi.ele]) AS ele FROM (
+    SELECT track_id, arg_min({'seq': seq, 'ele': ele}, (ele, seq)) AS lo, arg_max({'seq': seq, 'ele': ele}, (ele, -seq)) AS hi FROM (
+      SELECT *, CASE WHEN n <= 50 OR i IN (0, n - 1) THEN -1 - i ELSE (SELECT max(b) FROM range(24) g(b) WHERE floor(b * ((n - 2) / 24.0)) <= i - 1) END AS bucket FROM (SELECT *, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY track_id) AS n FROM points WHERE ele IS NOT NULL WINDOW w AS (PARTITION BY track_id ORDER BY seq))) GROUP BY track_id, bucket))""", "ele")
+_add("plan_stride", lambda df: S.plan_stride(df, 100).select("track_id", "seq"), "SELECT track_id, seq FROM (SELECT *, count(*) OVER (PARTITION BY track_id) AS n FROM points) WHERE seq % greatest(1, ceil(n / 100.0))::BIGINT = 0 OR seq = n - 1")
+_wide = lambda df: df.withColumn("lon", F.when(F.col("seq") % 500 >= 450, F.col("lon") - 200).otherwise(F.col("lon")))  # noqa: E731  so that some legs cross the date line, and some points are invalid
+_add("path_segments", lambda df: A.path_segments(_wide(df), 20000).select("track_id", "seq", "segment"), f"""
+  SELECT track_id, seq, segment FROM (SELECT *, count(*) OVER (PARTITION BY track_id, segment) AS m FROM (SELECT *, sum((cut OR coalesce(abs(lon - plon2) > 180, false))::INT) OVER w AS segment FROM (SELECT *, lag(lon) OVER w AS plon2 FROM (
+    SELECT *, coalesce(time_ms - pt > 20000 OR ({sql_valid("plat", "plon")} AND time_ms - pt BETWEEN 0 AND 5000 AND {sql_haversine("plat", "plon", "lat", "lon")} > 10000), false) AS cut FROM ({_PREV.replace("FROM points", "FROM (SELECT * REPLACE (CASE WHEN seq % 500 >= 450 THEN lon - 200 ELSE lon END AS lon) FROM points)")})) WHERE {sql_valid()} {W_SQL}) {W_SQL})) WHERE m > 1""")
+
+# Alignment: each track against the next, the last against the first; the key of a pair has both names.
+def _ring(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both sides of the pairs, keyed by pair."""
+    df, one = P.drop_invalid(df), Window.partitionBy(F.lit(1)).orderBy("track_id")
+    ids = df.select("track_id").distinct()  # a row for each track
+    ids = ids.select("track_id", F.coalesce(F.lead("track_id").over(one), F.min("track_id").over(Window.partitionBy(F.lit(1)))).alias("next"))
+    pairs = ids.withColumn("pair", F.concat_ws("-", "track_id", "next"))
+    side = lambda c: df.join(pairs.select(F.col(c).alias("track_id"), "pair"), "track_id").drop("track_id").withColumnRenamed("pair", "track_id")
+    return side("track_id"), side("next")
+
+
+_pair = _ring
+_SIDES = f"""ids AS (SELECT track_id, coalesce(lead(track_id) OVER (ORDER BY track_id), min(track_id) OVER ()) AS nxt FROM (SELECT DISTINCT track_id FROM points WHERE {sql_valid()})),
+  r AS (SELECT p.*, p.track_id || '-' || nxt AS pair FROM points p JOIN ids USING (track_id) WHERE time_ms IS NOT NULL AND {sql_valid()}),
+  t AS (SELECT p.*, i.track_id || '-' || nxt AS pair FROM points p JOIN ids i ON p.track_id = i.nxt WHERE time_ms IS NOT NULL AND {sql_valid()})"""
+_NEAR = """SELECT pair, seq AS ref_seq, x.seq AS tgt_seq, time_ms AS ref_time, x.t AS tgt_time, x.t - time_ms AS delta_ms, lat, lon, ele, x.lat AS tlat, x.lon AS tlon, x.ele AS tele FROM (
+  SELECT r.*, (SELECT arg_min({'seq': t.seq, 't': t.time_ms, 'lat': t.lat, 'lon': t.lon, 'ele': t.ele}, (abs(t.time_ms - r.time_ms), t.time_ms, CASE WHEN t.time_ms < r.time_ms THEN -t.seq ELSE t.seq END)) FROM t WHERE t.pair = r.pair) AS x FROM r) WHERE abs(x.t - time_ms) <= 3000"""
 _ALIGN = "pair, ref_seq, tgt_seq, ref_time, tgt_time, delta_ms"
 
 
 def _aligned(name: str, run, sql: str, doubles: str = "", digits: int = 6) -> None:
-    _add(name, run, f"WITH {_SIDES} {sql}", doubles, digits)
+    for one in (name, f"{name}_all"):
+        _add(one, run, f"WITH {_SIDES} {sql}", doubles, digits)
 
 
 _aligned("align_nearest", lambda df: J.align_nearest(*_pair(df), 3000), f"SELECT {_ALIGN} FROM ({_NEAR})", "ref_time tgt_time delta_ms")
-_BRACKET = """SELECT 'p' AS pair, seq AS ref_seq, time_ms AS ref_time, a, b, CASE WHEN b.t = a.t THEN 0 ELSE (time_ms - a.t) / (b.t - a.t) END AS fraction FROM (SELECT r.*,
-  coalesce((SELECT arg_max({'seq': seq, 't': time_ms}, (time_ms, seq)) FROM t WHERE t.time_ms < r.time_ms), (SELECT arg_min({'seq': seq, 't': time_ms}, (time_ms, seq)) FROM t WHERE t.time_ms = r.time_ms)) AS a,
-  (SELECT arg_min({'seq': seq, 't': time_ms}, (time_ms, seq)) FROM t WHERE t.time_ms >= r.time_ms) AS b FROM r) WHERE a IS NOT NULL AND b IS NOT NULL AND b.t - a.t <= 15000"""
+_BRACKET = """SELECT pair, seq AS ref_seq, time_ms AS ref_time, a, b, CASE WHEN b.t = a.t THEN 0 ELSE (time_ms - a.t) / (b.t - a.t) END AS fraction FROM (SELECT r.*,
+  coalesce((SELECT arg_max({'seq': seq, 't': time_ms}, (time_ms, seq)) FROM t WHERE t.pair = r.pair AND t.time_ms < r.time_ms), (SELECT arg_min({'seq': seq, 't': time_ms}, (time_ms, seq)) FROM t WHERE t.pair = r.pair AND t.time_ms = r.time_ms)) AS a,
+  (SELECT arg_min({'seq': seq, 't': time_ms}, (time_ms, seq)) FROM t WHERE t.pair = r.pair AND t.time_ms >= r.time_ms) AS b FROM r) WHERE a IS NOT NULL AND b IS NOT NULL AND b.t - a.t <= 15000"""
 _aligned("align_interpolated", lambda df: J.align_interpolated(*_pair(df), 15000).select("pair", "ref_seq", "ref_time", "tgt_seq", "tgt_after_seq", "fraction"), f"SELECT pair, ref_seq, ref_time, a.seq AS tgt_seq, b.seq AS tgt_after_seq, fraction FROM ({_BRACKET})", "ref_time fraction")
 _N = "(6378137.0::DOUBLE / sqrt(1 - e2 * pow(sin(radians({0})), 2)))"
 _E2 = "(1 / 298.257223563::DOUBLE) * (2 - 1 / 298.257223563::DOUBLE)"
@@ -263,49 +313,28 @@ _REL = f"""SELECT *, fmod(degrees(atan2(east_m, north_m)) + 360, 360) AS bearing
   SELECT *, -sin(radians(lon)) * dx + cos(radians(lon)) * dy AS east_m, -sin(radians(lat)) * cos(radians(lon)) * dx - sin(radians(lat)) * sin(radians(lon)) * dy + cos(radians(lat)) * dz AS north_m, cos(radians(lat)) * cos(radians(lon)) * dx + cos(radians(lat)) * sin(radians(lon)) * dy + sin(radians(lat)) * dz AS up_m, tele - ele AS altitude_separation_m
   FROM (SELECT *, {_T[0]} - {_O[0]} AS dx, {_T[1]} - {_O[1]} AS dy, {_T[2]} - {_O[2]} AS dz FROM ({_NEAR}))))"""
 _rel = lambda df: J.relative_position(J.align_nearest(*_pair(df), 3000))
-_aligned("relative_position", lambda df: _rel(df).select("pair", "ref_seq", "east_m", "north_m", "up_m", "horizontal_m", "slant_m", "bearing_deg", "altitude_separation_m", "closure_mps"), f"SELECT pair, ref_seq, east_m, north_m, up_m, horizontal_m, slant_m, bearing_deg, altitude_separation_m, CASE WHEN ref_time > lag(ref_time) OVER w THEN (lag(slant_m) OVER w - slant_m) / ((ref_time - lag(ref_time) OVER w) / 1000) END AS closure_mps FROM ({_REL}) WINDOW w AS (ORDER BY ref_seq)", "east_m north_m up_m horizontal_m slant_m bearing_deg altitude_separation_m closure_mps", 4)
-_aligned("clock_drift", lambda df: J.clock_drift(J.align_nearest(*_pair(df), 3000)), f"SELECT pair, count(*) AS n, regr_intercept(y, x) AS offset_ms, regr_slope(y, x) AS drift_ms_per_s FROM (SELECT pair, (ref_time - arg_min(ref_time, ref_seq) OVER ()) / 1000 AS x, tgt_time - ref_time AS y FROM ({_NEAR})) GROUP BY pair", "offset_ms drift_ms_per_s", 4)
-_aligned("closest_approach", lambda df: J.closest_approach(_rel(df)).select("pair", "ref_seq", "tgt_seq", "slant_m"), f"SELECT pair, ref_seq, tgt_seq, slant_m FROM ({_REL}) ORDER BY slant_m, ref_seq LIMIT 1", "slant_m", 4)
-_aligned("comparison_range_stats", lambda df: _rel(df).groupBy("pair").agg(F.min("slant_m").alias("min_slant"), F.max("slant_m").alias("max_slant"), F.avg("slant_m").alias("mean_slant"), F.avg("horizontal_m").alias("mean_horizontal")), f"SELECT pair, min(slant_m) AS min_slant, max(slant_m) AS max_slant, avg(slant_m) AS mean_slant, avg(horizontal_m) AS mean_horizontal FROM ({_REL}) GROUP BY pair", "min_slant max_slant mean_slant mean_horizontal", 4)
+_aligned("relative_position", lambda df: _rel(df).select("pair", "ref_seq", "east_m", "north_m", "up_m", "horizontal_m", "slant_m", "bearing_deg", "altitude_separation_m", "closure_mps"), f"SELECT pair, ref_seq, east_m, north_m, up_m, horizontal_m, slant_m, bearing_deg, altitude_separation_m, CASE WHEN ref_time > lag(ref_time) OVER w THEN (lag(slant_m) OVER w - slant_m) / ((ref_time - lag(ref_time) OVER w) / 1000) END AS closure_mps FROM ({_REL}) WINDOW w AS (PARTITION BY pair ORDER BY ref_seq)", "east_m north_m up_m horizontal_m slant_m bearing_deg altitude_separation_m closure_mps", 4)
+_aligned("clock_drift", lambda df: J.clock_drift(J.align_nearest(*_pair(df), 3000)), f"SELECT pair, count(*) AS n, regr_intercept(y, x) AS offset_ms, regr_slope(y, x) AS drift_ms_per_s FROM (SELECT pair, (ref_time - arg_min(ref_time, ref_seq) OVER (PARTITION BY pair)) / 1000 AS x, tgt_time - ref_time AS y FROM ({_NEAR})) GROUP BY pair", "offset_ms drift_ms_per_s", 4)
+_aligned("closest_approach", lambda df: J.closest_approach(_rel(df)).select("pair", "ref_seq", "tgt_seq", "slant_m"), f"SELECT pair, ref_seq, tgt_seq, slant_m FROM ({_REL}) QUALIFY row_number() OVER (PARTITION BY pair ORDER BY slant_m, ref_seq) = 1", "slant_m", 4)
+_aligned("comparison_range_stats", lambda df: X.comparison_range_stats(_rel(df)), f"SELECT pair, count(*) AS n, min(slant_m) AS min_slant, max(slant_m) AS max_slant, avg(slant_m) AS mean_slant, avg(horizontal_m) AS mean_horizontal, avg(closure) AS mean_closure FROM (SELECT *, CASE WHEN ref_time > lag(ref_time) OVER w THEN (lag(slant_m) OVER w - slant_m) / ((ref_time - lag(ref_time) OVER w) / 1000) END AS closure FROM ({_REL}) WINDOW w AS (PARTITION BY pair ORDER BY ref_seq)) GROUP BY pair", "min_slant max_slant mean_slant mean_horizontal mean_closure", 3)
 _add("track_diff", lambda df: J.track_diff(df, P.shift_time(P.delete_points(df, df.filter("seq % 10 = 0")), 1)), "SELECT track_id, count(*) AS n_before, count(*) FILTER (WHERE seq % 10 <> 0) AS n_after, count(*) FILTER (WHERE seq % 10 <> 0 AND time_ms IS NOT NULL) AS n_modified, max(CASE WHEN seq % 10 <> 0 AND time_ms IS NOT NULL THEN 1000.0::DOUBLE END) AS max_time_shift_ms FROM points GROUP BY track_id", "max_time_shift_ms")
 _renumbered = lambda df: df.withColumn("seq", F.row_number().over(Window.partitionBy("track_id").orderBy("seq")) - 1)
 _add("track_diff_ordered", lambda df: J.track_diff_ordered(df, _renumbered(P.delete_points(df, df.filter("seq % 10 = 0")))))
-_add(
-    "position_at_time",
-    lambda df: J.position_at_time(P.drop_invalid(df), df.filter("seq % 20 = 0 and time_ms is not null").select("track_id", (F.col("time_ms") + 100).alias("at_ms")), 20000.0).select("track_id", "at_ms", "lat", "ele", "derived"),
-    f"""SELECT track_id, at_ms, CASE WHEN b.t = at_ms THEN b.lat ELSE a.lat + (b.lat - a.lat) * ((at_ms - a.t) / (b.t - a.t)) END AS lat, CASE WHEN b.t = at_ms THEN b.ele ELSE a.ele + (b.ele - a.ele) * ((at_ms - a.t) / (b.t - a.t)) END AS ele, b.t <> at_ms AS derived FROM (
-      SELECT q.track_id, q.at_ms, (SELECT arg_max({{'t': p.time_ms, 'lat': p.lat, 'ele': p.ele}}, (p.time_ms, p.seq)) FROM points p WHERE p.track_id = q.track_id AND {sql_valid("p.lat", "p.lon")} AND p.time_ms < q.at_ms) AS a, (SELECT arg_min({{'t': p.time_ms, 'lat': p.lat, 'ele': p.ele}}, (p.time_ms, p.seq)) FROM points p WHERE p.track_id = q.track_id AND {sql_valid("p.lat", "p.lon")} AND p.time_ms >= q.at_ms) AS b
-      FROM (SELECT track_id, time_ms + 100 AS at_ms FROM points WHERE seq % 20 = 0 AND time_ms IS NOT NULL) q) WHERE b IS NOT NULL AND (b.t = at_ms OR (a IS NOT NULL AND b.t - a.t <= 20000))""",
-    "at_ms lat ele",
-)
-
-
-
-# The same for all tracks, each against the next: no twin, since the correlated subqueries are quadratic; held against plain Python.
-def _ring(df: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Both sides of the pairs of each track with the next, the last with the first; the key of a pair has both names."""
-    df, one = P.drop_invalid(df), Window.partitionBy(F.lit(1)).orderBy("track_id")
-    ids = df.select("track_id").distinct()  # a row for each track
-    ids = ids.select("track_id", F.coalesce(F.lead("track_id").over(one), F.min("track_id").over(Window.partitionBy(F.lit(1)))).alias("next"))
-    pairs = ids.withColumn("pair", F.concat_ws("-", "track_id", "next"))
-    side = lambda c: df.join(pairs.select(F.col(c).alias("track_id"), "pair"), "track_id").drop("track_id").withColumnRenamed("pair", "track_id")
-    return side("track_id"), side("next")
-
-
-_ring_rel = lambda df: J.relative_position(J.align_nearest(*_ring(df), 3000))
-_add("align_nearest_all", lambda df: J.align_nearest(*_ring(df), 3000))
-_add("align_interpolated_all", lambda df: J.align_interpolated(*_ring(df), 15000).select("pair", "ref_seq", "ref_time", "tgt_seq", "tgt_after_seq", "fraction"))
-_add("relative_position_all", lambda df: _ring_rel(df).select("pair", "ref_seq", "east_m", "north_m", "up_m", "horizontal_m", "slant_m", "bearing_deg", "altitude_separation_m", "closure_mps"), digits=4)
-_add("clock_drift_all", lambda df: J.clock_drift(J.align_nearest(*_ring(df), 3000)), digits=4)
-_add("closest_approach_all", lambda df: J.closest_approach(_ring_rel(df)).select("pair", "ref_seq", "tgt_seq", "slant_m"), digits=4)
-_add("comparison_range_stats_all", lambda df: _ring_rel(df).groupBy("pair").agg(F.min("slant_m").alias("min_slant"), F.max("slant_m").alias("max_slant"), F.avg("slant_m").alias("mean_slant"), F.avg("horizontal_m").alias("mean_horizontal")), digits=4)
-_add("position_at_time_all", lambda df: J.position_at_time(P.drop_invalid(df), df.filter("time_ms is not null").select("track_id", (F.col("time_ms") + 100).alias("at_ms")), 20000.0))
+for _name in ("position_at_time", "position_at_time_all"):
+    _add(
+        _name,
+        lambda df: J.position_at_time(P.drop_invalid(df), df.filter("time_ms is not null").select("track_id", (F.col("time_ms") + 100).alias("at_ms")), 20000.0),
+        f"""SELECT track_id, at_ms, CASE WHEN b.t = at_ms THEN b.lat ELSE a.lat + (b.lat - a.lat) * ((at_ms - a.t) / (b.t - a.t)) END AS lat, CASE WHEN b.t = at_ms THEN b.lon ELSE a.lon + (b.lon - a.lon) * ((at_ms - a.t) / (b.t - a.t)) END AS lon, CASE WHEN b.t = at_ms THEN b.ele ELSE a.ele + (b.ele - a.ele) * ((at_ms - a.t) / (b.t - a.t)) END AS ele, b.t <> at_ms AS derived FROM (
+          SELECT q.track_id, q.at_ms, (SELECT arg_max({{'t': p.time_ms, 'lat': p.lat, 'lon': p.lon, 'ele': p.ele}}, (p.time_ms, p.seq)) FROM points p WHERE p.track_id = q.track_id AND {sql_valid("p.lat", "p.lon")} AND p.time_ms < q.at_ms) AS a, (SELECT arg_min({{'t': p.time_ms, 'lat': p.lat, 'lon': p.lon, 'ele': p.ele}}, (p.time_ms, p.seq)) FROM points p WHERE p.track_id = q.track_id AND {sql_valid("p.lat", "p.lon")} AND p.time_ms >= q.at_ms) AS b
+          FROM (SELECT track_id, time_ms + 100 AS at_ms FROM points WHERE time_ms IS NOT NULL) q) WHERE b IS NOT NULL AND (b.t = at_ms OR (a IS NOT NULL AND b.t - a.t <= 20000))""",
+        "at_ms lat lon ele",
+    )
 
 # Grids, gaps and fusion.
 _add(
     "resample_fixed_rate",
-    lambda df: R.resample_fixed_rate(df, 0.5).select("track_id", "seq", "time_ms", "lat", "ele", "flags"),
-    """SELECT track_id, row_number() OVER (PARTITION BY track_id ORDER BY t) - 1 AS seq, t AS time_ms, CASE WHEN t = b.t THEN b.lat ELSE a.lat + (b.lat - a.lat) * ((t - a.t) / (b.t - a.t)) END AS lat, CASE WHEN t = b.t THEN b.ele ELSE a.ele + (b.ele - a.ele) * ((t - a.t) / (b.t - a.t)) END AS ele, CASE WHEN t = b.t THEN '' ELSE 'interpolated' END AS flags FROM (
+    lambda df: R.resample_fixed_rate(df, 0.5, duplicates="first").select("track_id", "seq", "time_ms", "lat", "ele", "flags"),
+    """SELECT track_id, row_number() OVER (PARTITION BY track_id ORDER BY t) - 1 AS seq, t AS time_ms, CASE WHEN t = b.t THEN b.lat ELSE a.lat + (b.lat - a.lat) * ((t - a.t) / (b.t - a.t)) END AS lat, CASE WHEN t = b.t THEN b.ele WHEN a.ele IS NULL OR b.ele IS NULL THEN coalesce(a.ele, b.ele) ELSE a.ele + (b.ele - a.ele) * ((t - a.t) / (b.t - a.t)) END AS ele, CASE WHEN t = b.t THEN '' ELSE 'interpolated' END AS flags FROM (
       SELECT g.track_id, g.t, s.a, s.b FROM (
         SELECT track_id, least(t1, t0 + k * 2000) AS t FROM (SELECT track_id, t0, t1, unnest(range(0, floor((t1 - t0) / 2000)::BIGINT + 1)) AS k FROM (SELECT track_id, min(time_ms) AS t0, max(time_ms) AS t1 FROM points GROUP BY track_id)) UNION SELECT track_id, max(time_ms) FROM points GROUP BY track_id) g
       JOIN (SELECT track_id, lag(p) OVER v AS a, p AS b FROM (SELECT track_id, time_ms, {'t': time_ms, 'lat': lat, 'ele': ele} AS p FROM points WHERE time_ms IS NOT NULL QUALIFY row_number() OVER (PARTITION BY track_id, time_ms ORDER BY seq) = 1) WINDOW v AS (PARTITION BY track_id ORDER BY time_ms)) s
@@ -324,11 +353,6 @@ _add("resample_by_distance", lambda df: R.resample_by_distance(df, 5000.0).filte
 _add("resample_by_distance_points", lambda df: R.resample_by_distance(df, 5000.0))
 
 
-def _sources(df: DataFrame) -> DataFrame:
-    ids = df.select("track_id").distinct().filter("track_id in ('T0', 'T1', 'T2')")
-    return ids.select("track_id", F.lit("E").alias("entity"), (F.substring("track_id", 2, 1).cast("int") + 1).alias("priority"))
-
-
 def _all_sources(df: DataFrame) -> DataFrame:
     """All tracks, in threes: T0 to T2 are of entity E0, and so on."""
     number = F.substring("track_id", 2, 10).cast("int")
@@ -336,11 +360,30 @@ def _all_sources(df: DataFrame) -> DataFrame:
 
 
 _groups = lambda df: U.group_by_time(U.fusion_candidates(df, _all_sources(df)), 1500)
-_add("fusion_candidates_all", lambda df: U.fusion_candidates(df, _all_sources(df)).select("entity", "source", "priority", "seq", "time_ms"))
-_add("fusion_candidates", lambda df: U.fusion_candidates(df, _sources(df)).select("entity", "source", "priority", "seq", "time_ms"), f"SELECT 'E' AS entity, track_id AS source, substr(track_id, 2, 1)::INT + 1 AS priority, seq, time_ms FROM points WHERE track_id IN ('T0', 'T1', 'T2') AND time_ms IS NOT NULL AND {sql_valid()}", "time_ms")
-_add("fusion_groups", lambda df: _groups(df).groupBy("entity", "group_id").agg(F.count("*").alias("n"), F.min("time_ms").alias("anchor")))
-_add("fusion_decisions", lambda df: U.auto_combine(_groups(df)))
-_add("fusion_report", lambda df: U.fusion_report(U.auto_combine(_groups(df)), _all_sources(df)))
+_CAND = f"SELECT 'E' || (n // 3) AS entity, track_id AS source, (n % 3 + 1)::INT AS priority, seq, time_ms, hdop, sat, lat FROM (SELECT *, substr(track_id, 2)::INT AS n FROM points WHERE time_ms IS NOT NULL AND {sql_valid()})"
+for _name in ("fusion_candidates", "fusion_candidates_all"):
+    _add(_name, lambda df: U.fusion_candidates(df, _all_sources(df)).select("entity", "source", "priority", "seq", "time_ms"), f"SELECT entity, source, priority, seq, time_ms FROM ({_CAND})", "time_ms")
+_GROUPED = f"""c AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY time_ms, source, seq) AS o FROM ({_CAND})),
+  g AS (SELECT entity, o, time_ms AS anchor, 0::BIGINT AS group_id FROM c WHERE o = 1 UNION ALL SELECT c.entity, c.o, CASE WHEN c.time_ms - g.anchor > 1500 THEN c.time_ms ELSE g.anchor END, g.group_id + (c.time_ms - g.anchor > 1500)::INT FROM g JOIN c ON c.entity = g.entity AND c.o = g.o + 1),
+  s AS (SELECT c.*, g.group_id, avg(time_ms) OVER (PARTITION BY c.entity, g.group_id) AS mean FROM c JOIN g USING (entity, o)),
+  d AS (SELECT *, priority * 100 + greatest(0, least(10, 10 - hdop)) + least(sat, 12) * 0.5 - abs(time_ms - mean) / 1000 AS score FROM s),
+  k AS (SELECT *, row_number() OVER (PARTITION BY entity, group_id ORDER BY score DESC, source, time_ms, seq) AS rank FROM d),
+  w AS (SELECT entity, group_id, any_value(mean) AS group_time_ms, max(source) FILTER (WHERE rank = 1) AS chosen, count(*) AS n, CASE WHEN count(*) = 1 THEN 1.0 ELSE greatest(0.5, least(1.0, 0.5 + (max(score) FILTER (WHERE rank = 1) - max(score) FILTER (WHERE rank = 2)) / 100)) END AS confidence FROM k GROUP BY entity, group_id),
+  f AS (SELECT w.*, x.seq, x.time_ms FROM w JOIN (SELECT *, row_number() OVER (PARTITION BY entity, group_id, source ORDER BY time_ms, source, seq) AS i FROM k) x ON x.entity = w.entity AND x.group_id = w.group_id AND x.source = w.chosen AND x.i = 1)"""
+
+
+def _fused(name: str, run, sql: str, doubles: str, digits: int = 6) -> None:
+    _add(name, run, f"{sql}", doubles, digits, recursive=True)
+    ORACLE_SQL[name] = ORACLE_SQL[name].replace("SELECT * ", f", {_GROUPED} SELECT * ", 1) if name not in () else ORACLE_SQL[name]
+
+
+_decided = lambda df: U.auto_combine(_groups(df))
+_fused("fusion_groups", lambda df: _groups(df).groupBy("entity", "group_id").agg(F.count("*").alias("n"), F.min("time_ms").alias("anchor"), F.avg("time_ms").alias("mean_ms")), "SELECT entity, group_id, count(*) AS n, min(time_ms) AS anchor, avg(time_ms) AS mean_ms FROM s GROUP BY entity, group_id", "anchor mean_ms")
+_fused("fusion_decisions", lambda df: _decided(df).select("entity", "group_id", "group_time_ms", "chosen", "seq", "time_ms", "n", "confidence", F.size("skipped").alias("n_skipped")), "SELECT entity, group_id, group_time_ms, chosen, seq, time_ms, n, confidence, (n - 1)::INT AS n_skipped FROM f", "group_time_ms time_ms confidence", 4)
+_fused("fusion_report", lambda df: U.fusion_report(_decided(df), _all_sources(df)), """SELECT entity, source, coalesce(chosen, 0) AS chosen, total - coalesce(chosen, 0) AS skipped, groups, mean_confidence FROM (SELECT entity, source, count(*) AS total FROM c GROUP BY entity, source)
+  LEFT JOIN (SELECT entity, chosen AS source, count(*) AS chosen FROM f GROUP BY entity, chosen) USING (entity, source) JOIN (SELECT entity, count(*) AS groups, avg(confidence) AS mean_confidence FROM f GROUP BY entity) USING (entity)""", "mean_confidence", 4)
+_add("check_fusion", lambda df: U.check_fusion(_decided(df), _all_sources(df), 1500.0), "SELECT NULL::VARCHAR AS entity, NULL::BIGINT AS group_id, NULL::VARCHAR AS problem WHERE false", with_points=False)
+_add("fused_points", lambda df: U.fused_points(_decided(df)).select("track_id", "seq", "time_ms", F.col("source_segment").alias("source")))
 _add("round_up", lambda df: df.select("track_id", "seq", round_up(F.col("ele") - 100, 0).alias("r")), "SELECT track_id, seq, floor(ele - 100 + 0.5) AS r FROM points", "r")
 
 # Health.
@@ -348,28 +391,11 @@ _add("health_schema", H.schema_check, f"SELECT track_id, 'schema-parse' AS \"che
 _add("health_time_order", H.time_check, """SELECT track_id, 'time-order-span' AS "check", 20 AS weight, n >= 2 AS applicable, back = 0 AND span BETWEEN 600000 AND 43200000 AS passed, span AS measure FROM (
   SELECT track_id, count(*) AS n, sum(back) AS back, arg_max(time_ms, seq) - arg_min(time_ms, seq) AS span FROM (SELECT *, coalesce(time_ms < lag(time_ms) OVER (PARTITION BY track_id ORDER BY seq), false)::INT AS back FROM points WHERE time_ms IS NOT NULL) GROUP BY track_id)""", "measure")
 _add("health_gps_fix", H.fix_check, "SELECT track_id, 'gps-fix-quality' AS \"check\", 0 AS weight, true AS applicable, avg((hdop > 5 OR sat < 4)::INT) <= 0.1 AS passed, avg((hdop > 5 OR sat < 4)::INT) AS measure FROM points GROUP BY track_id", "measure")
-_add("health_outliers", H.outlier_check, f"SELECT track_id, 'outlier' AS \"check\", 20 AS weight, true AS applicable, avg((score > 3)::INT) <= 0.05 AS passed, avg((score > 3)::INT) AS measure FROM ({_OUT}) GROUP BY track_id", "measure")
+_add("health_outliers", H.outlier_check, f"SELECT track_id, 'outlier' AS \"check\", 20 AS weight, true AS applicable, avg((score > 3)::INT) <= 0.05 AS passed, avg((score > 3)::INT) AS measure FROM ({_OUT.replace('least(max(speed) FILTER (WHERE speed > 0), 680)', 'max(speed) FILTER (WHERE speed > 0)')}) GROUP BY track_id", "measure")
 _add("health_checks", H.health_checks)
 _add("track_health", H.track_health)
 
 
-# Files: the demo tracks written and read again.
-def _through_csv(df: DataFrame) -> DataFrame:
-    folder = work_folder(df.sparkSession)
-    files.write_csv(df, folder)
-    got, _ = files.read_csv_track(df.sparkSession, f"{folder}/*", {"lat": "lat", "lon": "lon", "ele": "elevation_m", "time": "time_iso"})
-    return got.select("lat", "lon", "ele", "time_ms", F.col("ext_num")["hdop"].alias("hdop"), F.col("ext_num")["sat"].alias("sat"))
-
-
-def _through_gpx(df: DataFrame) -> DataFrame:
-    folder = work_folder(df.sparkSession)
-    files.write_gpx(df, folder)
-    return files.read_gpx(df.sparkSession, f"{folder}/*").select("lat", "lon", "ele", "time_ms", "hdop", "sat")
-
-
-_add("csv_round_trip", _through_csv, "SELECT lat, lon, ele, time_ms, hdop, sat FROM points", "lat lon ele time_ms hdop sat", 5)
-_add("gpx_round_trip", _through_gpx, f"SELECT lat, lon, ele, time_ms, hdop, sat FROM points WHERE {sql_valid()}", "lat lon ele time_ms hdop sat", 5)
-
 # Views and recipes.
 _add("chart_series", lambda df: S.chart_series(df, "ele", domain=(1704068000000, 1704069000000)), "SELECT track_id, seq, x, y FROM (SELECT *, lag(i, 1, false) OVER w OR lead(i, 1, false) OVER w OR i AS keep FROM (SELECT track_id, seq, time_ms AS x, ele AS y, time_ms BETWEEN 1704068000000 AND 1704069000000 AS i FROM points WHERE time_ms IS NOT NULL AND ele IS NOT NULL) WINDOW w AS (PARTITION BY track_id ORDER BY seq)) WHERE keep", "x y", 3)
 _add("x_domain", lambda df: S.x_domain(df, "ele"), "SELECT track_id, min(ele) AS low, CASE WHEN min(ele) = max(ele) THEN max(ele) + 1 ELSE max(ele) END AS high FROM points GROUP BY track_id", "low high")

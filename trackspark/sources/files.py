@@ -1,87 +1,234 @@
-"""Delimited, NMEA and GPX tracks: readers that scan a folder, writers that keep each track's order."""
+"""Track files of text: readers that scan a folder, each (points, audit).
+
+points are of the common schema, a track for each file, seq in file order. audit is (track_id, reason, n).
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.geo import is_valid
-from .text import KNOT_MPS, checksum, iso_time, nmea_coordinate, parse_coordinate, parse_number, parse_time
+from ..functions.geo import geodetic, is_valid
+from ..schema import conform, number_map, text_maps
+from .text import FOOT_M, KNOT_MPS, checksum, nmea_coordinate, nmea_day, nmea_time, parse_coordinate, parse_iso, parse_number, parse_time, unescape_xml
+
+DAY_MS = 86_400_000
 
-FT_TO_M = 0.3048
+
+def _named(df: DataFrame) -> DataFrame:
+    """Adds track_id (what a folder track_id=... tells, else the file name), and _at and _id, by which a file's rows are in order."""
+    meta = df.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_at")).withColumn("_id", F.monotonically_increasing_id())
+    folder, name = F.regexp_extract("_file", r"/track_id=([^/]+)/", 1), F.regexp_extract("_file", r"([^/]+?)(\.[^./]*)?$", 1)
+    return meta.withColumn("track_id", F.url_decode(F.replace(F.when(folder != "", folder).otherwise(name), F.lit("+"), F.lit("%2B"))))
 
 
 def _in_order(df: DataFrame) -> DataFrame:
     """Adds track_id (file name) and seq (place in the file); a file's parts are ordered by where they begin."""
-    meta = df.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_at")).withColumn("_id", F.monotonically_increasing_id())
     w = Window.partitionBy("_file").orderBy("_at", "_id")
-    name = F.regexp_extract("_file", r"([^/]+?)(\.[^./]*)?$", 1)
-    return meta.withColumns({"track_id": name, "seq": (F.row_number().over(w) - 1).cast("bigint")}).drop("_at", "_id", "_file")
+    return _named(df).withColumn("seq", (F.row_number().over(w) - 1).cast("bigint")).drop("_at", "_id", "_file")
+
+
+def _again(df: DataFrame, *order: str) -> DataFrame:
+    """seq counted anew without gaps, and source_record where the row came from."""
+    w = Window.partitionBy("track_id").orderBy(*(order or ("seq",)))
+    return df.withColumn("source_record", F.col("seq")).withColumn("seq", (F.row_number().over(w) - 1).cast("bigint"))
 
 
-def read_csv_track(spark: SparkSession, path: str, mapping: dict[str, str], sep: str = ",", ele_unit: str = "m") -> tuple[DataFrame, DataFrame]:
-    """(points, audit) of delimited files with a header.
+def _audit(df: DataFrame, reason) -> DataFrame:
+    return df.select("track_id", reason.alias("reason")).filter("reason is not null").groupBy("track_id", "reason").agg(F.count("*").alias("n"))
 
-    mapping: field (lat, lon, ele, time, name) to column. Rows without a readable coordinate are rejected and
-    counted; unreadable times are null and counted. Other columns become channels ext_num or ext_str.
+
+def read_csv_track(spark: SparkSession, path: str, mapping: dict[str, str], sep: str = ",", ele_unit: str = "m", time_format: str = "auto", anchor_ms: float | None = None, columns: list[str] | None = None, start_row: int = 2, multi_line: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(points, audit) of delimited files.
+
+    mapping: field (lat, lon, ele, time, name, desc) to column. Rows without a readable coordinate are rejected and
+    counted; unreadable times are null and counted. Other columns become channels, of numbers or of text, blanks left
+    out. The first row names the columns, or columns does, and rows count from start_row (1: the first). multi_line
+    allows newlines inside quotes, and then a file isn't split.
     """
-    raw = _in_order(spark.read.option("header", True).option("sep", sep).option("multiLine", False).csv(path))
+    given = columns is not None
+    raw = spark.read.option("header", not given).option("sep", sep).option("multiLine", multi_line)
+    raw = raw.schema(", ".join(f"`{c}` string" for c in columns)).csv(path) if given else raw.csv(path)
+    names = columns if given else raw.columns
+    raw = _in_order(raw)
+    raw = raw.filter(F.col("seq") >= start_row - (1 if given else 2))
     col = lambda f: F.col(f"`{mapping[f]}`") if f in mapping else F.lit(None).cast("string")
-    rest = [c for c in raw.columns if c not in (*mapping.values(), "track_id", "seq")]
-    scale = FT_TO_M if ele_unit == "ft" else 1.0
-    value = {c: parse_number(F.col(f"`{c}`")) for c in rest}
-    pairs = lambda of: F.map_from_entries(F.filter(F.array(*(F.struct(F.lit(c).alias("k"), of(c).alias("v")) for c in rest)), lambda x: x["v"].isNotNull())) if rest else F.map_from_arrays(F.array(), F.array())
-    text = lambda c: F.when(value[c].isNull() & (F.trim(F.col(f"`{c}`")) != ""), F.col(f"`{c}`"))
-    rows = raw.select("track_id", "seq", parse_coordinate(col("lat")).alias("lat"), parse_coordinate(col("lon")).alias("lon"), (parse_number(col("ele")) * scale).alias("ele"), parse_time(col("time")).alias("time_ms"), col("time").alias("_time"), col("name").alias("name"), pairs(lambda c: value[c]).alias("ext_num"), pairs(text).alias("ext_str"))
+    rest = [c for c in names if c not in mapping.values()]
+    num, text = text_maps(F.array(*map(F.lit, rest)).cast("array<string>"), F.array(*(F.col(f"`{c}`") for c in rest)).cast("array<string>"), parse_number)
+    scale = FOOT_M if ele_unit == "ft" else 1.0
+    rows = raw.select(
+        "track_id", "seq", parse_coordinate(col("lat")).alias("lat"), parse_coordinate(col("lon")).alias("lon"), (parse_number(col("ele")) * scale).alias("ele"),
+        parse_time(col("time"), time_format, anchor_ms).alias("time_ms"), col("time").alias("_time"), col("name").alias("name"), col("desc").alias("desc"), num.alias("ext_num"), text.alias("ext_str"),
+    )
     bad = F.col("lat").isNull() | F.col("lon").isNull()
-    reason = F.when(bad, "bad-coordinate").when(F.col("time_ms").isNull() & (F.trim("_time") != ""), "bad-time")
-    audit = rows.select("track_id", reason.alias("reason")).filter("reason is not null").groupBy("track_id", "reason").agg(F.count("*").alias("n"))
-    return rows.filter(~bad).drop("_time"), audit
+    audit = _audit(rows, F.when(bad, "bad-coordinate").when(F.col("time_ms").isNull() & (F.trim("_time") != ""), "bad-time"))
+    return conform(_again(rows.filter(~bad).drop("_time"))), audit
 
 
 def read_nmea(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(points, audit) of GGA and RMC sentences; the date of the last RMC holds for later GGA times.
+    """(points, audit) of GGA, RMC and GLL sentences.
 
-    Sentences with a wrong checksum are counted and change nothing.
+    What other sentences tell holds from then on: the date of RMC and ZDA for all times, speed and course of VTG for
+    GGA and GLL, precision of GSA (its horizontal one only where GGA has none) and satellites in view of GSV. Sentences
+    with a wrong checksum are counted and change nothing.
     """
     raw = _in_order(spark.read.text(path)).withColumn("line", F.trim("value")).filter(F.startswith(F.col("line"), F.lit("$")))
-    body, given = F.regexp_extract("line", r"^\$([^*]*)", 1), F.upper(F.regexp_extract("line", r"\*([0-9A-Fa-f]{2})\s*$", 1))
+    body, given = F.regexp_extract("line", r"^\$([^*]*)", 1), F.upper(F.regexp_extract("line", r"\*\s*([0-9A-Fa-f]{2})", 1))
     raw = raw.withColumns({"good": (given == "") | (given == checksum(body)), "f": F.split(body, ",")})
-    audit = raw.filter(~F.col("good")).groupBy("track_id").agg(F.count("*").alias("n")).select("track_id", F.lit("bad-checksum").alias("reason"), "n")
+    audit = _audit(raw, F.when(~F.col("good"), "bad-checksum"))
     f = lambda i: F.get("f", F.lit(i))
-    rows = raw.filter("good").withColumn("kind", F.substring(f(0), -3, 3)).filter("kind in ('GGA', 'RMC')")
-    date = F.when((F.col("kind") == "RMC") & (F.length(f(9)) == 6), f(9))
+    n = lambda i: f(i).try_cast("double")
+    rows = raw.filter("good").withColumn("kind", F.substring(f(0), 3, 9)).filter("kind in ('GGA', 'RMC', 'GLL', 'VTG', 'ZDA', 'GSA', 'GSV')")
+    is_ = lambda k: F.col("kind") == k
+    part = lambda a: F.substring(f(9), a, 2).try_cast("double")
+    above = lambda i: F.when(n(i) > 0, n(i))
+    found = {
+        "day": F.when(is_("RMC"), nmea_day(part(5) + 2000, part(3), part(1))).when(is_("ZDA"), nmea_day(n(4), n(3), n(2))),
+        "vtg": F.when(is_("VTG") & n(1).isNotNull() & n(5).isNotNull(), F.struct(n(1).alias("heading"), (n(5) * KNOT_MPS).alias("speed"))),
+        "gsa": F.when(is_("GSA") & F.coalesce(above(15), above(16), above(17)).isNotNull(), F.struct(above(15).alias("pdop"), above(16).alias("hdop"), above(17).alias("vdop"))),
+        "view": F.when(is_("GSV") & (n(3) >= 0) & (n(3) == F.floor(n(3))), n(3)),
+    }
     upto = Window.partitionBy("track_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("date", F.last(date, ignorenulls=True).over(upto))
-    at = lambda i: F.when(F.col("kind") == "GGA", f(i)).otherwise(f(i + 1))
-    time = F.unix_micros(F.try_to_timestamp(F.concat("date", F.substring(f(1), 1, 6)), F.lit("ddMMyyHHmmss"))) / 1000 + F.coalesce(F.concat(F.lit("0"), F.regexp_extract(f(1), r"(\.\d+)", 1)).try_cast("double"), F.lit(0.0)) * 1000
-    gga = F.col("kind") == "GGA"
-    out = rows.select("track_id", "seq", nmea_coordinate(at(2), at(3)).alias("lat"), nmea_coordinate(at(4), at(5)).alias("lon"), F.when(gga, f(9).try_cast("double")).alias("ele"), time.alias("time_ms"), F.when(gga, f(8).try_cast("double")).alias("hdop"), F.when(gga, f(7).try_cast("double")).alias("sat"), F.when(~gga, f(7).try_cast("double") * KNOT_MPS).alias("speed_mps"))
-    return out.filter("lat is not null and lon is not null"), audit
-
-
-def read_gpx(spark: SparkSession, path: str) -> DataFrame:
-    """Track points of GPX files, read by row tag; points without coordinates are left out."""
-    schema = "_lat string, _lon string, ele string, time string, name string, sat string, hdop string"
-    raw = _in_order(spark.read.format("xml").option("rowTag", "trkpt").schema(schema).load(path))
-    return raw.select("track_id", "seq", parse_number(F.col("_lat")).alias("lat"), parse_number(F.col("_lon")).alias("lon"), parse_number(F.col("ele")).alias("ele"), parse_time(F.col("time")).alias("time_ms"), "name", parse_number(F.col("hdop")).alias("hdop"), parse_number(F.col("sat")).alias("sat")).filter("lat is not null and lon is not null")
-
-
-def write_csv(df: DataFrame, path: str) -> None:
-    """One folder a track, in order: lat, lon, elevation_m, time_iso and channels; coordinates not finite are blank."""
-    fine = lambda c: F.when(~F.isnan(c), F.col(c))
-    out = df.select("track_id", "seq", fine("lat").alias("lat"), fine("lon").alias("lon"), F.col("ele").alias("elevation_m"), iso_time(F.col("time_ms")).alias("time_iso"), "hdop", "sat")
-    out.repartition("track_id").sortWithinPartitions("track_id", "seq").drop("seq").write.partitionBy("track_id").option("header", True).csv(path, mode="overwrite")
-
-
-def write_gpx(df: DataFrame, path: str) -> None:
-    """One folder a track of GPX text: header, points by time, footer; each point is a row, so no track is collected."""
-    tag = lambda name, x: F.coalesce(F.concat(F.lit(f"<{name}>"), x.cast("string"), F.lit(f"</{name}>")), F.lit(""))
-    rows = df.filter(is_valid(F.col("lat"), F.col("lon")))
-    point = F.concat(F.lit('<trkpt lat="'), F.round("lat", 7).cast("string"), F.lit('" lon="'), F.round("lon", 7).cast("string"), F.lit('">'), tag("ele", F.col("ele")), tag("time", iso_time(F.col("time_ms"))), tag("sat", F.col("sat")), tag("hdop", F.col("hdop")), F.lit("</trkpt>"))
-    body = rows.select("track_id", F.lit(1).alias("_part"), F.coalesce("time_ms", F.lit(float("inf"))).alias("_t"), "seq", point.alias("value"))
-    ids = rows.select("track_id").distinct()
-    head, foot = '<?xml version="1.0" encoding="UTF-8"?><gpx version="1.1" creator="trackspark" xmlns="http://www.topografix.com/GPX/1/1"><trk><trkseg>', "</trkseg></trk></gpx>"
-    edge = lambda part, text: ids.select("track_id", F.lit(part).alias("_part"), F.lit(0.0).alias("_t"), F.lit(0).cast("bigint").alias("seq"), F.lit(text).alias("value"))
-    all_rows = body.unionByName(edge(0, head)).unionByName(edge(2, foot))
-    all_rows.repartition("track_id").sortWithinPartitions("track_id", "_part", "_t", "seq").select("track_id", "value").write.partitionBy("track_id").mode("overwrite").text(path)
+    rows = rows.withColumns({k: F.last(x, ignorenulls=True).over(upto) for k, x in found.items()}).filter("kind in ('GGA', 'RMC', 'GLL')")
+    gga, rmc = is_("GGA"), is_("RMC")
+    at = lambda g, r, l: F.when(gga, f(g)).when(rmc, f(r)).otherwise(f(l))
+    rows = rows.withColumns({"lat": nmea_coordinate(at(2, 3, 1), at(3, 4, 2)), "lon": nmea_coordinate(at(4, 5, 3), at(5, 6, 4)), "time_ms": F.col("day").cast("double") * DAY_MS + nmea_time(at(1, 1, 5))})
+    other = lambda x: F.when(~rmc, x)
+    channels = {
+        "speed_mps": F.when(rmc, n(7) * KNOT_MPS).otherwise(F.col("vtg.speed")), "heading_deg": F.when(rmc, n(8)).otherwise(F.col("vtg.heading")),
+        "sat": F.when(gga, n(7)), "hdop": F.when(gga, F.coalesce(n(8), "gsa.hdop")), "fix_quality": F.when(gga, n(6)),
+        "pdop": other(F.col("gsa.pdop")), "vdop": other(F.col("gsa.vdop")), "sat_in_view": other(F.col("view")),
+    }
+    rows = rows.filter("lat is not null and lon is not null").withColumns({"ele": F.when(gga, n(9)), "ext_num": number_map(channels)})
+    return conform(_again(rows.select("track_id", "seq", "lat", "lon", "ele", "time_ms", "ext_num"))), audit
+
+
+#: Elements of a point that are channels.
+GPX_CHANNELS = ("sat", "hdop", "vdop", "pdop", "fix", "geoidheight", "magvar")
+
+
+def read_gpx(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(points, audit) of GPX files: track points, route points of files without a usable track point, then waypoints.
+
+    desc falls back to cmt. Fixed elements and all leaves of extensions are channels. Points without a readable
+    coordinate are left out and counted.
+    """
+    schema = ", ".join(f"{c} string" for c in ("_lat", "_lon", "ele", "time", "name", "desc", "cmt", *GPX_CHANNELS, "extensions"))
+    rows = None
+    for rank, tag in enumerate(("trkpt", "rtept", "wpt")):
+        part = _named(spark.read.format("xml").option("rowTag", tag).schema(schema).load(path)).withColumn("_rank", F.lit(rank))
+        rows = part if rows is None else rows.unionByName(part)
+    rows = rows.withColumns({"lat": parse_number(F.col("_lat")), "lon": parse_number(F.col("_lon"))}).withColumn("_ok", F.col("lat").isNotNull() & F.col("lon").isNotNull())
+    w = Window.partitionBy("_file")
+    rows = rows.withColumn("_track", F.max(((F.col("_rank") == 0) & F.col("_ok")).cast("int")).over(w)).filter("_rank <> 1 or _track = 0")
+    rows = rows.withColumn("seq", (F.row_number().over(w.orderBy("_rank", "_at", "_id")) - 1).cast("bigint"))
+    leaf = r"<(?:[\w.-]+:)?([\w.-]+)(?:\s[^<>]*)?>([^<>]+)</"
+    own = F.array(*(F.col(c) for c in GPX_CHANNELS))
+    leaves = lambda i: F.coalesce(F.regexp_extract_all("extensions", F.lit(leaf), F.lit(i)), F.array().cast("array<string>"))
+    num, text = text_maps(F.concat(F.array(*map(F.lit, GPX_CHANNELS)), leaves(1)), F.concat(own, F.transform(leaves(2), unescape_xml)), parse_number)
+    audit = _audit(rows, F.when(~F.col("_ok"), "bad-coordinate"))
+    filled = lambda c: F.when(F.trim(c) != "", F.trim(c))
+    out = rows.filter("_ok").select("track_id", "seq", "lat", "lon", parse_number(F.col("ele")).alias("ele"), parse_iso(F.col("time")).alias("time_ms"), filled("name").alias("name"), F.coalesce(filled("desc"), filled("cmt")).alias("desc"), num.alias("ext_num"), text.alias("ext_str"))
+    return conform(_again(out)), audit
+
+
+def read_geojson(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(points, audit) of files that are a FeatureCollection, a Feature or a bare geometry; each file is read whole.
+
+    Points, lines, their collections and polygons are flattened to positions; of properties, time (also timestamp, t,
+    datetime), name and desc are fields, other numbers and texts channels. Other geometries are counted.
+    """
+    text = _in_order(spark.read.text(path, wholetext=True)).drop("seq")
+    root = text.withColumn("r", F.from_json("value", "type string, features array<string>, geometry string, properties string, coordinates string"))
+    bad = F.col("r").isNull() | F.coalesce(F.col("r.type"), F.lit("")).isin("")
+    one = F.when(F.col("r.type") == "FeatureCollection", F.col("r.features")).when(F.col("r.type") == "Feature", F.array("value")).when(F.col("r.coordinates").isNotNull(), F.array(F.to_json(F.struct(F.struct("r.type", "r.coordinates").alias("g")))))
+    rows = root.select("track_id", F.posexplode(one).alias("feature", "x")).withColumn("x", F.from_json("x", "geometry string, properties map<string,variant>, g struct<type:string,coordinates:string>"))
+    geometry = F.coalesce(F.from_json("x.geometry", "type string, coordinates string"), F.col("x.g"))
+    rows = rows.withColumn("g", geometry).filter("g.type is not null")
+    c = F.col("g.coordinates")
+    flat = F.when(F.col("g.type") == "Point", F.array(F.from_json(c, "array<double>"))).when(F.col("g.type").isin("MultiPoint", "LineString"), F.from_json(c, "array<array<double>>")).when(F.col("g.type").isin("MultiLineString", "Polygon"), F.flatten(F.filter(F.from_json(c, "array<array<array<double>>>"), lambda x: x.isNotNull())))
+    known = F.col("g.type").isin("Point", "MultiPoint", "LineString", "MultiLineString", "Polygon")
+    audit = _audit(text.join(root.select("track_id", bad.alias("_bad")), "track_id"), F.when(F.col("_bad"), "not-geojson")).unionByName(_audit(rows, F.when(~known, F.concat(F.lit("unsupported-geometry "), "g.type")).when(flat.isNull(), "bad-coordinates")))
+    rows = rows.select("track_id", "feature", "x.properties", F.posexplode(flat).alias("place", "p")).filter("size(p) >= 2 and p[0] is not null and p[1] is not null")
+    rows = rows.withColumn("seq", (F.row_number().over(Window.partitionBy("track_id").orderBy("feature", "place")) - 1).cast("bigint"))
+    prop = F.coalesce("properties", F.from_json(F.lit("{}"), "map<string,variant>"))
+    kind = lambda v: F.schema_of_variant(v)
+    scalar = lambda v: ~kind(v).rlike("^(OBJECT|ARRAY|VOID|BOOLEAN)")
+    string = lambda k: F.when(kind(prop[k]) == "STRING", prop[k].cast("string"))
+    value = lambda k: F.when(scalar(prop[k]), prop[k].cast("string"))
+    fields = ["time", "timestamp", "t", "datetime", "name", "desc"]
+    rest = F.map_filter(prop, lambda k, v: ~k.isin(*fields) & scalar(v))
+    number = F.map_filter(rest, lambda _, v: kind(v) != "STRING")
+    words = F.map_filter(rest, lambda _, v: kind(v) == "STRING")
+    out = rows.select("track_id", "seq", F.col("p")[1].alias("lat"), F.col("p")[0].alias("lon"), F.get("p", F.lit(2)).alias("ele"), parse_time(F.coalesce(*map(value, fields[:4]))).alias("time_ms"), string("name").alias("name"), string("desc").alias("desc"), F.transform_values(number, lambda _, v: v.cast("double")).alias("ext_num"), F.transform_values(words, lambda _, v: v.cast("string")).alias("ext_str"))
+    return conform(_again(out)), audit
+
+
+def read_kml(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(points, audit) of the tracks (when and coord in pairs) and then the coordinate lists of KML files; each file is read whole.
+
+    Each geometry counts as source_feature; the name of its placemark is source_segment, and the point's name where
+    the geometry is one tuple. Unreadable tuples are left out and counted, as are tracks of unequal lists.
+    """
+    text = _in_order(spark.read.text(path, wholetext=True)).drop("seq")
+    every = lambda c, pattern, i: F.regexp_extract_all(c, F.lit(f"(?s){pattern}"), F.lit(i))
+    mark = r"<(?:\w+:)?Placemark\b.*?</(?:\w+:)?Placemark>"
+    blocks = F.concat(every("value", mark, 0), F.array(F.regexp_replace("value", f"(?s){mark}", "")))
+    rows = text.select("track_id", F.posexplode(blocks).alias("mark", "block")).withColumn("label", F.when(F.col("block").rlike(r"^<(?:\w+:)?Placemark"), F.nullif(F.trim(unescape_xml(F.regexp_extract("block", r"(?s)<(?:\w+:)?name[^>]*>(.*?)</", 1))), F.lit(""))))
+    tracks = rows.select("track_id", "mark", "label", F.lit(0).alias("kind"), F.posexplode(every("block", r"<(?:\w+:)?Track\b.*?</(?:\w+:)?Track>", 0)).alias("n", "geometry"))
+    lists = rows.select("track_id", "mark", "label", F.lit(1).alias("kind"), F.posexplode(every("block", r"<(?:\w+:)?coordinates[^>]*>(.*?)</", 1)).alias("n", "geometry"))
+    rows = tracks.unionByName(lists)
+    order = Window.partitionBy("track_id").orderBy("kind", "mark", "n")
+    rows = rows.withColumn("source_feature", (F.row_number().over(order) - 1).cast("int"))
+    trim = lambda xs: F.transform(xs, lambda x: F.trim(F.regexp_replace(x, r"\s+", " ")))
+    coords = trim(every("geometry", r"<(?:\w+:)?coord>(.*?)</", 1))
+    whens = trim(every("geometry", r"<(?:\w+:)?when>(.*?)</", 1))
+    tuples = F.filter(F.split(F.trim(F.regexp_replace("geometry", r"\s+", " ")), " "), lambda x: x != "")
+    track = F.col("kind") == 0
+    rows = rows.withColumns({"parts": F.when(track, F.transform(coords, lambda x: F.split(x, " "))).otherwise(F.transform(tuples, lambda x: F.split(x, ","))), "whens": F.when(track, whens)})
+    uneven = track & (F.size("whens") > 0) & (F.size("whens") != F.size("parts"))
+    points = rows.select("*", F.size("parts").alias("many"), F.posexplode("parts").alias("place", "p")).withColumns({"lon": parse_number(F.get("p", F.lit(0))), "lat": parse_number(F.get("p", F.lit(1)))})
+    bad = F.col("lat").isNull() | F.col("lon").isNull()
+    audit = _audit(points, F.when(bad, "bad-coordinate")).unionByName(_audit(rows, F.when(uneven, "times-paired-by-index")))
+    points = points.withColumn("seq", (F.row_number().over(Window.partitionBy("track_id").orderBy("source_feature", "place")) - 1).cast("bigint"))
+    segment = F.coalesce("label", F.when(track, "gx:Track"))
+    out = points.filter(~bad).select("track_id", "seq", "lat", "lon", parse_number(F.get("p", F.lit(2))).alias("ele"), parse_iso(F.get("whens", "place")).alias("time_ms"), F.when(~track & (F.col("many") == 1), F.col("label")).alias("name"), segment.alias("source_segment"), "source_feature")
+    return conform(_again(out)), audit
+
+
+_MONTHS = "JAN FEB MAR APR MAY JUN JUL AUG SEP OCT NOV DEC".split()
+
+
+def read_eag(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(points, audit) of tab-separated range files: a header of 7 fields, rows of 11 with earth-centred metres.
+
+    The date is in the file name, YYYYMMDD or DDMMMYY; each time the counter falls a day has passed. Rows of another
+    number of fields, of another version, exercise or mission than the header, or without a position are counted.
+    """
+    raw = _in_order(spark.read.text(path)).withColumn("line", F.trim(F.regexp_replace("value", r"\r$", "")))
+    whole = Window.partitionBy("track_id").orderBy("seq")
+    raw = raw.withColumn("f", F.split("line", "\t")).withColumn("head", F.first("f").over(whole)).filter("seq > 0 and line <> ''")
+    f = lambda i: F.get("f", F.lit(i))
+    n = lambda i: f(i).try_cast("double")
+    lat, lon, height = geodetic(n(4), n(5), n(6))
+    rows = raw.withColumns({"lat": lat, "lon": lon, "ele": height})
+    differs = (F.size("head") == 7) & ~F.arrays_zip(F.slice("f", 2, 3)).eqNullSafe(F.arrays_zip(F.slice("head", 2, 3)))
+    placed = n(4).isNotNull() & n(5).isNotNull() & n(6).isNotNull() & is_valid(F.col("lat"), F.col("lon"))
+    reason = F.when(F.size("f") != 11, "wrong-field-count").when(differs, "header-mismatch").when(~placed, "bad-position")
+    rows = rows.withColumn("reason", reason)
+    audit = _audit(rows, F.col("reason"))
+    name = F.col("track_id")
+    eight, short = F.regexp_extract(name, r"(\d{8})", 1), F.regexp_extract(F.upper(name), r"(\d{2})(" + "|".join(_MONTHS) + r")(\d{2})", 0)
+    month = F.array_position(F.array(*map(F.lit, _MONTHS)), F.substring(short, 3, 3))
+    days = lambda y, m, d: F.when(m.between(1, 12) & d.between(1, 31), F.unix_date(F.make_date(y.cast("int"), F.greatest(F.least(m, F.lit(12)), F.lit(1)).cast("int"), F.lit(1))) + d.cast("int") - 1)
+    cut = lambda text, a, k: F.substring(text, a, k).try_cast("double")
+    day = F.coalesce(days(cut(eight, 1, 4), cut(eight, 5, 2), cut(eight, 7, 2)), days(cut(short, 6, 2) + 2000, month, cut(short, 1, 2)))
+    clock = r"(\d{2}):(\d{2}):(\d{2})(?:\.(\d{1,2}))?"
+    h, m, s = (F.regexp_extract(f(10), clock, i).try_cast("double") for i in (1, 2, 3))
+    cs = F.rpad(F.regexp_extract(f(10), clock, 4), 2, "0").try_cast("double")
+    rows = rows.filter("reason is null").withColumn("ms", F.when(day.isNotNull() & n(0).isNotNull() & (h <= 23) & (m <= 59) & (s <= 59), h * 3_600_000 + m * 60_000 + s * 1000 + F.coalesce(cs, F.lit(0.0)) * 10))
+    counter = F.when(F.col("ms").isNotNull() & (n(0) >= 0), n(0))
+    rows = rows.withColumn("count", counter).withColumn("fell", (F.col("count") < F.last("count", ignorenulls=True).over(whole.rowsBetween(Window.unboundedPreceding, -1))).cast("int"))
+    rows = rows.withColumn("time_ms", (day + F.coalesce(F.sum("fell").over(whole), F.lit(0))).cast("double") * DAY_MS + F.col("ms"))
+    out = rows.select("track_id", "seq", "lat", "lon", "ele", "time_ms", number_map({"eag_field7": n(7), "eag_field8": n(8), "heading_deg": n(9)}).alias("ext_num"))
+    return conform(_again(out)), audit
