@@ -150,9 +150,9 @@ def _subframes(head: bool, raw: bytes) -> np.ndarray:
     parts, at = [], 0
     while at < len(raw):
         skip, size = (HEAD + CONFIG, BLOCK0) if head and at == 0 else (HEAD, BLOCK)
-        parts.append(np.frombuffer(raw, _FRAME, (size - skip) // SUBFRAME, at + skip))
+        parts.append(raw[at + skip : at + size])
         at += size
-    return np.concatenate(parts) if parts else np.zeros(0, _FRAME)
+    return np.frombuffer(b"".join(parts), _FRAME)  # joined as bytes: numpy would change their order
 
 
 def _clock(frames: np.ndarray) -> np.ndarray:
