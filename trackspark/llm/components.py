@@ -5,26 +5,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .tables import lookup, materialise
-
-
-#: Up to so many edges a node's edges meet in one window, so a task holds no more than that; beyond, in an
-#: aggregation and a join that spreads heavy nodes.
-FEW = 1 << 20
+from .tables import discard, materialise
 
 
 def _mark(edges: DataFrame):
     return edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
 
 
-def _with_least(edges: DataFrame, few: bool) -> DataFrame:
-    """Adds m: the least v of each u."""
-    if few:
-        return edges.withColumn("m", F.min("v").over(Window.partitionBy("u")))
-    edges = materialise(edges)
-    return lookup(edges, ["u"], materialise(edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))), "n")
+def _with_least(edges: DataFrame) -> DataFrame:
+    """Adds m: the least v of each u. Edges combine before they are shuffled; a heavy node's edges are split where the join is skewed."""
+    return edges.join(edges.groupBy("u").agg(F.min("v").alias("m")), "u")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -36,13 +27,12 @@ def components(edges: DataFrame) -> DataFrame:
     e = materialise(e)
     mark = _mark(e)
     while True:
-        few = mark[0] <= FEW
-        both = _with_least(e.union(e.select("v", "u")), few)
-        e = both.filter("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct()
-        down = _with_least(e, few)
+        both = _with_least(e.union(e.select("v", "u")))
+        half = materialise(both.filter("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct())
         # A node's larger end goes to its least neighbour as well, once.
         ways = F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))
-        e = materialise(down.select(F.explode(ways).alias("x")).select("x.*").filter("u <> v").distinct())
+        old, e = e, materialise(_with_least(half).select(F.explode(ways).alias("x")).select("x.*").filter("u <> v").distinct())
+        discard(old, half)
         now = _mark(e)
         if now == mark:
             break

@@ -23,8 +23,8 @@ SIZE = 5
 SIMILARITY = 0.8
 #: At similarity 0.8 fingerprints differ by 9.7 bits on average, with a standard deviation of 2.9.
 RADIUS, BLOCKS = 23, 6
-#: Items of one pass over the documents: bounds what is broadcast. More items take more passes.
-ITEMS = 4096
+#: Items of one pass over the documents, and bytes of their texts: bound what is broadcast. More items take more passes.
+ITEMS, ITEM_BYTES = 4096, 8 << 20
 _BITS = np.arange(64, dtype=np.uint64)
 
 
@@ -56,7 +56,11 @@ class Index:
         self.ids, self.length = np.array(ids, np.int64), words.count
         order = np.argsort(value, kind="stable")
         self.shingle, self.item = value[order], doc[order]
-        self.bags = [np.unique(value[doc == i], return_counts=True) for i in range(len(ids))]
+        first = np.searchsorted(doc, np.arange(len(ids) + 1))  # shingles come by text
+        self.bags = [np.unique(value[a:b], return_counts=True) for a, b in zip(first[:-1], first[1:], strict=True)]
+        # An item of fewer words than a shingle is one shingle of its own size.
+        short = np.flatnonzero((self.length > 0) & (self.length < SIZE))
+        self.short = {int(k): dict(zip(*_grouped(value[first[short[self.length[short] == k]]], short[self.length[short] == k]), strict=True)) for k in np.unique(self.length[short])}
         self.prints = np.array([fingerprint((signs(v) * n[:, None]).sum(axis=0)) for v, n in self.bags], np.uint64)
         self.bounds, self.tables, self.masks = block_bounds(), [], []
         for a, b in zip(self.bounds[:-1], self.bounds[1:], strict=True):
@@ -84,9 +88,30 @@ class Index:
         return float(least / (n.sum() + m.sum() - least))
 
 
+def _grouped(value: np.ndarray, item: np.ndarray) -> tuple[list[int], list[list[int]]]:
+    """Distinct values, and the items that have each."""
+    known, at = np.unique(value, return_inverse=True)
+    return known.tolist(), [item[at == i].tolist() for i in range(len(known))]
+
+
+def _short_matches(index: Index, words: Words):
+    """(row, item, 1.0, first word, words) of the first place of each item of fewer words than a shingle, in texts of any length."""
+    for size, items in index.short.items():
+        value, doc, first = shingles(words, size)
+        known = np.array(sorted(items), np.uint64)
+        at = np.searchsorted(known, value)
+        at[at == len(known)] = 0
+        hit = np.flatnonzero((known[at] == value) & (words.count[doc] >= size))
+        _, once = np.unique(np.column_stack([doc[hit], at[hit]]), axis=0, return_index=True)
+        for i in hit[once]:
+            for item in items[int(value[i])]:
+                yield int(doc[i]), int(index.ids[item]), 1.0, int(first[i] - words.first[doc[i]]), size
+
+
 def matches(index: Index, column, similarity: float):
     """(row, item, similarity, first word, words) of the best window of each text for each item."""
     words = Words(column)
+    yield from _short_matches(index, words)
     value, doc, first = shingles(words, SIZE)
     at = np.searchsorted(index.shingle, value)
     at[at == len(index.shingle)] = 0
@@ -101,11 +126,10 @@ def matches(index: Index, column, similarity: float):
         places = np.repeat(place, high - low)
         best: dict[int, tuple[float, int, int]] = {}
         for size in np.unique(index.length[items]).tolist():
-            if size < SIZE:  # a short item is one shingle: only a short text of the same words matches it
-                starts = np.array([0] if n_words == size else [], np.int64)
-            else:
-                p = np.unique(places[index.length[items] == size])
-                starts = np.unique(np.minimum(np.maximum((p[:, None] - np.arange(size - SIZE + 1)).ravel(), 0), max(0, n_words - size)))
+            if size < SIZE:
+                continue  # _short_matches has them
+            p = np.unique(places[index.length[items] == size])
+            starts = np.unique(np.minimum(np.maximum((p[:, None] - np.arange(size - SIZE + 1)).ravel(), 0), max(0, n_words - size)))
             wide = max(1, min(size, n_words) - SIZE + 1)
             for start, print_ in zip(starts.tolist(), _prints(value[begin:b], starts, wide), strict=True):
                 window = value[begin + start : begin + start + wide]
@@ -141,18 +165,20 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", id:
 
     Words are runs of other than space and characters 9 to 13, with A-Z as a-z. A document shorter than an
     item is one window. Null and empty texts, and items without words, match nothing. Repeated rows match
-    alike. The items are broadcast in blocks of ITEMS, one pass over the documents for each block.
+    alike. An item of fewer than five words is found wherever its words follow each other. The items are broadcast in
+    blocks of ITEMS and ITEM_BYTES, one pass over the documents for each block.
     """
     items = benchmark.select(F.col(item).cast("bigint").alias("i"), F.col(item_text).alias("t")).filter("i is not null and trim(t) != ''")
-    blocks = -(-items.count() // ITEMS)
+    many, size = items.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()
+    blocks = max(-(-many // ITEMS), -(-size // ITEM_BYTES))
     schema = f"`{id}` {docs.schema[id].dataType.simpleString()}, `{item}` bigint, similarity double, start_word bigint, n_words bigint"
     docs, out = docs.select(id, text), None
     for k in range(max(1, blocks)):
         rows = items.filter(F.pmod(F.xxhash64("i", "t"), F.lit(max(1, blocks))) == k).collect()
-        held = docs.sparkSession.sparkContext.broadcast(([r["i"] for r in rows], [r["t"] for r in rows]))
+        held = docs.sparkSession.sparkContext.broadcast(Index([r["i"] for r in rows], [r["t"] for r in rows]))
 
         def run(batches, held=held):
-            index = Index(*held.value)
+            index = held.value
             for batch in by_size(batches, text):
                 found = list(matches(index, batch.column(text), similarity))
                 own = batch.column(id).take(pa.array([x[0] for x in found], pa.int64()))

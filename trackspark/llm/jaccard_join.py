@@ -225,11 +225,10 @@ def apart_pairs(members: DataFrame, pivots: int | None = None) -> DataFrame:
 
     With pivots, only pairs with so many of a block's sets, others in each bucket.
 
-    members: bucket, id, component, n, lanes. A bucket is cut into blocks of BLOCK sets, and each pair of
+    members: bucket, m (how many it has), id, component, n, lanes. A bucket is cut into blocks of BLOCK sets, and each pair of
     blocks is one group, so that a group's size is bounded; it is streamed in order, and one is held at a time.
     """
-    w = Window.partitionBy("bucket")
-    parts = F.ceil(F.count("*").over(w) / BLOCK).cast("int")
+    parts = F.ceil(F.col("m") / BLOCK).cast("int")
     rows = members.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     rows = rows.select("bucket", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "id", "component", "n", "lanes")
@@ -295,9 +294,12 @@ def near_duplicates(docs: DataFrame, text: str = "text", id: str = "doc_id") ->
 
     Words are runs of other than space and characters 9 to 13, with A-Z as a-z; shingles are five words, the
     whole sequence if it is shorter. Null texts and texts without words have no shingle and are linked with
-    nothing. Repeated rows are linked. id is a whole number; rows without one are left out.
+    nothing. Repeated rows are linked; rows of one id are one document, linked with what any of its texts is. id is a
+    whole number; rows without one are linked with nothing, and their component_id is null.
     """
-    docs = docs.select(F.col(id).cast("bigint").alias(id), text).filter(F.col(id).isNotNull())
+    docs = docs.select(F.col(id).cast("bigint").alias(id), text)
+    unnamed = shingle_classes(docs.filter(F.col(id).isNull()), text, id).filter("n is not null").select(id, F.col("n").alias("n_shingles"), F.lit(None).cast("bigint").alias("component_id"))
+    docs = docs.filter(F.col(id).isNotNull())
     rows = materialise(shingle_classes(docs, text, id))
     sets = rows.filter("n is not null").drop("word", "docs")
     total, scale = sets.agg(F.count("*"), F.max("scale")).first()
@@ -326,7 +328,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", id: str = "doc_id") ->
     place = classes.join(found.withColumnRenamed("node", "id"), "id", "left").select("key", "n", "a", "b", "copies", F.coalesce("component", "id").alias("component_id"))
     place = materialise(place.filter("copies > 1 or component_id is not null"))
     out = lookup(sets.select(id, "n", "key", "a", "b"), ["key", "n", "a", "b"], place, "copies")
-    return out.select(id, F.col("n").alias("n_shingles"), F.coalesce("component_id", id).alias("component_id"))
+    return out.select(id, F.col("n").alias("n_shingles"), F.coalesce("component_id", id).alias("component_id")).unionByName(unnamed)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -19,8 +19,7 @@ from .words import by_size, text_bytes
 
 #: Rows of each language that are learned from, as expected by hashing; all rows where there are fewer.
 ROWS_PER_LANG = 1000
-#: Languages at most, which bounds the model to GRAMS x bits numbers.
-MAX_LANGS = 64
+#: Hashed trigrams: the model has so many numbers for each bit, and the driver so many (256 KB) for each language while it learns.
 GRAMS = 1 << 16
 #: Best and second language closer than this in loss: flagged as ambiguous.
 MARGIN = 0.5
@@ -79,7 +78,7 @@ def _segments(offsets: np.ndarray, a: int, b: int) -> tuple[np.ndarray, np.ndarr
 def train(docs: DataFrame, text: str = "text", lang: str = "lang", id: str = "doc_id", rows_per_lang: int = ROWS_PER_LANG):
     """(languages, codewords, weight table) from rows with text and lang. Rows are chosen by a hash of the id."""
     docs = docs.filter(F.col(text).isNotNull() & F.col(lang).isNotNull())
-    counts = {r[0]: r[1] for r in docs.groupBy(lang).count().orderBy(F.desc("count"), lang).limit(MAX_LANGS).collect()}
+    counts = {r[0]: r[1] for r in docs.groupBy(lang).count().collect()}
     langs = sorted(counts)
     if not langs:
         return [], np.zeros((0, 0), np.int8), np.zeros((GRAMS + 1, 0), np.float32)
@@ -98,7 +97,7 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", id: str = "do
             yield pa.RecordBatch.from_arrays([pa.array([one] * len(at), pa.string()), pa.array(at), pa.array(into[at])], ["l", "gram", "n"])
 
     seen = sample.mapInArrow(count, "l string, gram bigint, n bigint").groupBy("l", "gram").agg(F.sum("n").alias("n")).toPandas()
-    table = np.ones((len(langs), GRAMS))
+    table = np.ones((len(langs), GRAMS), np.float32)
     table[seen["l"].map({k: i for i, k in enumerate(langs)}).to_numpy(int), seen["gram"].to_numpy(int)] += seen["n"].to_numpy()
     table /= table.sum(axis=1, keepdims=True)
     code = codewords(len(langs))
@@ -124,7 +123,7 @@ def predict(docs: DataFrame, model, text: str = "text") -> DataFrame:
     names = ["lang_pred", "score", "ambiguous"]
     docs = docs.drop(*names)
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "lang_pred string, score double, ambiguous boolean"])
-    held = docs.sparkSession.sparkContext.broadcast((langs, code, weights))  # bounded by MAX_LANGS and GRAMS
+    held = docs.sparkSession.sparkContext.broadcast((langs, code, weights))  # GRAMS numbers for each bit
 
     def run(batches):
         langs, code, weights = held.value

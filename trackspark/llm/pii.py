@@ -32,6 +32,7 @@ _DIGITS = re.compile(r"[0-9]++(?:[\x20-][0-9]++)*+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _NUMBER = re.compile(r"[0-9]+")
 _TOKEN = re.compile(r"[^\s]+")
+_JOINED = re.compile(r"[0-9]++(?:[\x20().-]{1,2}+[0-9]++)*+")
 _EDGES = "\"'.,;:!?()[]{}<>|#$%&*"
 
 
@@ -103,9 +104,19 @@ def shape(value: str) -> str:
     return "few" if digits < 5 else "short" if digits < 10 else "mid" if digits < 14 else "long" if digits < 20 else "hex"
 
 
+def _enough(text: str, at: int, way: int, words: int) -> str:
+    """What goes before (or behind) a place, wide enough for so many whole words, or to the end of the text."""
+    size = 64
+    while True:
+        part = text[max(0, at - size) : at] if way < 0 else text[at : at + size]
+        if len(part.split()) > words or len(part) < size:
+            return part
+        size *= 4
+
+
 def contexts(text: str, start: int, end: int) -> list[str]:
     """Lexical patterns around a span: the two words before, and the words on either side; digits as 0."""
-    a, b = text[max(0, start - 60) : start], text[end : end + 30]
+    a, b = _enough(text, start, -1, 2), _enough(text, end, 1, 1)
     before = [w.strip(_EDGES).lower() for w in a.split()[-2:]] if a[-1:].isspace() or not a else []
     behind = [w.strip(_EDGES).lower() for w in b.split()[:1]] if b[:1].isspace() or b[:1] in _EDGES else []
     before, behind = [re.sub("[0-9]", "0", w) for w in before if w], [re.sub("[0-9]", "0", w) for w in behind if w]
@@ -126,19 +137,24 @@ def instances(text: str, base: list[tuple[int, int, int]]):
         b = m.end() - (len(raw) - len(raw.rstrip(_EDGES)))
         while i < len(taken) and taken[i][1] <= a:
             i += 1
-        if b - a < 5 or b - a > 80 or (i < len(taken) and taken[i][0] < b):
+        if b <= a or (i < len(taken) and taken[i][0] < b):
             continue
         value = text[a:b]
-        if (kind := shape(value)) != "few" and (own := contexts(text, a, b)):
-            yield -1, a, b, value, kind, own
+        if own := contexts(text, a, b):
+            yield -1, a, b, value, shape(value), own
 
 
 def _likely(text: str):
-    """Tokens with a digit or an at sign. A text is cut into tokens only around those characters."""
+    """Tokens with a digit or an at sign, and runs of digits joined by blanks, brackets, dots or hyphens. A text is cut into tokens only around those characters."""
     last = 0
     for hit in re.finditer(r"[0-9@]+", text):
         if hit.start() < last:
             continue
+        m = _JOINED.match(text, hit.start())
+        if m and m.end() > hit.end() and any(c in " ()" for c in m[0]) and (m.end() == len(text) or not text[m.end()].isalnum()) and (hit.start() == 0 or not text[hit.start() - 1].isalnum()):
+            last = m.end()
+            yield m
+            continue
         a, b = hit.start(), hit.end()
         while a > last and not text[a - 1].isspace():
             a -= 1

@@ -16,13 +16,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """Folder that driver and executors share: the cluster's checkpoint folder.
 
-    Only where none is set (local tests) a temporary folder of this machine is used.
+    Where none is set a temporary folder serves, but only if all runs on this machine.
     """
     conf = spark.conf.get("spark.checkpoint.dir", None)
     if conf:
         return conf
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="trackspark-"))
     return sc.getCheckpointDir()
 
@@ -35,6 +37,16 @@ def materialise(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Deletes the folders of materialised tables that nothing reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        for file in df.inputFiles()[:1]:
+            folder = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
+            if folder.getName().startswith("t-"):
+                folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 #: A key with more than this share of all rows is heavy; there can be only 1 / HEAVY of them.
 HEAVY = 0.001
 

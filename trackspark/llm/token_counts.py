@@ -13,7 +13,6 @@ same proof.
 
 from __future__ import annotations
 
-import gc
 import os
 from collections import Counter
 from functools import lru_cache
@@ -23,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .words import uncollected
+
 #: Characters of a chunk, and of the first overlap.
 CHUNK = 1 << 15
 OVERLAP = 512
@@ -148,19 +149,19 @@ def token_counts(docs: DataFrame, path: str, limit: int = 2048, text: str = "tex
 
     def run(batches):
         counting = _counting(path)
-        gc.disable()  # millions of live strings, no cycles
-        for batch in batches:
-            texts = [x or "" for x in batch.column(text).to_pylist()]
-            rows, a = [], 0
-            while a < len(texts):
-                b, size = a, 0
-                while b < len(texts) and size < 1 << 21:
-                    size += len(texts[b])
-                    b += 1
-                rows += counting.count(texts[a:b])
-                a = b
-            new = [pa.array([row[k] for row in rows], pa.int64()) for k in (0, 1)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *new], [*batch.schema.names, *names])
+        with uncollected():
+            for batch in batches:
+                texts = [x or "" for x in batch.column(text).to_pylist()]
+                rows, a = [], 0
+                while a < len(texts):
+                    b, size = a, 0
+                    while b < len(texts) and size < 1 << 21:
+                        size += len(texts[b])
+                        b += 1
+                    rows += counting.count(texts[a:b])
+                    a = b
+                new = [pa.array([row[k] for row in rows], pa.int64()) for k in (0, 1)]
+                yield pa.RecordBatch.from_arrays([*batch.columns, *new], [*batch.schema.names, *names])
 
     out = docs.mapInArrow(run, schema)
     return out.withColumns({"n_bytes": F.octet_length(F.coalesce(F.col(text), F.lit(""))).cast("bigint"), "over_limit": F.col("n_tokens") > limit})

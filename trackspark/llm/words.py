@@ -1,21 +1,20 @@
 """Words, word hashes and word shingles of a whole Arrow batch of texts at once, in numpy.
 
-Texts stay the UTF-8 bytes of the Arrow column; a word never crosses a text. A word's 64-bit
-hash is a polynomial over its bytes modulo 2**64, read off a running sum and then mixed, so that
-cost is linear in bytes and there is no Python work for each word. Long columns go in blocks.
+Texts stay the UTF-8 bytes of the Arrow column; a word never crosses a text. A word's 64-bit hash is the sum of
+one random number for each byte and its place in the word, mixed with its length; so it has no structure that
+words could share, costs the same for each byte, and there is no Python work for each word. Long columns go in blocks.
 """
 
 from __future__ import annotations
 
+import gc
+from contextlib import contextmanager
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 BLOCK = 4 << 20
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_BASE_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_powers: dict[str, np.ndarray] = {}
-
 #: Bytes that separate words: space and 9 to 13.
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -36,15 +35,9 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
-def _pow(base: np.uint64, name: str, n: int) -> np.ndarray:
-    have = _powers.get(name)
-    if have is None or len(have) < n:
-        out = np.full(max(n, BLOCK + 1), base, np.uint64)
-        out[0] = 1
-        have = np.cumprod(out)
-        if n <= 2 * BLOCK:
-            _powers[name] = have
-    return have[:n]
+#: A random number for each of PLACES places in a word and each byte; beyond, that number mixed with how often the places are through.
+PLACES = 64
+_TERMS = mix(mix(np.arange(PLACES * 256, dtype=np.uint64) + np.uint64(0x9E3779B97F4A7C15)) + np.uint64(0x2545F4914F6CDD1D))
 
 
 def text_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -109,10 +102,16 @@ def _block(data: np.ndarray, edge: np.ndarray, separators: np.ndarray):
     end = word.copy()
     end[:-1] &= ~word[1:] | edge[1:n]
     s, e = np.flatnonzero(start), np.flatnonzero(end) + 1
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum((LOWER[data].astype(np.uint64) + np.uint64(1)) * _pow(_BASE, "up", n), out=sums[1:])
-    h = (sums[e] - sums[s]) * _pow(_BASE_INV, "down", n + 1)[s]
-    return s, e, mix(h + (e - s).astype(np.uint64) * np.uint64(0x2545F4914F6CDD1D))
+    if not len(s):
+        return s, e, np.zeros(0, np.uint64)
+    size = e - s
+    first = np.cumsum(size) - size
+    place = np.arange(size.sum()) - np.repeat(first, size)
+    term = _TERMS[((place & (PLACES - 1)) << 8) | LOWER[data[word]]]
+    far = np.flatnonzero(place >= PLACES)
+    if len(far):
+        term[far] = mix(term[far] + (place[far] // PLACES).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    return s, e, mix(np.add.reduceat(term, first) + size.astype(np.uint64) * np.uint64(0x2545F4914F6CDD1D))
 
 
 _PLACE = mix(np.arange(1, 65, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)) | np.uint64(1)
@@ -164,3 +163,15 @@ def by_size(batches, text: str, most: int = 2 << 20):
             b = min(batch.num_rows, max(a + 1, int(np.searchsorted(size, (size[a - 1] if a else 0) + most, "right"))))
             yield batch.slice(a, b - a)
             a = b
+
+
+@contextmanager
+def uncollected():
+    """No garbage collection inside: millions of live strings without cycles, which collections would walk again and again."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()
