@@ -113,7 +113,7 @@ FUSED = "entity string, source string, priority int, seq bigint, time_ms double,
 
 
 def plain_fusion(rows, points=(), intervals=()):
-    """The reference's autoCombine in plain Python: {(entity, group): (source, seq, skipped, confidence, reason)}."""
+    """Fusion in plain Python: {(entity, group): (source, seq, skipped, confidence, reason)}."""
     fixed = lambda x, n=2: f"{Decimal(x).quantize(Decimal(1).scaleb(-n), ROUND_HALF_UP)}"  # noqa: E731  as toFixed
     groups, out = {}, {}
     for r in sorted(rows, key=lambda r: (r[4], r[1], r[3])):
@@ -204,24 +204,20 @@ def test_track_diff_pairs_by_order(spark):
 
 
 def plain_cubic(xs, ys, x):
-    """The reference's fitMonotoneCubic and evaluateMonotoneCubic."""
-    n, d = len(xs), [(ys[i + 1] - ys[i]) / (xs[i + 1] - xs[i]) for i in range(len(xs) - 1)]
-    m = [d[0], *(0 if p == 0 or q == 0 or (p < 0) != (q < 0) else (p + q) / 2 for p, q in zip(d, d[1:])), d[-1]]
-    for k in range(n - 1):
-        if d[k] == 0:
-            m[k] = m[k + 1] = 0
-            continue
-        a, b = max(0, m[k] / d[k]), max(0, m[k + 1] / d[k])
-        m[k], m[k + 1] = (0 if m[k] / d[k] < 0 else m[k]), (0 if m[k + 1] / d[k] < 0 else m[k + 1])
-        if a * a + b * b > 9:
-            t = 3 / math.sqrt(a * a + b * b)
-            m[k], m[k + 1] = t * a * d[k], t * b * d[k]
-    if x >= xs[-1]:
-        return ys[-1]
-    k = max(i for i in range(n - 1) if xs[i] <= x)
-    h = xs[k + 1] - xs[k]
-    t = (x - xs[k]) / h
-    return (2 * t**3 - 3 * t**2 + 1) * ys[k] + (t**3 - 2 * t**2 + t) * h * m[k] + (3 * t**2 - 2 * t**3) * ys[k + 1] + (t**3 - t**2) * h * m[k + 1]
+    """A monotone cubic in Bezier form: control points from slopes that are the mean of neighbouring legs, 0 at a turn, and within a circle of radius 3 about no slope."""
+    legs = list(zip(zip(xs, ys), zip(xs[1:], ys[1:])))
+    rise = [(q[1] - p[1]) / (q[0] - p[0]) for p, q in legs]
+    tilt = [rise[0]] + [(p + q) / 2 if p * q > 0 else 0.0 for p, q in zip(rise, rise[1:])] + [rise[-1]]
+    for k, r in enumerate(rise):
+        pair = [0.0 if r == 0 else max(0.0, t / r) for t in tilt[k : k + 2]]
+        tilt[k : k + 2] = [r * u * min(1.0, 3 / (math.hypot(*pair) or 1)) for u in pair]
+    for k, ((x0, y0), (x1, y1)) in enumerate(legs):
+        if x <= x1 or k == len(legs) - 1:
+            t, third = min(1.0, (x - x0) / (x1 - x0)), (x1 - x0) / 3
+            points = [y0, y0 + tilt[k] * third, y1 - tilt[k + 1] * third, y1]
+            while len(points) > 1:
+                points = [p + (q - p) * t for p, q in zip(points, points[1:])]
+            return points[0]
 
 
 def test_resample_by_distance_equals_plain_cubic(spark):

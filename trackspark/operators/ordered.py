@@ -104,12 +104,14 @@ def ema(df: DataFrame, alpha: float) -> DataFrame:
     return sorted_scan(df, step)
 
 
-def simplify(df: DataFrame, epsilon_m: float) -> DataFrame:
-    """Douglas-Peucker in local metres; needs each whole track in one task. Ends stay; fewer than 3 points stay."""
+def simplify(df: DataFrame, epsilon_m: float, most: int = 20_000_000) -> DataFrame:
+    """Douglas-Peucker in local metres. Ends stay; fewer than 3 points stay. Each whole track is held in one task: the job of a track of more points than most fails."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("seq", kind="stable")
         n = len(rows)
+        if n > most:
+            raise ValueError(f"track {rows['track_id'].iloc[0]} has {n} points, more than {most}")
         if n < 3:
             return rows
         r = 6371008.8

@@ -60,10 +60,14 @@ def disclosure_counts(df: DataFrame) -> DataFrame:
 
 
 def chart_capability(df: DataFrame, channels: tuple[str, ...] = ("ele", "hdop", "sat")) -> DataFrame:
-    """(track_id, timed, numeric, scatter): whether there are times, how many channels have values, two at least."""
+    """(track_id, timed, numeric, scatter, area, best): whether there are times, how many channels have numbers, and what charts they allow.
+
+    A scatter needs two channels, an area a time and a channel; best is a time series, else a scatter, else a time series all the same.
+    """
     some = [F.max(F.col(c).isNotNull().cast("int")) for c in channels]
     g = df.groupBy("track_id").agg((F.count("time_ms") > 0).alias("timed"), sum(some[1:], some[0]).alias("numeric"))
-    return g.withColumn("scatter", F.col("numeric") >= 2)
+    g = g.withColumns({"scatter": F.col("numeric") >= 2, "area": F.col("timed") & (F.col("numeric") >= 1)})
+    return g.withColumn("best", F.when(~F.col("timed") & F.col("scatter"), "scatter").otherwise("timeSeries"))
 
 
 def trajectory_enu(df: DataFrame, exaggeration: float = 1.0) -> DataFrame:

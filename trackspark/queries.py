@@ -61,6 +61,14 @@ def _base(df: DataFrame) -> DataFrame:
     return df.select(*BASE.split(", "))
 
 
+def _placed(df: DataFrame) -> DataFrame:
+    """Adds the place of each row in a sorted table: how many rows earlier parts have, and how many go before in its own."""
+    parts = df.withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
+    sizes = parts.groupBy("_p").count()
+    before = sizes.select("_p", (F.sum("count").over(Window.partitionBy(F.lit(1)).orderBy("_p")) - F.col("count")).alias("_b"))  # a row for each part
+    return parts.join(F.broadcast(before), "_p").select(*BASE.split(", "), (F.col("_b") + F.col("_i")).alias("place"))
+
+
 # Projections, filters and edits.
 _add("points", _base, f"SELECT {BASE} FROM points", BASE_D)
 _add("swap_lat_lon", lambda df: _base(P.swap_lat_lon(df)), "SELECT track_id, seq, lon AS lat, lat AS lon, ele, time_ms FROM points", BASE_D)
@@ -80,7 +88,7 @@ _add("apply_to_range", lambda df: _base(P.apply_to_range(df, 300, 40, lambda x:
 _add("time_to_index_range", lambda df: P.time_to_index_range(df, 1704069000000, 1704068000000), "SELECT track_id, min(seq) AS start_seq, max(seq) AS end_seq FROM points WHERE time_ms BETWEEN 1704068000000 AND 1704069000000 GROUP BY track_id")
 _add("nearest_by_time", lambda df: P.nearest_by_time(df, 1704068500000), "SELECT track_id, arg_min(seq, (abs(time_ms - 1704068500000), seq)) AS seq FROM points WHERE time_ms IS NOT NULL GROUP BY track_id")
 _add("table_search", lambda df: P.table_search(df, "T00:1").select("track_id", "seq"), "SELECT track_id, seq FROM points WHERE contains(lower(strftime(make_timestamp(time_ms::BIGINT * 1000), '%Y-%m-%dT%H:%M:%S')), 't00:1')")
-_add("table_sort", lambda df: _base(P.table_sort(df, "ele", True)), f"SELECT {BASE} FROM points", BASE_D)
+_add("table_sort", lambda df: _placed(P.table_sort(df, "ele", True)), f"SELECT {BASE}, row_number() OVER (ORDER BY ele DESC NULLS LAST, track_id, seq) - 1 AS place FROM points", BASE_D)
 _add("add_flag", lambda df: P.add_flag(df, "high_dop", F.col("hdop") > 4).select("track_id", "seq", "flags"), "SELECT track_id, seq, CASE WHEN hdop > 4 THEN 'high_dop' ELSE '' END AS flags FROM points")
 
 # Motion.
@@ -107,15 +115,15 @@ _add(
     lambda df: K.kinematics(df).select("track_id", "seq", *_MOTION, F.col("horizontal_accel_mps2"), F.col("turn_rate_dps"), "flags"),
     f"SELECT track_id, seq, {', '.join(_MOTION)}, horizontal_accel_mps2, turn_rate_dps, flags FROM ({_KIN3})",
     " ".join([*_MOTION, "horizontal_accel_mps2", "turn_rate_dps"]),
-    2,
+    3,
 )
 _add("ensure_kinematics", lambda df: K.ensure_kinematics(K.ensure_kinematics(df)).select("track_id", "seq", "ground_speed_mps"), f"SELECT track_id, seq, ground_speed_mps FROM ({_KIN3})", "ground_speed_mps", 3)
 _add("point_speeds", lambda df: K.point_speeds(df).select("track_id", "seq", "speed_mps"), f"SELECT track_id, seq, speed AS speed_mps FROM ({_KIN2})", "speed_mps", 5)
 _add(
     "legs",
-    lambda df: K.legs(df).select("track_id", "seq", "prev_distance_m", "prev_speed_mps", "next_distance_m", "next_delta_ele_m", "next_dt_s"),
-    f"""SELECT track_id, seq, leg AS prev_distance_m, speed AS prev_speed_mps, lead(leg) OVER w AS next_distance_m, lead(ele) OVER w - ele AS next_delta_ele_m, (lead(time_ms) OVER w - time_ms) / 1000 AS next_dt_s FROM ({_KIN2}) {W_SQL}""",
-    "prev_distance_m prev_speed_mps next_distance_m next_delta_ele_m next_dt_s",
+    lambda df: K.legs(df).select("track_id", "seq", "prev_distance_m", "prev_speed_mps", "prev_bearing_deg", "next_distance_m", "next_delta_ele_m", "next_dt_s"),
+    f"""SELECT track_id, seq, leg AS prev_distance_m, speed AS prev_speed_mps, head AS prev_bearing_deg, lead(leg) OVER w AS next_distance_m, lead(ele) OVER w - ele AS next_delta_ele_m, (lead(time_ms) OVER w - time_ms) / 1000 AS next_dt_s FROM ({_KIN2}) {W_SQL}""",
+    "prev_distance_m prev_speed_mps prev_bearing_deg next_distance_m next_delta_ele_m next_dt_s",
     4,
 )
 _add(
@@ -125,14 +133,14 @@ _add(
     "u",
 )
 _add("median_sample_interval", K.median_sample_interval, f"SELECT track_id, quantile_cont(dt, 0.5) AS median_interval_s FROM ({_KIN}) WHERE dt > 0 GROUP BY track_id", "median_interval_s")
-_add(
-    "movement_window",
-    lambda df: K.movement_window(df, 8.0),
-    f"""SELECT track_id, CASE WHEN a IS NOT NULL AND b IS NOT NULL AND a <= b THEN a ELSE coalesce(c, 0) END AS start_seq, CASE WHEN a IS NOT NULL AND b IS NOT NULL AND a <= b THEN b ELSE coalesce(d, n) END AS end_seq FROM (
+def _move(v: float) -> str:
+    return f"""SELECT track_id, CASE WHEN a IS NOT NULL AND b IS NOT NULL AND a <= b THEN a ELSE coalesce(c, 0) END AS start_seq, CASE WHEN a IS NOT NULL AND b IS NOT NULL AND a <= b THEN b ELSE coalesce(d, n) END AS end_seq FROM (
       SELECT track_id, min(seq) FILTER (WHERE f0 + f1 + f2 = 3) AS a, max(seq) FILTER (WHERE f0 + b1 + b2 = 3) AS b, min(seq) FILTER (WHERE far AND seq > 0) - 1 AS c, max(seq) FILTER (WHERE far AND seq > 0) AS d, max(seq) AS n, count(time_ms) AS timed FROM (
         SELECT *, lead(f0, 1, 0) OVER w AS f1, lead(f0, 2, 0) OVER w AS f2, lag(f0, 1, 0) OVER w AS b1, lag(f0, 2, 0) OVER w AS b2, {sql_haversine("la", "lo", "lat", "lon")} >= 50 AS far FROM (
-          SELECT *, coalesce(speed >= 8.0, false)::INT AS f0, first_value(lat) OVER w AS la, first_value(lon) OVER w AS lo FROM ({_KIN2}) {W_SQL}) {W_SQL}) GROUP BY track_id) WHERE timed > 0""",
-)
+          SELECT *, coalesce(speed >= {v}, false)::INT AS f0, first_value(lat) OVER w AS la, first_value(lon) OVER w AS lo FROM ({_KIN2}) {W_SQL}) {W_SQL}) GROUP BY track_id) WHERE timed > 0"""
+
+
+_add("movement_window", lambda df: K.movement_window(df, 8.0), _move(8.0))
 _KIND = "CASE WHEN sample_interval_s > 10 THEN 'gap' WHEN ground_speed_mps <= 1 THEN 'stationary' WHEN vertical_speed_mps IS NULL AND ground_speed_mps IS NULL THEN 'unknown' WHEN vertical_speed_mps IS NULL THEN 'level' WHEN vertical_speed_mps >= 1 THEN 'climb' WHEN vertical_speed_mps <= -1 THEN 'descent' ELSE 'level' END"
 _add(
     "segment_track",
@@ -172,8 +180,24 @@ _add(
 )
 _add("decimate", lambda df: _base(W.decimate(df, 7)), f"SELECT {BASE} FROM (SELECT *, max(seq) OVER (PARTITION BY track_id) AS n FROM points) WHERE seq % 7 = 0 OR seq = n", BASE_D)
 _add("dedupe", lambda df: _base(W.dedupe(df.withColumns({"lat": F.round("lat", 2), "lon": F.round("lon", 2)}))), f"SELECT {BASE} FROM (SELECT * REPLACE (round(lat, 2) AS lat, round(lon, 2) AS lon) FROM points) {W_SQL} QUALIFY lag(lat) OVER w IS NULL OR lag(lat) OVER w <> lat OR lag(lon) OVER w <> lon", BASE_D)
-_add("dedupe_tolerance", lambda df: _base(W.dedupe(df, 200.0)))
-_add("ema", lambda df: W.ema(df, 0.3).select("track_id", "seq", "ele", "flags"))
+_add(
+    "dedupe_tolerance",
+    lambda df: _base(W.dedupe(df, 200.0)),
+    f"""WITH RECURSIVE g AS (SELECT track_id, seq, lat AS la, lon AS lo, true AS kept FROM points WHERE seq = 0 UNION ALL
+      SELECT track_id, seq, CASE WHEN near THEN la ELSE lat END, CASE WHEN near THEN lo ELSE lon END, NOT near FROM (SELECT p.track_id, p.seq, p.lat, p.lon, g.la, g.lo, {sql_haversine("g.la", "g.lo", "p.lat", "p.lon")} <= 200 AS near FROM g JOIN points p ON p.track_id = g.track_id AND p.seq = g.seq + 1))
+      SELECT {BASE} FROM points JOIN (SELECT track_id, seq FROM g WHERE kept) USING (track_id, seq)""",
+    BASE_D,
+    recursive=True,
+)
+_add(
+    "ema",
+    lambda df: W.ema(df, 0.3).select("track_id", "seq", "ele", "flags"),
+    """WITH RECURSIVE p AS (SELECT *, row_number() OVER (PARTITION BY track_id ORDER BY seq) AS i FROM points WHERE ele IS NOT NULL),
+      g AS (SELECT track_id, seq, i, ele AS out FROM p WHERE i = 1 UNION ALL SELECT p.track_id, p.seq, p.i, 0.3 * p.ele + (1 - 0.3) * g.out FROM g JOIN p ON p.track_id = g.track_id AND p.i = g.i + 1)
+      SELECT track_id, seq, out AS ele, CASE WHEN abs(out - ele) > 1e-9 THEN 'ema_smoothed' ELSE '' END AS flags FROM points LEFT JOIN (SELECT track_id, seq, out FROM g) USING (track_id, seq)""",
+    "ele",
+    recursive=True,
+)
 _add("simplify", lambda df: _base(W.simplify(df, 50.0)))
 _add("dejitter_nudge", lambda df: W.dejitter(df.withColumn("time_ms", F.floor(F.col("time_ms") / 4000) * 4000.0)).select("track_id", "seq", "time_ms", "flags"), """SELECT track_id, seq, CASE WHEN time_ms IS NOT NULL THEN max(time_ms - i) OVER w + i END AS time_ms, CASE WHEN max(time_ms - i) OVER w + i > time_ms THEN 'time_dejittered' ELSE '' END AS flags FROM (SELECT track_id, seq, floor(time_ms / 4000) * 4000 AS time_ms, row_number() OVER (PARTITION BY track_id, time_ms IS NULL ORDER BY seq) - 1 AS i FROM points) WINDOW w AS (PARTITION BY track_id, time_ms IS NULL ORDER BY seq)""", "time_ms")
 _add("dejitter_drop", lambda df: W.dejitter(df.withColumn("time_ms", F.floor(F.col("time_ms") / 4000) * 4000.0), "drop").select("track_id", "seq", "time_ms"), """SELECT track_id, seq, time_ms FROM (SELECT *, max(time_ms) OVER (PARTITION BY track_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM (SELECT track_id, seq, floor(time_ms / 4000) * 4000 AS time_ms FROM points)) WHERE time_ms IS NULL OR top IS NULL OR time_ms > top""", "time_ms")
@@ -387,13 +411,32 @@ _add("fused_points", lambda df: U.fused_points(_decided(df)).select("track_id",
 _add("round_up", lambda df: df.select("track_id", "seq", round_up(F.col("ele") - 100, 0).alias("r")), "SELECT track_id, seq, floor(ele - 100 + 0.5) AS r FROM points", "r")
 
 # Health.
-_add("health_schema", H.schema_check, f"SELECT track_id, 'schema-parse' AS \"check\", 0 AS weight, true AS applicable, m >= 0.5 AS passed, m AS measure FROM (SELECT track_id, avg({sql_valid()}::INT) AS m FROM points GROUP BY track_id)", "measure")
-_add("health_time_order", H.time_check, """SELECT track_id, 'time-order-span' AS "check", 20 AS weight, n >= 2 AS applicable, back = 0 AND span BETWEEN 600000 AND 43200000 AS passed, span AS measure FROM (
-  SELECT track_id, count(*) AS n, sum(back) AS back, arg_max(time_ms, seq) - arg_min(time_ms, seq) AS span FROM (SELECT *, coalesce(time_ms < lag(time_ms) OVER (PARTITION BY track_id ORDER BY seq), false)::INT AS back FROM points WHERE time_ms IS NOT NULL) GROUP BY track_id)""", "measure")
-_add("health_gps_fix", H.fix_check, "SELECT track_id, 'gps-fix-quality' AS \"check\", 0 AS weight, true AS applicable, avg((hdop > 5 OR sat < 4)::INT) <= 0.1 AS passed, avg((hdop > 5 OR sat < 4)::INT) AS measure FROM points GROUP BY track_id", "measure")
-_add("health_outliers", H.outlier_check, f"SELECT track_id, 'outlier' AS \"check\", 20 AS weight, true AS applicable, avg((score > 3)::INT) <= 0.05 AS passed, avg((score > 3)::INT) AS measure FROM ({_OUT.replace('least(max(speed) FILTER (WHERE speed > 0), 680)', 'max(speed) FILTER (WHERE speed > 0)')}) GROUP BY track_id", "measure")
-_add("health_checks", H.health_checks)
-_add("track_health", H.track_health)
+_CHECKS = {
+    "health_schema": (H.schema_check, f"SELECT track_id, 'schema-parse' AS \"check\", 0 AS weight, true AS applicable, m >= 0.5 AS passed, m AS measure FROM (SELECT track_id, avg({sql_valid()}::INT) AS m FROM points GROUP BY track_id)"),
+    "health_time_order": (H.time_check, """SELECT track_id, 'time-order-span' AS "check", 20 AS weight, n >= 2 AS applicable, back = 0 AND span BETWEEN 600000 AND 43200000 AS passed, span AS measure FROM (
+      SELECT track_id, count(*) AS n, sum(back) AS back, arg_max(time_ms, seq) - arg_min(time_ms, seq) AS span FROM (SELECT *, coalesce(time_ms < lag(time_ms) OVER (PARTITION BY track_id ORDER BY seq), false)::INT AS back FROM points WHERE time_ms IS NOT NULL) GROUP BY track_id)"""),
+    "health_gps_fix": (H.fix_check, "SELECT track_id, 'gps-fix-quality' AS \"check\", 0 AS weight, true AS applicable, avg((hdop > 5 OR sat < 4)::INT) <= 0.1 AS passed, avg((hdop > 5 OR sat < 4)::INT) AS measure FROM points GROUP BY track_id"),
+    "health_outliers": (H.outlier_check, f"SELECT track_id, 'outlier' AS \"check\", 20 AS weight, true AS applicable, avg((score > 3)::INT) <= 0.05 AS passed, avg((score > 3)::INT) AS measure FROM ({_OUT.replace('least(max(speed) FILTER (WHERE speed > 0), 680)', 'max(speed) FILTER (WHERE speed > 0)')}) GROUP BY track_id"),
+    "health_speed": (H.speed_check, f"SELECT track_id, 'speed-envelope' AS \"check\", 10 AS weight, m IS NOT NULL AS applicable, CASE WHEN m IS NOT NULL THEN m <= 0.02 END AS passed, m AS measure FROM (SELECT track_id, avg(CASE WHEN i BETWEEN greatest(start_seq, floor(n * 0.2)) AND end_seq AND speed IS NOT NULL THEN (speed < 5.144 OR speed > 680.7)::INT END) AS m FROM (SELECT track_id, speed, row_number() OVER (PARTITION BY track_id ORDER BY seq) - 1 AS i, count(*) OVER (PARTITION BY track_id) AS n FROM ({_KIN2})) JOIN ({_move(5.144)}) USING (track_id) GROUP BY track_id)"),
+    "health_altitude": (H.altitude_check, """SELECT track_id, 'altitude-profile' AS "check", 30 AS weight, cover >= 0.8 AS applicable, CASE WHEN cover >= 0.8 THEN coalesce(fr > 0 AND fr < n * 0.9 AND til < n - 1 AND held >= total * 0.1 AND abs(b - a) <= greatest(100, 0.15 * greatest(0, top - 304.8)), false) END AS passed, len::DOUBLE AS measure FROM (
+      SELECT e.*, r.len, r.fr, r.til, CASE WHEN t0 IS NOT NULL AND t1 IS NOT NULL THEN t1 - t0 ELSE n END AS total, CASE WHEN t0 IS NOT NULL AND t1 IS NOT NULL AND s0 IS NOT NULL AND s1 IS NOT NULL THEN s1 - s0 ELSE len END AS held FROM (
+        SELECT track_id, any_value(cover) AS cover, any_value(n) AS n, max(ele) AS top, median(ele) FILTER (WHERE i < 5) AS a, median(ele) FILTER (WHERE i >= n - 5) AS b, arg_min_null(time_ms, i) AS t0, arg_max_null(time_ms, i) AS t1 FROM (
+          SELECT *, row_number() OVER (PARTITION BY track_id ORDER BY seq) - 1 AS i, count(*) OVER (PARTITION BY track_id) AS n FROM (SELECT *, avg((ele IS NOT NULL)::INT) OVER (PARTITION BY track_id) AS cover FROM points) WHERE ele IS NOT NULL) GROUP BY track_id) e
+      LEFT JOIN (SELECT track_id, count(*) AS len, min(i) AS fr, max(i) AS til, arg_min_null(time_ms, i) AS s0, arg_max_null(time_ms, i) AS s1 FROM (
+        SELECT *, i - row_number() OVER (PARTITION BY track_id ORDER BY i) AS run FROM (SELECT *, row_number() OVER (PARTITION BY track_id ORDER BY seq) - 1 AS i FROM points WHERE ele IS NOT NULL) WHERE ele >= 304.8)
+        GROUP BY track_id, run QUALIFY row_number() OVER (PARTITION BY track_id ORDER BY len DESC, fr) = 1) r USING (track_id))"""),
+    "health_stagnant": (H.stagnant_check, f"""SELECT track_id, 'stagnant' AS "check", 20 AS weight, m IS NOT NULL AS applicable, m <= 180000 AS passed, m AS measure FROM (SELECT track_id, max(dwell) AS m FROM (
+      WITH RECURSIVE q AS (SELECT *, row_number() OVER (PARTITION BY track_id ORDER BY seq) - 1 AS k FROM (SELECT p.*, row_number() OVER (PARTITION BY track_id ORDER BY seq) - 1 AS i FROM points p) JOIN ({_move(5.144)}) USING (track_id) WHERE i BETWEEN start_seq AND end_seq),
+      g AS (SELECT track_id, k, CASE WHEN time_ms IS NOT NULL THEN {{'a': lat, 'o': lon, 't': time_ms}} END AS anchor, 0.0::DOUBLE AS dwell FROM q WHERE k = 0 UNION ALL
+        SELECT track_id, k, CASE WHEN near THEN anchor WHEN time_ms IS NOT NULL THEN {{'a': lat, 'o': lon, 't': time_ms}} END, CASE WHEN near THEN coalesce(time_ms - anchor.t, 0) ELSE 0 END FROM (SELECT q.track_id, q.k, q.lat, q.lon, q.time_ms, g.anchor, coalesce({sql_haversine("g.anchor.a", "g.anchor.o", "q.lat", "q.lon")} <= 402.34, false) AS near FROM g JOIN q ON q.track_id = g.track_id AND q.k = g.k + 1))
+      SELECT * FROM g) GROUP BY track_id)"""),
+}
+for _name, (_run, _sql) in _CHECKS.items():
+    _add(_name, _run, _sql, "measure", recursive=True)
+_ALL = " UNION ALL ".join(f"SELECT track_id, \"check\", weight, applicable, passed, measure FROM ({x})" for _, x in _CHECKS.values())
+_add("health_checks", H.health_checks, _ALL, "measure", recursive=True)
+_add("track_health", H.track_health, f"""SELECT track_id, CASE WHEN NOT blocked AND total > 0 THEN floor(100.0 * coalesce(earned, 0) / total + 0.5)::INT END AS score, blocked FROM (
+  SELECT track_id, sum(weight) FILTER (WHERE applicable AND weight > 0) AS total, sum(weight) FILTER (WHERE applicable AND weight > 0 AND passed) AS earned, bool_or("check" = 'schema-parse' AND NOT passed) AS blocked FROM ({_ALL}) GROUP BY track_id)""", recursive=True)
 
 
 # Views and recipes.
@@ -403,7 +446,7 @@ _add("uniform_sample", lambda df: S.uniform_sample(df, 50).select("track_id", "s
 _add("neighbourhood", lambda df: S.neighbourhood(df, df.filter("seq % 100 = 50").select("track_id", "seq"), 3).select("track_id", "center", "seq"), "SELECT p.track_id, c.seq AS center, p.seq FROM points p JOIN points c ON p.track_id = c.track_id AND c.seq % 100 = 50 AND p.seq BETWEEN c.seq - 3 AND c.seq + 3")
 _add("quality_strip", lambda df: S.quality_strip(df, W.quality_events(df), 100), f"SELECT p.track_id, floor(p.seq * least(100, p.n) / p.n)::BIGINT AS bucket, coalesce(max(h.r), 0) AS severity FROM (SELECT track_id, seq, count(*) OVER (PARTITION BY track_id) AS n FROM points) p LEFT JOIN (SELECT track_id, unnest(range(start_seq, end_seq + 1)) AS seq, CASE severity WHEN 'error' THEN 3 WHEN 'warning' THEN 2 ELSE 1 END AS r FROM ({_EVENTS})) h ON p.track_id = h.track_id AND p.seq = h.seq GROUP BY ALL")
 _add("disclosure_counts", lambda df: S.disclosure_counts(P.add_flag(R.notional_fill(df, 20000.0, 5000.0), "manual_edit", F.col("ele") > 900)), f"SELECT track_id, sum(notional) AS notional, sum(edited) AS edited FROM (SELECT track_id, 0 AS notional, coalesce(ele > 900, false)::INT AS edited FROM points UNION ALL SELECT track_id, 1, coalesce(pele + (ele - pele) * (k / (n + 1)) > 900, false)::INT FROM (SELECT *, unnest(range(1, n + 1)) AS k FROM (SELECT *, (floor((time_ms - pt) / 5000) - 1)::BIGINT AS n FROM ({_PREV}) WHERE time_ms - pt > 20000))) GROUP BY track_id")
-_add("chart_capability", S.chart_capability, "SELECT track_id, count(time_ms) > 0 AS timed, (count(ele) > 0)::INT + (count(hdop) > 0)::INT + (count(sat) > 0)::INT AS numeric, (count(ele) > 0)::INT + (count(hdop) > 0)::INT + (count(sat) > 0)::INT >= 2 AS scatter FROM points GROUP BY track_id")
+_add("chart_capability", S.chart_capability, "SELECT track_id, count(time_ms) > 0 AS timed, (count(ele) > 0)::INT + (count(hdop) > 0)::INT + (count(sat) > 0)::INT AS numeric, (count(ele) > 0)::INT + (count(hdop) > 0)::INT + (count(sat) > 0)::INT >= 2 AS scatter, count(time_ms) > 0 AND count(ele) + count(hdop) + count(sat) > 0 AS area, 'timeSeries' AS best FROM points GROUP BY track_id")
 _ENU_T, _ENU_O = _ecef("lat", "lon", "coalesce(ele, oh)"), _ecef("ola", "olo", "oh")
 _add(
     "trajectory_enu",
