@@ -171,7 +171,7 @@ def test_written_text_is_escaped_and_counted(spark, tmp_path):
     told = sinks.write_gpx(df, str(tmp_path / "g")).collect()
     assert [tuple(r) for r in told] == [("A", 2, 1, 1)]
     body = next((tmp_path / "g" / "track_id=A").glob("part*")).read_text()
-    assert body.index('lat="4"') < body.index('lat="1"') and "<name>&lt;&quot;&amp;</name>" in body and '<bounds minlat="1" minlon="2" maxlat="4" maxlon="5"/>' in body and "<time>1970-01-01T00:00:01Z</time>" in body
+    assert body.index('<trkpt lat="4"') < body.index('<trkpt lat="1"') and "<name>&lt;&quot;&amp;</name>" in body and '<bounds minlat="1" minlon="2" maxlat="4" maxlon="5"/>' in body and "<time>1970-01-01T00:00:01Z</time>" in body
     sinks.write_csv(df.withColumn("odd", F.lit(float("nan"))), str(tmp_path / "c"))
     raw = next((tmp_path / "c" / "track_id=A").glob("part*.csv")).read_bytes()
     assert raw.startswith(b"lat,lon,elevation_m,time_iso,name,description,") and raw.count(b"\r\n") == 5

@@ -7,7 +7,7 @@ from trackspark.sources import files, text
 
 def test_numbers_coordinates_and_times(spark):
     one = lambda c: spark.range(1).select(c).first()[0]
-    assert [one(text.parse_number(F.lit(x))) for x in ("1,5", "1,234.5", " 7 ", "", "x")] == [1.5, 1234.5, 7.0, None, None]
+    assert [one(text.parse_number(F.lit(x))) for x in ("1,5", "1,234.5", " 7 ", "", "x", "3d", "1e3", "NaN", "-.5")] == [1.5, 1234.5, 7.0, None, None, None, 1000.0, None, -0.5]
     assert [round(one(text.parse_coordinate(F.lit(x))), 6) for x in ("12.5", "34°30'36\"S", "10 15 W")] == [12.5, -34.51, -10.25]
     assert [one(text.parse_time(F.lit(x))) for x in ("1704067200", "1704067200000", "1704067200000000", "45292", "2024-01-01T00:00:00Z", "nope")] == [1704067200000.0] * 5 + [None]
     assert one(text.checksum(F.lit("GPGLL,5057.970,N,00146.110,E,142451,A"))) == "27"
@@ -33,6 +33,6 @@ def test_nmea_date_carries_and_checksum_counts(spark, tmp_path):
     (tmp_path / "b.nmea").write_text("\r\n".join(lines))
     points, audit = files.read_nmea(spark, str(tmp_path))
     got = points.orderBy("seq").collect()
-    assert [(round(r["lat"], 6), round(r["lon"], 6), r["time_ms"], r["ele"], r["sat"]) for r in got] == [(34.0, -118.0, 1704067201000.0, None, None), (34.01, -118.0, 1704067202000.0, 100.0, 7.0)]
-    assert round(got[0]["speed_mps"], 5) == 5.14444
+    assert [(round(r["lat"], 6), round(r["lon"], 6), r["time_ms"], r["ele"], r["ext_num"].get("sat")) for r in got] == [(34.0, -118.0, 1704067201000.0, None, None), (34.01, -118.0, 1704067202000.0, 100.0, 7.0)]
+    assert round(got[0]["ext_num"]["speed_mps"], 5) == 5.14444
     assert [(r["reason"], r["n"]) for r in audit.collect()] == [("bad-checksum", 1)]

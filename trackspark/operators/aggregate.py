@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..demo_tracks import by_seq, earlier, whole_track
 from ..functions.geo import haversine, is_valid, shortest_delta, wrap180
 from ..schema import unit_of
+from ..sources.text import plain_number
 
 #: Metres of a degree of latitude for cells; fixed.
 METERS_PER_DEGREE = 111320.0
@@ -53,7 +54,7 @@ def channel_stats(df: DataFrame, channels: tuple[str, ...] | None = ("hdop", "sa
     """
     if channels is None:
         entry = lambda m, f: F.transform(F.coalesce(F.map_entries(m), F.array().cast(f"array<struct<key:string,value:{'double' if m == 'ext_num' else 'string' if m == 'ext_str' else 'boolean'}>>")), lambda e: F.struct(e["key"].alias("channel"), f(e["value"]).alias("v")))
-        pairs = F.concat(entry("ext_num", lambda v: v), entry("ext_str", lambda v: F.trim(v).try_cast("double")), entry("ext_bool", lambda v: v.cast("int").cast("double")))
+        pairs = F.concat(entry("ext_num", lambda v: v), entry("ext_str", plain_number), entry("ext_bool", lambda v: v.cast("int").cast("double")))
     else:
         pairs = F.filter(F.array(*(F.struct(F.lit(c).alias("channel"), F.col(c).cast("double").alias("v")) for c in channels)), lambda x: x["v"].isNotNull())
     rows = df.select("track_id", F.explode(pairs).alias("x")).select("track_id", "x.*")

@@ -33,7 +33,9 @@ def channel_value(channel: str) -> Column:
     if channel in ("elevation", "ele"):
         x = F.col("ele")
     else:
-        x = F.coalesce(F.col("ext_num")[channel], F.when(F.trim(F.col("ext_str")[channel]) != "", F.trim(F.col("ext_str")[channel]).try_cast("double")))
+        from .sources.text import plain_number
+
+        x = F.coalesce(F.col("ext_num")[channel], plain_number(F.col("ext_str")[channel]))
     return F.when(F.abs(x) < float("inf"), x)
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geo import geodetic, is_valid
 from ..schema import conform, number_map, text_maps
-from .text import FOOT_M, KNOT_MPS, checksum, nmea_coordinate, nmea_day, nmea_time, parse_coordinate, parse_iso, parse_number, parse_time, unescape_xml
+from .text import FOOT_M, KNOT_MPS, checksum, nmea_coordinate, nmea_day, nmea_time, parse_coordinate, parse_iso, parse_number, parse_time, plain_number, unescape_xml
 
 DAY_MS = 86_400_000
 
@@ -77,10 +77,10 @@ def read_nmea(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     raw = raw.withColumns({"good": (given == "") | (given == checksum(body)), "f": F.split(body, ",")})
     audit = _audit(raw, F.when(~F.col("good"), "bad-checksum"))
     f = lambda i: F.get("f", F.lit(i))
-    n = lambda i: f(i).try_cast("double")
+    n = lambda i: plain_number(f(i))
     rows = raw.filter("good").withColumn("kind", F.substring(f(0), 3, 9)).filter("kind in ('GGA', 'RMC', 'GLL', 'VTG', 'ZDA', 'GSA', 'GSV')")
     is_ = lambda k: F.col("kind") == k
-    part = lambda a: F.substring(f(9), a, 2).try_cast("double")
+    part = lambda a: plain_number(F.substring(f(9), a, 2))
     above = lambda i: F.when(n(i) > 0, n(i))
     found = {
         "day": F.when(is_("RMC"), nmea_day(part(5) + 2000, part(3), part(1))).when(is_("ZDA"), nmea_day(n(4), n(3), n(2))),
@@ -209,7 +209,7 @@ def read_eag(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     whole = Window.partitionBy("track_id").orderBy("seq")
     raw = raw.withColumn("f", F.split("line", "\t")).withColumn("head", F.first("f").over(whole)).filter("seq > 0 and line <> ''")
     f = lambda i: F.get("f", F.lit(i))
-    n = lambda i: f(i).try_cast("double")
+    n = lambda i: plain_number(f(i))
     lat, lon, height = geodetic(n(4), n(5), n(6))
     rows = raw.withColumns({"lat": lat, "lon": lon, "ele": height})
     differs = (F.size("head") == 7) & ~F.arrays_zip(F.slice("f", 2, 3)).eqNullSafe(F.arrays_zip(F.slice("head", 2, 3)))

@@ -13,11 +13,17 @@ DAY_MS = 86_400_000
 TIME_FORMATS = ("auto", "iso", "epoch_seconds", "epoch_milliseconds", "epoch_microseconds", "excel_serial", "irig_doy")
 
 
+def plain_number(text: Column) -> Column:
+    """A number in plain or scientific digits; null for all else, and so for 3d, NaN or Infinity, which a cast would take."""
+    t = F.trim(text)
+    return F.when(t.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), t.try_cast("double"))
+
+
 def parse_number(text: Column) -> Column:
     """One comma and no dot is a decimal comma; else commas group. Null where it isn't a number."""
     t = F.trim(text)
     decimal = (F.length(t) - F.length(F.replace(t, F.lit(","), F.lit(""))) == 1) & ~F.contains(t, F.lit("."))
-    return F.when(decimal, F.replace(t, F.lit(","), F.lit("."))).otherwise(F.replace(t, F.lit(","), F.lit(""))).try_cast("double")
+    return plain_number(F.when(decimal, F.replace(t, F.lit(","), F.lit("."))).otherwise(F.replace(t, F.lit(","), F.lit(""))))
 
 
 def parse_coordinate(text: Column) -> Column:
@@ -61,7 +67,7 @@ def parse_time(text: Column, form: str = "auto", anchor_ms: float | None = None)
     if form == "irig_doy":
         return parse_range_time(text, anchor_ms)
     if form != "auto":
-        n = F.replace(F.trim(text), F.lit(","), F.lit(".")).try_cast("double")
+        n = plain_number(F.replace(F.trim(text), F.lit(","), F.lit(".")))
         return {"epoch_seconds": n * 1000, "epoch_milliseconds": n, "epoch_microseconds": n / 1000, "excel_serial": (n - 25569) * DAY_MS}[form]
     n = F.when(F.trim(text).rlike(r"^-?\d+(\.\d+)?$"), F.trim(text).try_cast("double"))
     size = F.abs(n)
@@ -130,14 +136,14 @@ def readout(x: Column, kind: str, nautical: bool = False, digits: int | None = N
 
 def nmea_coordinate(text: Column, hemisphere: Column) -> Column:
     """ddmm.mmmm and a hemisphere to degrees."""
-    n = text.try_cast("double")
+    n = plain_number(text)
     degrees = F.floor(n / 100)
     return (degrees + (n - degrees * 100) / 60) * F.when(hemisphere.isin("S", "W"), -1.0).otherwise(1.0)
 
 
 def nmea_time(text: Column) -> Column:
     """Milliseconds of the day of hhmmss[.f]."""
-    part = lambda a, n: F.substring(text, a, n).try_cast("double")
+    part = lambda a, n: plain_number(F.substring(text, a, n))
     s = part(5, 20)
     return F.when(F.length(text) >= 6, part(1, 2) * 3_600_000 + part(3, 2) * 60_000 + F.floor(s) * 1000 + F.floor(s % 1 * 1000))
 
