@@ -170,7 +170,7 @@ _add("p5_coverage", _with_recording(lambda spark, b: binary.p5_slot_coverage(spa
   SELECT slot, min(seq) AS first_subframe, max(seq) AS last_subframe, count(*) AS live, least(200, count(*) FILTER (WHERE seq - was > 1))::INT AS runs, any_value(share) AS share FROM live JOIN shared USING (slot) GROUP BY slot""", "share", 4)
 _add("p5_validation", _with_recording(lambda spark, b: binary.p5_validation(spark, b).select("subframes", "records", "live", "bad_signatures", "bad_trailers", "bad_checksums", "bad_slots", "bad_states", "clock_anomalies", "derived_clock_mismatches")), f"SELECT total AS subframes, total * 50 AS records, n AS live, 0::BIGINT AS bad_signatures, 0::BIGINT AS bad_trailers, 0::BIGINT AS bad_checksums, 0::BIGINT AS bad_slots, 0::BIGINT AS bad_states, 0::BIGINT AS clock_anomalies, 0::BIGINT AS derived_clock_mismatches FROM (SELECT 9 + 10 * greatest(0, ceil((max(seq) + 1 - 9) / 10.0))::BIGINT AS total FROM points), (SELECT count(*) AS n FROM ({_LIVE}))")
 _add("p5_roster", _with_recording(lambda spark, b: binary.p5_roster(spark, b).select("slot", "callsign")), "SELECT s::INT AS slot, 'C' || lpad((s - 1)::VARCHAR, 2, '0') AS callsign FROM range(1, 51) r(s)")
-_add("p5_georeference", _with_recording(lambda spark, b: _metres(binary.p5_georeference(binary.read_p5(spark, b)))), f"SELECT slot, count(*) AS n, floor(max((seq - s0) * 0.5 * 30.48) / 10) AS east, floor(min(ele - e0)) AS low FROM ({_LIVE}), (SELECT seq AS s0, ele AS e0 FROM ({_LIVE}) ORDER BY seq, slot LIMIT 1) GROUP BY slot")
+_add("p5_georeference", _with_recording(lambda spark, b: _metres(binary.p5_georeference(binary.read_p5(spark, b)))), f"SELECT slot, count(*) AS n, floor(max((seq - s0) * 0.5 * 30.48) / 10) AS east, floor(min(ele::FLOAT::DOUBLE - e0::FLOAT::DOUBLE) + 1e-3) AS low FROM ({_LIVE}), (SELECT seq AS s0, ele AS e0 FROM ({_LIVE}) ORDER BY seq, slot LIMIT 1) GROUP BY slot")
 
 
 def _metres(df: DataFrame) -> DataFrame:
@@ -179,7 +179,7 @@ def _metres(df: DataFrame) -> DataFrame:
 
     geo = binary.GEOREFERENCE
     e, _, u = enu(F.col("lat"), F.col("lon"), F.col("ele"), F.lit(geo["lat"]), F.lit(geo["lon"]), F.lit(geo["height"]))
-    return df.groupBy(F.col("ext_num")["p5_slot"].cast("int").alias("slot")).agg(F.count("*").alias("n"), F.floor(F.max(e) / 10 + 1e-6).cast("double").alias("east"), F.floor(F.min(u) + 1e-6).cast("double").alias("low"))
+    return df.groupBy(F.col("ext_num")["p5_slot"].cast("int").alias("slot")).agg(F.count("*").alias("n"), F.floor(F.max(e) / 10 + 1e-6).cast("double").alias("east"), F.floor(F.min(u) + 1e-3).cast("double").alias("low"))
 
 
 # Inventory and columns.
