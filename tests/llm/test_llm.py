@@ -96,8 +96,8 @@ def test_splice_widens_until_stable():
     for _ in range(60):
         text = "".join(rng.choice(["ab", "é", " ", "\n", "<|endoftext|>", "'s", "1", "x" * 40]) for _ in range(rng.randint(0, 300)))
         whole = counting.offsets([text])[0][0]
-        assert token_counts.splice(text, counting._by_runs, counting.offsets, chunk=rng.choice([30, 90]), overlap=rng.choice([4, 20]))[0] == len(whole)
-    assert token_counts.splice("x" * 500, counting._by_runs, counting.offsets, chunk=50, overlap=8) == (len(counting.offsets(["x" * 500])[0][0]), 0)
+        assert token_counts.splice(text, counting.offsets, chunk=rng.choice([30, 90]), overlap=rng.choice([4, 20]))[0] == len(whole)
+    assert token_counts.splice("x" * 500, counting.offsets, chunk=50, overlap=8) == (len(counting.offsets(["x" * 500])[0][0]), 0)
 
 
 def test_other_tokenizer_files(spark):

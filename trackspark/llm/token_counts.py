@@ -3,12 +3,12 @@
 A text up to CHUNK characters is one chunk. A longer one is cut into chunks that overlap; each is encoded
 with offsets, and two neighbours are spliced at a boundary that is stable in both: the overlap there has
 ASCII white space, which the tokenizer drops and no token, special string or normalisation spans, and for
-AGREE tokens on either side both encodings have the same ids at the same offsets. Where there is no such
-place the overlap grows, at last to the whole of both chunks.
+AGREE tokens on either side both encodings have the same ids at the same offsets. The text's tokens are those
+of each chunk between its two boundaries. Where there is no such place the overlap grows, at last to the whole
+of a chunk, which then is one with the next.
 
-Counting needs no order of tokens, so a chunk that isn't spliced counts each distinct run between ASCII
-white space once and keeps it: the library encodes such a run alone as it does within the text, by the
-same proof.
+Within one chunk counting needs no order of tokens: each distinct run between ASCII white space is encoded once
+and its number kept. The library encodes such a run alone as it does within the text, by the same proof.
 """
 
 from __future__ import annotations
@@ -71,7 +71,7 @@ class Counting:
         for i, n in zip(short, self._by_runs([texts[i] for i in short]), strict=True):
             out[i] = n, 0
         for i in set(range(len(texts))) - set(short):
-            out[i] = splice(texts[i], self._by_runs, self.offsets)
+            out[i] = splice(texts[i], self.offsets)
         return out
 
     def _by_runs(self, texts: list[str]) -> list[int]:
@@ -87,37 +87,37 @@ class Counting:
         return out
 
 
-def splice(text: str, sizes, offsets, chunk: int = CHUNK, overlap: int = OVERLAP, agree: int = AGREE) -> tuple[int, int]:
-    """Number of tokens of text, and of splices.
+def splice(text: str, offsets, chunk: int = CHUNK, overlap: int = OVERLAP, agree: int = AGREE) -> tuple[int, int]:
+    """Number of tokens of text, and of splices. offsets encodes a text to ids and character offsets."""
 
-    sizes gives the numbers of tokens of texts, offsets encodes texts to ids and character offsets. At each
-    seam the end of the left chunk and the start of the right one, which overlap, are encoded with offsets.
-    """
-    parts, begin, end = [], 0, chunk
+    def encoded(a: int, b: int) -> np.ndarray:
+        ids, places = offsets([text[a:b]])[0]
+        return np.column_stack([ids, places + a])
+
+    total = splices = begin = 0  # tokens before begin are counted
+    end = min(len(text), chunk)
+    left = encoded(0, end)
     while end < len(text):
         wide, at = overlap, None
         while at is None:
-            low, start, high = max(begin, end - 2 * wide), max(begin, end - wide), min(len(text), end + wide)
-            left, right = offsets([text[low:end], text[start:high]])
-            at = boundary(text, left, low, right, start, end, agree)
-            if start == begin:
-                break
+            start = max(begin, end - wide)
+            stop = min(len(text), start + chunk + wide)
+            right = encoded(start, stop)
+            at = boundary(text, left, right, start, end, agree)
+            if at is None and start == begin:
+                at = begin  # no stable place in all of the chunk: it and the next, which is right, are one
             wide *= 2
-        if at is None:  # no stable place in all of the chunk: it and the next are one
-            end += chunk
-            continue
-        parts.append(text[begin:at])
-        begin, end = at, max(at + chunk, end + 1)
-    return sum(sizes([*parts, text[begin:]])), len(parts)
+        total += int(((left[:, 1] >= begin) & (left[:, 1] < at)).sum())
+        splices += at > begin
+        begin, end, left = at, stop, right
+    return total + int((left[:, 1] >= begin).sum()), splices
 
 
-def boundary(text: str, left, low: int, right, start: int, end: int, agree: int) -> int | None:
+def boundary(text: str, a: np.ndarray, b: np.ndarray, start: int, end: int, agree: int) -> int | None:
     """The last place in [start, end) behind ASCII white space around which both encodings agree.
 
-    left encodes the text from low to end, right from start on.
+    a and b are rows of id, first and last character: a of the chunk that ends at end, b of that which starts at start.
     """
-    a = np.column_stack([left[0], left[1] + low])
-    b = np.column_stack([right[0], right[1] + start])
     a = a[a[:, 1] >= start]
     b = b[b[:, 2] <= end]
     # Same ids at same offsets, from either side: a row of a is matched to the row of b that starts there.
