@@ -9,6 +9,10 @@ from pyspark.sql import SparkSession
 
 
 def work_folder(spark: SparkSession) -> str:
-    """A new folder below the checkpoint folder that driver and executors share; in local tests a temporary one."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="trackspark-")
+    """A new folder below the checkpoint folder that driver and executors share; a temporary one only if all runs on this machine."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        shared = tempfile.mkdtemp(prefix="trackspark-")
     return f"{shared}/{uuid.uuid4().hex}"
