@@ -177,3 +177,17 @@ def test_pipeline_of_nothing_and_of_odd_rows(spark, tmp_path):
         got = sorted((r["doc_id"] or 0, r["n_tokens"] > 0) for r in corpus_pipeline.run(spark, str(folder)).collect())
         # Null and empty texts are equal, so the least id of them stays; a repeated row stays with its copies.
         assert got == ([] if name == "none" else [(0, True), (1, False), (1, False), (3, True), (3, True)])
+
+
+def test_toxicity_recall_on_held_out_rows_by_language(spark, capsys):
+    from pyspark.sql import functions as F
+
+    from trackspark.llm import toxicity
+
+    folder = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    got = toxicity.query(spark, folder).filter("held_out").join(docs.select("doc_id", "lang"), "doc_id").join(labels.filter("toxic is not null"), "doc_id")
+    rows = got.groupBy("lang", "toxic").agg(F.count("*").alias("n"), F.sum("predicted").alias("hit")).orderBy("toxic", "lang").collect()
+    with capsys.disabled():
+        print("", *(f"{r['lang']}: {r['hit']} of {r['n']} {'toxic' if r['toxic'] else 'other'}" for r in rows), sep="\n")
+    assert all(r["hit"] >= 0.8 * r["n"] if r["toxic"] else r["hit"] <= 0.1 * r["n"] for r in rows if r["n"] >= 10)
