@@ -65,7 +65,8 @@ def _channel_tags() -> Column:
     pairs = F.concat(*(F.transform(F.map_entries(F.coalesce(m, F.create_map().cast(f"map<string,{k}>"))), lambda e: F.struct(e["key"].alias("key"), e["value"].cast("string").alias("value"))) for m, k in zip(CHANNEL_MAPS, ("double", "string", "boolean"), strict=True)))
     rest = F.filter(pairs, lambda p: ~p["key"].isin("sat", "hdop", "vdop", "pdop") & p["key"].rlike(r"^[A-Za-z_][\w.-]*$"))
     tags = F.array_join(F.transform(rest, lambda p: F.concat(F.lit("<"), p["key"], F.lit(">"), escape_xml(p["value"]), F.lit("</"), p["key"], F.lit(">"))), "")
-    return F.when(tags != "", F.concat(F.lit("<extensions>"), tags, F.lit("</extensions>"))).otherwise("")
+    other = F.size(F.filter(F.map_keys("ext_num"), lambda k: ~k.isin("sat", "hdop", "vdop", "pdop"))) + F.size("ext_str") + F.size("ext_bool")
+    return F.when(other == 0, "").when(tags != "", F.concat(F.lit("<extensions>"), tags, F.lit("</extensions>"))).otherwise("")
 
 
 def write_gpx(df: DataFrame, path: str, digits: int = 7, by_time: bool = True) -> DataFrame:

@@ -81,13 +81,15 @@ def iso_time(ms: Column) -> Column:
 
 def gpx_time(ms: Column) -> Column:
     """ISO, without a fraction that is zero."""
-    return F.regexp_replace(iso_time(ms), r"\.000Z$", "Z")
+    whole = F.date_format(F.timestamp_millis(F.floor(ms).cast("bigint")), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    return F.when(F.floor(ms) % 1000 == 0, whole).otherwise(iso_time(ms))
 
 
 def trimmed(x: Column, digits: int) -> Column:
     """A number in plain digits, that many behind the point at most, without closing zeros."""
-    fixed = F.when(x.isNotNull(), F.format_string(f"%.{digits}f", x))
-    return F.regexp_replace(fixed, r"\.?0+$", "") if digits else fixed
+    # A decimal is much faster than a format; the format serves what is too large for it.
+    fixed = F.coalesce(x.try_cast(f"decimal(18,{digits})").cast("string"), F.when(x.isNotNull(), F.format_string(f"%.{digits}f", x)))
+    return F.rtrim(F.rtrim(fixed, F.lit("0")), F.lit(".")) if digits else fixed
 
 
 def escape_xml(text: Column) -> Column:
