@@ -240,7 +240,8 @@ _floored = lambda df: O.turn_floor(df, 30.0, 5, 680.0)
 _add("turn_floor", _floored, _FLOOR, "floor_m", 4)
 _add("detect_outliers", lambda df: O.detect_outliers(df, floors=_floored(df)), f"SELECT *, score > 3 AS outlier FROM ({_OUT})", "score", 4)
 _add("drop_outliers", lambda df: _base(O.drop_outliers(df, reconstruct=False)), f"SELECT {BASE} FROM points WHERE (track_id, seq) NOT IN (SELECT (track_id, seq) FROM ({_OUT}) WHERE score > 3)", BASE_D)
-_add("elevation_outliers", lambda df: O.detect_outliers(df, threshold=6.0, channels=("elevation",)).select("track_id", "seq", "outlier"))
+_IN = _OUT.split(" AS score FROM (", 1)[1].rsplit(")", 1)[0]
+_add("elevation_outliers", lambda df: O.detect_outliers(df, threshold=6.0, channels=("elevation",)).select("track_id", "seq", "outlier"), f"SELECT track_id, seq, coalesce(s2, 0) > 6 AS outlier FROM ({_IN})")
 
 # Statistics.
 _add("bounds", A.bounds, f"SELECT track_id, min(lat) FILTER (WHERE {sql_valid()}) AS min_lat, min(lon) FILTER (WHERE {sql_valid()}) AS min_lon, max(lat) FILTER (WHERE {sql_valid()}) AS max_lat, max(lon) FILTER (WHERE {sql_valid()}) AS max_lon FROM points GROUP BY track_id", "min_lat min_lon max_lat max_lon")
@@ -397,8 +398,8 @@ _GROUPED = f"""c AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY t
 
 
 def _fused(name: str, run, sql: str, doubles: str, digits: int = 6) -> None:
-    _add(name, run, f"{sql}", doubles, digits, recursive=True)
-    ORACLE_SQL[name] = ORACLE_SQL[name].replace("SELECT * ", f", {_GROUPED} SELECT * ", 1) if name not in () else ORACLE_SQL[name]
+    _add(name, run, sql, doubles, digits, recursive=True)
+    ORACLE_SQL[name] = ORACLE_SQL[name].replace("SELECT * ", f", {_GROUPED} SELECT * ", 1)
 
 
 _decided = lambda df: U.auto_combine(_groups(df))
@@ -407,7 +408,7 @@ _fused("fusion_decisions", lambda df: _decided(df).select("entity", "group_id",
 _fused("fusion_report", lambda df: U.fusion_report(_decided(df), _all_sources(df)), """SELECT entity, source, coalesce(chosen, 0) AS chosen, total - coalesce(chosen, 0) AS skipped, groups, mean_confidence FROM (SELECT entity, source, count(*) AS total FROM c GROUP BY entity, source)
   LEFT JOIN (SELECT entity, chosen AS source, count(*) AS chosen FROM f GROUP BY entity, chosen) USING (entity, source) JOIN (SELECT entity, count(*) AS groups, avg(confidence) AS mean_confidence FROM f GROUP BY entity) USING (entity)""", "mean_confidence", 4)
 _add("check_fusion", lambda df: U.check_fusion(_decided(df), _all_sources(df), 1500.0), "SELECT NULL::VARCHAR AS entity, NULL::BIGINT AS group_id, NULL::VARCHAR AS problem WHERE false", with_points=False)
-_add("fused_points", lambda df: U.fused_points(_decided(df)).select("track_id", "seq", "time_ms", F.col("source_segment").alias("source")))
+_fused("fused_points", lambda df: U.fused_points(_decided(df)).select("track_id", "seq", "time_ms", F.col("source_segment").alias("source")), "SELECT entity AS track_id, row_number() OVER (PARTITION BY entity ORDER BY group_time_ms, group_id) - 1 AS seq, time_ms, chosen AS source FROM f", "time_ms")
 _add("round_up", lambda df: df.select("track_id", "seq", round_up(F.col("ele") - 100, 0).alias("r")), "SELECT track_id, seq, floor(ele - 100 + 0.5) AS r FROM points", "r")
 
 # Health.
