@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import byte_bpe, decontaminate, exact_dedup, jaccard_join, language_id, line_dedup, pii, quality, token_counts, toxicity
+from . import byte_bpe, centroid_clusters, decontaminate, exact_dedup, jaccard_join, language_id, line_dedup, pii, quality, token_counts, toxicity
 
 QUERIES = {
     "pipeline": corpus_pipeline.run,
@@ -18,8 +18,10 @@ QUERIES = {
     "op8_byte_bpe": byte_bpe.query,
     "op9_exact_dedup": exact_dedup.query,
     "op10_jaccard_join": jaccard_join.query,
+    "op11_centroid_clusters": centroid_clusters.query,
 }
 
 ORACLE_SQL = {
     "op9_exact_dedup": exact_dedup.QUERY_SQL,
+    "op11_centroid_clusters": centroid_clusters.QUERY_SQL,
 }
