@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import byte_bpe, centroid_clusters, decontaminate, exact_dedup, jaccard_join, language_id, line_dedup, pii, quality, token_counts, toxicity
+from . import byte_bpe, centroid_clusters, decontaminate, exact_dedup, jaccard_join, language_id, line_dedup, piece_bpe, pii, quality, token_counts, toxicity
 
 QUERIES = {
     "pipeline": corpus_pipeline.run,
@@ -19,6 +19,7 @@ QUERIES = {
     "op9_exact_dedup": exact_dedup.query,
     "op10_jaccard_join": jaccard_join.query,
     "op11_centroid_clusters": centroid_clusters.query,
+    "op12_piece_bpe": piece_bpe.query,
 }
 
 ORACLE_SQL = {
