@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import byte_bpe, centroid_clusters, decontaminate, exact_dedup, jaccard_join, language_id, line_dedup, piece_bpe, pii, quality, token_counts, toxicity
+from . import byte_bpe, centroid_clusters, decontaminate, exact_dedup, jaccard_join, language_id, line_dedup, merkle, piece_bpe, pii, quality, token_counts, toxicity
 
 QUERIES = {
     "pipeline": corpus_pipeline.run,
@@ -20,9 +20,11 @@ QUERIES = {
     "op10_jaccard_join": jaccard_join.query,
     "op11_centroid_clusters": centroid_clusters.query,
     "op12_piece_bpe": piece_bpe.query,
+    "op13_merkle_manifest": merkle.query,
 }
 
 ORACLE_SQL = {
     "op9_exact_dedup": exact_dedup.QUERY_SQL,
     "op11_centroid_clusters": centroid_clusters.QUERY_SQL,
+    "op13_merkle_manifest": merkle.QUERY_SQL,
 }
