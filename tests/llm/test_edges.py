@@ -1,12 +1,16 @@
 """Odd input for every text operator: repeated rows, no rows, no ids, very long texts; and hashes without structure."""
 
 import random
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from trackspark.llm import decontaminate, exact_dedup, jaccard_join, language_id, line_dedup, pii, quality, token_counts, toxicity
+import corpus_pipeline
+
+from trackspark.llm import byte_bpe, decontaminate, exact_dedup, jaccard_join, language_id, line_dedup, pii, quality, token_counts, toxicity
 from trackspark.llm.words import Words, shingle_sets
 
 from .test_llm import make, prose
@@ -90,3 +94,60 @@ def test_very_long_texts(spark, long_texts):
     assert [r["lang_pred"] for r in language_id.predict(docs, model).orderBy("doc_id").collect()] == ["en", "xx", "en", "en"]
     assert quality.classify(docs, spark.createDataFrame([(0, 1), (2, 1)], "doc_id bigint, quality int")).count() == 4
     assert toxicity.score(docs, toxicity.train(docs, spark.createDataFrame([(0, 0), (2, 0)], "doc_id bigint, toxic int"))).count() == 4
+
+
+HELPERS = [
+    "_h", "_s", "_key", "_id", "_size", "_t", "_row", "_first", "_hot_size", "_hot_id", "_lang", "_own", "_gone", "_threshold", "_text", "more", "row", "likely", "nll", "n_symbols", "text_md5",
+    "a", "b", "t", "line", "copies", "key", "x", "g", "by", "at", "hash", "own", "rank", "n", "h", "words", "item", "start", "value", "shape", "pattern", "kind",
+]
+
+
+def test_columns_named_as_helpers_stay(spark):
+    import public_tokenizers as P
+
+    docs = repeated(spark).selectExpr("*", "'en' as lang").withColumns({c: F.lit(f"own {c}") for c in HELPERS})
+    labels = spark.createDataFrame([(1, 1, 1), (2, 0, 0)], "doc_id bigint, toxic int, quality int")
+    model = language_id.train(docs)
+    for out in (
+        exact_dedup.exact_dedup(docs), quality.classify(docs, labels), pii.extract(docs), line_dedup.dedup_lines(docs), token_counts.token_counts(docs, P.path("word_bpe_49k.json")),
+        language_id.predict(docs, model), toxicity.score(docs, toxicity.train(docs, labels)), byte_bpe.encode(docs, P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN, keep_ids=False),
+    ):
+        here = [c for c in HELPERS if c in out.columns]
+        assert set(HELPERS) - set(here) == set()
+        assert out.select(*here).distinct().collect() == [tuple(f"own {c}" for c in here)] and out.count() == 6
+    for out in (jaccard_join.near_duplicates(docs), line_dedup.line_verdicts(docs), decontaminate.contaminated(docs, spark.createDataFrame([(1, "one two three four five six seven")], "item_id bigint, text string"))):
+        assert out.count()
+
+
+def test_pipeline_of_rows_without_ids_and_with_clashing_columns(spark, tmp_path):
+    rng = random.Random(5)
+    item, clean, other = prose(rng, 30), prose(rng, 60), prose(rng, 60)
+    rows = [(None, f"{other} {item}"), (7, f"{clean} {item} end"), (7, clean), (None, prose(rng, 50)), (None, None), (8, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    spark.createDataFrame([(1, item)], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(7, 1)], "doc_id bigint, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    docs = docs.withColumns({c: F.lit("own") for c in ("text_md5", "_lang", "_own", "_key", "_h", "more")})
+    kept = corpus_pipeline.decontaminate_stage(spark, docs, str(tmp_path))
+    assert kept.columns == docs.columns
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in kept.collect()) == sorted((i or 0, t or "") for i, t in rows[2:])
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, docs, str(tmp_path)).columns == docs.columns
+
+
+def test_scope_leaves_only_what_is_kept(spark, tmp_path):
+    from trackspark.llm.tables import materialise, scope
+    from trackspark.plans.folders import shared_folder
+
+    folder = Path(shared_folder(spark).removeprefix("file://").removeprefix("file:"))
+    tables = lambda: {p.name for p in folder.glob("t-*")}
+    before = tables()
+    with scope() as keep:
+        jaccard_join.near_duplicates(repeated(spark)).collect()
+        out = keep(materialise(pii.extract(repeated(spark))))
+        assert len(tables() - before) > 2
+    assert len(tables() - before) == 1 and out.count() == 6
+    with pytest.raises(ZeroDivisionError), scope():
+        materialise(out)
+        1 / 0
+    assert len(tables() - before) == 1

@@ -42,7 +42,7 @@ def exact_dedup(docs: DataFrame, text: str = "text", id: str = "doc_id") -> Data
     Null and empty texts, and texts of blanks only, are equal. Repeated rows (same id, same text) count
     in group_size and share their verdict. Own columns with those names are replaced.
     """
-    from .tables import materialise
+    from .tables import fresh, materialise
 
     docs = docs.drop("content_hash", "text_sha256", "group_size", "keep_id", "kept")
     groups = materialise(exact_groups(docs, text, id).filter("group_size > 1"))
@@ -51,14 +51,17 @@ def exact_dedup(docs: DataFrame, text: str = "text", id: str = "doc_id") -> Data
     rows = docs.withColumns({"content_hash": F.md5(norm), "text_sha256": F.sha2(norm, 256)})
     # At most 1 / HOT_SHARE groups are hot, so that broadcast is bounded; their rows then take a key of
     # their own, so that none of them meets in one partition of the join below.
-    hot = groups.filter(F.col("group_size") > most).select(F.col("content_hash").alias("_h"), F.col("text_sha256").alias("_s"), F.col("group_size").alias("_hot_size"), F.col("keep_id").alias("_hot_id"))
-    cold = groups.filter(F.col("group_size") <= most).select(F.col("content_hash").alias("_key"), F.col("text_sha256").alias("_t"), F.col("group_size").alias("_size"), F.col("keep_id").alias("_id"))
-    rows = rows.join(F.broadcast(hot), (F.col("content_hash") == F.col("_h")) & (F.col("text_sha256") == F.col("_s")), "left")
-    rows = rows.withColumn("_row", F.when(F.col("_hot_size").isNull(), F.col("content_hash")).otherwise(F.concat(F.lit("-"), F.coalesce(F.col(id).cast("string"), F.lit("")))))
-    rows = rows.join(cold, (F.col("_row") == F.col("_key")) & (F.col("text_sha256") == F.col("_t")), "left")
-    found = F.col("_size").isNotNull() | F.col("_hot_size").isNotNull()
-    keep = F.when(found, F.coalesce("_id", "_hot_id")).otherwise(F.col(id))
-    return rows.withColumns({"group_size": F.coalesce("_size", "_hot_size", F.lit(1)).cast("bigint"), "keep_id": keep, "kept": F.col(id).eqNullSafe(keep)}).drop("_h", "_s", "_hot_size", "_hot_id", "_row", "_key", "_t", "_size", "_id")
+    hot_key, hot_text, hot_size, hot_id, cold_key, cold_text, size, first, key = fresh(rows, "_hot_key", "_hot_text", "_hot_size", "_hot_id", "_cold_key", "_cold_text", "_size", "_first", "_key")
+    named = lambda df, *names: df.select(*(F.col(c).alias(n) for c, n in zip(("content_hash", "text_sha256", "group_size", "keep_id"), names, strict=True)))
+    hot = named(groups.filter(F.col("group_size") > most), hot_key, hot_text, hot_size, hot_id)
+    cold = named(groups.filter(F.col("group_size") <= most), cold_key, cold_text, size, first)
+    rows = rows.join(F.broadcast(hot), (F.col("content_hash") == F.col(hot_key)) & (F.col("text_sha256") == F.col(hot_text)), "left")
+    rows = rows.withColumn(key, F.when(F.col(hot_size).isNull(), F.col("content_hash")).otherwise(F.concat(F.lit("-"), F.monotonically_increasing_id().cast("string"))))
+    rows = rows.join(cold, (F.col(key) == F.col(cold_key)) & (F.col("text_sha256") == F.col(cold_text)), "left")
+    found = F.col(size).isNotNull() | F.col(hot_size).isNotNull()
+    keep = F.when(found, F.coalesce(first, hot_id)).otherwise(F.col(id))
+    out = rows.withColumns({"group_size": F.coalesce(size, hot_size, F.lit(1)).cast("bigint"), "keep_id": keep, "kept": F.col(id).eqNullSafe(keep)})
+    return out.drop(hot_key, hot_text, hot_size, hot_id, cold_key, cold_text, size, first, key)
 
 
 QUERY_SQL = r"""

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import materialise
+from .tables import fresh, materialise
 
 #: In the order in which spans that start alike are listed.
 KINDS = ("email", "ip", "card", "phone")
@@ -163,11 +163,11 @@ def _likely(text: str):
         yield m
 
 
-def scan(docs: DataFrame, text: str = "text") -> DataFrame:
-    """All columns of docs, with base (array of kind, start, end) and likely (array of instances)."""
+def scan(docs: DataFrame, text: str = "text", names: tuple[str, str] = ("base", "likely")) -> DataFrame:
+    """All columns of docs but the text, with base (array of kind, start, end) and likely (array of instances), or by other names."""
     base_kind = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int64()), ("end", pa.int64())]))
     like_kind = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int64()), ("end", pa.int64()), ("value", pa.string()), ("shape", pa.string()), ("patterns", pa.list_(pa.string()))]))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != text), "base array<struct<kind:int,start:bigint,end:bigint>>", "likely array<struct<kind:int,start:bigint,end:bigint,value:string,shape:string,patterns:array<string>>>"])
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != text), f"`{names[0]}` array<struct<kind:int,start:bigint,end:bigint>>", f"`{names[1]}` array<struct<kind:int,start:bigint,end:bigint,value:string,shape:string,patterns:array<string>>>"])
 
     def run(batches):
         for batch in batches:
@@ -178,7 +178,7 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
                 base.append([{"kind": k, "start": a, "end": b} for a, k, b in found])
                 likely.append([dict(zip(("kind", "start", "end", "value", "shape", "patterns"), x, strict=True)) for x in instances(one, found)])
             keep = [i for i, n in enumerate(batch.schema.names) if n != text]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in keep), pa.array(base, base_kind), pa.array(likely, like_kind)], [*(batch.schema.names[i] for i in keep), "base", "likely"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in keep), pa.array(base, base_kind), pa.array(likely, like_kind)], [*(batch.schema.names[i] for i in keep), *names])
 
     return docs.mapInArrow(run, schema)
 
@@ -212,17 +212,18 @@ def extract(docs: DataFrame, text: str = "text", rounds: int = ROUNDS) -> DataFr
     """All columns of docs but the text, with base and spans: arrays of (kind, start, end), in code points.
 
     spans are the base finds and those of the method, by start, then kind, then end. A null text is empty.
-    Repeated rows are rows of their own. Own columns named base, likely, spans or row are replaced.
+    Repeated rows are rows of their own; no rows give no rows. Own columns named base or spans are replaced.
     """
-    docs = docs.drop("base", "likely", "spans", "row")
-    rows = materialise(scan(docs, text).withColumn("row", F.monotonically_increasing_id()))
-    edges = rows.select("row", F.explode("likely").alias("x")).select("row", "x.start", "x.end", "x.kind", F.lower("x.value").alias("value"), "x.shape", F.explode("x.patterns").alias("pattern"))
+    docs = docs.drop("base", "spans")
+    row, likely, more = fresh(docs, "row", "likely", "more")
+    rows = materialise(scan(docs, text, ("base", likely)).withColumn(row, F.monotonically_increasing_id()))
+    edges = rows.select(F.col(row).alias("row"), F.explode(likely).alias("x")).select("row", "x.start", "x.end", "x.kind", F.lower("x.value").alias("value"), "x.shape", F.explode("x.patterns").alias("pattern"))
     found = discover(edges, rounds)
-    more = found.groupBy("row").agg(F.collect_list(F.struct(F.col("kind").cast("int").alias("kind"), "start", "end")).alias("more"))
-    out = rows.drop("likely").join(more, "row", "left")
-    both = F.concat("base", F.coalesce("more", F.array().cast("array<struct<kind:int,start:bigint,end:bigint>>")))
+    found = found.groupBy(F.col("row").alias(row)).agg(F.collect_list(F.struct(F.col("kind").cast("int").alias("kind"), "start", "end")).alias(more))
+    out = rows.drop(likely).join(found, row, "left")
+    both = F.concat("base", F.coalesce(more, F.array().cast("array<struct<kind:int,start:bigint,end:bigint>>")))
     order = F.array_sort(F.transform(both, lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end"))))
-    return out.withColumn("spans", F.transform(order, lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end")))).drop("row", "more")
+    return out.withColumn("spans", F.transform(order, lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end")))).drop(row, more)
 
 
 def _joined(spans):

@@ -2,39 +2,32 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.folders import shared_folder
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share: the cluster's checkpoint folder.
-
-    Where none is set a temporary folder serves, but only if all runs on this machine.
-    """
-    conf = spark.conf.get("spark.checkpoint.dir", None)
-    if conf:
-        return conf
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        if not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="trackspark-"))
-    return sc.getCheckpointDir()
+#: Folders of the tables written inside each open scope.
+_scopes: list[list[DataFrame]] = []
 
 
 def materialise(df: DataFrame) -> DataFrame:
     """Write to the shared folder and read again: cuts lineage, survives lost executors, keeps columns compressed."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/t-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/t-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    if _scopes:
+        _scopes[-1].append(out)
+    return out
 
 
 def discard(*tables: DataFrame) -> None:
@@ -47,6 +40,38 @@ def discard(*tables: DataFrame) -> None:
                 folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+@contextmanager
+def scope():
+    """Deletes at its end the tables materialised inside, also when it fails; what is made of them must be written by then.
+
+    A table given to the yielded function stays, and belongs to the scope around.
+    """
+    _scopes.append([])
+
+    def keep(df: DataFrame) -> DataFrame:
+        _scopes[-1][:] = [x for x in _scopes[-1] if x is not df]
+        if len(_scopes) > 1:
+            _scopes[-2].append(df)
+        return df
+
+    try:
+        yield keep
+    finally:
+        discard(*_scopes.pop())
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names that no column of df has, as close to the given ones as can be."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 #: A key with more than this share of all rows is heavy; there can be only 1 / HEAVY of them.
 HEAVY = 0.001
 
