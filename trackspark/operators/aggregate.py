@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..demo_tracks import by_seq, earlier, whole_track
+from ..demo_tracks import by_seq, whole_track
 from ..functions.geo import haversine, is_valid, shortest_delta, wrap180
+from ..plans.chunks import Chunks
 from ..schema import unit_of
 from ..sources.text import plain_number
 
@@ -20,16 +21,18 @@ def bounds(df: DataFrame) -> DataFrame:
     return df.groupBy("track_id").agg(*(f(F.when(ok, F.col(c))).alias(f"{n}_{c}") for n, f in (("min", F.min), ("max", F.max)) for c in ("lat", "lon")))
 
 
-def track_stats(df: DataFrame) -> DataFrame:
+def track_stats(df: DataFrame, chunk: int | None = None) -> DataFrame:
     """One row a track: counts, distance and speeds over neighbouring valid points, duration, heights.
 
     Duration is last minus first timed point in order and may be negative. A leg starts at the last valid
     point, for time as well. Gain and loss compare with the last height there was.
     """
-    ok = is_valid(F.col("lat"), F.col("lon"))
-    out = df.withColumn("_ok", ok)
+    cut = Chunks(df, size=chunk)
+    out = cut.rows.withColumn("_ok", is_valid(F.col("lat"), F.col("lon")))
     here = F.when(F.col("_ok"), F.struct("lat", "lon", "time_ms"))
-    out = out.withColumns({"_p": F.last(here, ignorenulls=True).over(earlier()), "_e": F.last("ele", ignorenulls=True).over(earlier()), "_t": F.last("time_ms", ignorenulls=True).over(earlier())})
+    out = cut.carry(out, _cp=(cut.latest(here), "last"), _ce=(cut.latest("ele"), "last"), _ct=(cut.latest("time_ms"), "last"))
+    last = lambda c, carry: F.coalesce(F.last(c, ignorenulls=True).over(cut.earlier()), carry)
+    out = out.withColumns({"_p": last(here, "_cp"), "_e": last("ele", "_ce"), "_t": last("time_ms", "_ct")})
     out = out.withColumns({"_d": F.when(F.col("_ok"), haversine(F.col("_p.lat"), F.col("_p.lon"), F.col("lat"), F.col("lon"))), "_dt": (F.col("time_ms") - F.col("_p.time_ms")) / 1000, "_rise": F.col("ele") - F.col("_e")})
     speed = F.when(F.col("_dt") > 0, F.col("_d") / F.col("_dt"))
     timed = F.when(F.col("time_ms").isNotNull(), F.col("seq"))

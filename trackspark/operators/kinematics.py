@@ -7,30 +7,34 @@ import re
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..demo_tracks import by_seq, earlier, whole_track
+from ..demo_tracks import by_seq, whole_track
 from ..functions.geo import bearing, haversine, modulo, round_up, shortest_delta
+from ..plans.chunks import Chunks
 
 
-def kinematics(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+def kinematics(df: DataFrame, keep: tuple[str, ...] = (), chunk: int | None = None) -> DataFrame:
     """Adds distance, heading, interval, frequency, speeds, acceleration and turn rate, and timestamp flags.
 
     Each point is compared with the row before, valid or not; acceleration and turn rate with the last point
     whose interval was positive. Distance is cumulative and rounded to 3 decimals, as is heading; others to 6.
+    Tracks of more than chunk places (CHUNK of plans.chunks) are cut, here and in the operators that take chunk.
     """
-    before = {c: F.lag(c).over(by_seq()) for c in ("lat", "lon", "ele", "time_ms")}
-    out = df.withColumns({f"_{c}": x for c, x in before.items()} | {"_first": F.row_number().over(by_seq()) == 1})
+    here = F.struct("lat", "lon", "ele", "time_ms")
+    cut = Chunks(df, size=chunk)
+    out = cut.carry(cut.rows, _end=(cut.last(here), "previous"))
+    out = out.withColumn("_was", F.coalesce(F.lag(here).over(cut.window()), "_end"))
+    out = out.withColumns({f"_{c}": F.col(f"_was.{c}") for c in ("lat", "lon", "ele", "time_ms")} | {"_first": F.col("_was").isNull()})
     leg = F.when(~F.col("_first"), haversine(F.col("_lat"), F.col("_lon"), F.col("lat"), F.col("lon")))
     dt = (F.col("time_ms") - F.col("_time_ms")) / 1000
     out = out.withColumns({"_leg": leg, "_dt": dt}).withColumn("_on", F.coalesce(F.col("_dt") > 0, F.lit(False)) & ~F.col("_first"))
+    heading = F.when(~F.col("_first"), round_up(bearing(F.col("_lat"), F.col("_lon"), F.col("lat"), F.col("lon")), 3))
+    out = out.withColumn("heading_deg", heading).withColumns({"_speed": F.when(F.col("_on"), F.col("_leg") / F.col("_dt")), "_turned": F.when(F.col("_on"), F.col("heading_deg"))})
+    out = cut.carry(out, _m=(F.sum("_leg"), "sum"), _s=(cut.latest("_speed"), "last"), _h=(cut.latest("_turned"), "last"))
+    last = lambda c, carry: F.coalesce(F.last(c, ignorenulls=True).over(cut.earlier()), carry)
     out = out.withColumns({
-        "heading_deg": F.when(~F.col("_first"), round_up(bearing(F.col("_lat"), F.col("_lon"), F.col("lat"), F.col("lon")), 3)),
-        "_speed": F.when(F.col("_on"), F.col("_leg") / F.col("_dt")),
-    })
-    so_far = by_seq().rowsBetween(Window.unboundedPreceding, 0)
-    out = out.withColumns({
-        "distance_m": round_up(F.coalesce(F.sum("_leg").over(so_far), F.lit(0.0)), 3),
-        "_last_speed": F.last("_speed", ignorenulls=True).over(earlier()),
-        "_last_heading": F.last(F.when(F.col("_on"), F.col("heading_deg")), ignorenulls=True).over(earlier()),
+        "distance_m": round_up(F.coalesce("_m", F.lit(0.0)) + F.coalesce(F.sum("_leg").over(cut.so_far()), F.lit(0.0)), 3),
+        "_last_speed": last("_speed", "_s"),
+        "_last_heading": last("_turned", "_h"),
     })
     on = lambda x, digits=6: F.when(F.col("_on"), round_up(x, digits))
     flag = F.when(F.col("_first"), F.lit(None)).when(F.col("_dt").isNull(), "missing_timestamp").when(F.col("_dt") == 0, "duplicate_timestamp").when(F.col("_dt") < 0, "non_monotonic_timestamp")
@@ -122,7 +126,7 @@ def movement_window(df: DataFrame, threshold: float = 1.0, displacement_m: float
     return g.select("track_id", F.when(good, F.col("a")).otherwise(F.coalesce("c", F.lit(0))).cast("bigint").alias("start_seq"), F.when(good, F.col("b")).otherwise(F.coalesce("d", "n")).cast("bigint").alias("end_seq"))
 
 
-def segment_track(df: DataFrame, stationary: float = 1.0, vertical: float = 1.0, gap_s: float = 10.0, least: int = 2) -> DataFrame:
+def segment_track(df: DataFrame, stationary: float = 1.0, vertical: float = 1.0, gap_s: float = 10.0, least: int = 2, chunk: int | None = None) -> DataFrame:
     """Runs of points of one kind: gap, stationary, unknown, level, climb or descent, with metrics of each.
 
     A run of fewer than least points, but for gaps, takes the kind of its longer neighbour (the earlier one
@@ -133,19 +137,22 @@ def segment_track(df: DataFrame, stationary: float = 1.0, vertical: float = 1.0,
         F.when(F.col("sample_interval_s") > gap_s, "gap").when(speed <= stationary, "stationary").when(climb.isNull() & speed.isNull(), "unknown")
         .when(climb.isNull(), "level").when(climb >= vertical, "climb").when(climb <= -vertical, "descent").otherwise("level")
     )
-    rows = _runs(df.withColumn("kind", kind), "kind")
+    cut = Chunks(df, size=chunk)
+    rows = _numbered(cut, cut.rows.withColumn("kind", kind), "kind", "run")
     edge = lambda f, c: f(c, "seq")
     # Runs have all that their merged runs need, so that the points aren't read again.
     runs = rows.groupBy("track_id", "run").agg(
         F.first("kind").alias("old"), F.count("*").alias("n"), F.min("seq").alias("start_seq"), F.max("seq").alias("end_seq"), edge(F.min_by, F.struct("time_ms", "distance_m")).alias("a"), edge(F.max_by, F.struct("time_ms", "distance_m")).alias("b"),
         F.sum("ground_speed_mps").alias("_gs"), F.count("ground_speed_mps").alias("_gn"), F.sum("vertical_speed_mps").alias("_vs"), F.count("vertical_speed_mps").alias("_vn"),
     )
-    by_run = Window.partitionBy("track_id").orderBy("run")
-    pk, pn, nk, nn = (f(c).over(by_run) for f, c in ((F.lag, "old"), (F.lag, "n"), (F.lead, "old"), (F.lead, "n")))
+    # Runs are chunked as points are, since each point can be a run.
+    beside = F.struct("old", "n")
+    cut = Chunks(runs, "run", chunk, cut.cut)
+    runs = cut.carry(cut.rows, _before=(cut.last(beside), "previous"), _after=(cut.first(beside), "next"))
+    runs = runs.withColumns({"_p": F.coalesce(F.lag(beside).over(cut.window()), "_before"), "_n": F.coalesce(F.lead(beside).over(cut.window()), "_after")})
+    pk, pn, nk, nn = F.col("_p.old"), F.col("_p.n"), F.col("_n.old"), F.col("_n.n")
     new = F.when((F.col("n") >= least) | (F.col("old") == "gap"), F.col("old")).when(pk.isNull(), F.coalesce(nk, "old")).when(nk.isNull() | (pn >= nn), pk).otherwise(nk)
-    runs = runs.withColumn("kind", new)
-    change = F.coalesce(F.col("kind") != F.lag("kind").over(by_run), F.lit(True)).cast("int")
-    runs = runs.withColumn("_c", change).withColumn("segment", F.sum("_c").over(by_run))
+    runs = _numbered(cut, runs.withColumn("kind", new).drop("_before", "_after", "_p", "_n"), "kind", "segment")
     out = runs.groupBy("track_id", "segment").agg(
         F.first("kind").alias("kind"), F.min("start_seq").alias("start_seq"), F.max("end_seq").alias("end_seq"), F.sum("n").alias("point_count"), F.min_by("a", "run").alias("a"), F.max_by("b", "run").alias("b"),
         (F.sum("_gs") / F.nullif(F.sum("_gn"), F.lit(0))).alias("mean_ground_speed_mps"), (F.sum("_vs") / F.nullif(F.sum("_vn"), F.lit(0))).alias("mean_vertical_speed_mps"),
@@ -155,10 +162,13 @@ def segment_track(df: DataFrame, stationary: float = 1.0, vertical: float = 1.0,
     return out.withColumns({"duration_s": duration, "distance_m": F.greatest(F.lit(0.0), F.col("b.distance_m") - F.col("a.distance_m"))}).drop("a", "b")
 
 
-def _runs(df: DataFrame, column: str) -> DataFrame:
-    """Adds run: 1, 2, ... for stretches of equal values."""
-    change = F.coalesce(F.col(column) != F.lag(column).over(by_seq()), F.lit(True)).cast("int")
-    return df.withColumn("_c", change).withColumn("run", F.sum("_c").over(by_seq().rowsBetween(Window.unboundedPreceding, 0))).drop("_c")
+def _numbered(cut: Chunks, rows: DataFrame, column: str, to: str) -> DataFrame:
+    """Numbers stretches of equal values of rows that are cut."""
+    rows = cut.carry(rows, _end=(cut.last(F.struct(column)), "previous"))
+    was = F.coalesce(F.lag(F.struct(column)).over(cut.window()), "_end")
+    change = F.coalesce(F.col(column) != was[column], F.lit(True)).cast("int")
+    rows = cut.carry(rows.withColumn("_c", change).drop("_end"), _all=(F.sum("_c"), "sum"))
+    return cut.drop(rows.withColumn(to, F.coalesce("_all", F.lit(0)) + F.sum("_c").over(cut.so_far())).drop("_c", "_all"))
 
 
 def median_sample_interval(df: DataFrame, gap_ms: float | None = None) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..demo_tracks import by_seq, earlier, whole_track
 from ..functions.geo import haversine, is_valid
+from ..plans.chunks import Chunks
 from ..plans.scan import sorted_scan
 
 
@@ -184,18 +185,22 @@ def dejitter(df: DataFrame, policy: str = "nudge", epsilon_ms: float = 1.0) -> D
     return merged.select(*df.columns).unionByName(rest)
 
 
-def quality_events(df: DataFrame, gap_ms: float = 5000, jump_m: float = 10000, jump_ms: float = 5000, spike_m: float = 100, flat_run: int = 5) -> DataFrame:
+def quality_events(df: DataFrame, gap_ms: float = 5000, jump_m: float = 10000, jump_ms: float = 5000, spike_m: float = 100, flat_run: int = 5, chunk: int | None = None) -> DataFrame:
     """(track_id, kind, severity, start_seq, end_seq, start_time, end_time, measure) of quality events.
 
     An invalid row has neither duplicate, gap nor jump; a jump needs a valid row before it and an interval
     from 0 to jump_ms. Spikes reverse within one row; flatlines are runs of equal heights.
     """
-    before = {f"_{c}": F.lag(c).over(by_seq()) for c in ("seq", "lat", "lon", "ele", "time_ms")}
-    ok = is_valid(F.col("lat"), F.col("lon"))
-    fresh = ~F.coalesce(F.col("ele") == F.lag("ele").over(by_seq()), F.lit(False))
-    out = df.withColumns(before | {"_next": F.lead("ele").over(by_seq()), "_ok": ok, "_i": F.row_number().over(by_seq()), "_fresh": fresh})
+    here = F.struct("seq", "lat", "lon", "ele", "time_ms")
+    cut = Chunks(df, size=chunk)
+    out = cut.carry(cut.rows, _end=(cut.last(here), "previous"), _begin=(cut.first(F.struct("ele")), "next"), _n=(F.count("*"), "sum"))
+    out = out.withColumns({"_row": F.coalesce(F.lag(here).over(cut.window()), "_end"), "_next": F.coalesce(F.lead(F.struct("ele")).over(cut.window()), "_begin")["ele"], "_i": F.coalesce("_n", F.lit(0)) + F.row_number().over(cut.window())})
+    out = out.withColumns({f"_{c}": F.col(f"_row.{c}") for c in ("seq", "lat", "lon", "ele", "time_ms")})
+    out = out.withColumns({"_ok": is_valid(F.col("lat"), F.col("lon")), "_fresh": ~F.coalesce(F.col("ele") == F.col("_ele"), F.lit(False))})
     # The start of the run of equal heights that a row is in; a run ends where the next height differs.
-    start = F.last(F.when(F.col("_fresh"), F.struct("seq", "time_ms", "_i")), ignorenulls=True).over(by_seq().rowsBetween(Window.unboundedPreceding, 0))
+    out = out.withColumn("_opens", F.when(F.col("_fresh"), F.struct("seq", "time_ms", "_i")))
+    out = cut.carry(out, _open=(cut.latest("_opens"), "last"))
+    start = F.coalesce(F.last("_opens", ignorenulls=True).over(cut.so_far()), "_open")
     out = out.withColumns({"_run": start, "_ends": ~F.coalesce(F.col("ele") == F.col("_next"), F.lit(False))})
     out = out.withColumns({"_dt": F.col("time_ms") - F.col("_time_ms"), "_was": is_valid(F.col("_lat"), F.col("_lon"))})
     out = out.withColumn("_far", haversine(F.col("_lat"), F.col("_lon"), F.col("lat"), F.col("lon")))

@@ -158,6 +158,11 @@ _add(
     3,
 )
 
+# The same tracks cut into chunks of so many points: other windows, one result.
+CUT = 250
+_add("kinematics_in_chunks", lambda df: K.kinematics(df, chunk=CUT).select("track_id", "seq", *_MOTION, "horizontal_accel_mps2", "turn_rate_dps", "flags"), ORACLE_SQL["kinematics"], digits=3, with_points=False)
+_add("segment_track_in_chunks", lambda df: K.segment_track(K.kinematics(df, chunk=CUT), chunk=CUT).select("track_id", "segment", "kind", "start_seq", "end_seq", "point_count", "start_time", "duration_s", "mean_ground_speed_mps"), ORACLE_SQL["segment_track"], digits=3, with_points=False)
+
 # Ordered filters.
 _add("sort_by_time", lambda df: _base(W.sort_by_time(df)), "SELECT track_id, row_number() OVER (PARTITION BY track_id ORDER BY time_ms NULLS LAST, seq) - 1 AS seq, lat, lon, ele, time_ms FROM points", BASE_D)
 _add(
@@ -218,6 +223,7 @@ _EVENTS = f"""
   SELECT track_id, 'elevation-flatline', 'info', min(seq), max(seq), arg_min_null(time_ms, seq), arg_max_null(time_ms, seq), count(*)::DOUBLE FROM (
     SELECT *, sum(c) OVER w AS run FROM (SELECT *, (ele IS NULL OR ele IS DISTINCT FROM lag(ele) OVER w)::INT AS c FROM points {W_SQL}) {W_SQL}) WHERE ele IS NOT NULL GROUP BY track_id, run HAVING count(*) >= 5"""
 _add("quality_events", W.quality_events, _EVENTS, "start_time end_time measure", 4)
+_add("quality_events_in_chunks", lambda df: W.quality_events(df, chunk=CUT), ORACLE_SQL["quality_events"], digits=4, with_points=False)
 _add("events_overlapping", lambda df: W.events_overlapping(W.quality_events(df), 200, 100).select("track_id", "kind", "start_seq", "end_seq"), f"SELECT track_id, kind, start_seq, end_seq FROM ({_EVENTS}) WHERE start_seq <= 200 AND end_seq >= 100")
 _add("event_source_points", lambda df: W.event_source_points(W.quality_events(df)), f"SELECT DISTINCT track_id, unnest(range(start_seq, end_seq + 1)) AS seq FROM ({_EVENTS})")
 _add("event_counts", lambda df: A.event_counts(W.quality_events(df)), f"SELECT track_id, kind, count(*) AS n FROM ({_EVENTS}) GROUP BY track_id, kind")
@@ -256,6 +262,7 @@ _STATS = f"""
         WINDOW w AS (PARTITION BY track_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))) GROUP BY track_id)"""
 _STATS_D = "min_lat min_lon max_lat max_lon start_time end_time distance_m duration_ms ele_min ele_max gain_m loss_m speed_min speed_max speed_mean sample_rate_hz"
 _add("track_stats", A.track_stats, _STATS, _STATS_D, 4)
+_add("track_stats_in_chunks", lambda df: A.track_stats(df, CUT), ORACLE_SQL["track_stats"], digits=4, with_points=False)
 _add("channel_stats", A.channel_stats, "SELECT track_id, channel, count(v) AS count, count(v) AS n, min(v) AS min, max(v) AS max, avg(v) AS mean, stddev_samp(v) AS stddev, CASE channel WHEN 'hdop' THEN 'DOP' WHEN 'sat' THEN 'sats' END AS unit FROM (SELECT track_id, unnest(['hdop', 'sat', 'ele']) AS channel, unnest([hdop, sat, ele]) AS v FROM points) GROUP BY track_id, channel", "min max mean stddev")
 _add("range_statistics", lambda df: A.range_statistics(df, 100, 400), f"SELECT track_id, count(*) AS points, coalesce(sum(d), 0) AS distance_m, arg_max_null(time_ms, seq) - arg_min_null(time_ms, seq) AS duration_ms, count(hdop) AS count_hdop, min(hdop) AS min_hdop, max(hdop) AS max_hdop, avg(hdop) AS mean_hdop, count(ele) AS count_ele, min(ele) AS min_ele, max(ele) AS max_ele, avg(ele) AS mean_ele FROM (SELECT *, {sql_haversine('lag(lat) OVER w', 'lag(lon) OVER w', 'lat', 'lon')} AS d FROM points WHERE seq BETWEEN 100 AND 400 {W_SQL}) GROUP BY track_id", "distance_m duration_ms min_hdop max_hdop mean_hdop min_ele max_ele mean_ele", 4)
 _add("distribution_stats", lambda df: A.distribution_stats(df, "ele"), "SELECT track_id, count(*) AS n, min(ele) AS min, quantile_cont(ele, 0.5) AS median, quantile_cont(ele, 0.95) AS p95, max(ele) AS max, avg(ele) AS mean, coalesce(stddev_samp(ele), 0) AS stddev FROM points WHERE ele IS NOT NULL GROUP BY track_id", "min median p95 max mean stddev")
