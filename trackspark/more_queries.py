@@ -21,7 +21,7 @@ from .plans.folders import work_folder
 from .plans.recipes import run_derivation
 from .queries import _BRACKET, _EVENTS, _KIN3, _PREV, _REL, _SIDES, _STATS, W_SQL, _add, _base, _ecef, _pair, _rel
 from .schema import channel_value, collect_channels, conform, demote, promote
-from .sources import binary, files, formats, inventory, sinks
+from .sources import binary, files, formats, inventory, ranges, sinks
 from .sources.text import checksum, duration, readout, to_feet, to_knots, to_nautical_miles, trimmed
 
 VALID = f"SELECT track_id, row_number() OVER (PARTITION BY track_id ORDER BY seq) - 1 AS seq, lat, lon, ele, time_ms, hdop, sat FROM points WHERE {sql_valid()}"
@@ -73,7 +73,17 @@ def _eag_back(df: DataFrame) -> DataFrame:
 
 
 _add("eag_round_trip", _eag_back, f"SELECT true AS level, count(*) AS n FROM points WHERE time_ms IS NOT NULL AND {sql_valid()}")
-_add("gpb_round_trip", lambda df: promote(binary.decode_gpb(binary.encode_gpb(df))[0], "hdop", "sat").select("track_id", "seq", "lat", "lon", "ele", "time_ms", "hdop", "sat"), "SELECT track_id, seq, lat, lon, coalesce(ele, 0)::FLOAT::DOUBLE AS ele, coalesce(time_ms, 0) AS time_ms, hdop::FLOAT::DOUBLE AS hdop, sat FROM points", "lat lon ele time_ms hdop sat", 5)
+def _ranges_of_gpb(df: DataFrame) -> DataFrame:
+    """Packed files read in ranges of 2,000 bytes: what each task has is added up, and whether a file had several."""
+    folder = work_folder(df.sparkSession)
+    formats.write_tracks(df, folder, "gpb")
+    got = promote(binary.read_gpb(df.sparkSession, folder, split=2_000)[0], "sat").withColumn("task", F.spark_partition_id())
+    parts = got.groupBy("track_id", "task").agg(F.count("*").alias("n"), F.sum("seq").alias("places"), F.sum("sat").alias("sat"))
+    return parts.groupBy("track_id").agg(F.sum("n").alias("n"), F.sum("places").alias("places"), F.sum("sat").alias("sat"), (F.count("*") > 1).alias("many"))
+
+
+_add("gpb_round_trip", lambda df: promote(_through(df, "gpb"), "hdop", "sat").select("track_id", "seq", "lat", "lon", "ele", "time_ms", "hdop", "sat"), "SELECT track_id, seq, lat, lon, coalesce(ele, 0)::FLOAT::DOUBLE AS ele, coalesce(time_ms, 0) AS time_ms, hdop::FLOAT::DOUBLE AS hdop, sat FROM points", "lat lon ele time_ms hdop sat", 5)
+_add("gpb_ranges", _ranges_of_gpb, "SELECT track_id, count(*) AS n, sum(seq) AS places, sum(sat) AS sat, true AS many FROM points GROUP BY track_id", "sat", 2)
 
 
 def _nmea(df: DataFrame) -> DataFrame:
@@ -111,54 +121,52 @@ def _fastest(df: DataFrame, fmt: str, options: dict) -> DataFrame:
 
 # Recordings: the events as ten-hertz records of fifty slots.
 def _recording(df: DataFrame) -> str:
-    """Writes one recording of the demo tracks: track n is slot n + 1, a subframe for each seq; returns its folder. Built on executors."""
+    """Writes one recording of the demo tracks: track n is slot n + 1, a subframe for each seq; returns its folder.
+
+    Blocks are built apart, ten subframes at a time, and streamed into the file in order.
+    """
     import numpy as np
 
     spark, folder = df.sparkSession, work_folder(df.sparkSession)
-    rows = df.select(F.lit(0).alias("k"), F.substring("track_id", 2, 9).cast("int").alias("slot"), "seq", F.coalesce("ele", F.lit(0.0)).alias("z"), F.col("ele").isNull().alias("gone"))
+    block = F.when(F.col("seq") < 9, 0).otherwise(F.expr("1 + (seq - 9) div 10"))
+    rows = df.select(block.cast("bigint").alias("block"), F.substring("track_id", 2, 9).cast("int").alias("slot"), "seq", F.coalesce("ele", F.lit(0.0)).alias("z"), F.col("ele").isNull().alias("gone"))
 
     def pack(rows: pd.DataFrame) -> pd.DataFrame:
-        n = int(rows["seq"].max()) + 1
-        blocks = 1 + max(0, -(-(n - 9) // 10))
-        frames = np.zeros(9 + 10 * (blocks - 1), binary._FRAME)
+        b = int(rows["block"].iloc[0])
+        first = 0 if b == 0 else 9 + 10 * (b - 1)
+        frames = np.zeros(9 if b == 0 else 10, binary._FRAME)
         frames["sign"] = binary.SIGNATURE
-        cs = np.arange(len(frames)) * 10 + 8_639_000  # a second and less before midnight, so that the day changes
-        cs %= 8_640_000
+        cs = (np.arange(first, first + len(frames)) * 10 + 8_639_000) % 8_640_000  # a second and less before midnight, so that the day changes
         frames["clock"] = np.column_stack([cs // 360_000, cs // 6000 % 60, cs // 100 % 60, cs % 100])
         frames["derived"] = np.ascontiguousarray(frames["clock"]).view(">u4").ravel() ^ np.uint32(binary.CLOCK_XOR)
         frames["mark"] = b"\xff\0\0\0"
         frames["slots"]["state"], frames["slots"]["slot"] = 1, np.arange(1, binary.SLOTS + 1)
         live = rows[~rows["gone"]]
-        i, k = live["seq"].to_numpy(int), live["slot"].to_numpy(int)
+        at, k = live["seq"].to_numpy(int), live["slot"].to_numpy(int)
+        i = at - first
         frames["slots"]["state"][i, k] = 0
-        frames["slots"]["x"][i, k], frames["slots"]["y"][i, k], frames["slots"]["z"][i, k] = i * 0.5, k * 10.0, live["z"]
+        frames["slots"]["x"][i, k], frames["slots"]["y"][i, k], frames["slots"]["z"][i, k] = at * 0.5, k * 10.0, live["z"]
         words = np.frombuffer(frames.tobytes(), ">u4").reshape(len(frames), -1)[:, binary.SUBHEAD // 4 : (binary.SUBHEAD + binary.SLOTS * binary.RECORD) // 4].astype(np.uint32)
         frames["sum"] = (np.bitwise_xor.reduce(words, axis=1) ^ np.uint32(binary.CHECKSUM_SEED)).astype(">u4")
-        head = bytearray(binary.HEAD + binary.CONFIG)
-        head[:4] = b"\0\0\1\0"
-        head[48:57] = b"31 DEC 23"
-        for s in range(binary.SLOTS):
-            at = binary.ROSTER_AT + s * binary.ROSTER
-            head[at + 2], head[at + 28 : at + 31] = s + 1, b"C%02d" % s
-        parts = [bytes(head), frames[:9].tobytes()]
-        for b in range(blocks - 1):
-            parts += [bytes(binary.HEAD), frames[9 + 10 * b : 19 + 10 * b].tobytes()]
-        return pd.DataFrame({"content": [b"".join(parts)]})
-
-    blob = rows.groupBy("k").applyInPandas(pack, "content binary")
-    blob.write.parquet(folder)
+        return pd.DataFrame({"block": [b], "data": [bytes(binary.HEAD) * (b > 0) + frames.tobytes()]})
+
+    head = bytearray(binary.HEAD + binary.CONFIG)
+    head[:4] = b"\0\0\1\0"
+    head[48:57] = b"31 DEC 23"
+    for s in range(binary.SLOTS):
+        at = binary.ROSTER_AT + s * binary.ROSTER
+        head[at + 2], head[at + 28 : at + 31] = s + 1, b"C%02d" % s
+    blocks = rows.groupBy("block").applyInPandas(pack, "block bigint, data binary")
+    blocks = blocks.select(F.lit("R").alias("track_id"), "block", F.lit(None).cast("binary").alias("head"), F.lit(None).cast("bigint").alias("points"), F.lit(1).cast("bigint").alias("n"), "data")
+    first = rows.agg((F.max("block") + 1).alias("points")).select(F.lit("R").alias("track_id"), F.lit(-1).cast("bigint").alias("block"), F.lit(bytes(head)).alias("head"), "points")
+    out = blocks.unionByName(first, allowMissingColumns=True).repartition("track_id").sortWithinPartitions("track_id", "block")
+    ranges.write_packed(out.drop("block"), folder, "msnp5")
     return folder
 
 
 def _with_recording(run):
-    """Runs on a recording as it would on a file: binary_files reads the one that is given."""
-
-    def query(df: DataFrame) -> DataFrame:
-        folder = _recording(df)
-        blobs = df.sparkSession.read.parquet(folder).select(F.lit("R").alias("track_id"), "content")
-        return run(df.sparkSession, blobs)
-
-    return query
+    """Runs on the folder of a recording."""
+    return lambda df: run(df.sparkSession, _recording(df))
 
 
 _LIVE = "SELECT substr(track_id, 2)::INT + 1 AS slot, seq, ele FROM points WHERE ele IS NOT NULL"
@@ -170,16 +178,17 @@ _add("p5_coverage", _with_recording(lambda spark, b: binary.p5_slot_coverage(spa
   SELECT slot, min(seq) AS first_subframe, max(seq) AS last_subframe, count(*) AS live, least(200, count(*) FILTER (WHERE seq - was > 1))::INT AS runs, any_value(share) AS share FROM live JOIN shared USING (slot) GROUP BY slot""", "share", 4)
 _add("p5_validation", _with_recording(lambda spark, b: binary.p5_validation(spark, b).select("subframes", "records", "live", "bad_signatures", "bad_trailers", "bad_checksums", "bad_slots", "bad_states", "clock_anomalies", "derived_clock_mismatches")), f"SELECT total AS subframes, total * 50 AS records, n AS live, 0::BIGINT AS bad_signatures, 0::BIGINT AS bad_trailers, 0::BIGINT AS bad_checksums, 0::BIGINT AS bad_slots, 0::BIGINT AS bad_states, 0::BIGINT AS clock_anomalies, 0::BIGINT AS derived_clock_mismatches FROM (SELECT 9 + 10 * greatest(0, ceil((max(seq) + 1 - 9) / 10.0))::BIGINT AS total FROM points), (SELECT count(*) AS n FROM ({_LIVE}))")
 _add("p5_roster", _with_recording(lambda spark, b: binary.p5_roster(spark, b).select("slot", "callsign")), "SELECT s::INT AS slot, 'C' || lpad((s - 1)::VARCHAR, 2, '0') AS callsign FROM range(1, 51) r(s)")
-_add("p5_georeference", _with_recording(lambda spark, b: _metres(binary.p5_georeference(binary.read_p5(spark, b)))), f"SELECT slot, count(*) AS n, floor(max((seq - s0) * 0.5 * 30.48) / 10) AS east, floor(min(ele::FLOAT::DOUBLE - e0::FLOAT::DOUBLE) + 1e-3) AS low FROM ({_LIVE}), (SELECT seq AS s0, ele AS e0 FROM ({_LIVE}) ORDER BY seq, slot LIMIT 1) GROUP BY slot")
+_add("p5_georeference", _with_recording(lambda spark, b: _metres(binary.p5_georeference(binary.read_p5(spark, b)))), f"SELECT slot, seq, (seq - s0) * 0.5 * 30.48 AS east, (slot - k0) * 10.0 * 30.48 AS north, ele::FLOAT::DOUBLE - e0::FLOAT::DOUBLE AS up FROM ({_LIVE}), (SELECT seq AS s0, slot AS k0, ele AS e0 FROM ({_LIVE}) ORDER BY seq, slot LIMIT 1)", "east north up", 3)
+_add("p5_by_ending", _with_recording(lambda spark, b: formats.read_tracks(spark, f"{b}/*.msnp5")[0].groupBy("track_id", "source_segment").agg(F.count("*").alias("n"), F.min("time_ms").alias("earliest"), F.max("source_record").alias("last"))), f"SELECT 'R-' || slot AS track_id, 'C' || lpad((slot - 1)::VARCHAR, 2, '0') AS source_segment, count(*) AS n, min(1703980800000 + 86390000 + seq * 100.0) AS earliest, max(seq) + 1 AS last FROM ({_LIVE}) GROUP BY slot", "earliest")
 
 
 def _metres(df: DataFrame) -> DataFrame:
-    """How far east of the anchor and how high each slot's points are, in coarse steps: across the ground, not by degrees."""
+    """How far east, north and above the anchor each point is."""
     from .functions.geo import enu
 
     geo = binary.GEOREFERENCE
-    e, _, u = enu(F.col("lat"), F.col("lon"), F.col("ele"), F.lit(geo["lat"]), F.lit(geo["lon"]), F.lit(geo["height"]))
-    return df.groupBy(F.col("ext_num")["p5_slot"].cast("int").alias("slot")).agg(F.count("*").alias("n"), F.floor(F.max(e) / 10 + 1e-6).cast("double").alias("east"), F.floor(F.min(u) + 1e-3).cast("double").alias("low"))
+    e, n, u = enu(F.col("lat"), F.col("lon"), F.col("ele"), F.lit(geo["lat"]), F.lit(geo["lon"]), F.lit(geo["height"]))
+    return df.select(F.col("ext_num")["p5_slot"].cast("int").alias("slot"), (F.col("source_record") - 1).alias("seq"), e.alias("east"), n.alias("north"), u.alias("up"))
 
 
 # Inventory and columns.

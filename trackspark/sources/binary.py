@@ -1,33 +1,31 @@
-"""Binary containers: packed points (GPB) and range recordings (P5). Files come through Spark's own reader; a file is decoded in numpy.
+"""Binary containers: packed points (GPB) and range recordings (P5).
 
-A recording is cut into stretches of subframes before it is decoded, so that its rows come from many tasks.
+Files are read by ranges of records and decoded in numpy, so that one of any size is many tasks; they can also be given as
+rows (track_id, content).
 """
 
 from __future__ import annotations
 
+import re
 import struct
+from urllib.parse import unquote
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import enu_to_geodetic
 from ..schema import conform, number_map
 from .files import _MONTHS, DAY_MS
+from .ranges import LAYOUTS, Layout, read_records, write_packed
 from .sinks import _full, channel_names
 
 #: Fixed values of the packed container.
 GPB_MAGIC, GPB_TIME, GPB_ELE = b"GPB1", 1, 2
 
 
-def binary_files(spark: SparkSession, path: str | DataFrame) -> DataFrame:
-    """(track_id, content) of files, or of such rows; track_id is the name without its ending."""
-    if not isinstance(path, str):
-        return path.select("track_id", "content")
-    return spark.read.format("binaryFile").load(path).select(F.regexp_extract("path", r"([^/]+?)(\.[^./]*)?$", 1).alias("track_id"), "content")
-
-
 def encode_gpb(df: DataFrame, channels: list[str] | None = None) -> DataFrame:
     """(track_id, content): one packed container for each track, which is held in memory. What a point lacks is written as 0."""
     df = _full(df)
@@ -49,59 +47,140 @@ def encode_gpb(df: DataFrame, channels: list[str] | None = None) -> DataFrame:
     return rows.groupBy("track_id").applyInPandas(pack, "track_id string, content binary")
 
 
-def _gpb(content: bytes):
-    """(name, fields, channels, records as numpy) of a container; ValueError where it is none, or cut short."""
-    if content[:4] != GPB_MAGIC:
+def _gpb_fields(flags: int, channels: int) -> np.dtype:
+    return np.dtype([("lat", "<f8"), ("lon", "<f8"), *[("ele", "<f4")] * bool(flags & GPB_ELE), *[("time_ms", "<f8")] * bool(flags & GPB_TIME), *((f"c{i}", "<f4") for i in range(channels))])
+
+
+class _Short(ValueError):
+    pass
+
+
+def _gpb_head(raw: bytes) -> tuple[list[str], np.dtype, int, int]:
+    """(channels, record, count, bytes of the head) of a container's first bytes; ValueError where it is none or cut short."""
+    if raw[:4] != GPB_MAGIC:
         raise ValueError("no GPB1 at the start")
     try:
-        version, flags, n = struct.unpack_from("<BBH", content, 4)
-        at = 8 + n
-        name, channels = content[8:at].decode(), []
-        (many,) = struct.unpack_from("<H", content, at)
+        version, flags, n = struct.unpack_from("<BBH", raw, 4)
+        at, channels = 8 + n, []
+        (many,) = struct.unpack_from("<H", raw, at)
         at += 2
         for _ in range(many):
-            size = content[at]
-            channels.append(content[at + 1 : at + 1 + size].decode())
+            size = raw[at]
+            channels.append(raw[at + 1 : at + 1 + size].decode())
             at += 1 + size
-        (points,) = struct.unpack_from("<I", content, at)
+        (points,) = struct.unpack_from("<I", raw, at)
     except (struct.error, IndexError):
-        raise ValueError("cut short in the header") from None
+        raise _Short("cut short in the header") from None
     if version != 1:
         raise ValueError(f"version {version}")
-    fields = [("lat", "<f8"), ("lon", "<f8"), *[("ele", "<f4")] * bool(flags & GPB_ELE), *[("time_ms", "<f8")] * bool(flags & GPB_TIME), *((f"c{i}", "<f4") for i in range(many))]
-    kind = np.dtype(fields)
-    if len(content) < at + 4 + points * kind.itemsize:
+    return channels, _gpb_fields(flags, many), points, at + 4
+
+
+def _gpb_layout(at, size: int) -> Layout:
+    n = 1 << 12
+    while True:
+        try:
+            _, kind, points, first = _gpb_head(at(0, n))
+            break
+        except _Short:
+            if n >= size:
+                raise
+            n *= 8  # names can be long
+    if size < first + points * kind.itemsize:
         raise ValueError("cut short in the points")
-    return name, channels, np.frombuffer(content, kind, points, at + 4)
+    return Layout(first, kind.itemsize, points)
+
+
+LAYOUTS["gpb"] = _gpb_layout
+_GPB_ROWS = "track_id string, seq bigint, lat double, lon double, ele double, time_ms double, ext_num map<string,double>, reason string"
+
+
+def _gpb_points(records: DataFrame) -> tuple[DataFrame, DataFrame]:
+    def unpack(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                track = unquote(re.sub(r"\.[^./]*$", "", row["file"].rsplit("/", 1)[-1]))
+                if row["reason"] is not None:
+                    yield pa.RecordBatch.from_pydict({"track_id": [track], "seq": pa.nulls(1, pa.int64()), **{c: pa.nulls(1, pa.float64()) for c in ("lat", "lon", "ele", "time_ms")}, "ext_num": pa.nulls(1, pa.map_(pa.string(), pa.float64())), "reason": [row["reason"]]})
+                    continue
+                if not row["data"]:
+                    continue
+                channels, kind, _, _ = _gpb_head(row["head"])
+                data = np.frombuffer(row["data"], kind)
+                n = len(data)
+                column = lambda c, data=data, n=n: pa.array(data[c].astype(float)) if c in data.dtype.names else pa.nulls(n, pa.float64())
+                values = np.column_stack([data[f"c{i}"].astype(float) for i in range(len(channels))]).ravel() if channels else np.zeros(0)
+                maps = pa.MapArray.from_arrays(np.arange(0, (n + 1) * len(channels), len(channels) or 1, np.int32)[: n + 1] if channels else np.zeros(n + 1, np.int32), pa.array(channels * n, pa.string()), pa.array(values))
+                yield pa.RecordBatch.from_pydict({"track_id": pa.array([track] * n), "seq": pa.array(np.arange(row["number"], row["number"] + n)), **{c: column(c) for c in ("lat", "lon", "ele", "time_ms")}, "ext_num": maps, "reason": pa.nulls(n, pa.string())})
+
+    rows = records.mapInArrow(unpack, _GPB_ROWS)
+    audit = rows.filter("reason is not null").groupBy("track_id", "reason").agg(F.count("*").alias("n"))
+    return conform(rows.filter("reason is null").drop("reason")), audit
 
 
 def decode_gpb(blobs: DataFrame, at_a_time: int = 100_000) -> tuple[DataFrame, DataFrame]:
     """(points, audit) of (track_id, content) rows; what isn't a container is counted with the reason."""
-    schema = "track_id string, seq bigint, lat double, lon double, ele double, time_ms double, name string, keys array<string>, vals array<double>, reason string"
 
-    def unpack(batches):
+    def cut(batches):
         for batch in batches:
             for track, content in zip(batch["track_id"], batch["content"], strict=True):
+                raw = bytes(content)
+                row = {"file": track, "head": b"", "number": 0, "data": b"", "reason": None}
                 try:
-                    _, channels, rows = _gpb(bytes(content))
+                    plan = _gpb_layout(lambda a, n, raw=raw: raw[a : a + n], len(raw))
                 except ValueError as error:
-                    yield pd.DataFrame({"track_id": [track], "seq": [None], "lat": [None], "lon": [None], "ele": [None], "time_ms": [None], "name": [None], "keys": [None], "vals": [None], "reason": [str(error)]})
+                    yield pd.DataFrame([row | {"reason": str(error)}])
                     continue
-                for a in range(0, len(rows), at_a_time):
-                    some = rows[a : a + at_a_time]
-                    column = lambda c, some=some: some[c].astype(float) if c in some.dtype.names else None
-                    values = np.column_stack([some[f"c{i}"].astype(float) for i in range(len(channels))]) if channels else np.zeros((len(some), 0))
-                    yield pd.DataFrame({"track_id": track, "seq": np.arange(a, a + len(some)), "lat": some["lat"], "lon": some["lon"], "ele": column("ele"), "time_ms": column("time_ms"), "name": None, "keys": [channels] * len(some), "vals": list(values), "reason": None})
+                for k in range(0, plan.count, at_a_time):
+                    yield pd.DataFrame([row | {"head": raw[: plan.first], "number": k, "data": raw[plan.first + k * plan.stride : plan.first + min(plan.count, k + at_a_time) * plan.stride]}])
 
-    rows = blobs.select("track_id", "content").mapInPandas(unpack, schema)
-    audit = rows.filter("reason is not null").groupBy("track_id", "reason").agg(F.count("*").alias("n"))
-    points = rows.filter("reason is null").withColumn("ext_num", F.map_from_arrays("keys", "vals")).drop("keys", "vals", "reason")
-    return conform(points), audit
+    return _gpb_points(blobs.select("track_id", "content").mapInPandas(cut, "file string, head binary, number bigint, data binary, reason string"))
+
+
+def read_gpb(spark: SparkSession, path: str, split: int = 64 << 20) -> tuple[DataFrame, DataFrame]:
+    """(points, audit) of packed containers; each split bytes of a file are a task. track_id is the file's name without its ending."""
+    return _gpb_points(read_records(spark, path, "gpb", split=split, rows=50_000))
 
 
-def read_gpb(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(points, audit) of packed containers."""
-    return decode_gpb(binary_files(spark, path))
+def write_gpb(df: DataFrame, path: str, channels: list[str] | None = None, mode: str = "overwrite") -> None:
+    """A packed container for each track, track_id.gpb, streamed in the order of seq. What a point lacks is written as 0.
+
+    Files are seen when all of them are whole. A track is one file, so one task writes it, a batch at a time.
+    """
+    df = _full(df)
+    names = channel_names(df) if channels is None else channels
+    if any(len(c.encode()) > 255 for c in names):
+        raise ValueError("a channel's name has 255 bytes at most")
+    values = [F.coalesce(F.col("ext_num")[c], F.col("ext_str")[c].try_cast("double")).alias(f"c{i}") for i, c in enumerate(names)]
+    track = F.coalesce("track_id", F.lit("")).alias("track_id")
+    points = df.select(track, F.lit(None).cast("bigint").alias("points"), F.lit(0).alias("flags"), "seq", "lat", "lon", "ele", "time_ms", *values)
+    heads = df.groupBy(track).agg(F.count("*").alias("points"), (F.when(F.bool_or(F.col("time_ms").isNotNull()), GPB_TIME).otherwise(0) + F.when(F.bool_or(F.col("ele").isNotNull()), GPB_ELE).otherwise(0)).alias("flags"))
+    # A head goes before its points; for them all it is the only row of the track with a number of points.
+    rows = points.unionByName(heads, allowMissingColumns=True).withColumn("is_point", F.col("points").isNull())
+    rows = rows.repartition("track_id").sortWithinPartitions("track_id", "is_point", "seq")
+
+    def pack(batches):
+        name, kind = None, None
+        out_schema = pa.schema([("track_id", pa.string()), ("head", pa.binary()), ("points", pa.int64()), ("n", pa.int64()), ("data", pa.binary())])
+        for batch in batches:
+            tracks = batch.column("track_id").to_pylist()
+            heads = np.flatnonzero(batch.column("points").is_valid().to_numpy(zero_copy_only=False))
+            out = []
+            for a, b in zip([0, *(heads + 1).tolist()], [*heads.tolist(), batch.num_rows], strict=True):
+                if a < b:
+                    some = np.zeros(b - a, kind)
+                    for c in kind.names:
+                        value = batch.column(c).slice(a, b - a).to_numpy(zero_copy_only=False).astype(float)
+                        some[c] = value if c in ("lat", "lon") else np.nan_to_num(value)
+                    out.append({"track_id": name, "n": b - a, "data": some.tobytes()})
+                if b < batch.num_rows:
+                    name, flags, many = tracks[b], batch.column("flags")[b].as_py(), batch.column("points")[b].as_py()
+                    kind, title = _gpb_fields(flags, len(names)), name.encode()
+                    head = [GPB_MAGIC, struct.pack("<BBH", 1, flags, len(title)), title, struct.pack("<H", len(names)), *(struct.pack("<B", len(c.encode())) + c.encode() for c in names), struct.pack("<I", many)]
+                    out.append({"track_id": name, "head": b"".join(head), "points": many})
+            yield pa.RecordBatch.from_pylist(out, out_schema)
+
+    write_packed(rows.mapInArrow(pack, "track_id string, head binary, points bigint, n bigint, data binary"), path, "gpb", mode)
 
 
 #: Fixed values of the recording: bytes of its parts, and what marks them.
@@ -131,27 +210,44 @@ def _mission_day(content: Column) -> Column:
     return F.coalesce(F.when(month > 0, first(n(long, form, 3), month) + n(long, form, 1) - 1), first(n(short, day, 3), n(short, day, 1)) + n(short, day, 2) - 1)
 
 
-def p5_frames(spark: SparkSession, path: str, blocks: int = 64) -> DataFrame:
-    """(recording, mission_day, first, bytes): stretches of whole subframes of recordings, so many blocks each; first: number of the first subframe."""
-    files = binary_files(spark, path).filter(is_p5(F.col("content"))).withColumnRenamed("track_id", "recording")
-    many = F.expr(f"(octet_length(content) - {BLOCK0}) div {BLOCK}").cast("int")
-    starts = F.sequence(F.lit(0), many, F.lit(blocks))
-    rows = files.select("recording", _mission_day(F.col("content")).alias("mission_day"), "content", many.alias("many"), F.explode(starts).alias("from"))
-    # Block 0 has a configuration and nine subframes, others ten.
-    size = F.least(F.lit(blocks), F.col("many") + 1 - F.col("from"))
-    begin = F.when(F.col("from") == 0, 0).otherwise(BLOCK0 + (F.col("from") - 1) * BLOCK)
-    end = BLOCK0 + (F.col("from") + size - 1) * BLOCK
-    first = F.when(F.col("from") == 0, 0).otherwise(9 + (F.col("from") - 1) * 10)
-    cut = rows.select("recording", "mission_day", first.cast("bigint").alias("first"), (F.col("from") == 0).alias("head"), F.substring("content", (begin + 1).cast("int"), (end - begin).cast("int")).alias("bytes"))
+def _p5_layout(at, size: int) -> Layout:
+    """Blocks. The first is longer than others: of it the end that is as long as they counts, in which one subframe is none."""
+    head = at(0, HEAD + CONFIG + len(SIGNATURE))
+    if size < BLOCK0 or head[:4] != b"\0\0\1\0" or head[HEAD + CONFIG :] != SIGNATURE or (size - BLOCK0) % BLOCK:
+        raise ValueError("no recording")
+    return Layout(BLOCK0 - BLOCK, BLOCK, 1 + (size - BLOCK0) // BLOCK)
+
+
+LAYOUTS["p5"] = _p5_layout
+#: Bytes of a recording's head that have its date and roster.
+P5_HEAD = ROSTER_AT + ROSTER * SLOTS
+_NAME = r"([^/]+?)(\.[^./]*)?$"
+
+
+def _p5_heads(spark: SparkSession, path: str | DataFrame) -> DataFrame:
+    """(recording, size, head) of each recording."""
+    if not isinstance(path, str):
+        return path.filter(is_p5(F.col("content"))).select(F.col("track_id").alias("recording"), F.octet_length("content").cast("bigint").alias("size"), F.substring("content", 1, P5_HEAD).alias("head"))
+    rows = read_records(spark, path, "p5", head=P5_HEAD, rows=0).filter("reason is null")
+    return rows.select(F.regexp_extract("file", _NAME, 1).alias("recording"), "size", "head")
+
+
+def p5_frames(spark: SparkSession, path: str | DataFrame, blocks: int = 64, split: int = 64 << 20) -> DataFrame:
+    """(recording, mission_day, first, head, bytes): stretches of whole blocks of recordings, so many each; first: number of the first subframe."""
+    if isinstance(path, str):
+        rows = read_records(spark, path, "p5", head=P5_HEAD, split=split, rows=blocks).filter("reason is null")
+        return rows.select(F.regexp_extract("file", _NAME, 1).alias("recording"), _mission_day(F.col("head")).alias("mission_day"), F.greatest(F.lit(0), F.col("number") * 10 - 1).alias("first"), (F.col("number") == 0).alias("head"), F.col("data").alias("bytes"))
+    files = path.select(F.col("track_id").alias("recording"), "content").filter(is_p5(F.col("content")))
+    many = F.expr(f"(octet_length(content) - {BLOCK0}) div {BLOCK}").cast("int") + 1
+    rows = files.select("recording", _mission_day(F.col("content")).alias("mission_day"), "content", many.alias("many"), F.explode(F.sequence(F.lit(0), many - 1, F.lit(blocks))).alias("from"))
+    begin = F.lit(BLOCK0 - BLOCK) + F.col("from") * BLOCK
+    size = F.least(F.lit(blocks), F.col("many") - F.col("from")) * BLOCK
+    cut = rows.select("recording", "mission_day", F.greatest(F.lit(0), F.col("from") * 10 - 1).cast("bigint").alias("first"), (F.col("from") == 0).alias("head"), F.substring("content", (begin + 1).cast("int"), size.cast("int")).alias("bytes"))
     return cut.repartition("recording", "first")
 
 
 def _subframes(head: bool, raw: bytes) -> np.ndarray:
-    parts, at = [], 0
-    while at < len(raw):
-        skip, size = (HEAD + CONFIG, BLOCK0) if head and at == 0 else (HEAD, BLOCK)
-        parts.append(raw[at + skip : at + size])
-        at += size
+    parts = [raw[at + HEAD + SUBFRAME * (head and at == 0) : at + BLOCK] for at in range(0, len(raw), BLOCK)]
     return np.frombuffer(b"".join(parts), _FRAME)  # joined as bytes: numpy would change their order
 
 
@@ -194,7 +290,7 @@ def read_p5(spark: SparkSession, path: str, slots: list[int] | None = None, deci
 
 def p5_roster(spark: SparkSession, path: str) -> DataFrame:
     """(recording, slot, type_code, aircraft_id, unit, callsign) of the roster in a recording's head."""
-    rows = binary_files(spark, path).filter(is_p5(F.col("content"))).select(F.col("track_id").alias("recording"), "content", F.explode(F.sequence(F.lit(0), F.lit(SLOTS - 1))).alias("i"))
+    rows = _p5_heads(spark, path).select("recording", F.col("head").alias("content"), F.explode(F.sequence(F.lit(0), F.lit(SLOTS - 1))).alias("i"))
     at = F.col("i") * ROSTER + ROSTER_AT
     text = lambda a, n: F.trim(F.regexp_extract(F.substring("content", at + a + 1, F.lit(n)).cast("string"), r"^([^\x00]*)", 1))
     byte = lambda a: F.conv(F.hex(F.substring("content", at + a + 1, F.lit(1))), 16, 10).cast("int")
@@ -215,7 +311,7 @@ def p5_georeference(samples: DataFrame, roster: DataFrame | None = None, **geo)
     if set(geo) != set(GEOREFERENCE) or geo["origin"] not in ("first-sample", "range-center") or not (geo["horizontal_m"] > 0 and geo["vertical_m"] > 0 and abs(geo["lat"]) <= 90 and abs(geo["lon"]) <= 180):
         raise ValueError("a georeference has " + ", ".join(GEOREFERENCE) + ", scales above 0 and an anchor on earth")
     first = samples.groupBy("recording").agg(F.min_by(F.struct("x", "y", "z"), F.struct("subframe", "slot")).alias("_o"))
-    rows = samples.join(F.broadcast(first), "recording")  # a row for each recording
+    rows = samples.join(first, "recording")
     zero = geo["origin"] == "range-center"
     off = lambda c, scale: (F.col(c) - (F.lit(0.0) if zero else F.col(f"_o.{c}"))) * scale
     dx, dy, up = off("x", geo["horizontal_m"]), off("y", geo["horizontal_m"]), off("z", geo["vertical_m"])
@@ -229,10 +325,17 @@ def p5_georeference(samples: DataFrame, roster: DataFrame | None = None, **geo)
     )
     if roster is not None:
         names = roster.select("recording", "slot", F.nullif(F.trim(F.concat_ws(" ", "callsign", "aircraft_id")), F.lit("")).alias("_who")).dropDuplicates(["recording", "slot"])
-        out = out.join(F.broadcast(names), ["recording", "slot"], "left").withColumn("source_segment", F.coalesce("_who", "source_segment")).drop("_who")  # 50 rows for each recording
+        out = out.join(names, ["recording", "slot"], "left").withColumn("source_segment", F.coalesce("_who", "source_segment")).drop("_who")
     return conform(out.drop("recording", "slot"))
 
 
+def read_p5_tracks(spark: SparkSession, path: str, slots: list[int] | None = None, decimation: int = 1, **geo) -> tuple[DataFrame, DataFrame]:
+    """(points, audit): recordings as tracks, with the roster's names; files that are none are counted."""
+    points = p5_georeference(read_p5(spark, path, slots, decimation), p5_roster(spark, path), **geo)
+    bad = read_records(spark, path, "p5", rows=0).filter("reason is not null")
+    return points, bad.groupBy(F.regexp_extract("file", _NAME, 1).alias("track_id"), "reason").agg(F.count("*").alias("n"))
+
+
 def p5_slot_coverage(spark: SparkSession, path: str, buckets: int = 240, gaps: int = 200) -> DataFrame:
     """(recording, slot, first_subframe, last_subframe, live, shares, missing) of each slot that is ever live.
 
@@ -240,8 +343,8 @@ def p5_slot_coverage(spark: SparkSession, path: str, buckets: int = 240, gaps: i
     first and the last live one, the first of them.
     """
     live = read_p5(spark, path).select("recording", "slot", "subframe")
-    totals = binary_files(spark, path).filter(is_p5(F.col("content"))).select(F.col("track_id").alias("recording"), (F.expr(f"(octet_length(content) - {BLOCK0}) div {BLOCK}") * 10 + 9).alias("total"))
-    rows = live.join(F.broadcast(totals), "recording")  # a row for each recording
+    totals = _p5_heads(spark, path).select("recording", (F.expr(f"(size - {BLOCK0}) div {BLOCK}") * 10 + 9).alias("total"))
+    rows = live.join(totals, "recording")
     at = F.least(F.lit(buckets - 1), F.expr(f"(subframe * {buckets}) div total").cast("int"))
     w = Window.partitionBy("recording", "slot").orderBy("subframe")
     rows = rows.withColumns({"bucket": at, "_was": F.lag("subframe").over(w)})

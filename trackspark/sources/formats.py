@@ -43,6 +43,6 @@ def write_tracks(df: DataFrame, path: str, fmt: str, **options):
 
 for _name, _read, _write in (
     ("csv", files.read_csv_track, sinks.write_csv), ("gpx", files.read_gpx, sinks.write_gpx), ("geojson", files.read_geojson, sinks.write_geojson), ("kml", files.read_kml, sinks.write_kml),
-    ("nmea", files.read_nmea, None), ("eag", files.read_eag, sinks.write_eag), ("gpb", binary.read_gpb, None),
+    ("nmea", files.read_nmea, None), ("eag", files.read_eag, sinks.write_eag), ("gpb", binary.read_gpb, binary.write_gpb), ("p5", binary.read_p5_tracks, None),
 ):
     register_format(_name, ENDINGS[_name], _read, _write)
