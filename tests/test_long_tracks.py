@@ -65,3 +65,18 @@ def test_one_track_is_dealt_to_many_tasks(spark, monkeypatch, name):
         spark.conf.set("spark.sql.shuffle.partitions", was)
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert len(dealt) >= 8
+
+
+def test_simplify_by_rounds_equals_the_whole(spark):
+    rng, rows = random.Random(2), []
+    for t, n in (("a", 300), ("b", 90), ("c", 2), ("d", 40), (None, 120), ("nan", 60), ("same", 50)):
+        x = y = 0.0
+        for i in range(n):
+            x, y = (0.0, 0.0) if t == "same" else (x + rng.gauss(0, 1e-4), y + rng.gauss(0, 1e-4))
+            rows.append((t, 3 * i, None if t == "nan" and i == 20 else 34 + y, -118 + x, 1.0))
+    df = spark.createDataFrame(rows, "track_id string, seq bigint, lat double, lon double, ele double").repartition(4)
+    for epsilon in (0.0, 5.0, 30.0, 1e9):
+        want = rows_of(ordered.simplify(df, epsilon))
+        for local in (1, 7, 100):
+            assert rows_of(ordered.simplify(df, epsilon, local)) == want
+    assert ordered.simplify(df.limit(0), 5.0).count() == 0 and len(want) == 7 * 2

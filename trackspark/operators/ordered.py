@@ -11,6 +11,7 @@ from ..demo_tracks import by_seq, earlier, whole_track
 from ..functions.geo import haversine, is_valid
 from ..plans.chunks import Chunks
 from ..plans.scan import sorted_scan
+from .simplify import simplify  # noqa: F401
 
 
 def sort_by_time(df: DataFrame) -> DataFrame:
@@ -105,39 +106,6 @@ def ema(df: DataFrame, alpha: float) -> DataFrame:
     return sorted_scan(df, step)
 
 
-def simplify(df: DataFrame, epsilon_m: float, most: int = 20_000_000) -> DataFrame:
-    """Douglas-Peucker in local metres. Ends stay; fewer than 3 points stay. Each whole track is held in one task: the job of a track of more points than most fails."""
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("seq", kind="stable")
-        n = len(rows)
-        if n > most:
-            raise ValueError(f"track {rows['track_id'].iloc[0]} has {n} points, more than {most}")
-        if n < 3:
-            return rows
-        r = 6371008.8
-        lat, lon = np.radians(rows["lat"].to_numpy(float)), np.radians(rows["lon"].to_numpy(float))
-        x, y = lon * r * np.cos(lat.mean()), lat * r
-        keep = np.zeros(n, bool)
-        keep[[0, n - 1]] = True
-        stack = [(0, n - 1)]
-        while stack:
-            a, b = stack.pop()
-            if b - a < 2:
-                continue
-            px, py, dx, dy = x[a + 1 : b] - x[a], y[a + 1 : b] - y[a], x[b] - x[a], y[b] - y[a]
-            size = dx * dx + dy * dy
-            u = np.clip((px * dx + py * dy) / size, 0, 1) if size else np.zeros(b - a - 1)
-            d = np.hypot(px - u * dx, py - u * dy)
-            i = int(d.argmax())
-            if d[i] > max(0.0, epsilon_m):
-                keep[a + 1 + i] = True
-                stack += [(a, a + 1 + i), (a + 1 + i, b)]
-        return rows[keep]
-
-    return df.groupBy("track_id").applyInPandas(run, df.schema)
-
-
 def dejitter(df: DataFrame, policy: str = "nudge", epsilon_ms: float = 1.0) -> DataFrame:
     """Strictly rising times over the timed rows.
 

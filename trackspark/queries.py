@@ -203,7 +203,23 @@ _add(
     "ele",
     recursive=True,
 )
-_add("simplify", lambda df: _base(W.simplify(df, 50.0)))
+#: Stretches and what parts them, level by level.
+_SIMPLE = """
+  WITH RECURSIVE plane AS (SELECT track_id, seq, radians(lon) * 6371008.8 * cos(avg(radians(lat)) OVER (PARTITION BY track_id)) AS x, radians(lat) * 6371008.8 AS y FROM points),
+  seg AS (
+    SELECT track_id, min(seq) AS a, max(seq) AS b FROM plane GROUP BY track_id
+    UNION ALL
+    SELECT track_id, unnest([a, m]) AS a, unnest([m, b]) AS b FROM (
+      SELECT track_id, a, b, -f.s AS m FROM (
+        SELECT track_id, a, b, max(struct_pack(d := sqrt((px - u * dx) ** 2 + (py - u * dy) ** 2), s := -seq)) AS f FROM (
+          SELECT *, coalesce(least(1, greatest(0, (px * dx + py * dy) / nullif(dx * dx + dy * dy, 0))), 0) AS u FROM (
+            SELECT s.track_id, s.a, s.b, p.seq, p.x - pa.x AS px, p.y - pa.y AS py, pb.x - pa.x AS dx, pb.y - pa.y AS dy
+            FROM seg s JOIN plane pa ON pa.track_id = s.track_id AND pa.seq = s.a JOIN plane pb ON pb.track_id = s.track_id AND pb.seq = s.b JOIN plane p ON p.track_id = s.track_id AND p.seq > s.a AND p.seq < s.b))
+        GROUP BY track_id, a, b) WHERE f.d > 50)
+  )
+  SELECT p.track_id, p.seq, p.lat, p.lon, p.ele, p.time_ms FROM points p JOIN (SELECT DISTINCT track_id, unnest([a, b]) AS seq FROM seg) USING (track_id, seq)"""
+_add("simplify", lambda df: _base(W.simplify(df, 50.0)), _SIMPLE, BASE_D)
+_add("simplify_by_rounds", lambda df: _base(W.simplify(df, 50.0, 40)), _SIMPLE, BASE_D)
 _add("dejitter_nudge", lambda df: W.dejitter(df.withColumn("time_ms", F.floor(F.col("time_ms") / 4000) * 4000.0)).select("track_id", "seq", "time_ms", "flags"), """SELECT track_id, seq, CASE WHEN time_ms IS NOT NULL THEN max(time_ms - i) OVER w + i END AS time_ms, CASE WHEN max(time_ms - i) OVER w + i > time_ms THEN 'time_dejittered' ELSE '' END AS flags FROM (SELECT track_id, seq, floor(time_ms / 4000) * 4000 AS time_ms, row_number() OVER (PARTITION BY track_id, time_ms IS NULL ORDER BY seq) - 1 AS i FROM points) WINDOW w AS (PARTITION BY track_id, time_ms IS NULL ORDER BY seq)""", "time_ms")
 _add("dejitter_drop", lambda df: W.dejitter(df.withColumn("time_ms", F.floor(F.col("time_ms") / 4000) * 4000.0), "drop").select("track_id", "seq", "time_ms"), """SELECT track_id, seq, time_ms FROM (SELECT *, max(time_ms) OVER (PARTITION BY track_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM (SELECT track_id, seq, floor(time_ms / 4000) * 4000 AS time_ms FROM points)) WHERE time_ms IS NULL OR top IS NULL OR time_ms > top""", "time_ms")
 _add("dejitter_average", lambda df: W.dejitter(df.withColumn("time_ms", F.floor(F.col("time_ms") / 4000) * 4000.0), "average").select("track_id", "seq", "time_ms", "lat", "ele"), """
