@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from trackspark.operators import aggregate, kinematics, ordered
+from trackspark.operators import aggregate, align, kinematics, ordered
 from trackspark.plans import chunks
 from trackspark.sources.inventory import synthetic_tracks
 
@@ -80,3 +80,23 @@ def test_simplify_by_rounds_equals_the_whole(spark):
         for local in (1, 7, 100):
             assert rows_of(ordered.simplify(df, epsilon, local)) == want
     assert ordered.simplify(df.limit(0), 5.0).count() == 0 and len(want) == 7 * 2
+
+
+def test_cut_pairs_equal_whole_ones(spark):
+    rng, sides = random.Random(3), []
+    for _ in range(2):
+        rows = []
+        for t, n in (("p", 300), ("q", 20), ("one", 1), (None, 60), ("still", 30)):
+            time = 0.0
+            for i in range(n):
+                time += 0.0 if t == "still" else rng.choice([0, 500, 1000, 1000, 90_000])
+                rows.append((t, i, None if rng.random() < 0.05 else time, 34 + rng.random(), -118.0, rng.random()))
+        sides.append(spark.createDataFrame(rows, "track_id string, seq bigint, time_ms double, lat double, lon double, ele double").repartition(4))
+    ref, tgt = sides
+    times = ref.select("track_id", (F.col("time_ms") + 250).alias("at_ms"))
+    for run in (lambda c: align.align_nearest(ref, tgt, 3000, 250.0, c), lambda c: align.align_interpolated(ref, tgt, 100_000, -250.0, c), lambda c: align.position_at_time(tgt, times, 100_000, c)):
+        want = rows_of(run(None))
+        assert len(want) > 100
+        for chunk in (1, 5, 64):
+            assert rows_of(run(chunk)) == want
+    assert align.align_nearest(ref.limit(0), tgt.limit(0), 3000).count() == 0

@@ -22,19 +22,40 @@ _NOWHERE = -(1 << 62)
 class Chunks:
     """Rows cut by an order, or whole tracks where the order spans no more than a chunk, which one aggregate over it tells.
 
-    Where rows are fewer than others that were looked at already, cut says so instead.
-
-    rows has the chunk's number where tracks are cut; drop() takes it away. Windows and carry serve both cases alike.
+    Where rows are fewer than others that were looked at already, cut says so instead. rows has the chunk's number where
+    tracks are cut; drop() takes it away. Windows and carry serve both cases alike.
     """
 
-    def __init__(self, df: DataFrame, order: str = "seq", size: int | None = None, cut: bool | None = None):
+    def __init__(self, df: DataFrame, order: str = "seq", size: int | None = None, cut: bool | None = None, key: str = "track_id"):
         size = size or CHUNK
-        self.order, self.cut = order, (df.agg(F.max(order) - F.min(order)).first()[0] or 0) >= size if cut is None else cut
+        self.by, self.cut = [order], (df.agg(F.max(order) - F.min(order)).first()[0] or 0) >= size if cut is None else cut
         self.rows = df.withColumn(_NUMBER, F.coalesce(F.floor(F.col(order) / F.lit(size)).cast("bigint"), F.lit(_NOWHERE))) if self.cut else df
-        self.key = ["track_id", *[_NUMBER] * self.cut]
+        self.of, self.key = key, [key, *[_NUMBER] * self.cut]
+
+    @classmethod
+    def of_times(cls, df: DataFrame, time: str, *ties: str, size: int | None = None, key: str = "track_id") -> Chunks:
+        """Rows with times cut into equal spans of each key's, of about size rows; rows of one time stay together, ordered by ties."""
+        size = size or CHUNK
+        spans = df.groupBy(F.col(key).alias("_of")).agg(F.count("*").alias("_n"), F.min(time).alias("_t0"), F.max(time).alias("_t1"))
+        out = cls(df, time, size, (spans.agg(F.max("_n")).first()[0] or 0) > size, key)
+        out.by = [time, *ties]
+        if out.cut:
+            folder = work_folder(df.sparkSession)
+            spans.select("_of", "_t0", ((F.col("_t1") - F.col("_t0")) / F.ceil(F.col("_n") / size)).alias("_width")).write.parquet(folder)
+            held = df.sparkSession.read.parquet(folder)
+            number = F.coalesce(F.floor((F.col(time) - F.col("_t0")) / F.nullif("_width", F.lit(0.0))).cast("bigint"), F.lit(0))
+            out.rows = df.join(held, F.col(key).eqNullSafe(F.col("_of"))).withColumn(_NUMBER, number).drop("_of", "_t0", "_width")
+        return out
+
+    def _place(self) -> Column:
+        return F.col(self.by[0]) if len(self.by) == 1 else F.struct(*self.by)
 
     def window(self):
-        return Window.partitionBy(*self.key).orderBy(self.order)
+        return Window.partitionBy(*self.key).orderBy(*self.by)
+
+    def backward(self):
+        """The other way round: a frame that ends ahead would be read anew for each row."""
+        return Window.partitionBy(*self.key).orderBy(*(F.desc(c) for c in self.by))
 
     def earlier(self):
         return self.window().rowsBetween(Window.unboundedPreceding, -1)
@@ -45,33 +66,41 @@ class Chunks:
     def latest(self, value: Column | str) -> Column:
         """Aggregate of a chunk: its last value that isn't null."""
         value = F.col(value) if isinstance(value, str) else value
-        return F.max_by(value, F.when(value.isNotNull(), F.col(self.order)))
+        return F.max_by(value, F.when(value.isNotNull(), self._place()))
+
+    def earliest(self, value: Column | str) -> Column:
+        """Aggregate of a chunk: its first value that isn't null."""
+        value = F.col(value) if isinstance(value, str) else value
+        return F.min_by(value, F.when(value.isNotNull(), self._place()))
 
     def first(self, value: Column) -> Column:
-        return F.min_by(value, self.order)
+        return F.min_by(value, self._place())
 
     def last(self, value: Column) -> Column:
-        return F.max_by(value, self.order)
+        return F.max_by(value, self._place())
 
     def carry(self, rows: DataFrame, **parts: tuple[Column, str]) -> DataFrame:
         """rows with a column for each part: (aggregate of a chunk, how chunks combine); null where there is nothing to carry.
 
-        How: 'previous' or 'next', that of the chunk beside; 'sum', 'max' or 'last' (not null), over all chunks before.
+        How: 'previous' or 'next', that of the chunk beside; 'sum', 'max' or 'last' (not null), over all chunks before;
+        'first', the first that isn't null of those behind.
         The chunks' rows are a table in the shared folder, so that plans stay as long as the number of carries.
         """
         if not self.cut:
             return rows.withColumns({name: F.lit(None) for name in parts})
-        totals = rows.groupBy(F.col("track_id").alias("_of"), F.col(_NUMBER).alias("_at")).agg(*(what.alias(name) for name, (what, _) in parts.items()))
+        totals = rows.groupBy(F.col(self.of).alias("_of"), F.col(_NUMBER).alias("_at")).agg(*(what.alias(name) for name, (what, _) in parts.items()))
         order = Window.partitionBy("_of").orderBy("_at")
         earlier = order.rowsBetween(Window.unboundedPreceding, -1)
+        later = Window.partitionBy("_of").orderBy(F.desc("_at")).rowsBetween(Window.unboundedPreceding, -1)
         combine = {
             "previous": lambda c: F.lag(c).over(order), "next": lambda c: F.lead(c).over(order), "sum": lambda c: F.sum(c).over(earlier),
             "max": lambda c: F.max(c).over(earlier), "last": lambda c: F.last(c, ignorenulls=True).over(earlier),
+            "first": lambda c: F.last(c, ignorenulls=True).over(later),
         }
         folder = work_folder(rows.sparkSession)
         totals.select("_of", "_at", *(combine[how](name).alias(name) for name, (_, how) in parts.items())).write.parquet(folder)
         held = rows.sparkSession.read.parquet(folder)
-        return rows.join(held, F.col("track_id").eqNullSafe(F.col("_of")) & (F.col(_NUMBER) == F.col("_at")), "left").drop("_of", "_at")
+        return rows.join(held, F.col(self.of).eqNullSafe(F.col("_of")) & (F.col(_NUMBER) == F.col("_at")), "left").drop("_of", "_at")
 
     def drop(self, rows: DataFrame) -> DataFrame:
         return rows.drop(_NUMBER)

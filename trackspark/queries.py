@@ -338,15 +338,16 @@ _ALIGN = "pair, ref_seq, tgt_seq, ref_time, tgt_time, delta_ms"
 
 
 def _aligned(name: str, run, sql: str, doubles: str = "", digits: int = 6) -> None:
-    for one in (name, f"{name}_all"):
-        _add(one, run, f"WITH {_SIDES} {sql}", doubles, digits)
+    """A query over whole pairs, and one over pairs cut into spans of about 50 rows."""
+    for one, chunk in ((name, None), (f"{name}_all", 50)):
+        _add(one, lambda df, chunk=chunk: run(df, chunk), f"WITH {_SIDES} {sql}", doubles, digits)
 
 
-_aligned("align_nearest", lambda df: J.align_nearest(*_pair(df), 3000), f"SELECT {_ALIGN} FROM ({_NEAR})", "ref_time tgt_time delta_ms")
+_aligned("align_nearest", lambda df, chunk: J.align_nearest(*_pair(df), 3000, chunk=chunk), f"SELECT {_ALIGN} FROM ({_NEAR})", "ref_time tgt_time delta_ms")
 _BRACKET = """SELECT pair, seq AS ref_seq, time_ms AS ref_time, a, b, CASE WHEN b.t = a.t THEN 0 ELSE (time_ms - a.t) / (b.t - a.t) END AS fraction FROM (SELECT r.*,
   coalesce((SELECT arg_max({'seq': seq, 't': time_ms}, (time_ms, seq)) FROM t WHERE t.pair = r.pair AND t.time_ms < r.time_ms), (SELECT arg_min({'seq': seq, 't': time_ms}, (time_ms, seq)) FROM t WHERE t.pair = r.pair AND t.time_ms = r.time_ms)) AS a,
   (SELECT arg_min({'seq': seq, 't': time_ms}, (time_ms, seq)) FROM t WHERE t.pair = r.pair AND t.time_ms >= r.time_ms) AS b FROM r) WHERE a IS NOT NULL AND b IS NOT NULL AND b.t - a.t <= 15000"""
-_aligned("align_interpolated", lambda df: J.align_interpolated(*_pair(df), 15000).select("pair", "ref_seq", "ref_time", "tgt_seq", "tgt_after_seq", "fraction"), f"SELECT pair, ref_seq, ref_time, a.seq AS tgt_seq, b.seq AS tgt_after_seq, fraction FROM ({_BRACKET})", "ref_time fraction")
+_aligned("align_interpolated", lambda df, chunk: J.align_interpolated(*_pair(df), 15000, chunk=chunk).select("pair", "ref_seq", "ref_time", "tgt_seq", "tgt_after_seq", "fraction"), f"SELECT pair, ref_seq, ref_time, a.seq AS tgt_seq, b.seq AS tgt_after_seq, fraction FROM ({_BRACKET})", "ref_time fraction")
 _N = "(6378137.0::DOUBLE / sqrt(1 - e2 * pow(sin(radians({0})), 2)))"
 _E2 = "(1 / 298.257223563::DOUBLE) * (2 - 1 / 298.257223563::DOUBLE)"
 
@@ -360,18 +361,18 @@ _T, _O = _ecef("tlat", "tlon", "coalesce(tele, 0)"), _ecef("lat", "lon", "coales
 _REL = f"""SELECT *, fmod(degrees(atan2(east_m, north_m)) + 360, 360) AS bearing_deg, sqrt(pow(horizontal_m, 2) + pow(up_m, 2)) AS slant_m FROM (SELECT *, sqrt(pow(east_m, 2) + pow(north_m, 2)) AS horizontal_m FROM (
   SELECT *, -sin(radians(lon)) * dx + cos(radians(lon)) * dy AS east_m, -sin(radians(lat)) * cos(radians(lon)) * dx - sin(radians(lat)) * sin(radians(lon)) * dy + cos(radians(lat)) * dz AS north_m, cos(radians(lat)) * cos(radians(lon)) * dx + cos(radians(lat)) * sin(radians(lon)) * dy + sin(radians(lat)) * dz AS up_m, tele - ele AS altitude_separation_m
   FROM (SELECT *, {_T[0]} - {_O[0]} AS dx, {_T[1]} - {_O[1]} AS dy, {_T[2]} - {_O[2]} AS dz FROM ({_NEAR}))))"""
-_rel = lambda df: J.relative_position(J.align_nearest(*_pair(df), 3000))
-_aligned("relative_position", lambda df: _rel(df).select("pair", "ref_seq", "east_m", "north_m", "up_m", "horizontal_m", "slant_m", "bearing_deg", "altitude_separation_m", "closure_mps"), f"SELECT pair, ref_seq, east_m, north_m, up_m, horizontal_m, slant_m, bearing_deg, altitude_separation_m, CASE WHEN ref_time > lag(ref_time) OVER w THEN (lag(slant_m) OVER w - slant_m) / ((ref_time - lag(ref_time) OVER w) / 1000) END AS closure_mps FROM ({_REL}) WINDOW w AS (PARTITION BY pair ORDER BY ref_seq)", "east_m north_m up_m horizontal_m slant_m bearing_deg altitude_separation_m closure_mps", 4)
-_aligned("clock_drift", lambda df: J.clock_drift(J.align_nearest(*_pair(df), 3000)), f"SELECT pair, count(*) AS n, regr_intercept(y, x) AS offset_ms, regr_slope(y, x) AS drift_ms_per_s FROM (SELECT pair, (ref_time - arg_min(ref_time, ref_seq) OVER (PARTITION BY pair)) / 1000 AS x, tgt_time - ref_time AS y FROM ({_NEAR})) GROUP BY pair", "offset_ms drift_ms_per_s", 4)
-_aligned("closest_approach", lambda df: J.closest_approach(_rel(df)).select("pair", "ref_seq", "tgt_seq", "slant_m"), f"SELECT pair, ref_seq, tgt_seq, slant_m FROM ({_REL}) QUALIFY row_number() OVER (PARTITION BY pair ORDER BY slant_m, ref_seq) = 1", "slant_m", 4)
-_aligned("comparison_range_stats", lambda df: X.comparison_range_stats(_rel(df)), f"SELECT pair, count(*) AS n, min(slant_m) AS min_slant, max(slant_m) AS max_slant, avg(slant_m) AS mean_slant, avg(horizontal_m) AS mean_horizontal, avg(closure) AS mean_closure FROM (SELECT *, CASE WHEN ref_time > lag(ref_time) OVER w THEN (lag(slant_m) OVER w - slant_m) / ((ref_time - lag(ref_time) OVER w) / 1000) END AS closure FROM ({_REL}) WINDOW w AS (PARTITION BY pair ORDER BY ref_seq)) GROUP BY pair", "min_slant max_slant mean_slant mean_horizontal mean_closure", 3)
+_rel = lambda df, chunk=None: J.relative_position(J.align_nearest(*_pair(df), 3000, chunk=chunk))
+_aligned("relative_position", lambda df, chunk: _rel(df, chunk).select("pair", "ref_seq", "east_m", "north_m", "up_m", "horizontal_m", "slant_m", "bearing_deg", "altitude_separation_m", "closure_mps"), f"SELECT pair, ref_seq, east_m, north_m, up_m, horizontal_m, slant_m, bearing_deg, altitude_separation_m, CASE WHEN ref_time > lag(ref_time) OVER w THEN (lag(slant_m) OVER w - slant_m) / ((ref_time - lag(ref_time) OVER w) / 1000) END AS closure_mps FROM ({_REL}) WINDOW w AS (PARTITION BY pair ORDER BY ref_seq)", "east_m north_m up_m horizontal_m slant_m bearing_deg altitude_separation_m closure_mps", 4)
+_aligned("clock_drift", lambda df, chunk: J.clock_drift(J.align_nearest(*_pair(df), 3000, chunk=chunk)), f"SELECT pair, count(*) AS n, regr_intercept(y, x) AS offset_ms, regr_slope(y, x) AS drift_ms_per_s FROM (SELECT pair, (ref_time - arg_min(ref_time, ref_seq) OVER (PARTITION BY pair)) / 1000 AS x, tgt_time - ref_time AS y FROM ({_NEAR})) GROUP BY pair", "offset_ms drift_ms_per_s", 4)
+_aligned("closest_approach", lambda df, chunk: J.closest_approach(_rel(df, chunk)).select("pair", "ref_seq", "tgt_seq", "slant_m"), f"SELECT pair, ref_seq, tgt_seq, slant_m FROM ({_REL}) QUALIFY row_number() OVER (PARTITION BY pair ORDER BY slant_m, ref_seq) = 1", "slant_m", 4)
+_aligned("comparison_range_stats", lambda df, chunk: X.comparison_range_stats(_rel(df, chunk)), f"SELECT pair, count(*) AS n, min(slant_m) AS min_slant, max(slant_m) AS max_slant, avg(slant_m) AS mean_slant, avg(horizontal_m) AS mean_horizontal, avg(closure) AS mean_closure FROM (SELECT *, CASE WHEN ref_time > lag(ref_time) OVER w THEN (lag(slant_m) OVER w - slant_m) / ((ref_time - lag(ref_time) OVER w) / 1000) END AS closure FROM ({_REL}) WINDOW w AS (PARTITION BY pair ORDER BY ref_seq)) GROUP BY pair", "min_slant max_slant mean_slant mean_horizontal mean_closure", 3)
 _add("track_diff", lambda df: J.track_diff(df, P.shift_time(P.delete_points(df, df.filter("seq % 10 = 0")), 1)), "SELECT track_id, count(*) AS n_before, count(*) FILTER (WHERE seq % 10 <> 0) AS n_after, count(*) FILTER (WHERE seq % 10 <> 0 AND time_ms IS NOT NULL) AS n_modified, max(CASE WHEN seq % 10 <> 0 AND time_ms IS NOT NULL THEN 1000.0::DOUBLE END) AS max_time_shift_ms FROM points GROUP BY track_id", "max_time_shift_ms")
 _renumbered = lambda df: df.withColumn("seq", F.row_number().over(Window.partitionBy("track_id").orderBy("seq")) - 1)
 _add("track_diff_ordered", lambda df: J.track_diff_ordered(df, _renumbered(P.delete_points(df, df.filter("seq % 10 = 0")))))
-for _name in ("position_at_time", "position_at_time_all"):
+for _name, _chunk in (("position_at_time", None), ("position_at_time_all", 50)):
     _add(
         _name,
-        lambda df: J.position_at_time(P.drop_invalid(df), df.filter("time_ms is not null").select("track_id", (F.col("time_ms") + 100).alias("at_ms")), 20000.0),
+        lambda df, chunk=_chunk: J.position_at_time(P.drop_invalid(df), df.filter("time_ms is not null").select("track_id", (F.col("time_ms") + 100).alias("at_ms")), 20000.0, chunk),
         f"""SELECT track_id, at_ms, CASE WHEN b.t = at_ms THEN b.lat ELSE a.lat + (b.lat - a.lat) * ((at_ms - a.t) / (b.t - a.t)) END AS lat, CASE WHEN b.t = at_ms THEN b.lon ELSE a.lon + (b.lon - a.lon) * ((at_ms - a.t) / (b.t - a.t)) END AS lon, CASE WHEN b.t = at_ms THEN b.ele ELSE a.ele + (b.ele - a.ele) * ((at_ms - a.t) / (b.t - a.t)) END AS ele, b.t <> at_ms AS derived FROM (
           SELECT q.track_id, q.at_ms, (SELECT arg_max({{'t': p.time_ms, 'lat': p.lat, 'lon': p.lon, 'ele': p.ele}}, (p.time_ms, p.seq)) FROM points p WHERE p.track_id = q.track_id AND {sql_valid("p.lat", "p.lon")} AND p.time_ms < q.at_ms) AS a, (SELECT arg_min({{'t': p.time_ms, 'lat': p.lat, 'lon': p.lon, 'ele': p.ele}}, (p.time_ms, p.seq)) FROM points p WHERE p.track_id = q.track_id AND {sql_valid("p.lat", "p.lon")} AND p.time_ms >= q.at_ms) AS b
           FROM (SELECT track_id, time_ms + 100 AS at_ms FROM points WHERE time_ms IS NOT NULL) q) WHERE b IS NOT NULL AND (b.t = at_ms OR (a IS NOT NULL AND b.t - a.t <= 20000))""",
