@@ -207,15 +207,15 @@ _add("source_inventory", _inventory, """SELECT declared, sniffed, false AS over_
 _TEXTS = lambda df: df.select(F.col("lat").cast("decimal(20,6)").cast("string").alias("GPS Latitude"), F.col("lon").cast("decimal(20,6)").cast("string").alias("lng"), F.col("ele").cast("decimal(20,3)").cast("string").alias("alt_ft"), F.date_format(F.timestamp_millis(F.col("time_ms").cast("bigint")), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("utc"), F.col("track_id").alias("label"), (F.col("seq") % 2).cast("string").alias("flag"))
 _add(
     "csv_column_profile",
-    lambda df: inventory.csv_column_profile(_TEXTS(df)).select("column", "non_empty", "numeric", "datetime", "boolean", "type", F.col("candidates")[0]["field"].alias("best"), F.col("candidates")[0]["score"].alias("score")),
-    f"""SELECT "column", non_empty, numeric, datetime, boolean, type, best, score FROM (SELECT count(*) AS n, count(ele) AS e, count(time_ms) AS t, avg({sql_valid()}::INT) AS ok FROM points), LATERAL (VALUES
-      ('GPS Latitude', 1.0, 1.0, 0.0, 0.0, 'latitude', 'latitude', least(1.0, 0.455 + 0.8 * ok)), ('lng', 1.0, 1.0, 0.0, 0.0, 'longitude', 'longitude', 1.0), ('alt_ft', e / n, 1.0, 0.0, 0.0, 'elevation', 'elevation', least(1.0, 0.455 + 0.6)),
-      ('utc', t / n, 0.0, 1.0, 0.0, 'datetime', 'timestamp', 1.0), ('label', 1.0, 0.0, 0.0, 0.0, 'text', 'name', 1.0), ('flag', 1.0, 1.0, 0.0, 1.0, 'latitude', 'latitude', 0.8)) v("column", non_empty, numeric, datetime, boolean, type, best, score)""",
+    lambda df: inventory.csv_column_profile(_TEXTS(df)).select("column", "non_empty", "numeric", "datetime", "boolean", "type", F.col("candidates")[0]["field"].alias("best"), F.col("candidates")[0]["score"].alias("score"), F.concat_ws(",", "patterns").alias("marks")),
+    f"""SELECT "column", non_empty, numeric, datetime, boolean, type, best, score, marks FROM (SELECT count(*) AS n, count(ele) AS e, count(time_ms) AS t, avg({sql_valid()}::INT) AS ok FROM points), LATERAL (VALUES
+      ('GPS Latitude', 1.0, 1.0, 0.0, 0.0, 'latitude', 'latitude', least(1.0, 0.455 + 0.8 * ok), 'header:latitude,value:decimal'), ('lng', 1.0, 1.0, 0.0, 0.0, 'longitude', 'longitude', 1.0, 'header:longitude,value:decimal'), ('alt_ft', e / n, 1.0, 0.0, 0.0, 'elevation', 'elevation', least(1.0, 0.455 + 0.6), 'header:elevation,value:decimal'),
+      ('utc', t / n, 0.0, 1.0, 0.0, 'datetime', 'timestamp', 1.0, 'header:timestamp,value:date'), ('label', 1.0, 0.0, 0.0, 0.0, 'text', 'name', 1.0, 'header:name'), ('flag', 1.0, 1.0, 0.0, 1.0, 'latitude', 'latitude', 0.8, 'value:integer,value:flag')) v("column", non_empty, numeric, datetime, boolean, type, best, score, marks)""",
     "non_empty numeric datetime boolean score",
     4,
 )
 _add("suggest_mapping", lambda df: inventory.suggest_mapping(inventory.csv_column_profile(_TEXTS(df))).filter("field <> 'description'").select("field", "column", "feet"), """SELECT * FROM (VALUES ('latitude', 'GPS Latitude', false), ('longitude', 'lng', false), ('elevation', 'alt_ft', true), ('timestamp', 'utc', false), ('name', 'label', false)) v(field, "column", feet)""")
-# "swap_hint", lambda df: inventory.swap_hint(_TEXTS(df), "lng", "GPS Latitude"), f"SELECT 0::BIGINT AS valid, count(*) FILTER (WHERE {sql_valid()}) AS swapped, false AS suggest FROM points"
+_add("swap_hint", lambda df: inventory.swap_hint(_TEXTS(df.withColumn("lon", F.when(F.col("seq") % 3 > 0, F.col("lon")).otherwise(F.col("lon") + 60))), "lng", "GPS Latitude"), f"SELECT count(*) FILTER (WHERE lat BETWEEN -180 AND 180 AND lon BETWEEN -90 AND 90) AS valid, count(*) FILTER (WHERE {sql_valid()}) AS swapped, true AS suggest FROM (SELECT lat, CASE WHEN seq % 3 > 0 THEN lon ELSE lon + 60 END AS lon FROM points)")
 _add("make_dataset", lambda df: inventory.make_dataset(df, "eag")[0].select("track_id", "source_format", "crs", "altitude_ref", "time_ref", "points"), "SELECT track_id, 'eag' AS source_format, 'EPSG:4326' AS crs, 'HAE' AS altitude_ref, 'UTC' AS time_ref, count(*) AS points FROM points GROUP BY track_id")
 _mapped = lambda df: conform(demote(df, "hdop", "sat"))
 _add("collect_channels", lambda df: collect_channels(_mapped(df)), "SELECT track_id, c AS channel, 'number' AS data_type, CASE c WHEN 'hdop' THEN 'DOP' ELSE 'sats' END AS unit, NULL::VARCHAR AS semantic_type, 'linear' AS interpolation FROM (SELECT DISTINCT track_id FROM points), (VALUES ('hdop'), ('sat')) v(c)")

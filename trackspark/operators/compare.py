@@ -75,7 +75,7 @@ def _matched(a: str, b: str, name: str) -> tuple[Column, Column]:
     x, y = F.coalesce(a, F.lit("UNKNOWN")), F.coalesce(b, F.lit("UNKNOWN"))
     unknown = (x == "UNKNOWN") | (y == "UNKNOWN")
     level = F.when(unknown, 1).when(x != y, 2).otherwise(0)
-    return level, F.when(unknown, f"One or both datasets have an unknown {name} reference.").when(x != y, F.concat(F.lit(f"{name.capitalize()} references differ ("), x, F.lit(" vs "), y, F.lit(").")))
+    return level, F.when(unknown, f"{name} reference unknown").when(x != y, F.concat(F.lit(f"{name} reference: "), x, F.lit(" against "), y))
 
 
 LEVELS = ("compatible", "warning", "blocked")
@@ -103,13 +103,13 @@ def fusion_compatibility(sources: DataFrame, datasets: DataFrame, points: DataFr
     (la, ra), (lt, rt) = _matched("_f_altitude_ref", "altitude_ref", "altitude"), _matched("_f_time_ref", "time_ref", "time")
     other = F.col("track_id") != F.col("_f_track_id")
     level = F.when(other, F.greatest(la, lt)).otherwise(0)
-    told = lambda l, r: F.when(other & (l == 2), F.concat(F.col("_f_track_id"), F.lit(" and "), F.col("track_id"), F.lit(": "), r)).when(other, r)
-    nowhere = F.when(F.coalesce("_placed", F.lit(0)) == 0, F.concat("track_id", F.lit(" has no valid latitude/longitude coverage to compare spatially.")))
+    told = lambda l, r: F.when(other & (l == 2), F.concat(F.col("track_id"), F.lit(" to "), F.col("_f_track_id"), F.lit(", "), r)).when(other, r)
+    nowhere = F.when(F.coalesce("_placed", F.lit(0)) == 0, F.concat("track_id", F.lit(": no point has a place")))
     g = rows.groupBy("entity").agg(F.count("*").alias("n"), F.count("crs").alias("declared"), F.countDistinct("crs").alias("systems"), F.max(level).alias("level"), F.array_sort(F.collect_set(nowhere)).alias("nowhere"), F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.array_compact(F.array(told(la, ra), told(lt, rt))))))).alias("told"))
     gates = [
-        (F.col("n") < 2, "Select at least two datasets with explicitly comparable spatial metadata."),
-        (F.col("declared") < F.col("n"), "Every selected dataset must declare a coordinate system; fusion will not invent a common frame."),
-        ((F.col("declared") == F.col("n")) & (F.col("systems") > 1), "Coordinate systems differ. Reproject the sources explicitly before fusion."),
+        (F.col("n") < 2, "fewer than two sources"),
+        (F.col("declared") < F.col("n"), "a source without a coordinate system"),
+        ((F.col("declared") == F.col("n")) & (F.col("systems") > 1), "more than one coordinate system"),
     ]
     blocked = (F.size("nowhere") > 0) | (F.col("level") == 2)
     for when, _ in gates:
