@@ -2,10 +2,11 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from trackspark.operators import aggregate, align, kinematics, ordered
+from trackspark.operators import aggregate, align, fusion, kinematics, ordered
 from trackspark.plans import chunks
 from trackspark.sources.inventory import synthetic_tracks
 
@@ -100,3 +101,59 @@ def test_cut_pairs_equal_whole_ones(spark):
         for chunk in (1, 5, 64):
             assert rows_of(run(chunk)) == want
     assert align.align_nearest(ref.limit(0), tgt.limit(0), 3000).count() == 0
+
+
+def test_fusion_groups_of_islands_equal_the_greedy_scan(spark):
+    rng, rows = random.Random(4), []
+    for entity, n in (("E", 400), ("F", 90), ("G", 1), (None, 30), ("H", 50)):
+        time = 1.7e12
+        for i in range(n):
+            time += rng.choice([0.0, 100.0, 400.0, 0.1, 1500.0, 1500.000001, 9000.0]) if entity != "H" else 700.0
+            rows.append((entity, rng.choice("ab"), i, time))
+    df = spark.createDataFrame(rows, "entity string, source string, seq bigint, time_ms double").repartition(4)
+    for tolerance in (0.0, 1500.0, 1e9):
+        want, last = [], {}
+        for e, s, i, t in sorted(rows, key=lambda r: (str(r[0]), r[3], r[1], r[2])):
+            anchor, group = last.get(e, (None, -1))
+            if anchor is None or t - anchor > tolerance:
+                anchor, group = t, group + 1
+            last[e] = anchor, group
+            want.append((e, s, i, t, group))
+        for chunk in (None, 1, 7, 64):
+            assert rows_of(fusion.group_by_time(df, tolerance, chunk)) == sorted(want, key=str)
+    assert fusion.group_by_time(df.limit(0), 1.0).count() == 0
+
+
+def plain_walk(before, after):
+    """Counts of a walk point by point: the definition."""
+    i = j = same = 0
+    while i < len(before) and j < len(after):
+        if before[i] == after[j]:
+            i, j, same = i + 1, j + 1, same + 1
+            continue
+        a = next((k for k in range(1, 65) if j + k < len(after) and after[j + k] == before[i]), 999)
+        b = next((k for k in range(1, 65) if i + k < len(before) and before[i + k] == after[j]), 999)
+        step = (0, a) if a <= b and a < 999 else (b, 0) if b < 999 else (1, 1)
+        i, j = i + step[0], j + step[1]
+    return same
+
+
+def test_runs_of_equal_points_equal_a_walk_point_by_point():
+    rng = random.Random(5)
+    for _ in range(300):
+        before = [rng.randrange(rng.choice([3, 40, 1000])) for _ in range(rng.randint(0, 300))]
+        after = list(before)
+        for _ in range(rng.randint(0, 6)):
+            k = rng.randint(0, len(after))
+            after = after[:k] + [rng.randrange(50) for _ in range(rng.choice([0, 1, 5, 63, 64, 65, 70]))] + after[k + rng.choice([0, 1, 5, 63, 64, 65, 70]) :]
+        assert sum(n for _, _, n in align._matched_runs(np.array(before, np.int64), np.array(after, np.int64))) == plain_walk(before, after)
+
+
+def test_diff_of_one_sided_tracks_nulls_and_channels(spark):
+    schema = "track_id string, seq bigint, lat double, lon double, ele double, time_ms double, ext_num map<string,double>"
+    before = spark.createDataFrame([("a", i, float(i), -0.0, None, None, {"x": 1.0, "y": 2.0}) for i in range(6)] + [("only", 0, 1.0, 1.0, 1.0, 1.0, {})], schema)
+    after = spark.createDataFrame([("a", i, float(i), 0.0, None, None, {"y": 2.0, "x": 1.0 + (i == 4)}) for i in range(5)] + [("new", 0, 1.0, None, 1.0, 1.0, None)], schema)
+    got = {r["track_id"] or "": r for r in align.track_diff_ordered(before, after).collect()}
+    assert (got["a"]["alignment"], got["a"]["unchanged"], got["a"]["removed"], got["a"]["elevation"], got["a"]["channels"]) == ("subsequence", 5, 1, False, True)
+    assert align.track_diff_ordered(before, before).filter("channels or modified > 0").count() == 0
+    assert sorted((r["n_before"], r["n_after"], r["alignment"]) for r in got.values()) == [(0, 1, "rebuilt"), (1, 0, "rebuilt"), (6, 5, "subsequence")]

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from datetime import UTC, datetime, timedelta
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import is_valid
+from ..plans.chunks import Chunks
 from ..plans.scan import sorted_scan
 
 
@@ -17,29 +19,54 @@ def fusion_candidates(df: DataFrame, sources: DataFrame) -> DataFrame:
     return rows.join(sources, "track_id").select("entity", F.col("track_id").alias("source"), "priority", "seq", "time_ms", "lat", "lon", "ele", "hdop", "sat")
 
 
-def group_by_time(candidates: DataFrame, tolerance_ms: float) -> DataFrame:
+_BY_TIME = ["time_ms", "source", "seq"]
+
+
+def _grouped(times: np.ndarray, anchor: float | None, group: int, tolerance_ms: float) -> tuple[np.ndarray, float | None, int]:
+    """Group of each of rising times, from the anchor and number of the group that goes on; and those of the last one. Work is by groups."""
+    out, i = np.empty(len(times), np.int64), 0
+    while i < len(times):
+        if anchor is None or times[i] - anchor > tolerance_ms:
+            anchor, group = float(times[i]), group + 1
+        end = i + int(np.searchsorted(times[i:], anchor + tolerance_ms, "right"))
+        while end < len(times) and times[end] - anchor <= tolerance_ms:  # the sum above can be rounded to either side
+            end += 1
+        while end > i + 1 and times[end - 1] - anchor > tolerance_ms:
+            end -= 1
+        end = max(end, i + 1)
+        out[i:end], i = group, end
+    return out, anchor, group
+
+
+def group_by_time(candidates: DataFrame, tolerance_ms: float, chunk: int | None = None) -> DataFrame:
     """Adds group_id from 0 in time order: a candidate joins the group whose first member is within the tolerance.
 
-    Where the gap to the candidate before exceeds the tolerance a group begins in any case, so the greedy scan
+    An entity of more than chunk candidates is cut into islands, between which the time from one candidate to the next
+    exceeds the tolerance: a group begins there in any case. So islands are dealt to many tasks, and the greedy scan
     carries the anchor of one group only.
     """
     if not tolerance_ms >= 0:
         raise ValueError("tolerance_ms must not be negative")
-    by_time = Window.partitionBy("entity").orderBy("time_ms", "source", "seq")
-    rows = candidates.withColumn("_o", F.row_number().over(by_time)).withColumn("_start", F.lit(False))
 
     def step(rows, carry):
-        time, start = rows["time_ms"].to_numpy(), []
-        for t in time:
-            new = carry is None or t - carry > tolerance_ms
-            start.append(new)
-            if new:
-                carry = t
-        return rows.assign(_start=start), carry
-
-    rows = sorted_scan(rows, step, key="entity", order="_o")
-    upto = Window.partitionBy("entity").orderBy("_o").rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("group_id", (F.sum(F.col("_start").cast("int")).over(upto) - 1).cast("bigint")).drop("_start", "_o")
+        ids, anchor, group = _grouped(rows["time_ms"].to_numpy(float), *(carry or (None, -1)), tolerance_ms)
+        return rows.assign(group_id=ids), (anchor, group)
+
+    cut = Chunks.of_times(candidates, *_BY_TIME, size=chunk, key="entity")
+    rows = cut.rows.withColumn("group_id", F.lit(0).cast("bigint"))
+    if not cut.cut:
+        return sorted_scan(rows, step, "entity", _BY_TIME)
+    rows = cut.carry(rows, _end=(cut.last(F.col("time_ms")), "previous"))
+    gap = F.col("time_ms") - F.coalesce(F.lag("time_ms").over(cut.window()), "_end")
+    rows = cut.carry(rows.withColumn("_new", F.coalesce(gap > tolerance_ms, F.lit(True)).cast("int")).drop("_end"), _all=(F.sum("_new"), "sum"))
+    rows = rows.withColumn("_island", F.coalesce("_all", F.lit(0)) + F.sum("_new").over(cut.so_far())).drop("_all", "_new")
+    rows = sorted_scan(rows, step, ["entity", "_island"], _BY_TIME)
+    # Groups of all islands are numbered by their first members.
+    own = Window.partitionBy("entity", "_island").orderBy(*_BY_TIME)
+    rows = rows.withColumn("_first", (F.col("group_id") != F.lag("group_id", 1, -1).over(own)).cast("int"))
+    rows = cut.carry(rows, _all=(F.sum("_first"), "sum"))
+    number = F.coalesce("_all", F.lit(0)) + F.sum("_first").over(cut.so_far()) - 1
+    return cut.drop(rows.withColumn("group_id", number.cast("bigint")).drop("_first", "_all", "_island"))
 
 
 def _plain(c: Column) -> Column:

@@ -8,19 +8,21 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 
-def sorted_scan(df: DataFrame, step: Callable[[pd.DataFrame, object], tuple[pd.DataFrame, object]], key: str = "track_id", order: str = "seq") -> DataFrame:
+def sorted_scan(df: DataFrame, step: Callable[[pd.DataFrame, object], tuple[pd.DataFrame, object]], key: str | list[str] = "track_id", order: str | list[str] = "seq") -> DataFrame:
     """step(rows, carry) -> (rows, carry) over each key's rows in order; carry is None where a key begins.
 
     One shuffle by key; a partition is streamed, so memory doesn't grow with a key's rows.
     """
 
+    keys, orders = ([x] if isinstance(x, str) else list(x) for x in (key, order))
+
     def run(batches):
         last, carry = object(), None
         for batch in batches:
-            for name, rows in batch.groupby(key, sort=False, dropna=False):
+            for name, rows in batch.groupby(keys, sort=False, dropna=False):
                 if name != last:
                     last, carry = name, None
                 out, carry = step(rows, carry)
                 yield out
 
-    return df.repartition(key).sortWithinPartitions(key, order).mapInPandas(run, df.schema)
+    return df.repartition(*keys).sortWithinPartitions(*keys, *orders).mapInPandas(run, df.schema)

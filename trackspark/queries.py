@@ -20,6 +20,7 @@ from .operators import outliers as O
 from .operators import resample as R
 from .operators import series as S
 from .plans.recipes import Record, replay
+from .schema import demote
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -368,7 +369,9 @@ _aligned("closest_approach", lambda df, chunk: J.closest_approach(_rel(df, chunk
 _aligned("comparison_range_stats", lambda df, chunk: X.comparison_range_stats(_rel(df, chunk)), f"SELECT pair, count(*) AS n, min(slant_m) AS min_slant, max(slant_m) AS max_slant, avg(slant_m) AS mean_slant, avg(horizontal_m) AS mean_horizontal, avg(closure) AS mean_closure FROM (SELECT *, CASE WHEN ref_time > lag(ref_time) OVER w THEN (lag(slant_m) OVER w - slant_m) / ((ref_time - lag(ref_time) OVER w) / 1000) END AS closure FROM ({_REL}) WINDOW w AS (PARTITION BY pair ORDER BY ref_seq)) GROUP BY pair", "min_slant max_slant mean_slant mean_horizontal mean_closure", 3)
 _add("track_diff", lambda df: J.track_diff(df, P.shift_time(P.delete_points(df, df.filter("seq % 10 = 0")), 1)), "SELECT track_id, count(*) AS n_before, count(*) FILTER (WHERE seq % 10 <> 0) AS n_after, count(*) FILTER (WHERE seq % 10 <> 0 AND time_ms IS NOT NULL) AS n_modified, max(CASE WHEN seq % 10 <> 0 AND time_ms IS NOT NULL THEN 1000.0::DOUBLE END) AS max_time_shift_ms FROM points GROUP BY track_id", "max_time_shift_ms")
 _renumbered = lambda df: df.withColumn("seq", F.row_number().over(Window.partitionBy("track_id").orderBy("seq")) - 1)
-_add("track_diff_ordered", lambda df: J.track_diff_ordered(df, _renumbered(P.delete_points(df, df.filter("seq % 10 = 0")))))
+_add("track_diff_ordered", lambda df: J.track_diff_ordered(df, _renumbered(P.delete_points(df, df.filter("seq % 10 = 0")))), f"SELECT track_id, 'subsequence' AS alignment, count(*) AS n_before, count(*) FILTER (WHERE seq % 10 > 0) AS n_after, count(*) FILTER (WHERE seq % 10 > 0) AS unchanged, 0::BIGINT AS modified, 0::BIGINT AS added, count(*) FILTER (WHERE seq % 10 = 0) AS removed, true AS position, true AS elevation, true AS time, false AS channels, 0.0::DOUBLE AS max_position_shift_m, 0.0::DOUBLE AS max_elevation_shift_m, 0.0::DOUBLE AS max_time_shift_ms FROM points GROUP BY track_id")
+_edited = lambda df: df.withColumns({"ele": F.when(F.col("seq") % 7 == 0, F.col("ele") + 1).otherwise(F.col("ele")), "hdop": F.when(F.col("track_id") == "T3", F.col("hdop") + 1).otherwise(F.col("hdop"))})
+_add("track_diff_indexed", lambda df: J.track_diff_ordered(demote(df, "hdop"), demote(_edited(df), "hdop")), f"SELECT track_id, 'index' AS alignment, count(*) AS n_before, count(*) AS n_after, count(*) - count(*) FILTER (WHERE seq % 7 = 0 AND ele IS NOT NULL) AS unchanged, count(*) FILTER (WHERE seq % 7 = 0 AND ele IS NOT NULL) AS modified, 0::BIGINT AS added, 0::BIGINT AS removed, false AS position, true AS elevation, false AS time, track_id = 'T3' AS channels, 0.0::DOUBLE AS max_position_shift_m, 1.0::DOUBLE AS max_elevation_shift_m, 0.0::DOUBLE AS max_time_shift_ms FROM points GROUP BY track_id", "max_elevation_shift_m")
 for _name, _chunk in (("position_at_time", None), ("position_at_time_all", 50)):
     _add(
         _name,
@@ -408,7 +411,7 @@ def _all_sources(df: DataFrame) -> DataFrame:
     return df.select("track_id").distinct().select("track_id", F.concat(F.lit("E"), F.floor(number / 3).cast("string")).alias("entity"), (number % 3 + 1).alias("priority"))
 
 
-_groups = lambda df: U.group_by_time(U.fusion_candidates(df, _all_sources(df)), 1500)
+_groups = lambda df, chunk=None: U.group_by_time(U.fusion_candidates(df, _all_sources(df)), 1500, chunk)
 _CAND = f"SELECT 'E' || (n // 3) AS entity, track_id AS source, (n % 3 + 1)::INT AS priority, seq, time_ms, hdop, sat, lat FROM (SELECT *, substr(track_id, 2)::INT AS n FROM points WHERE time_ms IS NOT NULL AND {sql_valid()})"
 for _name in ("fusion_candidates", "fusion_candidates_all"):
     _add(_name, lambda df: U.fusion_candidates(df, _all_sources(df)).select("entity", "source", "priority", "seq", "time_ms"), f"SELECT entity, source, priority, seq, time_ms FROM ({_CAND})", "time_ms")
@@ -428,6 +431,7 @@ def _fused(name: str, run, sql: str, doubles: str, digits: int = 6) -> None:
 
 _decided = lambda df: U.auto_combine(_groups(df))
 _fused("fusion_groups", lambda df: _groups(df).groupBy("entity", "group_id").agg(F.count("*").alias("n"), F.min("time_ms").alias("anchor"), F.avg("time_ms").alias("mean_ms")), "SELECT entity, group_id, count(*) AS n, min(time_ms) AS anchor, avg(time_ms) AS mean_ms FROM s GROUP BY entity, group_id", "anchor mean_ms")
+_fused("fusion_groups_in_islands", lambda df: _groups(df, 100).groupBy("entity", "group_id").agg(F.count("*").alias("n"), F.min("time_ms").alias("anchor"), F.avg("time_ms").alias("mean_ms")), "SELECT entity, group_id, count(*) AS n, min(time_ms) AS anchor, avg(time_ms) AS mean_ms FROM s GROUP BY entity, group_id", "anchor mean_ms")
 _fused("fusion_decisions", lambda df: _decided(df).select("entity", "group_id", "group_time_ms", "chosen", "seq", "time_ms", "n", "confidence", F.size("skipped").alias("n_skipped")), "SELECT entity, group_id, group_time_ms, chosen, seq, time_ms, n, confidence, (n - 1)::INT AS n_skipped FROM f", "group_time_ms time_ms confidence", 4)
 _fused("fusion_report", lambda df: U.fusion_report(_decided(df), _all_sources(df)), """SELECT entity, source, coalesce(chosen, 0) AS chosen, total - coalesce(chosen, 0) AS skipped, groups, mean_confidence FROM (SELECT entity, source, count(*) AS total FROM c GROUP BY entity, source)
   LEFT JOIN (SELECT entity, chosen AS source, count(*) AS chosen FROM f GROUP BY entity, chosen) USING (entity, source) JOIN (SELECT entity, count(*) AS groups, avg(confidence) AS mean_confidence FROM f GROUP BY entity) USING (entity)""", "mean_confidence", 4)
