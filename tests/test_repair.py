@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from trackspark.functions.cubic import MonotoneCubic
 from trackspark.operators import kinematics, ordered, outliers, resample
+from trackspark.schema import POINTS, conform, number_map
 
 from .test_semantics import SCHEMA, ordered_rows, plain_cubic, track
 
@@ -175,3 +176,33 @@ def test_kinematics_only_for_tracks_without(spark):
     recorded = kinematics.point_speeds(track(spark, [(0, 0, 0, 0), (0, 1, 0, 1000)]).withColumn("speed_mps", F.when(F.col("seq") == 1, 5.0)))
     assert ordered_rows(recorded, "speed_mps") == [(None,), (5.0,)]
     assert SCHEMA
+
+
+def test_maps_are_fitted_where_all_knots_have_a_channel(spark):
+    rows, df = gapped(spark)
+    angle = (350 + 3 * F.col("seq")) % 360
+    own = {"heading_deg": angle.cast("double"), "rate": (F.col("seq") ** 2).cast("double"), "rare": F.when(F.col("seq") < 11, 1.0)}
+    df = conform(df.drop("hdop", "sat").withColumn("ext_num", number_map(own)).withColumn("ext_str", F.create_map(F.lit("note"), F.col("seq").cast("string"))))
+    made = [r for r in outliers.fill_gaps(df, 5000, 4000, context=3).orderBy("seq").collect() if "interpolated" in r["flags"]]
+    knots = [rows[i] + (i,) for i in (7, 8, 9, 10, 11, 12)]
+    for r in made:
+        want = {"rate": plain_cubic([k[3] for k in knots], [k[4] ** 2 for k in knots], r["time_ms"]), "heading_deg": plain_cubic([k[3] for k in knots], [350 + 3 * k[4] for k in knots], r["time_ms"]) % 360}
+        assert set(r["ext_num"]) == set(want) and all(math.isclose(r["ext_num"][c], v) for c, v in want.items())
+    assert len(made) == 5 and all(r["ext_str"] == {} for r in made)
+    spiked = df.filter("seq < 10").withColumns({"lat": F.when(F.col("seq") == 5, F.col("lat") + 0.01).otherwise(F.col("lat")), "ext_num": F.when(F.col("seq") == 5, F.map_concat(F.map_filter("ext_num", lambda k, _: k != "rate"), F.create_map(F.lit("rate"), F.lit(1e9), F.lit("own"), F.lit(7.0)))).otherwise(F.col("ext_num"))})
+    fixed = outliers.drop_outliers(spiked, "unconstrained", window=2).filter("seq = 5").first()
+    assert fixed["flags"] == ["interpolated"] and fixed["ext_num"]["rate"] == 26 and fixed["ext_num"]["own"] == 7.0 and fixed["ext_str"] == {"note": "5"}
+
+
+def test_distance_resampling_keeps_the_points_schema(spark):
+    df = track(spark, [(0, i / 100, i, i * 1000.0) for i in range(5)]).drop("hdop", "sat")
+    own = {"heading_deg": ((350 + 5 * F.col("seq")) % 360).cast("double"), "rate": (2 * F.col("seq")).cast("double"), "rare": F.when(F.col("seq") != 2, F.col("seq") * 1.0)}
+    df = conform(df.withColumns({"ext_num": number_map(own), "ext_str": F.create_map(F.lit("n"), F.col("seq").cast("string")), "name": F.concat(F.lit("p"), F.col("seq").cast("string"))}))
+    got = resample.resample_by_distance(df, 300.0).orderBy("seq").collect()
+    leg = 2 * math.pi * 6371008.8 * 0.01 / 360
+    assert [r["seq"] for r in got] == list(range(len(got))) and set(POINTS) <= set(got[0].asDict()) and len(got) == int(4 * leg // 300) + 2
+    for r in got:
+        at = r["distance_m"] / leg
+        near = min(range(5), key=lambda i: (abs(at - i), i))
+        assert math.isclose(r["ext_num"]["rate"], 2 * at, abs_tol=1e-9) and abs((r["ext_num"]["heading_deg"] - 350 - 5 * at + 180) % 360 - 180) < 1e-6
+        assert r["ext_str"] == {"n": str(near)} and r["name"] == f"p{near}" and r["ext_num"].get("rare") == (None if near == 2 else float(near))

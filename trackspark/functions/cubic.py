@@ -2,9 +2,21 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 
 
+def limited(slope: float, ahead: float, secant: float) -> tuple[float, float]:
+    """Slopes at both ends of a piece of that secant that keep it monotone: against it none, and within a circle of radius 3."""
+    if secant == 0:
+        return 0.0, 0.0
+    a, b = max(0.0, slope / secant), max(0.0, ahead / secant)
+    size = math.hypot(a, b)
+    scale = secant * (3 / size if size > 3 else 1)
+    return a * scale, b * scale
+
+
 class MonotoneCubic:
     """Through rising x: secants averaged at inner knots, 0 where they disagree in sign, limited in order so that no piece overshoots."""
 
@@ -17,16 +29,7 @@ class MonotoneCubic:
         self.m = np.concatenate([s[:1], inner, s[-1:]])
         if len(s) > 1:
             for k, secant in enumerate(s):
-                self.m[k : k + 2] = self._limit(self.m[k : k + 2], secant)
-
-    @staticmethod
-    def _limit(ends: np.ndarray, secant: float) -> np.ndarray:
-        """Slopes at both ends of a piece that keep it monotone."""
-        if secant == 0:
-            return np.zeros(2)
-        ratio = np.maximum(ends / secant, 0)
-        size = np.hypot(*ratio)
-        return ratio * secant * (3 / size if size > 3 else 1)
+                self.m[k : k + 2] = limited(*self.m[k : k + 2], secant)
 
     def __call__(self, at) -> np.ndarray:
         """Values at any points; beyond the ends, the ends' values."""

@@ -236,7 +236,41 @@ _add("profile_violations", lambda df: O.profile_violations(_rising(df), "ground"
 _add("fill_gaps", lambda df: O.fill_gaps(_rising(df), 20000.0, 5000.0, profile="unconstrained").filter(F.array_contains("flags", "interpolated")).select("track_id", "time_ms", "lat", "lon", "ele", "hdop"), f"""
   SELECT track_id, t AS time_ms, plat + (lat - plat) * f AS lat, plon + (lon - plon) * f AS lon, pele + (ele - pele) * f AS ele, phdop + (hdop - phdop) * f AS hdop FROM (SELECT *, (t - pt) / (time_ms - pt) AS f FROM (SELECT *, pt + k * 5000 AS t FROM (SELECT *, unnest(range(1, ceil((time_ms - pt) / 5000)::BIGINT)) AS k FROM (
     SELECT *, lag(lat) OVER w AS plat, lag(lon) OVER w AS plon, lag(ele) OVER w AS pele, lag(hdop) OVER w AS phdop, lag(time_ms) OVER w AS pt FROM ({_RISING}) {W_SQL}) WHERE time_ms - pt > 20000)))""", "time_ms lat lon ele hdop", 5)
-_add("gap_fills", lambda df: O.gap_fills(_rising(df), 15000.0, 5000.0, profile="aircraft").select("track_id", "start_seq", "end_seq", "reason", F.size("points").alias("n")))
+def _limited(slope: str, ahead: str, secant: str) -> str:
+    """Both slopes of a leg as a list."""
+    a, b = f"greatest(0, {slope} / {secant})", f"greatest(0, {ahead} / {secant})"
+    scale = f"least(1, coalesce(3 / nullif(sqrt({a} ** 2 + {b} ** 2), 0), 1)) * {secant}"
+    return f"CASE WHEN {secant} = 0 THEN [0.0::DOUBLE, 0.0::DOUBLE] ELSE [{a} * {scale}, {b} * {scale}] END"
+
+
+def _fit(column: str) -> list[str]:
+    """Levels of SQL that fit a column: knots y0 to y3 at x0 to x3, of which the first or the last can be missing, at time t."""
+    y = lambda i: f"{column}{i}"
+    secant = lambda i: f"({y(i + 1)} - {y(i)}) / (x{i + 1} - x{i})"
+    mean = lambda p, q: f"CASE WHEN {p} * {q} > 0 THEN ({p} + {q}) / 2 ELSE 0 END"
+    c = column
+    u = f"((t - x1) / (x2 - x1))"
+    return [
+        f"SELECT *, {secant(0)} AS {c}s0, {secant(1)} AS {c}s1, {secant(2)} AS {c}s2 FROM ({{}})",
+        f"SELECT *, coalesce({mean(f'{c}s0', f'{c}s1')}, 0) AS {c}m1, coalesce({mean(f'{c}s1', f'{c}s2')}, 0) AS {c}m2 FROM ({{}})",
+        f"SELECT * REPLACE (CASE WHEN x0 IS NULL THEN {c}s1 ELSE {c}m1 END AS {c}m1, CASE WHEN x3 IS NULL THEN {c}s1 ELSE {c}m2 END AS {c}m2) FROM ({{}})",
+        f"SELECT *, CASE WHEN x0 IS NULL THEN {c}m1 ELSE ({_limited(f'{c}s0', f'{c}m1', f'{c}s0')})[2] END AS {c}l FROM ({{}})",
+        f"SELECT *, CASE WHEN x0 IS NULL AND x3 IS NULL THEN [{c}s1, {c}s1] ELSE {_limited(f'{c}l', f'{c}m2', f'{c}s1')} END AS {c}n FROM ({{}})",
+        f"SELECT * REPLACE (CASE WHEN x3 IS NULL THEN {c}n ELSE [{c}n[1], ({_limited(f'{c}n[2]', f'{c}s2', f'{c}s2')})[1]] END AS {c}n) FROM ({{}})",
+        f"SELECT *, {y(1)} + {u} * {u} * (3 - 2 * {u}) * ({y(2)} - {y(1)}) + (x2 - x1) * {u} * (1 - {u}) * ((1 - {u}) * {c}n[1] - {u} * {c}n[2]) AS {c}_at FROM ({{}})",
+    ]
+
+
+_KNOTS = f"""SELECT *, unnest(range(1, ceil((x2 - x1) / 5000)::BIGINT)) AS k FROM (
+  SELECT track_id, seq, lag(seq) OVER w AS start_seq, {', '.join(f'lag({c}, {n}) OVER w AS {d}{1 - n + 1}' for c, d in (('time_ms', 'x'), ('lat', 'lat'), ('lon', 'lon'), ('ele', 'ele'), ('rate', 'rate')) for n in (2, 1))}, {', '.join(f'{c} AS {d}2, lead({c}) OVER w AS {d}3' for c, d in (('time_ms', 'x'), ('lat', 'lat'), ('lon', 'lon'), ('ele', 'ele'), ('rate', 'rate')))}
+  FROM (SELECT *, hdop * 2 AS rate FROM ({_RISING})) {W_SQL}) WHERE x2 - x1 > 15000"""
+_FITS = f"SELECT *, x1 + k * 5000 AS t FROM ({_KNOTS})"
+for _column in ("lat", "lon", "ele", "rate"):
+    for _level in _fit(_column):
+        _FITS = _level.format(_FITS)
+_with_rate = lambda df: demote(_rising(df).withColumn("rate", F.col("hdop") * 2).drop("hdop", "sat"), "rate")
+_add("gap_fills", lambda df: O.gap_fills(_with_rate(df), 15000.0, 5000.0, context=2, profile=O.Profile(*[float("inf")] * 4)).select("track_id", "start_seq", "end_seq", F.explode("points").alias("p")).select("track_id", "start_seq", "end_seq", "p.time_ms", "p.lat", "p.lon", "p.ele", F.col("p.ext_num")["rate"].alias("rate")), f"SELECT track_id, start_seq, seq AS end_seq, t AS time_ms, lat_at AS lat, lon_at AS lon, CASE WHEN (ele0 IS NOT NULL OR x0 IS NULL) AND ele1 IS NOT NULL AND ele2 IS NOT NULL AND (ele3 IS NOT NULL OR x3 IS NULL) THEN ele_at END AS ele, rate_at AS rate FROM ({_FITS})", "time_ms lat lon ele rate", 5)
+_add("gap_fill_reasons", lambda df: O.gap_fills(_rising(df), 15000.0, 5000.0, profile="aircraft").select("track_id", "start_seq", "end_seq", "reason", F.size("points").alias("n")))
 _add("drop_outliers_reconstruct", lambda df: _base(O.drop_outliers(_rising(df), "unconstrained")))
 _add("notional_gaps", lambda df: R.notional_gaps(df, 20000.0).select("track_id", "start_seq", "end_seq", "duration_ms", "inserted", "sample_ms"), f"SELECT track_id, seq - 1 AS start_seq, seq AS end_seq, time_ms - pt AS duration_ms, (floor((time_ms - pt) / med) - 1)::BIGINT AS inserted, med AS sample_ms FROM (SELECT *, coalesce(quantile_cont(CASE WHEN time_ms - pt > 0 AND time_ms - pt <= 20000 THEN time_ms - pt END, 0.5) OVER (PARTITION BY track_id), 20000) AS med FROM ({_PREV})) WHERE time_ms - pt > 20000 AND floor((time_ms - pt) / med) > 1", "duration_ms sample_ms", 3)
 _add("dejitter_epsilon", lambda df: W.dejitter(df.withColumn("time_ms", F.floor(F.col("time_ms") / 4000) * 4000.0), epsilon_ms=5.0).select("track_id", "seq", "time_ms", "flags"), """WITH RECURSIVE p AS (SELECT *, row_number() OVER (PARTITION BY track_id ORDER BY seq) AS i, floor(time_ms / 4000) * 4000 AS t FROM points WHERE time_ms IS NOT NULL),

@@ -40,6 +40,11 @@ PROFILES = {
 }
 
 
+def _limits(profile: str | Profile) -> Profile:
+    """A profile by name, or one's own."""
+    return profile if isinstance(profile, Profile) else PROFILES[profile]
+
+
 def _median(values: Column) -> Column:
     s, n = F.array_sort(values), F.size(values)
     return F.when(n > 0, (F.get(s, F.floor((n - 1) / 2).cast("int")) + F.get(s, F.floor(n / 2).cast("int"))) / 2)
@@ -113,13 +118,13 @@ def detect_outliers(df: DataFrame, window: int = 5, threshold: float = 3.0, posi
     return rows.withColumn("score", best).select("track_id", "seq", name.alias("channel"), "score", (F.col("score") > threshold).alias("outlier"))
 
 
-def profile_violations(df: DataFrame, profile: str = "aircraft") -> DataFrame:
+def profile_violations(df: DataFrame, profile: str | Profile = "aircraft") -> DataFrame:
     """(track_id, seq, limit, value, bound): the first step of each track, in order, that breaks a limit of the profile.
 
     Of one step speed counts first, then vertical speed, acceleration and turn rate. Steps without time that passes
     are left out; a step of no length forgets the direction.
     """
-    limits = PROFILES[profile]
+    limits = _limits(profile)
     was = {f"_{c}": F.lag(c).over(by_seq()) for c in ("lat", "lon", "ele", "time_ms")}
     rows = df.select("track_id", "seq", "lat", "lon", "ele", "time_ms").withColumns(was)
     rows = rows.withColumn("_dt", (F.col("time_ms") - F.col("_time_ms")) / 1000).filter("_dt > 0")
@@ -159,8 +164,17 @@ def breaks_profile(time: np.ndarray, lat: np.ndarray, lon: np.ndarray, ele: np.n
     return ("ground speed", "vertical speed", "acceleration", "turn rate")[int(tests[:, tests.any(axis=0).argmax()].argmax())]
 
 
+def _fitted(x: np.ndarray, y: np.ndarray, times: np.ndarray, angle: bool) -> np.ndarray:
+    if angle:
+        y = y[0] + np.concatenate([[0], np.cumsum((np.diff(y) + 540) % 360 - 180)])
+    return MonotoneCubic(x, y)(times)
+
+
 def refit(knots: list, times: np.ndarray, channels: list[str], limits: Profile, left, right):
-    """(values of lat, lon, ele and channels at times, or None; the limit broken). knots: rows with time_ms and values in order."""
+    """(values of lat, lon, ele and channels at times, and of ext_num if knots have it; or None), and the limit broken. knots: rows with time_ms and values in order.
+
+    Of a map's channels those are fitted that every knot has; angles the short way round.
+    """
     if not limits.spline:
         knots = [left, right]
     x = np.array([k["time_ms"] for k in knots])
@@ -170,14 +184,18 @@ def refit(knots: list, times: np.ndarray, channels: list[str], limits: Profile,
         if np.isnan(y).any():
             out[c] = np.full(len(times), np.nan)  # no knot may lack it
             continue
-        turns = c == "lon" or is_angular(c)
-        if turns:
-            y = y[0] + np.concatenate([[0], np.cumsum((np.diff(y) + 540) % 360 - 180)])
-        y = MonotoneCubic(x, y)(times)
-        out[c] = (y + 540) % 360 - 180 if c == "lon" else y % 360 if turns else y
+        y = _fitted(x, y, times, c == "lon" or is_angular(c))
+        out[c] = (y + 540) % 360 - 180 if c == "lon" else y % 360 if is_angular(c) else y
     edge = lambda c: np.r_[np.nan if left[c] is None else left[c], out[c], np.nan if right[c] is None else right[c]].astype(float)
     why = breaks_profile(np.r_[left["time_ms"], times, right["time_ms"]], edge("lat"), edge("lon"), edge("ele"), limits)
-    return (None if why else out), why
+    if why:
+        return None, why
+    if "ext_num" in knots[0]:
+        maps = [{c: v for c, v in dict(k["ext_num"] or {}).items() if v is not None and not np.isnan(v)} for k in knots]
+        shared = [c for c in maps[0] if all(c in m for m in maps)]
+        fits = {c: _fitted(x, np.array([m[c] for m in maps], float), times, is_angular(c)) for c in shared}
+        out["ext_num"] = [{c: float(y[i] % 360 if is_angular(c) else y[i]) for c, y in fits.items()} for i in range(len(times))]
+    return out, why
 
 
 def _with_knots(df: DataFrame, values: list[str], count: int) -> DataFrame:
@@ -197,10 +215,23 @@ def _with_knots(df: DataFrame, values: list[str], count: int) -> DataFrame:
 def _values(df: DataFrame, channels: list[str] | None) -> list[str]:
     kinds = dict(df.dtypes)
     found = [c for c in (channels or ("hdop", "sat")) if kinds.get(c) == "double"]
-    return ["time_ms", "lat", "lon", "ele", *found]
+    return ["time_ms", "lat", "lon", "ele", *found, *["ext_num"] * ("ext_num" in kinds)]
+
 
+def _numbers(values: list[str]) -> list[str]:
+    """Of values those that are columns of numbers."""
+    return [c for c in values if c != "ext_num"]
 
-def gap_fills(df: DataFrame, gap_ms: float, sample_ms: float, context: int = 4, profile: str = "aircraft", channels: list[str] | None = None) -> DataFrame:
+
+def _type(value: str) -> str:
+    return "map<string,double>" if value == "ext_num" else "double"
+
+
+def _column(got: dict, value: str) -> list:
+    return got[value] if value == "ext_num" else _plain(got[value])
+
+
+def gap_fills(df: DataFrame, gap_ms: float, sample_ms: float, context: int = 4, profile: str | Profile = "aircraft", channels: list[str] | None = None) -> DataFrame:
     """(track_id, start_seq, end_seq, start_ms, end_ms, reason, points) of each interval above gap_ms.
 
     points are what fills it, each sample_ms strictly inside, from a monotone cubic through both ends and up to
@@ -209,12 +240,12 @@ def gap_fills(df: DataFrame, gap_ms: float, sample_ms: float, context: int = 4,
     """
     if not (0 < sample_ms <= gap_ms) or context < 2:
         raise ValueError("sample_ms must be above 0 and not above gap_ms, context 2 or more")
-    limits, values = PROFILES[profile], _values(df, channels)
+    limits, values = _limits(profile), _values(df, channels)
     rows = _with_knots(df, values, context - 1)
     before = lambda c: F.lag(c).over(by_seq())
     rows = rows.select("track_id", before("seq").alias("start_seq"), F.col("seq").alias("end_seq"), before("_p").alias("left"), F.col("_p").alias("right"), before("_back").alias("back"), F.col("_ahead").alias("ahead"), F.col("_timed").alias("timed"))
     gaps = rows.filter(F.col("right.time_ms") - F.col("left.time_ms") > gap_ms)
-    point = "array<struct<" + ",".join(f"{c}:double" for c in values) + ">>"
+    point = "array<struct<" + ",".join(f"{c}:{_type(c)}" for c in values) + ">>"
 
     def fill(batches):
         for batch in batches:
@@ -222,9 +253,9 @@ def gap_fills(df: DataFrame, gap_ms: float, sample_ms: float, context: int = 4,
             for r in batch.to_dict("records"):
                 times = np.arange(r["left"]["time_ms"] + sample_ms, r["right"]["time_ms"], sample_ms)
                 times = times[times < r["right"]["time_ms"]]
-                got, why = (None, "times don't rise") if not r["timed"] else refit([*(_list(r["back"])), r["left"], r["right"], *_list(r["ahead"])], times, values[4:], limits, r["left"], r["right"])
+                got, why = (None, "times don't rise") if not r["timed"] else refit([*(_list(r["back"])), r["left"], r["right"], *_list(r["ahead"])], times, _numbers(values)[4:], limits, r["left"], r["right"])
                 reasons.append(why)
-                found.append([] if got is None else [dict(zip(values, (t, *v), strict=True)) for t, *v in zip(times.tolist(), *(_plain(got[c]) for c in values[1:]), strict=True)])
+                found.append([] if got is None else [dict(zip(values, (t, *v), strict=True)) for t, *v in zip(times.tolist(), *(_column(got, c) for c in values[1:]), strict=True)])
             yield pd.DataFrame({"track_id": batch["track_id"], "start_seq": batch["start_seq"], "end_seq": batch["end_seq"], "start_ms": [x["time_ms"] for x in batch["left"]], "end_ms": [x["time_ms"] for x in batch["right"]], "reason": reasons, "points": found})
 
     return gaps.mapInPandas(fill, f"track_id string, start_seq bigint, end_seq bigint, start_ms double, end_ms double, reason string, points {point}")
@@ -238,19 +269,22 @@ def _plain(x: np.ndarray) -> list:
     return [None if np.isnan(v) else float(v) for v in x]
 
 
-def fill_gaps(df: DataFrame, gap_ms: float, sample_ms: float, context: int = 4, profile: str = "aircraft", channels: list[str] | None = None) -> DataFrame:
-    """df with gap_fills among its points, flagged interpolated, and seq counted anew; other columns of them are null."""
+def fill_gaps(df: DataFrame, gap_ms: float, sample_ms: float, context: int = 4, profile: str | Profile = "aircraft", channels: list[str] | None = None) -> DataFrame:
+    """df with gap_fills among its points, flagged interpolated, and seq counted anew; other columns of them are null, lists and maps empty.
+
+    Channels that are columns are those named, hdop and sat if none are; of the map ext_num all that the knots of a gap share.
+    """
     values = _values(df, channels)
     new = gap_fills(df, gap_ms, sample_ms, context, profile, channels).select("track_id", F.col("end_seq").alias("_before"), F.posexplode("points").alias("_i", "x"))
     kinds = dict(df.dtypes)
-    column = lambda c: F.col(f"x.{c}") if c in values else F.array(F.lit("interpolated")) if c == "flags" else F.col("track_id") if c == "track_id" else F.lit(None).cast(kinds[c])
+    column = lambda c: F.col(f"x.{c}") if c in values else F.array(F.lit("interpolated")) if c == "flags" else F.col("track_id") if c == "track_id" else (F.array() if kinds[c].startswith("array") else F.create_map() if kinds[c].startswith("map") else F.lit(None)).cast(kinds[c])
     new = new.select(*(column(c).alias(c) for c in df.columns if c != "seq"), F.col("_before").cast("bigint").alias("_at"), F.lit(0).alias("_k"), F.col("_i").cast("bigint").alias("_i"))
     old = df.select(*(c for c in df.columns if c != "seq"), F.col("seq").cast("bigint").alias("_at"), F.lit(1).alias("_k"), F.lit(0).cast("bigint").alias("_i"))
     order = Window.partitionBy("track_id").orderBy("_at", "_k", "_i")
     return old.unionByName(new).withColumn("seq", (F.row_number().over(order) - 1).cast("bigint")).select(*df.columns)
 
 
-def drop_outliers(df: DataFrame, profile: str = "aircraft", reconstruct: bool = True, context: int = 4, rng: tuple[int, int] | None = None, channels: list[str] | None = None, **detection) -> DataFrame:
+def drop_outliers(df: DataFrame, profile: str | Profile = "aircraft", reconstruct: bool = True, context: int = 4, rng: tuple[int, int] | None = None, channels: list[str] | None = None, **detection) -> DataFrame:
     """df without its outliers, or with each run of them refitted in place, flagged interpolated.
 
     The position floor is widened for turns within the profile. Outliers are found over whole tracks; rng, a range
@@ -258,7 +292,7 @@ def drop_outliers(df: DataFrame, profile: str = "aircraft", reconstruct: bool =
     made up, at the run's own times; a run at an edge, one that would break the profile, and tracks whose times
     aren't all there and rising stay as they are. Names, times and other columns stay.
     """
-    limits = PROFILES[profile]
+    limits = _limits(profile)
     floors = turn_floor(df, limits.turn, int(detection.get("window", 5)), limits.speed)
     found = detect_outliers(df, floors=floors, **detection).filter("outlier").select("track_id", "seq")
     if rng is not None:
@@ -270,7 +304,7 @@ def drop_outliers(df: DataFrame, profile: str = "aircraft", reconstruct: bool =
     start = (F.col("_hit").isNotNull() & F.lag("_hit").over(by_seq()).isNull()).cast("int")
     rows = rows.withColumn("_start", start).withColumn("_run", F.sum("_start").over(by_seq())).filter("_hit")
     runs = rows.groupBy("track_id", "_run").agg(F.min_by("_back", "seq").alias("back"), F.max_by("_ahead", "seq").alias("ahead"), F.min("_timed").alias("timed"), F.sort_array(F.collect_list(F.struct("seq", "time_ms"))).alias("run"))
-    new = ", ".join(f"n_{c} double" for c in values[1:])
+    new = ", ".join(f"n_{c} {_type(c)}" for c in values[1:])
 
     def repair(batches):
         for batch in batches:
@@ -280,14 +314,15 @@ def drop_outliers(df: DataFrame, profile: str = "aircraft", reconstruct: bool =
                 if not r["timed"] or not back or not ahead:
                     continue
                 times = np.array([p["time_ms"] for p in r["run"]])
-                got, _ = refit([*back, *ahead], times, values[4:], limits, back[-1], ahead[0])
+                got, _ = refit([*back, *ahead], times, _numbers(values)[4:], limits, back[-1], ahead[0])
                 if got is not None:
-                    out += [(r["track_id"], p["seq"], *v) for p, *v in zip(r["run"], *(_plain(got[c]) for c in values[1:]), strict=True)]
+                    out += [(r["track_id"], p["seq"], *v) for p, *v in zip(r["run"], *(_column(got, c) for c in values[1:]), strict=True)]
             yield pd.DataFrame(out, columns=["track_id", "seq", *(f"n_{c}" for c in values[1:])])
 
     fixed = runs.mapInPandas(repair, f"track_id string, seq bigint, {new}").withColumn("_fixed", F.lit(True))
     out = df.join(fixed, ["track_id", "seq"], "left")
     # A channel that a knot lacks stays; position and height are the fit's.
-    pick = lambda c: F.when(F.col("_fixed"), F.col(f"n_{c}") if c in ("lat", "lon", "ele") else F.coalesce(f"n_{c}", c)).otherwise(F.col(c))
+    merged = F.map_concat(F.map_filter(F.coalesce("ext_num", F.create_map().cast("map<string,double>")), lambda k, _: ~F.map_contains_key("n_ext_num", k)), "n_ext_num") if "ext_num" in values else None
+    pick = lambda c: F.when(F.col("_fixed"), F.col(f"n_{c}") if c in ("lat", "lon", "ele") else merged if c == "ext_num" else F.coalesce(f"n_{c}", c)).otherwise(F.col(c))
     flags = F.when(F.col("_fixed"), F.array(F.lit("interpolated"))).otherwise(F.col("flags"))
     return out.withColumns({c: pick(c) for c in values[1:]} | {"flags": flags}).select(*df.columns)

@@ -7,8 +7,11 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.cubic import limited
 from ..functions.geo import haversine, lerp, lerp_lon, shortest_delta
 from ..plans.scan import sorted_scan
+from ..schema import conform, number_map
+from .kinematics import is_angular
 
 
 def by_time():
@@ -114,35 +117,36 @@ def notional_gaps(df: DataFrame, gap_ms: float = 3000.0, sample_ms: float | None
     return rows.select("track_id", "start_seq", F.col("seq").alias("end_seq"), F.col("a.time_ms").alias("start_ms"), F.col("b.time_ms").alias("end_ms"), dur.alias("duration_ms"), "inserted", "sample_ms", "a", "b")
 
 
-def _limited(slope: float, ahead: float, secant: float) -> tuple[float, float]:
-    """The Fritsch-Carlson limiter: slopes at both ends of a leg that keep the cubic monotone on it."""
-    if secant == 0:
-        return 0.0, 0.0
-    a, b = slope / secant, ahead / secant
-    slope, ahead, a, b = 0.0 if a < 0 else slope, 0.0 if b < 0 else ahead, max(0.0, a), max(0.0, b)
-    if a * a + b * b > 9:
-        t = 3 / math.sqrt(a * a + b * b)
-        return t * a * secant, t * b * secant
-    return slope, ahead
+#: What a point made along the way takes from the nearer of its neighbours, where points have it.
+CARRIED = ("name", "desc", "ext_num", "ext_str", "ext_bool")
 
 
 def resample_by_distance(df: DataFrame, interval_m: float, channels: tuple[str, ...] = ("hdop", "sat")) -> DataFrame:
-    """(track_id, distance_m, lat, lon, ele, time_ms, and channels that df has as columns, flags) each so many metres along the valid points, and the last point.
+    """Points each so many metres along the valid points, and the last point: track_id, seq, distance_m, lat, lon, ele, time_ms, channels, what is carried, flags.
 
-    Monotone cubics over the distance, points that coincide with the one before left out. A channel is null
+    Monotone cubics over the distance, points that coincide with the one before left out. channels are columns of df;
+    of the map ext_num all are fitted that every point of the track has, angles the short way round. A channel is null
     throughout a track that lacks it anywhere, and so is a time that falls. Slopes come from neighbouring legs; the
-    limiter runs over the legs in order. A track of one place gives that point, without flags.
+    limiter runs over the legs in order. Names, texts and numbers that aren't fitted are those of the nearer point, the
+    earlier of two. A track of one place gives that point, without flags. With the maps the result has all columns of points.
     """
     w, whole = Window.partitionBy("track_id").orderBy("seq"), Window.partitionBy("track_id")
-    names = ["lat", "lon", "ele", "time_ms", *(c for c in channels if c in df.columns)]
+    mapped = numeric_names(df) if "ext_num" in df.columns else []
+    inner = {c: f"x{i}" for i, c in enumerate(mapped)}
+    df = df.withColumns({x: F.col("ext_num")[c] for c, x in inner.items()})
+    angles = [*(c for c in channels if c in df.columns and is_angular(c)), *(x for c, x in inner.items() if is_angular(c))]
+    names = ["lat", "lon", "ele", "time_ms", *(c for c in channels if c in df.columns), *inner.values()]
+    carried = [c for c in CARRIED if c in df.columns]
     rows = df.filter("lat between -90 and 90 and lon between -180 and 180")
     before = lambda c: F.lag(c).over(w)
     rows = rows.withColumn("_leg", haversine(before("lat"), before("lon"), F.col("lat"), F.col("lon"))).filter("_leg is null or _leg > 0")
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    turn = F.coalesce(shortest_delta(before("lon"), F.col("lon")), F.lit(0.0))
-    rows = rows.withColumn("_turn", turn).withColumns({"lon": F.first("lon").over(upto) + F.sum("_turn").over(upto), "d1": F.sum(F.coalesce("_leg", F.lit(0.0))).over(upto)})
-    rows = rows.select("track_id", "seq", "d1", *(F.col(c).cast("double").alias(f"y_{c}") for c in names))
-    rows = rows.withColumns({"d0": before("d1"), "end": F.lead("d1").over(w).isNull(), **{f"p_{c}": before(f"y_{c}") for c in names}})
+    turns = ["lon", *angles]
+    rows = rows.withColumns({f"_turn_{c}": F.coalesce(shortest_delta(before(c), F.col(c)), F.lit(0.0)) for c in turns})
+    unwound = {c: F.when(F.col(c).isNotNull(), F.first(c).over(upto) + F.sum(f"_turn_{c}").over(upto)) for c in turns}
+    rows = rows.withColumns(unwound | {"d1": F.sum(F.coalesce("_leg", F.lit(0.0))).over(upto)})
+    rows = rows.select("track_id", "seq", "d1", F.struct(*carried).alias("own") if carried else F.lit(None).alias("own"), *(F.col(c).cast("double").alias(f"y_{c}") for c in names))
+    rows = rows.withColumns({"d0": before("d1"), "was": before("own"), "end": F.lead("d1").over(w).isNull(), **{f"p_{c}": before(f"y_{c}") for c in names}})
     rows = rows.withColumns({f"l_{c}": (F.col(f"y_{c}") - F.col(f"p_{c}")) / (F.col("d1") - F.col("d0")) for c in names})
     rows = rows.withColumns({f"s_{c}": F.lead(f"l_{c}").over(w) for c in names})
 
@@ -156,6 +160,8 @@ def resample_by_distance(df: DataFrame, interval_m: float, channels: tuple[str,
     has = {c: F.count(f"y_{c}").over(whole) == F.count("seq").over(whole) for c in names}
     has["time_ms"] &= F.coalesce(F.min("l_time_ms").over(whole) >= 0, F.lit(True))
     rows = rows.withColumns({f"h_{c}": x for c, x in has.items()} | {f"q_{c}": F.lit(None).cast("double") for c in names})
+    held = rows.select("track_id", "seq", "own", "was")
+    rows = rows.drop("own", "was")
 
     def step(rows, carry):
         carry = carry or {c: (math.nan, None) for c in names}
@@ -166,13 +172,16 @@ def resample_by_distance(df: DataFrame, interval_m: float, channels: tuple[str,
             for m, ahead, secant in zip(rows[f"m_{c}"].tolist(), rows[f"n_{c}"].tolist(), rows[f"s_{c}"].tolist()):
                 past.append(final)
                 m = m if mine is None else mine
-                final, mine = (m, ahead) if secant is None or math.isnan(secant) else _limited(m, ahead, secant)
+                final, mine = (m, ahead) if secant is None or math.isnan(secant) else limited(m, ahead, secant)
                 own.append(final)
             carry[c] = (final, mine)
             new |= {f"m_{c}": own, f"q_{c}": past}
         return rows.assign(**new), carry
 
     rows = sorted_scan(rows, step)
+    if carried:  # maps and texts don't go through the scan
+        held = held.select(F.col("track_id").alias("of"), F.col("seq").alias("place"), "own", "was")
+        rows = rows.join(held, F.col("track_id").eqNullSafe(F.col("of")) & (F.col("seq") == F.col("place"))).drop("of", "place")
     first = F.col("d0").isNull()
     low, high = F.floor(F.col("d0") / interval_m) + 1, F.floor(F.col("d1") / interval_m)
     marks = F.when(first, F.array(F.lit(0.0))).when(low <= high, F.transform(F.sequence(low, high), lambda k: k * float(interval_m))).otherwise(F.array().cast("array<double>"))
@@ -185,10 +194,26 @@ def resample_by_distance(df: DataFrame, interval_m: float, channels: tuple[str,
         y0, y1, m0, m1 = (F.col(f"{x}_{c}") for x in "pyqm")
         cubic = (2 * t**3 - 3 * t**2 + 1) * y0 + (t**3 - 2 * t**2 + t) * h * m0 + (3 * t**2 - 2 * t**3) * y1 + (t**3 - t**2) * h * m1
         y = F.when(F.col(f"h_{c}"), F.when(first | (F.col("distance_m") == F.col("d1")), y1).otherwise(cubic))
-        return (F.when(y.between(-180, 180), y).otherwise(F.pmod(y + 180, F.lit(360.0)) - 180) if c == "lon" else y).alias(c)
+        if c == "lon":
+            return F.when(y.between(-180, 180), y).otherwise(F.pmod(y + 180, F.lit(360.0)) - 180)
+        return F.when((y >= 0) & (y < 360), y).otherwise(F.pmod(y, F.lit(360.0))) if c in angles else y
 
     flags = F.when(first & F.col("end"), F.array().cast("array<string>")).otherwise(F.array(F.lit("interpolated"), F.lit("monotone_cubic")))
-    return out.select("track_id", "distance_m", *map(at, names), flags.alias("flags"))
+    seq = (F.row_number().over(Window.partitionBy("track_id").orderBy("distance_m")) - 1).cast("bigint")
+    columns = {c: at(c) for c in names if c not in inner.values()}
+    if carried:
+        near = F.when(~first & (F.col("distance_m") - F.col("d0") <= F.col("d1") - F.col("distance_m")), F.col("was")).otherwise(F.col("own"))
+        columns |= {c: near[c] for c in carried}
+    if "ext_num" in carried:
+        fitted = number_map({c: at(x) for c, x in inner.items()})
+        columns["ext_num"] = F.map_concat(F.map_filter(F.coalesce(near["ext_num"], F.create_map().cast("map<string,double>")), lambda k, _: ~F.map_contains_key(fitted, k)), fitted)
+    out = out.select("track_id", seq.alias("seq"), "distance_m", *(x.alias(c) for c, x in columns.items()), flags.alias("flags"))
+    return conform(out) if "ext_num" in carried else out
+
+
+def numeric_names(df: DataFrame) -> list[str]:
+    """Channels of the map ext_num by name: as many as there are names, however many points."""
+    return [r["c"] for r in df.select(F.explode(F.map_keys("ext_num")).alias("c")).distinct().orderBy("c").collect()]
 
 
 def drop_flagged(df: DataFrame, scores: DataFrame) -> DataFrame:
