@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from trackspark.operators import aggregate, align, builtin, compare, edit, fusion, ordered, report, series  # noqa: F401  builtin registers the operations
 from trackspark.plans import recipes
 from trackspark.schema import collect_channels, demote
-from trackspark.sources import inventory, sinks
+from trackspark.sources import inventory, sinks, workspace
 
 from .test_semantics import FUSED, ordered_rows, track
 
@@ -127,7 +127,7 @@ def test_workspaces_refuse_points_without_dataset(spark, tmp_path):
     assert (datasets.count(), collect_channels(demote(df, "hdop")).filter("channel = 'hdop'").count(), channels.count()) == (2, 2, 4)
     log = recipes.log_table(spark, "r", [recipes.Record("x", 1, {})])
     sinks.save_workspace({"points": df, "datasets": datasets, "operation_log": log}, str(tmp_path / "w"), history=False)
-    assert not (tmp_path / "w" / "operation_log").exists()
+    assert not list((tmp_path / "w").glob("versions/*/operation_log"))
     got = sinks.load_workspace(spark, str(tmp_path / "w"), ["points", "datasets"])
     assert got["points"].count() == 20
     sinks.save_workspace({"points": df, "datasets": datasets.filter("track_id = 'A'")}, str(tmp_path / "v"))
@@ -137,6 +137,52 @@ def test_workspaces_refuse_points_without_dataset(spark, tmp_path):
         sinks.save_workspace({"other": df}, str(tmp_path / "u"))
 
 
+def test_a_workspace_is_whole_or_not_there(spark, tmp_path):
+    path = str(tmp_path / "w")
+    with pytest.raises(ValueError, match="no workspace"):
+        workspace.load_workspace(spark, path, ["points"])
+    df = line(spark).unionByName(line(spark, name="007")).withColumn("ext_num", F.create_map(F.lit("x"), F.col("ele")))
+    datasets, _ = inventory.make_dataset(df, "gpx")
+    first = workspace.save_workspace({"points": df, "datasets": datasets}, path)
+    assert {r["table"]: r["rows"] for r in workspace.workspace_manifest(spark, path).collect()} == {"points": 20, "datasets": 2}
+    key = lambda df: sorted(map(str, df.select(*sorted(df.columns)).collect()))
+    same = lambda: workspace.load_workspace(spark, path, ["points", "datasets"])
+    assert key(same()["points"]) == key(df) and key(same()["datasets"]) == key(datasets)
+    # A save that fails after its first table leaves the old version, and nothing of its own.
+    broken = datasets.withColumn("name", F.when(F.col("track_id") == "007", F.raise_error(F.lit("broken"))).otherwise(F.col("name")))
+    with pytest.raises(Exception, match="broken"):
+        workspace.save_workspace({"points": df.limit(3), "datasets": broken}, path)
+    assert key(same()["points"]) == key(df) and [p.name for p in (tmp_path / "w" / "versions").iterdir()] == [first]
+    # The next replaces it, and one old version stays.
+    for n in (5, 6, 7):
+        last = workspace.save_workspace({"points": df.filter("track_id = 'A'").limit(n), "datasets": datasets}, path)
+    assert same()["points"].count() == 7 and len(list((tmp_path / "w" / "versions").iterdir())) == 2
+    with pytest.raises(ValueError, match="no channels"):
+        workspace.load_workspace(spark, path, ["channels"])
+    file = next((tmp_path / "w" / "versions" / last / "points").glob("*/*.parquet"))
+    file.rename(tmp_path / "gone")
+    with pytest.raises(ValueError, match="points is damaged"):
+        same()
+    assert workspace.load_workspace(spark, path, ["points", "datasets"], verify=False)["datasets"].count() == 2
+
+
+def test_comparisons_fusion_and_rows_are_written(spark, tmp_path):
+    a, b = line(spark), line(spark)
+    samples = align.relative_position(align.align_nearest(a, b, 3000))
+    drift = align.clock_drift(align.align_nearest(a, b, 3000)).withColumn("epoch_ms", F.lit(0.0))
+    sinks.write_comparison(samples, str(tmp_path / "c"), drift)
+    back = spark.read.option("header", True).csv(str(tmp_path / "c" / "samples"))
+    assert back.count() == 10 and {r["derived"] for r in back.collect()} == {"observed"}
+    assert spark.read.option("header", True).csv(str(tmp_path / "c" / "drift")).first()["clock_drift_sample_count"] == "10"
+    sinks.write_visible_rows(a.filter("seq < 4"), str(tmp_path / "v"), order=[F.desc("seq")])
+    rows = [r for p in sorted((tmp_path / "v").glob("part*.csv")) for r in p.read_text().splitlines()[1:]]
+    assert [r.split(",")[1] for r in rows] == ["3", "2", "1", "0"]
+    decisions = spark.createDataFrame([("E", 0, 1.0, "A", ["B", "C"])], "entity string, group_id bigint, group_time_ms double, chosen string, skipped array<string>")
+    sinks.write_fusion(decisions, spark.createDataFrame([("E", "A", 1)], "entity string, source string, chosen bigint"), str(tmp_path / "f"))
+    assert spark.read.option("header", True).csv(str(tmp_path / "f" / "decisions")).first()["skipped"] == "B|C"
+    assert spark.read.json(str(tmp_path / "f" / "report")).first()["chosen"] == 1
+
+
 def test_fusion_checks(spark):
     rows = [("E", "A", 1, 0, 0.0, 0.0, 0.0, None, 0.5, 12.0, 0), ("E", "B", 3, 0, 100.0, 0.0, 0.0, None, 20.0, 3.0, 0)]
     made = fusion.auto_combine(spark.createDataFrame(rows, FUSED))

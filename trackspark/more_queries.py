@@ -21,7 +21,7 @@ from .plans.folders import work_folder
 from .plans.recipes import run_derivation
 from .queries import _BRACKET, _EVENTS, _KIN3, _PREV, _REL, _SIDES, _STATS, W_SQL, _add, _base, _ecef, _pair, _rel
 from .schema import channel_value, collect_channels, conform, demote, promote
-from .sources import binary, files, formats, inventory, ranges, sinks
+from .sources import binary, files, formats, inventory, ranges, sinks, workspace
 from .sources.text import checksum, duration, readout, to_feet, to_knots, to_nautical_miles, trimmed
 
 VALID = f"SELECT track_id, row_number() OVER (PARTITION BY track_id ORDER BY seq) - 1 AS seq, lat, lon, ele, time_ms, hdop, sat FROM points WHERE {sql_valid()}"
@@ -319,6 +319,20 @@ _add("changed_count", lambda df: P.changed_count(df, P.round_precision(df, 2, 0)
 _add("archive", lambda df: _archived(df), "SELECT 'datasets' AS \"table\", count(DISTINCT track_id) AS n FROM points UNION ALL SELECT 'points', count(*) FROM points")
 
 
+def _manifest(df: DataFrame) -> DataFrame:
+    """A workspace saved twice: the manifest tells the second version's rows, and digests that its tables have."""
+    folder = work_folder(df.sparkSession)
+    workspace.save_workspace({"points": df, "datasets": _datasets(df)}, folder)
+    workspace.save_workspace({"points": df.filter("seq % 2 = 0"), "datasets": _datasets(df)}, folder)
+    tables = workspace.load_workspace(df.sparkSession, folder, ["points", "datasets"])
+    found = tables["points"].groupBy("track_id").agg(F.count("*").alias("kept"))
+    manifest = workspace.workspace_manifest(df.sparkSession, folder).filter("table = 'points'").first()
+    return found.withColumn("rows", F.lit(manifest["rows"]))
+
+
+_add("workspace_manifest", _manifest, "SELECT track_id, count(*) AS kept, sum(count(*)) OVER ()::BIGINT AS rows FROM points WHERE seq % 2 = 0 GROUP BY track_id")
+
+
 def _archived(df: DataFrame) -> DataFrame:
     folder = work_folder(df.sparkSession)
     sinks.save_workspace({"points": df, "datasets": _datasets(df)}, folder)

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import ecef, is_valid
 from ..schema import collect_channels, conform, demote
 from .text import escape_xml, gpx_time, iso_time, trimmed
+from .workspace import WORKSPACE, load_workspace, save_workspace  # noqa: F401
 
 CHANNEL_MAPS = ("ext_num", "ext_str", "ext_bool")
 DAY_MS = 86_400_000
@@ -165,34 +166,6 @@ def write_fusion(decisions: DataFrame, report: DataFrame, path: str) -> None:
     report.write.json(f"{path}/report", mode="overwrite")
 
 
-#: Tables of a workspace, and for each the table whose track_id its own must be in.
-WORKSPACE = {"datasets": None, "points": "datasets", "channels": "datasets", "ingest_audit": "datasets", "operation_log": None, "quality_events": "datasets", "fusion_decisions": None}
-
-
-def save_workspace(tables: dict[str, DataFrame], path: str, history: bool = True) -> None:
-    """Tables as Parquet, points by track; without history for playback only."""
-    if extra := set(tables) - set(WORKSPACE):
-        raise ValueError(f"a workspace has no {', '.join(sorted(extra))}")
-    for name, df in tables.items():
-        if history or name not in ("operation_log", "fusion_decisions"):
-            writer = df.repartition("track_id").sortWithinPartitions("track_id", "seq").write.partitionBy("track_id") if name == "points" else df.write
-            writer.mode("overwrite").parquet(f"{path}/{name}")
-
-
-def load_workspace(spark: SparkSession, path: str, names: list[str]) -> dict[str, DataFrame]:
-    """Those tables of a workspace; points' track_id is text. Refuses rows of tracks that datasets doesn't know, or that it knows twice."""
-    tables = {n: spark.read.option("recursiveFileLookup", False).parquet(f"{path}/{n}") for n in names}
-    tables = {n: df.withColumn("track_id", F.col("track_id").cast("string")) if "track_id" in df.columns else df for n, df in tables.items()}
-    if "datasets" in tables:
-        ids = tables["datasets"].select("track_id")
-        if twice := ids.groupBy("track_id").count().filter("count > 1").first():
-            raise ValueError(f"dataset {twice[0]} is there {twice[1]} times")
-        for name, df in tables.items():
-            if WORKSPACE.get(name) and (lost := df.join(ids, "track_id", "left_anti").first()):
-                raise ValueError(f"{name} has rows of {lost['track_id']}, which isn't a dataset")
-    return tables
-
-
 def archive_summary(tables: dict[str, DataFrame]) -> DataFrame:
     """(table, n): how many datasets and points there are."""
     one = lambda name, n: tables[name].agg(n.alias("n")).select(F.lit(name).alias("table"), "n")
