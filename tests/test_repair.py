@@ -1,6 +1,7 @@
 """Outliers, gaps and refits against plain Python, and their edge rules."""
 
 import math
+import random
 import statistics
 
 import numpy as np
@@ -8,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from trackspark.functions.cubic import MonotoneCubic
-from trackspark.operators import kinematics, ordered, outliers, resample
+from trackspark.operators import health, kinematics, ordered, outliers, resample
 from trackspark.schema import POINTS, conform, number_map
 
 from .test_semantics import SCHEMA, ordered_rows, plain_cubic, track
@@ -206,3 +207,38 @@ def test_distance_resampling_keeps_the_points_schema(spark):
         near = min(range(5), key=lambda i: (abs(at - i), i))
         assert math.isclose(r["ext_num"]["rate"], 2 * at, abs_tol=1e-9) and abs((r["ext_num"]["heading_deg"] - 350 - 5 * at + 180) % 360 - 180) < 1e-6
         assert r["ext_str"] == {"n": str(near)} and r["name"] == f"p{near}" and r["ext_num"].get("rare") == (None if near == 2 else float(near))
+
+
+def test_health_flags_every_span_and_takes_limits(spark):
+    rng, rows, t = random.Random(6), [], 0.0
+    lat = 34.0
+    for i in range(400):
+        t += 5000.0
+        lat += 0.0 if 150 <= i < 260 else 0.001
+        rows.append((lat if i != 300 else 99.0, -118 + rng.random() * 1e-5, 100 + max(0, min(i - 20, 380 - i)) * 10.0, t - (20_000 if i == 40 else 0)))
+    df = track(spark, rows).withColumn("hdop", F.when(F.col("seq") == 7, 9.0).otherwise(F.col("hdop")))
+    flags = {}
+    for r in health.health_flags(df).collect():
+        flags.setdefault(r["check"], []).append((r["start_seq"], r["end_seq"], r["measure"]))
+    assert flags["schema-parse"] == [(300, 300, None)] and [f[0] for f in flags["time-order-span"]] == [40] and flags["gps-fix-quality"] == [(7, 7, 9.0)]
+    high = [i for i, r in enumerate(rows) if r[2] >= 304.8]
+    assert flags["altitude-profile"] == [(high[0], high[-1], float(len(high)))]
+
+    def far(a, b):
+        h = math.sin(math.radians(b[0] - a[0]) / 2) ** 2 + math.cos(math.radians(a[0])) * math.cos(math.radians(b[0])) * math.sin(math.radians(b[1] - a[1]) / 2) ** 2
+        return 2 * 6371008.8 * math.asin(math.sqrt(h))
+
+    start, end = kinematics.movement_window(df, 5.144).select("start_seq", "end_seq").first()
+    stays, anchor = {}, None
+    for i in range(start, end + 1):
+        if anchor is not None and far(rows[anchor], rows[i]) <= 402.34:
+            stays[anchor] = (i, max(stays.get(anchor, (0, 0.0))[1], rows[i][3] - rows[anchor][3]))
+        else:
+            anchor = i
+    assert flags["stagnant"] == [(a, b, d) for a, (b, d) in stays.items() if d > 180_000] and len(flags["stagnant"]) == 1
+    easy = health.Limits(dwell_ms=1e9, min_span_ms=0.0, max_span_ms=1.0, max_hdop=10.0, floor_m=1e6)
+    got = {r["check"]: r["passed"] for r in health.health_checks(df, easy).collect()}
+    want = {r["check"]: r["passed"] for r in health.health_checks(df).collect()}
+    assert got["stagnant"] and not want["stagnant"] and not got["time-order-span"] and not got["altitude-profile"] and want["altitude-profile"]
+    assert {r["check"] for r in health.health_flags(df, easy).collect()} & {"stagnant", "gps-fix-quality", "altitude-profile"} == set()
+    assert health.health_flags(df.limit(0)).count() == 0

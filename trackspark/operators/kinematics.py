@@ -108,22 +108,34 @@ def wrap_0_360(x):
     return modulo(x, 360.0)
 
 
+def movement_marks(df: DataFrame, threshold: float = 1.0, displacement_m: float = 50.0, samples: int = 3) -> DataFrame:
+    """df with speed_mps, _i (place from 0), and whether a run of so many fast points begins (_from) or ends (_to) there, or the track is displaced from its first point (_far)."""
+    out = point_speeds(df).withColumn("_i", F.row_number().over(by_seq()) - 1)
+    fast = F.coalesce(F.col("speed_mps") >= threshold, F.lit(False)).cast("int")
+    ahead, behind = by_seq().rowsBetween(0, samples - 1), by_seq().rowsBetween(1 - samples, 0)
+    first_lat, first_lon = (F.first(c).over(by_seq().rowsBetween(Window.unboundedPreceding, 0)) for c in ("lat", "lon"))
+    out = out.withColumn("_fast", fast)
+    far = F.coalesce(haversine(first_lat, first_lon, F.col("lat"), F.col("lon")) >= displacement_m, F.lit(False)) & (F.col("_i") > 0)
+    return out.withColumns({"_from": F.sum("_fast").over(ahead) == samples, "_to": F.sum("_fast").over(behind) == samples, "_far": far}).drop("_fast")
+
+
+def movement_span(least, most, timed) -> tuple:
+    """(first, last) place of movement of rows with marks, by aggregates or windows over a track: least and most of a column, and how many are timed."""
+    at = lambda when, f, shift=0: f(F.when(when, F.col("_i") - shift))
+    a, b, c, d = at(F.col("_from"), least), at(F.col("_to"), most), at(F.col("_far"), least, 1), at(F.col("_far"), most)
+    good = a.isNotNull() & b.isNotNull() & (a <= b)
+    there = timed > 0
+    return F.when(there, F.when(good, a).otherwise(F.coalesce(c, F.lit(0)))).cast("bigint"), F.when(there, F.when(good, b).otherwise(F.coalesce(d, most(F.col("_i"))))).cast("bigint")
+
+
 def movement_window(df: DataFrame, threshold: float = 1.0, displacement_m: float = 50.0, samples: int = 3) -> DataFrame:
     """(track_id, start_seq, end_seq) of movement; no row for a track without times.
 
     From the first to the last run of so many speeds at the threshold or above; else the span over which the
     track is displaced from its first point; else the whole track.
     """
-    out = point_speeds(df).withColumn("_i", F.row_number().over(by_seq()) - 1)
-    fast = F.coalesce(F.col("speed_mps") >= threshold, F.lit(False)).cast("int")
-    ahead, behind = by_seq().rowsBetween(0, samples - 1), by_seq().rowsBetween(1 - samples, 0)
-    first_lat, first_lon = (F.first(c).over(by_seq().rowsBetween(Window.unboundedPreceding, 0)) for c in ("lat", "lon"))
-    out = out.withColumn("_fast", fast)
-    out = out.withColumns({"_from": F.sum("_fast").over(ahead) == samples, "_to": F.sum("_fast").over(behind) == samples, "_far": F.coalesce(haversine(first_lat, first_lon, F.col("lat"), F.col("lon")) >= displacement_m, F.lit(False)) & (F.col("_i") > 0)})
-    pick = lambda when, f, shift=0: f(F.when(when, F.col("_i") - shift))
-    g = out.groupBy("track_id").agg(pick(F.col("_from"), F.min).alias("a"), pick(F.col("_to"), F.max).alias("b"), pick(F.col("_far"), F.min, 1).alias("c"), pick(F.col("_far"), F.max).alias("d"), F.max("_i").alias("n"), F.count("time_ms").alias("timed")).filter("timed > 0")
-    good = F.col("a").isNotNull() & F.col("b").isNotNull() & (F.col("a") <= F.col("b"))
-    return g.select("track_id", F.when(good, F.col("a")).otherwise(F.coalesce("c", F.lit(0))).cast("bigint").alias("start_seq"), F.when(good, F.col("b")).otherwise(F.coalesce("d", "n")).cast("bigint").alias("end_seq"))
+    start, end = movement_span(F.min, F.max, F.count("time_ms"))
+    return movement_marks(df, threshold, displacement_m, samples).groupBy("track_id").agg(start.alias("start_seq"), end.alias("end_seq")).filter("end_seq is not null")
 
 
 def segment_track(df: DataFrame, stationary: float = 1.0, vertical: float = 1.0, gap_s: float = 10.0, least: int = 2, chunk: int | None = None) -> DataFrame:

@@ -467,6 +467,13 @@ _add("health_checks", H.health_checks, _ALL, "measure", recursive=True)
 _add("track_health", H.track_health, f"""SELECT track_id, CASE WHEN NOT blocked AND total > 0 THEN floor(100.0 * coalesce(earned, 0) / total + 0.5)::INT END AS score, blocked FROM (
   SELECT track_id, sum(weight) FILTER (WHERE applicable AND weight > 0) AS total, sum(weight) FILTER (WHERE applicable AND weight > 0 AND passed) AS earned, bool_or("check" = 'schema-parse' AND NOT passed) AS blocked FROM ({_ALL}) GROUP BY track_id)""", recursive=True)
 
+_OUTLIERS = _OUT.replace("least(max(speed) FILTER (WHERE speed > 0), 680)", "max(speed) FILTER (WHERE speed > 0)")
+_add("health_flags", lambda df: H.health_flags(df).filter(F.col("check").isin("schema-parse", "time-order-span", "gps-fix-quality", "outlier")).select("track_id", "check", "start_seq", "end_seq"), f"""
+  SELECT track_id, "check", seq AS start_seq, seq AS end_seq FROM (
+    SELECT track_id, seq, 'schema-parse' AS "check" FROM points WHERE NOT {sql_valid()}
+    UNION ALL SELECT track_id, seq, 'time-order-span' FROM (SELECT *, time_ms < lag(time_ms) OVER w AS back FROM points WHERE time_ms IS NOT NULL {W_SQL}) WHERE back
+    UNION ALL SELECT track_id, seq, 'gps-fix-quality' FROM points WHERE hdop > 5 OR sat < 4
+    UNION ALL SELECT track_id, seq, 'outlier' FROM ({_OUTLIERS}) WHERE score > 3)""")
 
 # Views and recipes.
 _add("chart_series", lambda df: S.chart_series(df, "ele", domain=(1704068000000, 1704069000000)), "SELECT track_id, seq, x, y FROM (SELECT *, lag(i, 1, false) OVER w OR lead(i, 1, false) OVER w OR i AS keep FROM (SELECT track_id, seq, time_ms AS x, ele AS y, time_ms BETWEEN 1704068000000 AND 1704069000000 AS i FROM points WHERE time_ms IS NOT NULL AND ele IS NOT NULL) WINDOW w AS (PARTITION BY track_id ORDER BY seq)) WHERE keep", "x y", 3)
