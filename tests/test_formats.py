@@ -61,6 +61,25 @@ def test_kml(spark, tmp_path):
     assert audit(dropped) == {("a", "bad-coordinate"): 1, ("a", "times-paired-by-index"): 1}
 
 
+def test_a_large_kml_file_is_read_by_many_tasks(spark, tmp_path):
+    point = '<kml:Placemark id="p{0}"><kml:name>N{0}</kml:name><kml:Point><kml:coordinates>{0},1</kml:coordinates></kml:Point></kml:Placemark>\n'
+    plain = "<Placemark><name>N{0}</name><!-- {0} --><LineString><coordinates>{0},1,2 {0},2,3</coordinates></LineString></Placemark>"
+    body = "".join((point if i % 3 else plain).format(i) for i in range(150))
+    loose = "<Point><coordinates>7,8</coordinates></Point>"
+    (tmp_path / "big.kml").write_text(f"<kml><Document><name>doc</name>{loose}{body}{loose}</Document></kml>")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        points, dropped = files.read_kml(spark, str(tmp_path))
+        assert spark.read.text(str(tmp_path), lineSep="Placemark>").rdd.getNumPartitions() >= 8
+        got = rows(points, "lon", "lat", "ele", "name", "source_segment", "source_feature")
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    want = [r for i in range(150) for r in ([(i, 1, None, f"N{i}", f"N{i}", i)] if i % 3 else [(i, 1, 2, None, f"N{i}", i), (i, 2, 3, None, f"N{i}", i)])]
+    assert got == [*want, (7, 8, None, None, None, 150), (7, 8, None, None, None, 151)] and dropped.count() == 0
+
+
 def sentence(body):
     total = 0
     for c in body:

@@ -165,16 +165,22 @@ def read_geojson(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 
 def read_kml(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(points, audit) of the tracks (when and coord in pairs) and then the coordinate lists of KML files; each file is read whole.
+    """(points, audit) of the tracks (when and coord in pairs) and then the coordinate lists of KML files.
 
-    Each geometry counts as source_feature; the name of its placemark is source_segment, and the point's name where
-    the geometry is one tuple. Unreadable tuples are left out and counted, as are tracks of unequal lists.
+    A file of any size is dealt to many tasks: it is split where a placemark's tag ends, so that a row is a placemark, or
+    what lies between two. Each geometry counts as source_feature; the name of its placemark is source_segment, and the
+    point's name where the geometry is one tuple. Geometries outside placemarks come last. Unreadable tuples are left out
+    and counted, as are tracks of unequal lists.
     """
-    text = _in_order(spark.read.text(path, wholetext=True)).drop("seq")
+    parts = _named(spark.read.text(path, lineSep="Placemark>"))
     every = lambda c, pattern, i: F.regexp_extract_all(c, F.lit(f"(?s){pattern}"), F.lit(i))
-    mark = r"<(?:\w+:)?Placemark\b.*?</(?:\w+:)?Placemark>"
-    blocks = F.concat(every("value", mark, 0), F.array(F.regexp_replace("value", f"(?s){mark}", "")))
-    rows = text.select("track_id", F.posexplode(blocks).alias("mark", "block")).withColumn("label", F.when(F.col("block").rlike(r"^<(?:\w+:)?Placemark"), F.nullif(F.trim(unescape_xml(F.regexp_extract("block", r"(?s)<(?:\w+:)?name[^>]*>(.*?)</", 1))), F.lit(""))))
+    # A part that ends at a closing tag holds a placemark: from its opening tag on, if that has attributes, else the whole part.
+    inside = F.col("value").rlike(r"</(?:\w+:)?$")
+    opened = r"(?s)^(.*)<(?:\w+:)?Placemark\s[^>]*>"
+    outer = F.when(inside, F.regexp_extract("value", opened, 1)).otherwise(F.col("value"))
+    own = F.regexp_replace("value", opened, "")
+    blocks = F.filter(F.array(F.struct(F.when(inside, own).alias("block"), F.lit(0).alias("outside")), F.struct(outer.alias("block"), F.lit(1).alias("outside"))), lambda x: x["block"].contains("<"))
+    rows = parts.select("track_id", "_at", "_id", F.explode(blocks).alias("b")).select("track_id", F.struct("b.outside", "_at", "_id").alias("mark"), "b.block", F.when(F.col("b.outside") == 0, F.nullif(F.trim(unescape_xml(F.regexp_extract("b.block", r"(?s)<(?:\w+:)?name[^>]*>(.*?)</", 1))), F.lit(""))).alias("label"))
     tracks = rows.select("track_id", "mark", "label", F.lit(0).alias("kind"), F.posexplode(every("block", r"<(?:\w+:)?Track\b.*?</(?:\w+:)?Track>", 0)).alias("n", "geometry"))
     lists = rows.select("track_id", "mark", "label", F.lit(1).alias("kind"), F.posexplode(every("block", r"<(?:\w+:)?coordinates[^>]*>(.*?)</", 1)).alias("n", "geometry"))
     rows = tracks.unionByName(lists)
