@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .folders import work_folder
 
 #: Places in a track's order that a chunk has.
-CHUNK = 1 << 18
+CHUNK = 1 << 17
 _NUMBER = "_chunk"
 #: The chunk of rows that have no place in the order: they come first.
 _NOWHERE = -(1 << 62)
