@@ -156,11 +156,11 @@ def auto_combine(groups: DataFrame, point_overrides: list | None = None, interva
     points, intervals = list(point_overrides or []), list(interval_overrides or [])
     _check_overrides(groups, points, intervals, sources)
     key = ["entity", "group_id"]
-    ranked = score_candidates(groups).withColumn("_rank", F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("score"), "source", "time_ms", "seq")))
-    out = ranked.groupBy(*key).agg(
+    # Groups are whole where their mean time was taken, so this aggregate needs no other exchange.
+    out = score_candidates(groups).groupBy(*key).agg(
         F.first("group_time_ms").alias("group_time_ms"),
-        F.min_by(F.struct("source", "reason", "score"), "_rank").alias("_best"),
-        F.max(F.when(F.col("_rank") == 2, F.col("score"))).alias("_second"),
+        F.min_by(F.struct("source", "reason", "score"), F.struct(-F.col("score"), "source", "time_ms", "seq")).alias("_best"),
+        F.get(F.sort_array(F.collect_list("score"), asc=False), F.lit(1)).alias("_second"),
         F.array_sort(F.collect_list(F.struct("time_ms", "source", "seq", "lat", "lon", "ele", "hdop", "sat"))).alias("_all"),
     )
     exact: dict = {}
@@ -171,8 +171,12 @@ def auto_combine(groups: DataFrame, point_overrides: list | None = None, interva
         spans.setdefault(entity, []).append((source, float(start), float(end), f"manual interval override ({_iso(start)} – {_iso(end)}) selected source {source}"))
     spark = groups.sparkSession
     # Overrides are made by hand: a row for each point, and one for each entity with its intervals in order.
-    out = out.join(F.broadcast(spark.createDataFrame([(*k, v) for k, v in exact.items()], "entity string, group_id bigint, _exact string")), key, "left")
-    out = out.join(F.broadcast(spark.createDataFrame(list(spans.items()), "entity string, _spans array<struct<source:string,start:double,end:double,reason:string>>")), "entity", "left")
+    kinds = {"_exact": "string", "_spans": "array<struct<source:string,start:double,end:double,reason:string>>"}
+    for name, rows, on in (("_exact", [(*k, v) for k, v in exact.items()], key), ("_spans", list(spans.items()), key[:1])):
+        if rows:
+            out = out.join(F.broadcast(spark.createDataFrame(rows, f"entity string, {'group_id bigint, ' if len(on) > 1 else ''}{name} {kinds[name]}")), on, "left")
+        else:
+            out = out.withColumn(name, F.lit(None).cast(kinds[name]))
     out = out.withColumn("_span", F.get(F.filter("_spans", lambda x: (F.col("group_time_ms") >= x["start"]) & (F.col("group_time_ms") <= x["end"])), F.lit(0)))
     out = out.withColumn("_span", F.when(F.exists("_all", lambda x: x["source"] == F.col("_span.source")), F.col("_span")))
     out = out.withColumn("chosen", F.coalesce("_exact", "_span.source", "_best.source"))

@@ -436,6 +436,9 @@ _fused("fusion_decisions", lambda df: _decided(df).select("entity", "group_id",
 _fused("fusion_report", lambda df: U.fusion_report(_decided(df), _all_sources(df)), """SELECT entity, source, coalesce(chosen, 0) AS chosen, total - coalesce(chosen, 0) AS skipped, groups, mean_confidence FROM (SELECT entity, source, count(*) AS total FROM c GROUP BY entity, source)
   LEFT JOIN (SELECT entity, chosen AS source, count(*) AS chosen FROM f GROUP BY entity, chosen) USING (entity, source) JOIN (SELECT entity, count(*) AS groups, avg(confidence) AS mean_confidence FROM f GROUP BY entity) USING (entity)""", "mean_confidence", 4)
 _add("check_fusion", lambda df: U.check_fusion(_decided(df), _all_sources(df), 1500.0), "SELECT NULL::VARCHAR AS entity, NULL::BIGINT AS group_id, NULL::VARCHAR AS problem WHERE false", with_points=False)
+_fused("fusion_overrides", lambda df: U.auto_combine(_groups(df), None, [("E0", "T1", 0.0, 4e12), ("E2", "T8", 1.704068e12, 1.7040682e12)]).select("entity", "group_id", "chosen", "confidence"), """SELECT w.entity, w.group_id, coalesce(o.source, chosen) AS chosen, CASE WHEN o.source IS NULL THEN confidence ELSE 1.0 END AS confidence FROM w LEFT JOIN (SELECT DISTINCT k.entity, k.group_id, k.source FROM k JOIN w USING (entity, group_id) WHERE entity = 'E0' AND source = 'T1' OR entity = 'E2' AND source = 'T8' AND group_time_ms BETWEEN 1.704068e12 AND 1.7040682e12) o ON o.entity = w.entity AND o.group_id = w.group_id""", "confidence", 4)
+_broken = lambda df: _decided(df).withColumns({"confidence": F.when(F.col("group_id") % 50 == 7, 2.0).otherwise(F.col("confidence")), "reason": F.when(F.col("group_id") % 50 == 9, " ").otherwise(F.col("reason")), "chosen": F.when(F.col("group_id") % 50 == 11, "nobody").otherwise(F.col("chosen"))})
+_fused("check_fusion_of_broken_ones", lambda df: U.check_fusion(_broken(df), _all_sources(df), 1500.0), "SELECT entity, group_id, CASE group_id % 50 WHEN 7 THEN 'a confidence outside 0 to 1' WHEN 9 THEN 'no reason' ELSE 'an unknown source' END AS problem FROM w WHERE group_id % 50 IN (7, 9, 11)", "")
 _fused("fused_points", lambda df: U.fused_points(_decided(df)).select("track_id", "seq", "time_ms", F.col("source_segment").alias("source")), "SELECT entity AS track_id, row_number() OVER (PARTITION BY entity ORDER BY group_time_ms, group_id) - 1 AS seq, time_ms, chosen AS source FROM f", "time_ms")
 _add("round_up", lambda df: df.select("track_id", "seq", round_up(F.col("ele") - 100, 0).alias("r")), "SELECT track_id, seq, floor(ele - 100 + 0.5) AS r FROM points", "r")
 
