@@ -80,6 +80,39 @@ def test_a_large_kml_file_is_read_by_many_tasks(spark, tmp_path):
     assert got == [*want, (7, 8, None, None, None, 150), (7, 8, None, None, None, 151)] and dropped.count() == 0
 
 
+def test_a_large_geojson_file_is_read_by_many_tasks(spark, tmp_path):
+    import json
+    import random
+
+    rng, want, features = random.Random(1), [], []
+    for i in range(200):
+        kind = i % 4
+        properties = {"name": f'N{i} "}}]{{', "kind": "Feature", "deep": {"a": [{"b": i}]}, "mag": i / 2}
+        place = [float(i), 1.0] if kind < 2 else [[float(i), 1.0], [float(i), 2.0, 3.0]]
+        one = {"type": "Feature", "properties": properties, "geometry": {"type": "Point" if kind < 2 else "LineString", "coordinates": place}}
+        items = list(one.items())
+        rng.shuffle(items)  # members in any order
+        features.append(dict(items) if kind != 1 or i % 8 else None)
+        if features[-1] is not None:
+            want += [(p[0], p[1], p[2] if len(p) > 2 else None, properties["name"], {"mag": i / 2}, {"kind": "Feature"}) for p in ([place] if kind < 2 else place)]
+    root = {"crs": {"type": "name", "properties": {"name": "x"}}, "features": features, "type": "FeatureCollection", "links": [{"href": "]"}]}
+    (tmp_path / "big.geojson").write_text(json.dumps(root, indent=1))
+    (tmp_path / "cut.geojson").write_text(json.dumps(root)[:-40])
+    (tmp_path / "one.geojson").write_text(json.dumps(features[2]))
+    (tmp_path / "none.geojson").write_text("")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        points, dropped = files.read_geojson(spark, str(tmp_path))
+        got = rows(points, "track_id", "lon", "lat", "ele", "name", "ext_num", "ext_str")
+        assert audit(dropped) == {("cut", "not-geojson"): 1}  # Spark skips files of no bytes
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert [r[1:] for r in got if r[0] == "big"] == want
+    assert [r[1:] for r in got if r[0] == "one"] == want[2:4]
+
+
 def sentence(body):
     total = 0
     for c in body:

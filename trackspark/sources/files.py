@@ -5,6 +5,9 @@ points are of the common schema, a track for each file, seq in file order. audit
 
 from __future__ import annotations
 
+import re
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -132,23 +135,101 @@ def read_gpx(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return conform(_again(out)), audit
 
 
+#: Where a GeoJSON text is cut: a string that stands alone, so no cut is inside a string.
+_CUT = '"Feature"'
+_MARKS = re.compile(r'"(?:[^"\\]|\\.)*"|[{}\[\]]', re.S)
+_FEATURE_DEPTH = 2  # within the collection's object and its list
+
+
+def _depths(text: str, depth: int):
+    """(place, depth before, depth after) of each bracket outside strings."""
+    for mark in _MARKS.finditer(text):
+        if mark[0] in "{[":
+            yield mark.start(), depth, depth + 1, mark[0]
+            depth += 1
+        elif mark[0] in "}]":
+            yield mark.start(), depth, depth - 1, mark[0]
+            depth -= 1
+
+
+def _geojson_features(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(track_id, feature, x) of the objects in the lists of collections, in order and as text; and (track_id, value) of files that are none, or are broken.
+
+    A part of a text tells how much deeper it ends than it begins, and how many objects begin at each depth. Sums over the
+    parts before tell where a part begins, and so which pieces of it belong to which object; pieces are then put together.
+    """
+    parts = _named(spark.read.text(path, lineSep=_CUT)).select("track_id", "_file", "_at", "_id", "value")
+
+    def measure(batches):
+        for batch in batches:
+            deeper, begun = [], []
+            for text in batch.column("value").to_pylist():
+                counts: dict[int, int] = {}
+                depth = 0
+                for _, before, depth, mark in _depths(text, 0):
+                    if mark == "{":
+                        counts[before] = counts.get(before, 0) + 1
+                deeper.append(depth)
+                begun.append(list(counts.items()))
+            new = [pa.array(deeper, pa.int64()), pa.array(begun, pa.map_(pa.int64(), pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *new], [*batch.schema.names, "deeper", "begun"])
+
+    schema = "track_id string, _file string, _at bigint, _id bigint, value string"
+    rows = parts.mapInArrow(measure, f"{schema}, deeper bigint, begun map<bigint,bigint>")
+    order = Window.partitionBy("_file").orderBy("_at", "_id")
+    before, whole = order.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy("_file")
+    # Windows over a file's parts see numbers only; the texts stay where they are until those are joined to them.
+    told = rows.select("_file", "_at", "_id", "deeper", "begun", F.col("value").rlike(r'"type"\s*:\s*"FeatureCollection"').alias("told"))
+    told = told.withColumns({"depth": F.coalesce(F.sum("deeper").over(before), F.lit(0)), "last": F.lead("_id").over(order).isNull(), "sound": (F.sum("deeper").over(whole) == 0) & F.bool_or("told").over(whole)})
+    told = told.withColumn("here", F.coalesce(F.col("begun")[F.lit(_FEATURE_DEPTH) - F.col("depth")], F.lit(0)))
+    told = told.select("_file", "_at", "_id", "depth", "last", "sound", (F.coalesce(F.sum("here").over(before), F.lit(0)) - 1).alias("feature"))
+    rows = parts.join(told, ["_file", "_at", "_id"]).select("track_id", "_file", "_at", "_id", "value", "depth", "last", "sound", "feature")
+
+    def cut(batches):
+        for batch in batches:
+            out: dict[str, list] = {"row": [], "feature": [], "text": []}
+            for row, r in enumerate(batch.select(["value", "depth", "feature", "last"]).to_pylist()):
+                text, feature = r["value"] + ("" if r["last"] else _CUT), r["feature"]
+                start = 0 if r["depth"] > _FEATURE_DEPTH else None
+                for place, was, now, mark in _depths(r["value"], r["depth"]):
+                    if mark == "{" and was == _FEATURE_DEPTH:
+                        start, feature = place, feature + 1
+                    elif now == _FEATURE_DEPTH and was == _FEATURE_DEPTH + 1 and start is not None:
+                        for name, x in (("row", row), ("feature", feature), ("text", text[start : place + 1])):
+                            out[name].append(x)
+                        start = None
+                if start is not None:
+                    for name, x in (("row", row), ("feature", feature), ("text", text[start:])):
+                        out[name].append(x)
+            own = batch.select(["track_id", "_file", "_at", "_id"]).take(pa.array(out["row"], pa.int64()))
+            yield pa.RecordBatch.from_arrays([*own.columns, pa.array(out["feature"], pa.int64()), pa.array(out["text"], pa.string())], ["track_id", "_file", "_at", "_id", "feature", "text"])
+
+    pieces = rows.filter("sound").mapInArrow(cut, "track_id string, _file string, _at bigint, _id bigint, feature bigint, text string")
+    joined = lambda c: F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_at", "_id", c.alias("v")))), lambda x: x["v"]), "")
+    features = pieces.groupBy("track_id", "_file", "feature").agg(joined(F.col("text")).alias("x")).drop("_file")
+    others = rows.filter("not sound").groupBy("track_id", "_file").agg(joined(F.concat("value", F.when(F.col("last"), "").otherwise(_CUT))).alias("value")).drop("_file")
+    return features, others
+
+
 def read_geojson(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(points, audit) of files that are a FeatureCollection, a Feature or a bare geometry; each file is read whole.
+    """(points, audit) of files that are a FeatureCollection, a Feature or a bare geometry.
 
-    Points, lines, their collections and polygons are flattened to positions; of properties, time (also timestamp, t,
-    datetime), name and desc are fields, other numbers and texts channels. Other geometries are counted.
+    A collection of any size is dealt to many tasks, feature by feature; other files are read whole. Points, lines, their
+    collections and polygons are flattened to positions; of properties, time (also timestamp, t, datetime), name and desc
+    are fields, other numbers and texts channels. Other geometries are counted, as are files whose brackets don't match.
     """
-    text = _in_order(spark.read.text(path, wholetext=True)).drop("seq")
+    features, text = _geojson_features(spark, path)
     root = text.withColumn("r", F.from_json("value", "type string, features array<string>, geometry string, properties string, coordinates string"))
-    bad = F.col("r").isNull() | F.coalesce(F.col("r.type"), F.lit("")).isin("")
-    one = F.when(F.col("r.type") == "FeatureCollection", F.col("r.features")).when(F.col("r.type") == "Feature", F.array("value")).when(F.col("r.coordinates").isNotNull(), F.array(F.to_json(F.struct(F.struct("r.type", "r.coordinates").alias("g")))))
-    rows = root.select("track_id", F.posexplode(one).alias("feature", "x")).withColumn("x", F.from_json("x", "geometry string, properties map<string,variant>, g struct<type:string,coordinates:string>"))
+    bad = F.col("r").isNull() | F.coalesce(F.col("r.type"), F.lit("")).isin("", "FeatureCollection")
+    one = F.when(F.col("r.type") == "Feature", F.array("value")).when(F.col("r.coordinates").isNotNull(), F.array(F.to_json(F.struct(F.struct("r.type", "r.coordinates").alias("g")))))
+    features = features.unionByName(root.select("track_id", F.posexplode(one).alias("feature", "x")))
+    rows = features.withColumn("x", F.from_json("x", "geometry string, properties map<string,variant>, g struct<type:string,coordinates:string>"))
     geometry = F.coalesce(F.from_json("x.geometry", "type string, coordinates string"), F.col("x.g"))
     rows = rows.withColumn("g", geometry).filter("g.type is not null")
     c = F.col("g.coordinates")
     flat = F.when(F.col("g.type") == "Point", F.array(F.from_json(c, "array<double>"))).when(F.col("g.type").isin("MultiPoint", "LineString"), F.from_json(c, "array<array<double>>")).when(F.col("g.type").isin("MultiLineString", "Polygon"), F.flatten(F.filter(F.from_json(c, "array<array<array<double>>>"), lambda x: x.isNotNull())))
     known = F.col("g.type").isin("Point", "MultiPoint", "LineString", "MultiLineString", "Polygon")
-    audit = _audit(text.join(root.select("track_id", bad.alias("_bad")), "track_id"), F.when(F.col("_bad"), "not-geojson")).unionByName(_audit(rows, F.when(~known, F.concat(F.lit("unsupported-geometry "), "g.type")).when(flat.isNull(), "bad-coordinates")))
+    audit = _audit(root, F.when(bad, "not-geojson")).unionByName(_audit(rows, F.when(~known, F.concat(F.lit("unsupported-geometry "), "g.type")).when(flat.isNull(), "bad-coordinates")))
     rows = rows.select("track_id", "feature", "x.properties", F.posexplode(flat).alias("place", "p")).filter("size(p) >= 2 and p[0] is not null and p[1] is not null")
     rows = rows.withColumn("seq", (F.row_number().over(Window.partitionBy("track_id").orderBy("feature", "place")) - 1).cast("bigint"))
     prop = F.coalesce("properties", F.from_json(F.lit("{}"), "map<string,variant>"))
