@@ -50,7 +50,7 @@ def kinematics(df: DataFrame, keep: tuple[str, ...] = (), chunk: int | None = No
     out = out.drop(*(c for c in out.columns if c.startswith("_") and c not in keep))
     if "stale" in out.columns:  # what was derived before is new
         out = out.withColumn("stale", F.filter("stale", lambda c: ~c.isin(*MOTION)))
-    return out
+    return cut.spanned(out)
 
 
 MOTION = ("distance_m", "heading_deg", "sample_interval_s", "sample_frequency_hz", "ground_speed_mps", "vertical_speed_mps", "horizontal_accel_mps2", "turn_rate_dps")

@@ -15,12 +15,14 @@ from .folders import work_folder
 #: Places in a track's order that a chunk has.
 CHUNK = 1 << 17
 _NUMBER = "_chunk"
+#: Attribute of results that says how many rows their tracks have at most, so that the next operator needn't look again.
+_SPAN = "_trackspark_span"
 #: The chunk of rows that have no place in the order: they come first.
 _NOWHERE = -(1 << 62)
 
 
 class Chunks:
-    """Rows cut by an order, or whole tracks where the order spans no more than a chunk, which one aggregate over it tells.
+    """Rows cut by an order, or whole tracks where there are no more rows, or places that the order spans, than a chunk has.
 
     Where rows are fewer than others that were looked at already, cut says so instead. rows has the chunk's number where
     tracks are cut; drop() takes it away. Windows and carry serve both cases alike.
@@ -28,7 +30,13 @@ class Chunks:
 
     def __init__(self, df: DataFrame, order: str = "seq", size: int | None = None, cut: bool | None = None, key: str = "track_id"):
         size = size or CHUNK
-        self.by, self.cut = [order], (df.agg(F.max(order) - F.min(order)).first()[0] or 0) >= size if cut is None else cut
+        self.by, self.span = [order], None
+        if cut is None:
+            self.span = getattr(df, _SPAN, None) if order == "seq" else None
+            if self.span is None:  # counting rows needs no column; only tables of many rows are looked at
+                rows = df.count()
+                self.span = rows if rows < size else min(rows, (df.agg(F.max(order) - F.min(order)).first()[0] or 0) + 1)
+        self.cut = self.span > size if cut is None else cut
         self.rows = df.withColumn(_NUMBER, F.coalesce(F.floor(F.col(order) / F.lit(size)).cast("bigint"), F.lit(_NOWHERE))) if self.cut else df
         self.of, self.key = key, [key, *[_NUMBER] * self.cut]
 
@@ -103,4 +111,11 @@ class Chunks:
         return rows.join(held, F.col(self.of).eqNullSafe(F.col("_of")) & (F.col(_NUMBER) == F.col("_at")), "left").drop("_of", "_at")
 
     def drop(self, rows: DataFrame) -> DataFrame:
-        return rows.drop(_NUMBER)
+        """rows without the chunks' numbers; it is known how long their tracks are at most."""
+        return self.spanned(rows.drop(_NUMBER))
+
+    def spanned(self, rows: DataFrame) -> DataFrame:
+        """rows of the same places, of which it is known how long their tracks are at most."""
+        if self.span is not None and self.by == ["seq"]:
+            setattr(rows, _SPAN, self.span)
+        return rows
