@@ -6,10 +6,12 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from trackspark.demo_tracks import points
 from trackspark.operators import kinematics, ordered, outliers
 from trackspark.schema import POINTS, conform, demote, promote
 from trackspark.sources import binary, files, formats, inventory, sinks, text
 
+from .conftest import DATA
 from .test_semantics import track
 
 
@@ -265,3 +267,25 @@ def test_text_forms(spark):
     assert [one(text.readout(x(v), "distance", n)) for v, n in ((1500.0, False), (15.0, False), (3704.0, True), (3.048, True))] == ["1.50 km", "15.0 m", "2.00 NM", "10.0 ft"]
     assert [one(text.readout(x(300.0), "altitude")), one(text.readout(x(10.0), "speed", True))] == ["300 m", "19.4 kn"]
     assert [one(text.parse_range_time(F.lit(v), 1704067200000)) for v in ("01:02:03.5", "99:99:99", "2:00:00:00", "x")] == [1704067200000.0 + 3_723_500, None, 1704153600000.0, None]
+
+
+@pytest.fixture
+def dealt_anew(spark):
+    """Shuffles are read again in parts of some bytes, so that those of a union's sides are cut differently, as large ones are."""
+    settings = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "4000", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1", "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false"}
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+@pytest.mark.parametrize("fmt", ["gpx", "geojson", "kml", "eag"])
+def test_one_file_a_track(spark, tmp_path, dealt_anew, fmt):
+    df = points(spark, DATA).withColumn("name", F.col("seq").cast("string"))
+    getattr(sinks, f"write_{fmt}")(df, str(tmp_path / fmt))
+    files = [sorted(x for x in d.iterdir() if x.name.startswith("part")) for d in (tmp_path / fmt).iterdir() if d.is_dir()]
+    assert len(files) == 12 and all(len(f) == 1 for f in files)
+    first = {"gpx": "<?xml", "geojson": '{"type":"FeatureCollection"', "kml": "<?xml", "eag": "A\t1"}[fmt]
+    assert all(f.read_text().startswith(first) for f, in files)
