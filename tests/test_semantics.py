@@ -252,3 +252,31 @@ def test_resample_by_distance_equals_plain_cubic(spark):
 def test_empty_input(spark):
     df = track(spark, [])
     assert kinematics.kinematics(df).count() == ordered.quality_events(df).count() == ordered.dedupe(df, 5).count() == 0
+
+
+def test_rounds_as_sql(spark, duck):
+    from trackspark.queries import _round
+
+    values = [34.105, 34.1149999, -34.105, 34.18500000000001, 34.0350, -117.645, 0.0, None, *(34.0 + k * 0.0005 + j / 1e6 for k in range(400) for j in range(0, 100, 7)), *(-118 + k * 0.0007 for k in range(700))]
+    got = [r[0] for r in spark.createDataFrame([(x, i) for i, x in enumerate(values)], "x double, i int").orderBy("i").select(_round("x", 2)).collect()]
+    assert got == [r[0] for r in duck.execute("SELECT round(unnest($1::DOUBLE[]), 2)", [values]).fetchall()]
+
+
+def test_places_of_a_sorted_table(spark):
+    """Rows enough that the sort is cut into parts."""
+    from trackspark.demo_tracks import points
+    from trackspark.operators.edit import table_sort
+    from trackspark.queries import _placed
+
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    try:
+        placed = _placed(table_sort(points(spark, "/root/testdata/sf0.1"), "ele", True)).select("place", "ele", "track_id", "seq")
+        assert "Sort [" not in placed._jdf.queryExecution().optimizedPlan().toString()  # sorted once: two sorts can be cut in two ways
+        got = placed.collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    got.sort(key=lambda r: r["place"])
+    assert [r["place"] for r in got] == list(range(100_000))
+    order = [(r["ele"] is None, -(r["ele"] or 0), r["track_id"], r["seq"]) for r in got]
+    assert order == sorted(order)
