@@ -289,3 +289,11 @@ def test_one_file_a_track(spark, tmp_path, dealt_anew, fmt):
     assert len(files) == 12 and all(len(f) == 1 for f in files)
     first = {"gpx": "<?xml", "geojson": '{"type":"FeatureCollection"', "kml": "<?xml", "eag": "A\t1"}[fmt]
     assert all(f.read_text().startswith(first) for f, in files)
+
+
+def test_kml_points_leave_the_lists_behind(spark, tmp_path):
+    (tmp_path / "a.kml").write_text(f"<kml><Placemark><gx:Track>{'<when>2024-01-01T00:00:00Z</when>' * 3}{'<gx:coord>1 2 3</gx:coord>' * 3}</gx:Track></Placemark></kml>")
+    points, _ = files.read_kml(spark, str(tmp_path))
+    plan = points._jdf.queryExecution().optimizedPlan().toString().split("Generate")[0]  # what is done with single points
+    assert "row_number" in plan and "whens" not in plan and "parts" not in plan
+    assert points.filter("time_ms = 1704067200000").count() == 3
