@@ -100,3 +100,13 @@ def test_files_of_a_pattern(tmp_path):
     assert ranges.listed(f"file://{tmp_path}/b/*") == [(f"{tmp_path}/b/x.gpb", 1)]
     with pytest.raises(FileNotFoundError):
         ranges.listed(f"{tmp_path}/none")
+
+
+def test_small_ranges_are_widened(tmp_path):
+    """A task for a few records each would be more tasks the larger a file is."""
+    from trackspark.sources.ranges import RANGES, RecordReader
+
+    (tmp_path / "a.gpb").write_bytes(bytes(3_000_000))
+    parts = RecordReader(str(tmp_path), None, 0, 2_000, 100).partitions()
+    assert len(parts) <= RANGES and parts[0].begin == 0 and parts[-1].end == 3_000_000 and all(a.end == b.begin for a, b in zip(parts, parts[1:]))
+    assert len(RecordReader(str(tmp_path), None, 0, 1_000_000, 100).partitions()) == 3
