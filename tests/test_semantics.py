@@ -280,3 +280,24 @@ def test_places_of_a_sorted_table(spark):
     assert [r["place"] for r in got] == list(range(100_000))
     order = [(r["ele"] is None, -(r["ele"] or 0), r["track_id"], r["seq"]) for r in got]
     assert order == sorted(order)
+
+
+def test_geodetic_far_from_the_ground(spark):
+    from trackspark.functions.geo import enu, enu_to_geodetic
+
+    rows = spark.createDataFrame([(e, h) for e in (0.0, 1e5, 1.3e6, 7.6e6, 4.6e7) for h in (0.0, 4000.0)], "east double, up double")
+    anchor = F.lit(39.4166), F.lit(-118.7005), F.lit(1199.0)
+    lat, lon, ele = enu_to_geodetic(F.col("east"), F.lit(3000.0), F.col("up"), *anchor)
+    e, n, u = enu(lat, lon, ele, *anchor)
+    assert rows.select(F.max(F.greatest(F.abs(e - F.col("east")), F.abs(n - 3000), F.abs(u - F.col("up"))))).first()[0] < 1e-5
+
+
+def test_fusion_groups_of_many_candidates_of_one_time(spark, tmp_path):
+    """Only the different times of an entity are scanned in order."""
+    from trackspark.operators import fusion
+
+    rows = spark.range(0, 5000, 1, 4).selectExpr("'E' entity", "'T' || id % 3 source", "id div 3 seq", "cast(id % 50 * 1000 as double) time_ms")
+    got = fusion.group_by_time(rows, 1500.0).groupBy("group_id").agg(F.count("*").alias("n"), F.min("time_ms").alias("t")).orderBy("group_id").collect()
+    assert [(r["group_id"], r["n"], r["t"]) for r in got] == [(k, 200, k * 2000.0) for k in range(25)]
+    fusion_scan = fusion._numbered(rows.select("entity", "time_ms").distinct(), 1500.0, None)
+    assert fusion_scan.columns == ["entity", "time_ms", "group_id"] and fusion_scan.count() == 50
