@@ -6,10 +6,12 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from trackspark.operators import aggregate, align, fusion, kinematics, ordered
+from trackspark.operators import aggregate, align, fusion, kinematics, ordered, outliers
 from trackspark.plans import chunks
 from trackspark.sources.inventory import synthetic_tracks
 
+from .test_semantics import track
+
 OPERATORS = {
     "kinematics": kinematics.kinematics,
     "track_stats": aggregate.track_stats,
@@ -157,3 +159,17 @@ def test_diff_of_one_sided_tracks_nulls_and_channels(spark):
     assert (got["a"]["alignment"], got["a"]["unchanged"], got["a"]["removed"], got["a"]["elevation"], got["a"]["channels"]) == ("subsequence", 5, 1, False, True)
     assert align.track_diff_ordered(before, before).filter("channels or modified > 0").count() == 0
     assert sorted((r["n_before"], r["n_after"], r["alignment"]) for r in got.values()) == [(0, 1, "rebuilt"), (1, 0, "rebuilt"), (6, 5, "subsequence")]
+
+
+def test_repair_in_chunks(spark):
+    """Knots, runs and numbers are the same however a track is cut; no window of the knots sees a whole track."""
+    rows = [(1 + i * 1e-4, 2 + (i % 7) * 1e-4, None if i == 30 else 100.0 + i % 5, i * 1000.0 + 20_000 * (i >= 10) + 9_000 * (i >= 41)) for i in range(60)]
+    rows[25] = (1.5, 2.5, 100.0, rows[25][3])
+    made = F.when(F.col("seq").isin(6, 7, 8, 11, 12, 40, 41), F.array(F.lit("interpolated"))).otherwise(F.col("flags"))
+    df = track(spark, rows).withColumn("flags", made)
+    df = df.unionByName(df.withColumns({"track_id": F.lit("B"), "time_ms": F.when(F.col("seq") != 50, F.col("time_ms"))}))
+    key = lambda x: sorted(map(repr, x.collect()))
+    for f in (lambda **k: outliers.gap_fills(df, 5000, 2000, context=3, profile="unconstrained", **k), lambda **k: outliers.fill_gaps(df, 5000, 2000, context=3, profile="unconstrained", **k), lambda **k: outliers.drop_outliers(df, "unconstrained", **k)):
+        whole = key(f())
+        assert len(whole) and all(key(f(chunk=n)) == whole for n in (3, 7))
+    assert {(r["track_id"], r["start_seq"]) for r in outliers.gap_fills(df, 5000, 2000, chunk=3).collect()} == {(t, s) for t in "AB" for s in (9, 40)}
