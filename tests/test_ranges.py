@@ -110,3 +110,28 @@ def test_small_ranges_are_widened(tmp_path):
     parts = RecordReader(str(tmp_path), None, 0, 2_000, 100).partitions()
     assert len(parts) <= RANGES and parts[0].begin == 0 and parts[-1].end == 3_000_000 and all(a.end == b.begin for a, b in zip(parts, parts[1:]))
     assert len(RecordReader(str(tmp_path), None, 0, 1_000_000, 100).partitions()) == 3
+
+
+def test_live_records_are_small_until_they_are_written(spark):
+    """The one task that writes a recording sorts all of them."""
+    from trackspark.more_queries import _live_blocks
+
+    rows = spark.createDataFrame([(0, 3, 8, 1.5), (0, 4, 8, None), (2, 11, 19, 2.25), (2, 0, 28, -1.0), (3, 1, 29, None)], "block bigint, slot int, seq bigint, z double")
+    blocks = _live_blocks(rows)
+    assert blocks.schema["live"].dataType.simpleString() == "array<struct<i:tinyint,k:tinyint,z:float>>"
+    assert {r["block"]: sorted(map(tuple, r["live"])) for r in blocks.collect()} == {0: [(8, 3, 1.5)], 2: [(0, 11, 2.25), (9, 0, -1.0)], 3: []}
+
+
+def test_days_of_a_recording_are_told_by_its_stretches(spark, tmp_path, monkeypatch):
+    """No window sees a recording's samples, and days are the same in stretches of any length."""
+    live = {(f, 1): (f * 1.0, 2.0, 30.0) for f in range(0, 49, 2)}
+    (tmp_path / "R.msnp5").write_bytes(recording(live, start=8_640_000 - 200, blocks=5))
+    whole = sorted(map(tuple, binary.read_p5(spark, str(tmp_path)).collect()))
+    frames = binary.p5_frames
+    monkeypatch.setattr(binary, "p5_frames", lambda spark, path: frames(spark, path, blocks=1, split=50_000))
+    cut = binary.read_p5(spark, str(tmp_path))
+    assert sorted(map(tuple, cut.collect())) == whole and len(whole) == 25
+    times = [r["time_ms"] for r in cut.orderBy("subframe").collect()]
+    assert all(b - a == 200 for a, b in zip(times, times[1:])) and len({t // 86_400_000 for t in times}) == 2
+    windows = [x for x in cut._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Window" in x]
+    assert windows and not any("subframe" in x for x in windows)
