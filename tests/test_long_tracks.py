@@ -70,6 +70,16 @@ def test_one_track_is_dealt_to_many_tasks(spark, monkeypatch, name):
     assert len(dealt) >= 8
 
 
+@pytest.mark.parametrize("name", ["kinematics", "quality_events", "position_at_time"])
+def test_tasks_follow_the_rows_not_the_number_of_shuffle_partitions(spark, monkeypatch, name):
+    monkeypatch.setattr(chunks, "CHUNK", 1000)
+    monkeypatch.setattr(chunks, "TASK", 1000)
+    points = synthetic_tracks(spark, 1, 60_000).withColumn("ele", F.floor(F.col("seq") / 10) * 1.0)
+    run = OPERATORS.get(name) or (lambda df: align.position_at_time(df, df.select("track_id", (F.col("time_ms") + 1).alias("at_ms"))))
+    dealt = run(points).withColumn("task", F.spark_partition_id()).groupBy("task").count().collect()
+    assert len(dealt) >= 20 and max(r["count"] for r in dealt) < 10_000
+
+
 def test_simplify_by_rounds_equals_the_whole(spark):
     rng, rows = random.Random(2), []
     for t, n in (("a", 300), ("b", 90), ("c", 2), ("d", 40), (None, 120), ("nan", 60), ("same", 50)):
