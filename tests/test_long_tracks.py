@@ -161,6 +161,32 @@ def test_runs_of_equal_points_equal_a_walk_point_by_point():
         assert sum(n for _, _, n in align._matched_runs(np.array(before, np.int64), np.array(after, np.int64))) == plain_walk(before, after)
 
 
+def test_streamed_walk_equals_a_walk_over_whole_versions():
+    """Versions that come in small parts, one far ahead of the other: only what it is ahead by is held."""
+    rng = np.random.default_rng(8)
+    before = rng.integers(0, 6, (6000, 4)).astype(float)
+    before[::11, 2] = np.nan
+    after = np.delete(before, np.r_[np.arange(0, 6000, 10), np.arange(3000, 3050)], axis=0)
+    numbers = np.unique(np.nan_to_num(np.vstack([before, after]), nan=-1), axis=0, return_inverse=True)[1].ravel()
+    place, side = np.r_[np.arange(6000), np.arange(len(after))], np.repeat([0, 1], [6000, len(after)])
+    order = np.lexsort([side, place])
+    walk, most = align._Versions(), 0
+    for part in np.array_split(order, 90):
+        walk.add(side[part], np.vstack([before, after])[part], np.zeros(len(part), np.int64))
+        most = max(most, *(len(q.rows()) for q in walk.sides))
+    walk.walk(True)
+    assert walk.same == sum(n for _, _, n in align._matched_runs(numbers[:6000], numbers[6000:])) and most < 1500
+
+
+def test_diff_in_chunks(spark):
+    rows = [(i / 100, 0, None if i == 5 else i, i * 1000) for i in range(40)]
+    before = track(spark, rows).unionByName(track(spark, rows).withColumn("track_id", F.lit(None).cast("string")))
+    after = before.filter("seq % 10 > 0 or track_id is null").withColumn("ele", F.when(F.col("track_id").isNull() & (F.col("seq") == 7), 70.0).otherwise(F.col("ele")))
+    whole = align.track_diff_ordered(before, after).orderBy("track_id").collect()
+    assert whole == align.track_diff_ordered(before, after, chunk=7).orderBy("track_id").collect()
+    assert [(r["alignment"], r["unchanged"], r["modified"], r["removed"], r["max_elevation_shift_m"]) for r in whole] == [("index", 39, 1, 0, 63.0), ("subsequence", 36, 0, 4, 0.0)]
+
+
 def test_diff_of_one_sided_tracks_nulls_and_channels(spark):
     schema = "track_id string, seq bigint, lat double, lon double, ele double, time_ms double, ext_num map<string,double>"
     before = spark.createDataFrame([("a", i, float(i), -0.0, None, None, {"x": 1.0, "y": 2.0}) for i in range(6)] + [("only", 0, 1.0, 1.0, 1.0, 1.0, {})], schema)
