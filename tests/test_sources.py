@@ -11,6 +11,8 @@ def test_numbers_coordinates_and_times(spark):
     assert [round(one(text.parse_coordinate(F.lit(x))), 6) for x in ("12.5", "34°30'36\"S", "10 15 W")] == [12.5, -34.51, -10.25]
     assert [one(text.parse_time(F.lit(x))) for x in ("1704067200", "1704067200000", "1704067200000000", "45292", "2024-01-01T00:00:00Z", "nope")] == [1704067200000.0] * 5 + [None]
     assert one(text.checksum(F.lit("GPGLL,5057.970,N,00146.110,E,142451,A"))) == "27"
+    texts = spark.createDataFrame([("",), (None,), ("A",), ("AB",), ("é€",), ("AAB",)], "t string").coalesce(1)
+    assert [r[0] for r in texts.select(text.checksum(F.col("t"))).collect()] == ["00", None, "41", "03", "20", "42"]
 
 
 def test_csv_rejects_and_channels(spark, tmp_path):
@@ -36,3 +38,17 @@ def test_nmea_date_carries_and_checksum_counts(spark, tmp_path):
     assert [(round(r["lat"], 6), round(r["lon"], 6), r["time_ms"], r["ele"], r["ext_num"].get("sat")) for r in got] == [(34.0, -118.0, 1704067201000.0, None, None), (34.01, -118.0, 1704067202000.0, 100.0, 7.0)]
     assert round(got[0]["ext_num"]["speed_mps"], 5) == 5.14444
     assert [(r["reason"], r["n"]) for r in audit.collect()] == [("bad-checksum", 1)]
+
+
+def test_texts_are_read_where_they_are_scanned(spark, tmp_path):
+    """Behind the windows over a file, which one task holds, there is no more work on a row's text."""
+    (tmp_path / "a.txt").write_text("$GPGLL,5057.970,N,00146.110,E,142451,A*27\n")
+    (tmp_path / "a.csv").write_text("la,lo,t,x\n1,2,2024-01-01T00:00:00Z,3\n")
+    nmea, audit = files.read_nmea(spark, str(tmp_path / "a.txt"))
+    csv, _ = files.read_csv_track(spark, str(tmp_path / "a.csv"), {"lat": "la", "lon": "lo", "time": "t"})
+    for df in (nmea, csv):
+        lines = df._jdf.queryExecution().optimizedPlan().toString().splitlines()
+        deepest = max(i for i, line in enumerate(lines) if "Window [" in line)
+        assert not [line for line in lines[: deepest + 1] if "RLIKE" in line or "aggregate(" in line]
+    assert "Window" not in audit._jdf.queryExecution().optimizedPlan().toString()
+    assert nmea.count() == csv.filter("lat = 1 and ext_num['x'] = 3 and seq = 0").count() == 1
