@@ -1,5 +1,6 @@
 """Readers and writers on small files of each format, whole and broken."""
 
+import json
 import struct
 
 import numpy as np
@@ -297,3 +298,13 @@ def test_kml_points_leave_the_lists_behind(spark, tmp_path):
     plan = points._jdf.queryExecution().optimizedPlan().toString().split("Generate")[0]  # what is done with single points
     assert "row_number" in plan and "whens" not in plan and "parts" not in plan
     assert points.filter("time_ms = 1704067200000").count() == 3
+
+
+def test_geojson_positions_leave_the_text_behind(spark, tmp_path):
+    """A position that takes its feature's text along makes a line's work grow with the square of its length."""
+    line = {"type": "Feature", "properties": {"name": "L", "time": "2024-01-01T00:00:00Z", "hr": 7}, "geometry": {"type": "LineString", "coordinates": [[1, 2], [3, 4], [5, 6]]}}
+    (tmp_path / "a.geojson").write_text(json.dumps({"type": "FeatureCollection", "features": [line]}))
+    points, _ = files.read_geojson(spark, str(tmp_path))
+    assert [(r["lon"], r["name"], r["time_ms"], r["ext_num"]) for r in points.orderBy("seq").collect()] == [(x, "L", 1704067200000.0, {"hr": 7.0}) for x in (1.0, 3.0, 5.0)]
+    explodes = [x for x in points._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Generate posexplode(" in x and "value#" not in x]
+    assert explodes and not any("geometry" in x or ", [x#" in x or "g#" in x for x in explodes)
