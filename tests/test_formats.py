@@ -308,3 +308,23 @@ def test_geojson_positions_leave_the_text_behind(spark, tmp_path):
     assert [(r["lon"], r["name"], r["time_ms"], r["ext_num"]) for r in points.orderBy("seq").collect()] == [(x, "L", 1704067200000.0, {"hr": 7.0}) for x in (1.0, 3.0, 5.0)]
     explodes = [x for x in points._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Generate posexplode(" in x and "value#" not in x]
     assert explodes and not any("geometry" in x or ", [x#" in x or "g#" in x for x in explodes)
+
+
+def test_kml_points_on_lines_are_rows_of_their_own(spark, tmp_path):
+    """Lines of nothing but points leave the text, so that no row grows with a geometry; results are those of a file of one line."""
+    when, coord = "<when>2024-01-01T00:00:{:02d}Z</when>", "<gx:coord>{0} {0}.5 3</gx:coord>"
+    body = [
+        "<kml><Document><name>", "1,2", "</name><Placemark>", "<name>", "3,4", "</name>", "<TimeStamp>", when.format(1), "</TimeStamp><LineString><coordinates>", *(f"{i},{i + 1},{i + 2}" for i in range(5)), "x,1", "6,7 8,9", "</coordinates>",
+        "</LineString></Placemark>", '<Placemark id="a">', "<name>T</name>", "<gx:Track>", *(when.format(i) for i in range(4)), when.format(4) + when.format(5), *(coord.format(i) for i in range(7)), "</gx:Track>", "</Placemark>",
+        "<Placemark><gx:Track>", when.format(9), coord.format(1), when.format(8), "", coord.format(2), "</gx:Track><Point><coordinates>", " 5,6 ", "</coordinates></Point></Placemark>", "<LineString><coordinates>", "9,9", "</coordinates></LineString></Document></kml>",
+    ]
+    got = []
+    for name, between in (("lines", "\n"), ("dos", "\r\n"), ("one", " ")):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "a.kml").write_bytes(between.join(body).encode())
+        points, dropped = files.read_kml(spark, str(tmp_path / name))
+        points = points.withColumn("source_segment", F.trim(F.regexp_replace("source_segment", r"\s", " ")))
+        got.append((rows(points, "seq", "lat", "lon", "ele", "time_ms", "name", "source_segment", "source_feature", "source_record"), audit(dropped)))
+    assert got[0] == got[1] == got[2] and len(got[0][0]) == 18 and got[0][1] == {("a", "bad-coordinate"): 1, ("a", "times-paired-by-index"): 1}
+    text = "".join(r["value"] for r in files._kml_parts(files._kml_lines(spark, str(tmp_path / "lines"))).collect())
+    assert "4,5,6" not in text and ":00:03Z" not in text and "6.5" not in text and "3,4" in text
